@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausework.llm import bpe, decontaminate
+from clausework.llm import bpe, decontaminate, html, media, pii, sharding
 from clausework.llm.common import table
 
 
@@ -17,16 +17,41 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(pii.KEY_CONF, pii.DEFAULT_KEY)
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return pii.pseudonymise(docs, pii_key(spark), counts="n_replaced")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), 8)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op3_bpe": op3_bpe,
+        "op5_html": op5_html,
         "op8_decontamination": op8_decontamination,
+        "op9_sharding": op9_sharding,
+        "op10_media": op10_media,
     }
