@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python: texts are long, so few of them.
 ARROW_ROWS = 1000
@@ -47,3 +48,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Up to this many ids are broadcast; more are joined by a shuffle.
+MOST_IDS = 1 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone`` (doc_id); rows without doc_id stay.
+
+    ``gone`` is counted first and broadcast only if it is small.
+    """
+    gone = cut(gone.select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
+    return docs.join(side, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

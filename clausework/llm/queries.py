@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausework.llm import bpe, decontaminate, html, media, pii, sharding
+from clausework.llm import bpe, decontaminate, html, jaccard, language, lattice, media, pii, quality, sharding
 from clausework.llm.common import table
 
 
@@ -26,14 +26,39 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, pii_key(spark), counts="n_replaced")
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = lattice.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice.score(table(spark, sf_dir, "documents"), pieces)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(language.document_rows(table(spark, sf_dir, "documents")), ["host"])
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(language.page_rows(table(spark, sf_dir, "pages")), ["suffix", "domain", "host"])
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,8 +74,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_lattice": op2_lattice,
         "op3_bpe": op3_bpe,
+        "op4_jaccard": op4_jaccard,
         "op5_html": op5_html,
+        "op6_quality": op6_quality,
+        "op7_language": op7_language,
+        "pages_language": pages_language,
         "op8_decontamination": op8_decontamination,
         "op9_sharding": op9_sharding,
         "op10_media": op10_media,

@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clausework.llm import bpe, decontaminate
+from clausework.llm import bpe, decontaminate, jaccard, language, pii
 from clausework.llm.common import cut, table
-from clausework.llm.queries import word_bpe
+from clausework.llm.queries import pii_key, word_bpe
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language evidence accepts none go."""
+    return language.drop_unidentified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the smallest doc_id stays."""
+    return jaccard.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +25,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms; n_chars follows the text."""
+    columns = docs.columns
+    changed = pii.pseudonymise(docs, pii_key(spark))
+    if "n_chars" in columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is kept, as token ids."""
     return bpe.encode_documents(docs, word_bpe(), with_ids=True)
 
 
 STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
+    ("pii", pseudonymise),
     ("bpe", encode),
 ]
 
