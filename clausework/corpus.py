@@ -38,6 +38,12 @@ SELECT cast(floor(o_orderkey / 1000) AS bigint) AS doc_id,
 FROM {orders}
 """
 
+# The parent by its uid; -1 is a policy that no document holds.
+INHERITS = """
+SELECT doc_id, policy_ix, CASE WHEN parent_ix = -1 THEN 'urn:policy:none' ELSE concat('urn:policy:', cast(doc_id * 1000 + parent_ix AS string)) END AS parent
+FROM {policies} WHERE parent_ix IS NOT NULL
+"""
+
 LINES = """
 SELECT cast(floor(l_orderkey / 1000) AS bigint) AS doc_id, cast(l_orderkey % 1000 AS int) AS policy_ix,
   cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
@@ -161,6 +167,7 @@ ODRL_TERMS = values(odrl_terms(), "iri, kind, core, deprecated")
 #: name -> (SQL, the tables it reads)
 DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
     "policies": (POLICIES, ("orders",)),
+    "inherits": (INHERITS, ("policies",)),
     "lines": (LINES, ("lineitem", "part")),
     "rules": (RULES, ("lines",)),
     "constraints": (CONSTRAINTS, ("lines",)),

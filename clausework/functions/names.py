@@ -133,7 +133,9 @@ def xsd_valid(datatype: Column, text: Column) -> Column:
 def quoted(text: Column) -> Column:
     """In quotes, unless it looks like an IRI, a number or a date."""
     number = text.rlike(r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$")
-    return F.when(text.contains(":") | number | text.rlike(f"^{DAY}$"), text).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    date = text.rlike("^.{4}-.{2}-.{2}")
+    plain = ~text.rlike(r"\s") & (text.contains(":") | number | date)
+    return F.when(plain, text).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def namespace(iri: Column) -> Column:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clausework.corpus import Corpus
-from clausework.jobs import terms
+from clausework.jobs import rules, terms
 
-AREAS = [terms]
+AREAS = [rules, terms]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
