@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clausework.corpus import Corpus
-from clausework.jobs import rules, terms
+from clausework.jobs import readings, rules, terms
 
-AREAS = [rules, terms]
+AREAS = [rules, terms, readings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
