@@ -52,6 +52,12 @@ LANGUAGES = 8
 HEAD = 1 << 19
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
+#: Words that go through the lattice at once.
+AT_ONCE = 20_000
+#: Up to this many bytes a word's products stay far above the smallest number (a
+#: piece's weight is over 1e-10), so they are summed as they are and the logarithm
+#: is taken once; longer words are summed in log space at every step.
+SHORT = 24
 END = b""  # no word is empty
 _BASE = np.uint64(0x100000001B3)
 
@@ -130,7 +136,9 @@ class Lattice:
                 power = np.uint64(pow(int(_BASE), size, 1 << 64))
                 x = h[:, size : size + 1] if kind == 0 else h[:, size:] - h[:, : n - size + 1] * power
                 k = np.minimum(np.searchsorted(table, x), len(table) - 1)
-                out.append((kind, size, np.where(table[k] == x, at[k], -1)))
+                there = table[k] == x
+                if there.any():
+                    out.append((kind, size, np.where(there, at[k], -1)))
         return out
 
     def _forward(self, words: np.ndarray, edges: list, log_w: np.ndarray) -> np.ndarray:
@@ -145,7 +153,8 @@ class Lattice:
                     ways.append(log_w[piece[:, 0]])
                 elif kind == 1 and size <= j:
                     ways.append(alpha[:, j - size] + log_w[piece[:, j - size]])
-            alpha[:, j] = np.logaddexp.reduce(ways)
+            if ways:
+                alpha[:, j] = np.logaddexp.reduce(ways)
         return alpha
 
     def _backward(self, words: np.ndarray, edges: list, log_w: np.ndarray) -> np.ndarray:
@@ -154,7 +163,8 @@ class Lattice:
         beta[:, n] = 0.0
         for j in range(n - 1, -1, -1):
             ways = [beta[:, j + size] + log_w[piece[:, j]] for kind, size, piece in edges if kind == 1 and j + size <= n]
-            beta[:, j] = np.logaddexp.reduce(ways)
+            if ways:
+                beta[:, j] = np.logaddexp.reduce(ways)
         return beta
 
     @staticmethod
@@ -167,11 +177,27 @@ class Lattice:
                 part = at[i : i + step]
                 yield part, np.frombuffer(b"".join([words[k] for k in part]), np.uint8).reshape(len(part), int(n))
 
+    def _short_forward(self, n: int, edges: list, w: np.ndarray, count: int) -> np.ndarray:
+        """The forward sums of short words, by language, word and place; ``w`` are weights by language and piece."""
+        alpha = np.zeros((len(w), count, n + 1))
+        alpha[:, :, 0] = w[:, self.first, None]
+        for j in range(1, n + 1):
+            for kind, size, piece in edges:
+                if kind == 0 and size == j:
+                    alpha[:, :, j] += w[:, piece[:, 0]]
+                elif kind == 1 and size <= j:
+                    alpha[:, :, j] += alpha[:, :, j - size] * w[:, piece[:, j - size]]
+        return alpha
+
     def log_p(self, words: list[bytes], log_ws: list[np.ndarray]) -> np.ndarray:
         """Natural log of each word's sum over all segmentations, a column for each set of weights."""
         out = np.zeros((len(words), len(log_ws)))
+        w = np.exp(np.stack(log_ws))
         for at, block in self._by_length(words):
             edges = self._edges(block)
+            if block.shape[1] <= SHORT:
+                out[at] = np.log(self._short_forward(block.shape[1], edges, w, len(block))[:, :, -1]).T
+                continue
             for k, log_w in enumerate(log_ws):
                 out[at, k] = self._forward(block, edges, log_w)[:, -1]
         return out
@@ -179,11 +205,26 @@ class Lattice:
     def expected(self, words: list[bytes], log_w: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over the words, each word once."""
         total = np.zeros(len(log_w))
+        w = np.exp(log_w)
         for _, block in self._by_length(words):
             edges = self._edges(block)
+            count, n = block.shape
+            if n <= SHORT:
+                alpha = self._short_forward(n, edges, w[None], count)[0]
+                beta = np.zeros((count, n + 1))
+                beta[:, n] = 1.0
+                for j in range(n - 1, -1, -1):
+                    for kind, size, piece in edges:
+                        if kind == 1 and j + size <= n:
+                            beta[:, j] += beta[:, j + size] * w[piece[:, j]]
+                whole = alpha[:, -1:]
+                for kind, size, piece in edges:
+                    p = w[piece] * beta[:, size : size + 1] if kind == 0 else alpha[:, : n - size + 1] * w[piece] * beta[:, size:]
+                    total += np.bincount(piece.ravel() % len(total), (p / whole).ravel(), len(total))
+                total[self.first] += (w[self.first] * beta[:, 0] / whole[:, 0]).sum()
+                continue
             alpha, beta = self._forward(block, edges, log_w), self._backward(block, edges, log_w)
             whole = alpha[:, -1:]
-            n = block.shape[1]
             for kind, size, piece in edges:
                 if kind == 0:
                     p = log_w[piece] + beta[:, size : size + 1] - whole
@@ -194,6 +235,18 @@ class Lattice:
         return total[:-1]
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces_of(path: str) -> list[tuple[str, float]]:
     """Texts and scores of a public sentence-piece vocabulary."""
     import sentencepiece
@@ -255,7 +308,7 @@ def _weights(lattice: Lattice, words: DataFrame, n_languages: int) -> list[np.nd
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             total = np.zeros((n_languages, len(one.value.texts)))
-            for batch in batches:
+            for batch in _together(batches):
                 ws = np.array(batch.column(0).to_pylist(), object)
                 for k in range(n_languages):
                     known = batch.column(1 + k).to_numpy(zero_copy_only=False) > 0
@@ -317,7 +370,7 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, weights = model.value
-        for batch in batches:
+        for batch in _together(batches):
             ws = batch.column(0).to_pylist()
             c = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(size)], 1).astype(float).reshape(len(ws), size)
             is_end = np.array([w == END for w in ws], bool)[:, None]
