@@ -37,6 +37,7 @@ SAMPLE = 20_000
 #: Hashed words; the shape features follow.
 BUCKETS = 1 << 15
 EPOCHS = 12
+APART = 3.0
 LABELS = ("quality", "toxic")
 
 _RUN = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -47,7 +48,7 @@ class _Buckets(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word.strip(b".,;:!?\"'()")) % BUCKETS
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value
         return value
@@ -90,7 +91,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 class Classifier:
-    """Logistic regression over present features, by averaged stochastic steps."""
+    """Logistic regression over present features, by stochastic steps with a rate for each feature."""
 
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, seed: int = 7):
         self.weight = np.zeros(WIDTH, np.float64)
@@ -98,6 +99,16 @@ class Classifier:
         self.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         if not len(labels) or share in (0.0, 1.0):
             return
+        # Only features whose share differs between the classes by APART standard errors count.
+        positive = labels > 0
+        count = lambda part: np.bincount(np.concatenate(part), minlength=WIDTH)
+        n1, n0 = int(positive.sum()), int((~positive).sum())
+        with_1 = count([r for r, p in zip(rows, positive, strict=True) if p])
+        with_0 = count([r for r, p in zip(rows, positive, strict=True) if not p])
+        both = (with_1 + with_0) / len(rows)
+        error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
+        telling = (np.abs(with_1 / n1 - with_0 / n0) > APART * error) & (with_1 + with_0 > 1)
+        rows = [at[telling[at]] for at in rows]
         order = np.random.default_rng(seed)
         squared = np.full(WIDTH, 1e-2)
         for _ in range(EPOCHS):
