@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clausework.corpus import Corpus
-from clausework.jobs import readings, rules, terms, vocab
+from clausework.jobs import lists, readings, rules, terms, vocab
 
-AREAS = [rules, terms, readings, vocab]
+AREAS = [rules, terms, readings, vocab, lists]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
