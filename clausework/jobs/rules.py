@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from clausework.corpus import Corpus, ctes
 from clausework.functions.names import local_name
-from clausework.jobs.terms import BASE
+from clausework.jobs.terms import BASE, USES
+from clausework.jobs.terms import ORACLES as TERM_ORACLES
 from clausework.model import Options
 from clausework.operators import hints, inherit, report, resolve, structure
 
@@ -126,8 +127,6 @@ QUERIES = {
 
 def _merged() -> str:
     """All tables and the common parts, each once."""
-    from clausework.jobs.terms import USES
-
     return (
         ctes("policies", "rules", "constraints", "prefixes", "profiles", "terms", "odrl_terms", "inherits", "links", "hints", "hint_operators", "hint_values", "hint_units")
         + f""",
@@ -187,8 +186,6 @@ M = _merged()
 
 
 def _all_findings() -> str:
-    from clausework.jobs.terms import ORACLES as TERM_ORACLES
-
     judged = TERM_ORACLES["profile_rules"][len(BASE) :]
     tables = judged[: judged.rindex("SELECT doc_id, policy_ix, path, slot, rule, written FROM judged")]
     levels = ", ".join(
