@@ -33,7 +33,7 @@ from clausework.llm.common import small_batches
 
 END = "</w>"
 #: Words of which a worker remembers the tokens; the memory is emptied when full.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 # White space as the tokenizer's patterns see it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -42,6 +42,12 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPAC
 _NOT_SPACE_THERE = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split() takes these for white space
 
 
+def _pieces(low: str) -> list[str]:
+    """The pieces of a word.  Characters that the tokenizer's tables don't know yet are no letters there, whatever a newer table says."""
+    known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in low)
+    return [low[m.start() : m.end()] for m in _PIECES.finditer(known)] if known != low else _PIECES.findall(low)
+
+
 def _byte_chars() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -164,7 +170,7 @@ class WordBpe:
     def _word(self, word: str) -> tuple[bytes, bytes]:
         ids: list[int] = []
         low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        for piece in [low] if low.isascii() and low.isalpha() else _PIECES.findall(low):
+        for piece in [low] if low.isascii() and low.isalpha() else _PIECES.findall(low) if low.isascii() else _pieces(low):
             got = self._pieces.get(piece)
             if got is None:
                 if len(self._pieces) >= REMEMBERED:
