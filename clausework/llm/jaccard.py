@@ -15,9 +15,10 @@ component under those links.
     group of similar documents.
 4.  The token-group matrix has a row for each token and group.  A document that
     shares a token with another group is a query to it.  Groups are stored in
-    blocks of bounded size with the union of their tokens; the overlap of query
-    and union bounds the overlap with any member, so only blocks where the bound
-    reaches ceil(0.8 n) are opened, and their members compared exactly.
+    blocks of bounded size, first with the union of their members' token counts
+    in ``BUCKETS`` buckets: what a query can share with any member is at most the
+    sum of the smaller counts, so only groups and members where this bound
+    reaches ceil(0.8 n) are opened.  What is left is compared token by token.
 
 No step makes all pairs of a group, and nothing is capped: tokens that are
 common to more documents than the broadcast order holds are ordered by hash like
@@ -37,7 +38,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,27 +47,21 @@ from clausework.llm.components import components, jump, start, step
 WORDS = 5
 #: A token of more prefixes than this goes last in the order.
 COMMON = 8
-#: Most entries of the two broadcast tables: common tokens, classes of copies.
-MOST_COMMON = 1 << 19
-MOST_CLASSES = 1 << 16
+#: Most entries of the broadcast table of common tokens.
+MOST_COMMON = 1 << 18
+#: Bits of the filter that tells tokens of several documents from most others; its
+#: size is fixed, and what it lets through is joined exactly.
+FILTER_CHUNKS, CHUNK_BITS = 64, 1 << 20
 #: Up to this many document ids are broadcast to pick their rows; more are joined.
 MOST_PICKED = 1 << 20
 #: Tokens in a block of a group or of queries.
 BLOCK_TOKENS = 1 << 16
+#: Buckets of the counts that bound an overlap.
+BUCKETS = 512
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash, remembered while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value
-        return value
-
-
-_hash_of = _Hashes()
+#: Odd factors, one for each place in a shingle.
+_FACTOR = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,18 +71,61 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _random(n: int, seed: int) -> np.ndarray:
+    """n fixed 64-bit numbers, the outputs of splitmix64."""
+    with np.errstate(over="ignore"):
+        return _mix(np.arange(seed, seed + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+# 0x20 and 0x09-0x0D part words; A-Z count as a-z.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = _random(256, 1)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B]
+_BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2**64, as many as the longest text has bytes."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = 1 << (n - 1).bit_length()
+            with np.errstate(over="ignore"):
+                self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BASE, _INVERSE))
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
 def tokens_of(text: str | None, n_words: int = WORDS) -> np.ndarray:
-    """The set of a text: sorted distinct hashes of its shingles."""
-    words = text.encode().lower().split() if text else []  # bytes: A-Z are lowered, split at \x09-\x0D and \x20
-    if not words:
+    """The set of a text: sorted distinct hashes of its shingles.
+
+    A word's hash is a polynomial in its bytes modulo 2**64, mixed; all words of a
+    text are cut out of one running sum.
+    """
+    if not text:
+        return np.empty(0, np.int64)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    space = _SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
         return np.empty(0, np.int64)
-    h = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
-    width = min(n_words, len(words))
-    total = np.full(len(words) - width + 1, width, np.uint64)
+    up, down = _powers.get(len(raw))
     with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[raw] * up)])
+        h = _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        width = min(n_words, len(h))
+        total = np.full(len(h) - width + 1, width, np.uint64)
         for k in range(width):
-            total = _mix(total + h[k : len(h) - width + 1 + k])
-    return np.unique(total.view(np.int64))
+            total += h[k : len(h) - width + 1 + k] * _FACTOR[k % len(_FACTOR)]
+        tokens = np.sort(_mix(total).view(np.int64))
+    return tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])]
 
 
 def set_key(tokens: np.ndarray) -> bytes | None:
@@ -108,122 +145,204 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key of each row."""
+def _prefix(t: np.ndarray, last: np.ndarray | None) -> tuple[np.ndarray, float]:
+    """The first tokens of a set in the order, and its share of common tokens."""
+    share = 0.0
+    if last is not None and len(last):
+        is_common = _among(t, last)
+        share = float(is_common.mean())
+        if share:
+            t = np.concatenate([t[~is_common], t[is_common]])
+    return t[: len(t) - needed(len(t)) + 1], share
+
+
+def _among(t: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(t), bool)
+    return table[np.minimum(np.searchsorted(table, t), len(table) - 1)] == t
+
+
+PREFIX = "doc_id long, n long, share double, set_key binary, prefix array<long>"
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), pa.int64()))
+
+
+def _prefixes(docs: DataFrame, common) -> DataFrame:
+    """doc_id, n, share of common tokens, set_key and the prefix of each row (doc_id, text).
+
+    ``common``: sorted common tokens, or None while they are not yet known.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = common.value if common is not None else None
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, shares, parts = [], [], [], []
             for text in batch.column(1):
                 t = tokens_of(text.as_py())
                 sizes.append(len(t))
                 keys.append(set_key(t))
+                part, share = _prefix(t, last)
+                parts.append(part if len(t) else t)
+                shares.append(share)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "set_key"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(shares, pa.float64()), pa.array(keys, pa.binary()), _lists(parts)],
+                ["doc_id", "n", "share", "set_key", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
+    return docs.mapInArrow(run, PREFIX)
 
 
-def _prefixes(docs: DataFrame, copies, common) -> DataFrame:
-    """doc_id, n, share and the first tokens in the order, without known copies.
+def _with_common(prefixes: DataFrame, common) -> DataFrame:
+    """doc_id of the prefixes that hold a common token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            hit = _among(lists.flatten().to_numpy(zero_copy_only=False), common.value)
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            yield batch.select(["doc_id"]).filter(pa.array(sums[ends[1:]] > sums[ends[:-1]]))
+
+    return prefixes.select("doc_id", "prefix").mapInArrow(run, "doc_id long")
 
-    ``copies``: set key to the doc_id that stands for it; ``common``: sorted
-    common tokens, or None while they are not yet known.
-    """
+
+def _filter_of(tokens: DataFrame):
+    """A broadcast bit for the low bits of each token; a chunk of bits is set in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = copies.value, common.value if common is not None else None
+        chunks: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, sizes, shares, lengths, parts = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = tokens_of(text.as_py())
-                if not len(t) or doc_id is None or known.get(set_key(t), doc_id) != doc_id:
-                    continue
-                share = 0.0
-                if last is not None and len(last):
-                    at = np.minimum(np.searchsorted(last, t), len(last) - 1)
-                    is_common = last[at] == t
-                    share = float(is_common.mean())
-                    if share:
-                        t = np.concatenate([t[~is_common], t[is_common]])
-                part = t[: len(t) - needed(len(t)) + 1]
-                ids.append(doc_id)
-                sizes.append(len(t))
-                shares.append(share)
-                lengths.append(len(part))
-                parts.append(part)
-            flat = np.concatenate([*parts, np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(flat, pa.int64()),
-                    pa.array(np.repeat(np.array(ids, np.int64), lengths), pa.int64()),
-                    pa.array(np.repeat(np.array(sizes, np.int64), lengths), pa.int64()),
-                    pa.array(np.repeat(np.array(shares, np.float64), lengths), pa.float64()),
-                ],
-                ["token", "doc_id", "n", "share"],
-            )
+            t = batch.column(0).to_numpy(zero_copy_only=False)
+            for c in np.unique(t % FILTER_CHUNKS):
+                bits = chunks.setdefault(int(c), np.zeros(CHUNK_BITS, bool))
+                bits[(t[t % FILTER_CHUNKS == c] // FILTER_CHUNKS) % CHUNK_BITS] = True
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(chunks), pa.int64()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in chunks.values()], pa.binary())], ["chunk", "bits"]
+        )
 
-    return docs.mapInArrow(run, "token long, doc_id long, n long, share double")
+    dealt = tokens.repartition(FILTER_CHUNKS, F.pmod("token", F.lit(FILTER_CHUNKS)))
+    found = dealt.mapInArrow(run, "chunk long, bits binary").collect()
+    bits = np.zeros((FILTER_CHUNKS, CHUNK_BITS // 8), np.uint8)
+    for r in found:
+        bits[r.chunk] |= np.frombuffer(r.bits, np.uint8)
+    return tokens.sparkSession.sparkContext.broadcast(bits)
 
 
-def _token_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and its tokens (bytes) for the given ids; repeated ids have one row for each text."""
+def _rows(prefixes: DataFrame, bits) -> DataFrame:
+    """token, doc_id, n, share for the tokens of prefixes that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([tokens_of(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "tokens"]
-            )
+            lists = batch.column(3)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at = (tokens // FILTER_CHUNKS) % CHUNK_BITS
+            keep = (bits.value[tokens % FILTER_CHUNKS, at >> 3] >> (at & 7)) & 1 == 1
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep], pa.int64()), *(batch.column(k).take(at) for k in range(3))], ["token", "doc_id", "n", "share"])
+
+    return prefixes.select("doc_id", "n", "share", "prefix").mapInArrow(run, "token long, doc_id long, n long, share double")
+
+
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the given ids (doc_id, distinct), which are broadcast only if they are few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_PICKED else ids, "doc_id", "left_semi")
+
+
+def _counts(t: np.ndarray) -> bytes:
+    """The set's size, then how many of its tokens are in each bucket."""
+    counts = np.bincount(t & (BUCKETS - 1), minlength=BUCKETS)
+    return np.concatenate([[len(t)], counts]).astype("<u2" if len(t) < 1 << 16 else "<u4").tobytes()
+
+
+def _read_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * (BUCKETS + 1) else "<u4").astype(np.int64)
+
 
-    if ids.count() <= MOST_PICKED:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary")
+def _count_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and its bucket counts for the given ids; repeated ids have one row for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [_counts(tokens_of(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "data"])
+
+    return _picked(docs, ids).mapInArrow(run, "doc_id long, data binary")
 
 
-def _blocks(rows: DataFrame, group: str, sets: DataFrame) -> DataFrame:
-    """``group``, block and the block's documents with their tokens.
+def _blocks(rows: DataFrame, data: DataFrame) -> DataFrame:
+    """grp, block and the block's documents with their data, from rows (doc_id, grp, n).
 
     A group is dealt by hash to as many blocks as its tokens need, so a list is
     bounded whatever the group's size (but for one document larger than that).
+    The blocks are dealt on the small rows; the data are moved twice.
     """
-    sized = rows.join(sets, "doc_id")
-    total = sized.groupBy(group).agg(F.ceil(F.sum(F.octet_length("tokens")) / (8 * BLOCK_TOKENS)).alias("n_blocks"))
-    return (
-        sized.join(total, group)
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")))
-        .groupBy(group, "block")
-        .agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"))
-    )
+    total = rows.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("n_blocks"))
+    dealt = rows.join(total, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), F.greatest("n_blocks", F.lit(1))).alias("block"))
+    return dealt.join(data, "doc_id").groupBy("grp", "block").agg(F.collect_list(F.struct("doc_id", "data")).alias("docs"))
+
+
+def _near(asking: list[dict], inside: list[dict]) -> Iterator[tuple[int, int]]:
+    """Pairs whose bucket counts allow a link; a block stays closed where its union does not."""
+    group = np.stack([_read_counts(m["data"]) for m in inside])
+    union = group[:, 1:].max(0)
+    for q in asking:
+        own = _read_counts(q["data"])
+        least = needed(int(own[0]))
+        if np.minimum(own[1:], union).sum() < least:
+            continue
+        both = np.minimum(own[1:], group[:, 1:]).sum(1)
+        for k in np.flatnonzero(both >= np.maximum(least, (4 * group[:, 0] + 4) // 5)):
+            if inside[k]["doc_id"] != q["doc_id"]:
+                yield q["doc_id"], inside[k]["doc_id"]
+
+
+def open_groups(queries: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of queries and members (both doc_id, grp, n) of the same group whose counts allow a link.
+
+    Each block of a group meets each block of its queries once.
+    """
+    index = _blocks(members, counts).select("grp", F.col("docs").alias("inside"))
+    asked = _blocks(queries, counts).select("grp", F.col("docs").alias("asking"))
+    met = asked.join(index, "grp").select("asking", "inside")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [p for k in range(len(batch)) for p in _near(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
 
 
-def open_groups(queries: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between queries (doc_id, grp) and members (doc_id, grp) of their groups.
+def _pair_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, smaller id first.
 
-    Each block of a group meets each block of its queries once.  The union of
-    the block's tokens bounds what a query can share with any member.
+    The texts travel, not the sets: they are smaller once compressed.  A document
+    in many pairs is on the side of the join that is not split.
     """
-    index = _blocks(members.distinct(), "grp", sets).withColumnsRenamed({"block": "grp_block"})
-    asked = _blocks(queries.distinct(), "grp", sets).withColumnsRenamed({"members": "asking", "block": "query_block"})
-    met = asked.join(index, "grp").select("asking", "members")
+    pairs = cut(pairs.distinct(), "pairs")
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    texts = _picked(docs, ids)
+    of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_set = None, None
         for batch in batches:
             a, b = [], []
-            for asking, inside in zip(batch.column(0), batch.column(1), strict=True):
-                group = [(m["doc_id"], np.frombuffer(m["tokens"], np.int64)) for m in inside.as_py()]
-                union = np.unique(np.concatenate([t for _, t in group]))
-                for q in asking.as_py():
-                    t = np.frombuffer(q["tokens"], np.int64)
-                    if len(union) < needed(len(t)) or len(np.intersect1d(t, union, assume_unique=True)) < needed(len(t)):
-                        continue  # no member can link: the group stays closed
-                    for doc_id, other in group:
-                        if doc_id != q["doc_id"] and links(t, other):
-                            a.append(min(doc_id, q["doc_id"]))
-                            b.append(max(doc_id, q["doc_id"]))
+            for i, j, x, y in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), batch.column(3), strict=True):
+                y = y.as_py()
+                if y != last:
+                    last, last_set = y, tokens_of(y)
+                if links(tokens_of(x.as_py()), last_set):
+                    a.append(min(i, j))
+                    b.append(max(i, j))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return cut(joined.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -232,39 +351,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    # 1. Classes of equal sets.
-    sets = cut(_sets(docs), "sets")
-    classes = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    classes = cut(classes, "classes")
-    largest = classes.where("n > 1 and rep is not null").orderBy(F.desc("n"), "set_key").limit(MOST_CLASSES).select("set_key", "rep").toPandas()
-    copies = spark.sparkContext.broadcast({bytes(k): int(v) for k, v in zip(largest["set_key"], largest["rep"], strict=True)})
-
-    # 2. Common tokens, then prefixes in the order that has them last.
-    counted = _prefixes(docs, copies, None).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
-    common = counted.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toPandas()["token"].to_numpy(np.int64)
+    # 1. Classes of equal sets.  The texts are read once for this and for the prefixes.
+    sets = cut(_prefixes(docs, None), "prefixes")
+    classes = cut(
+        sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
+    )
+    extra = sets.join(classes.where("copies > 1"), "set_key").where("doc_id <> rep").select("doc_id")
+    # A doc_id in several rows may stand for one class and be a copy in another: it stays.
+    extra = extra.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+    plain = without(sets.where("doc_id is not null and n > 0"), extra)
+
+    # 2. Common tokens; documents that have them among their first get a prefix in the order that has them last.
+    counted = plain.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
+    counted = cut(counted.withColumn("size", F.floor(F.log2("n") * 4).cast("int")), "counted")
+    largest, n_common = 1 << 30, 0
+    for r in sorted(counted.groupBy("size").agg(F.count("*").alias("n")).collect(), reverse=True):  # a row for each quarter of a doubling
+        if n_common + r.n > MOST_COMMON:
+            break
+        largest, n_common = r["size"], n_common + r.n
+    common = counted.where(F.col("size") >= largest).select("token").toPandas()["token"].to_numpy(np.int64)
     common = spark.sparkContext.broadcast(np.sort(common))
-    prefixes = _prefixes(docs, copies, common)
-
-    # Tokens of two documents at least, each with its leader.
+    changed = cut(_with_common(plain, common).distinct(), "changed")
+    anew = cut(_prefixes(_picked(docs, changed), common), "anew")
+    prefixes = without(plain, changed).unionByName(anew)
+
+    # Tokens of two documents at least, and their documents.
+    several = cut(prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
+    rows = cut(_rows(prefixes, _filter_of(several)).join(several, "token"), "rows")
+    lead = F.max(F.struct("share", (-F.col("doc_id")).alias("minus"), "n")).alias("lead")
     shared = (
-        prefixes.groupBy("token")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.struct("share", (-F.col("doc_id")).alias("minus"), "n")).alias("lead"))
+        rows.groupBy("token")
+        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), lead)
         .where("least <> most")
         .select("token", (-F.col("lead.minus")).alias("leader"), F.col("lead.n").alias("leader_n"))
     )
-    met = cut(prefixes.join(shared, "token").select("token", "doc_id", "n", "leader", "leader_n"), "met")
+    met = cut(rows.join(shared, "token").select("token", "doc_id", "n", "leader", "leader_n"), "met")
 
     # 3. Every document behind a token against the token's leader.
-    stars = met.where("doc_id <> leader and 5 * least(n, leader_n) >= 4 * greatest(n, leader_n)").select("doc_id", "leader").distinct()
-    stars = cut(stars, "stars")
-    touched = met.select("doc_id").distinct()
-    token_sets = cut(_token_sets(docs, touched), "tokens")
-    first = cut(
-        open_groups(
-            stars.select("doc_id", F.col("leader").alias("grp")), stars.select(F.col("leader").alias("doc_id"), F.col("leader").alias("grp")), token_sets
-        ).distinct(),
-        "links",
-    )
+    stars = met.where("doc_id <> leader and 5 * least(n, leader_n) >= 4 * greatest(n, leader_n)")
+    first = _pair_links(docs, stars.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
     labels = cut(jump(step(start(first), first)).select("node", "label"), "labels")
 
     # 4. The matrix of tokens and groups; documents that meet a group other than their own.
@@ -278,19 +403,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rest.withColumnRenamed("grp", "own")
         .join(matrix, "token")
         .where("grp < own and 5 * n >= 4 * n_least and 4 * n <= 5 * n_most")
-        .select("doc_id", "grp")
+        .select("doc_id", "grp", "n")
         .distinct()
     )
     asks = cut(asks, "asks")
-    asked = asks.select("grp").distinct()
-    members = rest.select("doc_id", "grp").distinct().join(asked, "grp", "left_semi")
-    second = open_groups(asks, members, token_sets)
+    members = cut(rest.select("doc_id", "grp", "n").distinct().join(asks.select("grp").distinct(), "grp", "left_semi"), "members")
+    ids = cut(asks.select("doc_id").unionByName(members.select("doc_id")).distinct(), "ids")
+    near = open_groups(asks, members, cut(_count_rows(docs, ids), "counts"))
+    second = _pair_links(docs, near)
 
     # Components, first of classes, then of documents.
     edges = cut(first.unionByName(second).distinct(), "edges")
     found = components(edges)
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
-    result = sets.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    result = sets.select("doc_id", "n", "set_key").join(of_class, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return result.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
