@@ -390,7 +390,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # 3. Every document behind a token against the token's leader.
     stars = met.where("doc_id <> leader and 5 * least(n, leader_n) >= 4 * greatest(n, leader_n)")
     first = _pair_links(docs, stars.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
-    labels = cut(jump(step(start(first), first)).select("node", "label"), "labels")
+    labels = start(first)
+    for _ in range(2):  # the leader takes the least id around it, then its documents take the leader's
+        labels = cut(jump(step(labels, first)).select("node", "label"), "labels")
 
     # 4. The matrix of tokens and groups; documents that meet a group other than their own.
     grouped = met.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
