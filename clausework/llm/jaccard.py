@@ -285,36 +285,67 @@ def _blocks(rows: DataFrame, data: DataFrame) -> DataFrame:
     return dealt.join(data, "doc_id").groupBy("grp", "block").agg(F.collect_list(F.struct("doc_id", "data")).alias("docs"))
 
 
-def _near(asking: list[dict], inside: list[dict]) -> Iterator[tuple[int, int]]:
-    """Pairs whose bucket counts allow a link; a block stays closed where its union does not."""
+def _near(asking: list[dict], inside: list[dict]) -> tuple[list, list]:
+    """Queries and members (id, size) whose bucket counts allow a link with any of the others; a block stays closed where its union does not."""
     group = np.stack([_read_counts(m["data"]) for m in inside])
     union = group[:, 1:].max(0)
+    needs = (4 * group[:, 0] + 4) // 5
+    open_ = np.zeros(len(inside), bool)
+    queries = []
     for q in asking:
         own = _read_counts(q["data"])
         least = needed(int(own[0]))
         if np.minimum(own[1:], union).sum() < least:
             continue
-        both = np.minimum(own[1:], group[:, 1:]).sum(1)
-        for k in np.flatnonzero(both >= np.maximum(least, (4 * group[:, 0] + 4) // 5)):
-            if inside[k]["doc_id"] != q["doc_id"]:
-                yield q["doc_id"], inside[k]["doc_id"]
+        hit = np.minimum(own[1:], group[:, 1:]).sum(1) >= np.maximum(least, needs)
+        if hit.any():
+            queries.append((q["doc_id"], int(own[0])))
+            open_ |= hit
+    return queries, [(inside[k]["doc_id"], int(group[k, 0])) for k in np.flatnonzero(open_)]
+
+
+def _met(queries: DataFrame, members: DataFrame, data: DataFrame) -> DataFrame:
+    """grp, asking, inside: each block of a group meets each block of its queries (both doc_id, grp, n) once."""
+    index = _blocks(members, data).select("grp", F.col("docs").alias("inside"))
+    asked = _blocks(queries, data).select("grp", F.col("docs").alias("asking"))
+    return asked.join(index, "grp").select("grp", "asking", "inside")
 
 
 def open_groups(queries: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of queries and members (both doc_id, grp, n) of the same group whose counts allow a link.
+    """grp, doc_id, n, asks: the queries and the members of groups that the counts leave open."""
 
-    Each block of a group meets each block of its queries once.
-    """
-    index = _blocks(members, counts).select("grp", F.col("docs").alias("inside"))
-    asked = _blocks(queries, counts).select("grp", F.col("docs").alias("asking"))
-    met = asked.join(index, "grp").select("asking", "inside")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in range(len(batch)):
+                grp, (asking, inside) = batch.column(0)[k].as_py(), _near(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+                rows += [(grp, *x, True) for x in asking] + [(grp, *x, False) for x in inside]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["grp", "doc_id", "n", "asks"])
+
+    return _met(queries, members, counts).mapInArrow(run, "grp long, doc_id long, n long, asks boolean").distinct()
+
+
+def group_links(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """Links (a, b) of queries with open groups, one for each query and block: a group's members are linked among themselves already."""
+    opened = cut(opened, "opened")
+    texts = _picked(docs, cut(opened.select("doc_id").distinct(), "ids")).select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [p for k in range(len(batch)) for p in _near(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            a, b = [], []
+            for asking, inside in zip(batch.column(1), batch.column(2), strict=True):
+                group = [(m["doc_id"], tokens_of(m["data"].decode())) for m in inside.as_py()]
+                for q in asking.as_py():
+                    t = tokens_of(q["data"].decode())
+                    other = next((i for i, x in group if i != q["doc_id"] and links(t, x)), None)
+                    if other is not None:
+                        a.append(min(other, q["doc_id"]))
+                        b.append(max(other, q["doc_id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    met = _met(opened.where("asks").select("doc_id", "grp", "n"), opened.where("not asks").select("doc_id", "grp", "n"), texts)
+    return cut(met.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def _pair_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -411,8 +442,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     asks = cut(asks, "asks")
     members = cut(rest.select("doc_id", "grp", "n").distinct().join(asks.select("grp").distinct(), "grp", "left_semi"), "members")
     ids = cut(asks.select("doc_id").unionByName(members.select("doc_id")).distinct(), "ids")
-    near = open_groups(asks, members, cut(_count_rows(docs, ids), "counts"))
-    second = _pair_links(docs, near)
+    second = group_links(docs, open_groups(asks, members, cut(_count_rows(docs, ids), "counts")))
 
     # Components, first of classes, then of documents.
     edges = cut(first.unionByName(second).distinct(), "edges")
