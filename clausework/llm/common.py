@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python: texts are long, so few of them.
@@ -62,3 +62,23 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     gone = cut(gone.select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
     return docs.join(side, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+
+
+#: As many keys that hold a digest are broadcast.
+MOST_KEYS = 1 << 18
+
+
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text's bytes; a null text is an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``key`` are not together in ``gone`` (doc_id, key).
+
+    A null doc_id is a value like any other, so every row goes or stays by its own
+    ``key``.  ``gone`` is counted first and broadcast only if it is small.
+    """
+    gone = cut(gone.select(F.col("doc_id").alias("__gone"), F.col("key").alias("__gone_key")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= MOST_KEYS else gone
+    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & (key == F.col("__gone_key")), "left_anti")

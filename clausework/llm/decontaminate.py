@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.common import cut, small_batches
+from clausework.llm.common import cut, small_batches, text_digest, without_rows
 
 WINDOW = 13
 #: Benchmark text that a worker holds at once.
@@ -160,6 +161,36 @@ def _hit_rows(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
     )
 
 
+def _all_blocks(docs: DataFrame, blocks: Iterable[list[tuple[str, str]]], window: int) -> DataFrame:
+    """doc_id, text_key, n_words, spans, items for each row of ``docs`` (doc_id, text), a pass for each block."""
+    hit_schema = "doc_id long, text_key binary, spans array<struct<a:long,b:long>>, items array<string>"
+    hits = None
+    for items in blocks:  # the generator collects a block at a time
+        part = cut(_one_block(docs, _windows(docs, items, window), hit_schema, _hit_rows), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+    merged = hits.groupBy("doc_id", "text_key").agg(
+        F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(words_of(t)) for t in texts], pa.int64())],
+                ["doc_id", "text_key", "n_words"],
+            )
+
+    counted = docs.mapInArrow(count, "doc_id long, text_key binary, n_words long").alias("d")
+    return counted.join(
+        merged.alias("m"), (F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("d.text_key") == F.col("m.text_key")), "left"
+    ).select("d.doc_id", "d.text_key", "d.n_words", "m.spans", "m.items")
+
+
+def _found(batch: pa.RecordBatch) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """What ``verdict`` takes, of each row of ``_all_blocks``."""
+    return [(r["n_words"], [(s["a"], s["b"]) for s in r["spans"] or []], set(r["items"] or [])) for r in batch.to_pylist()]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): words, hit words, items, verdict.
 
@@ -181,34 +212,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     if second is None:
         return _one_block(docs, _windows(docs, first, window), RESULT, finish)
 
-    hit_schema = "doc_id long, text_key binary, spans array<struct<a:long,b:long>>, items array<string>"
-    hits = None
-    for items in [first, second, *blocks]:  # the generator collects a block at a time
-        part = cut(_one_block(docs, _windows(docs, items, window), hit_schema, _hit_rows), "hits")
-        hits = part if hits is None else hits.unionByName(part)
-    merged = hits.groupBy("doc_id", "text_key").agg(
-        F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
-    )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(words_of(t)) for t in texts], pa.int64())],
-                ["doc_id", "text_key", "n_words"],
-            )
-
-    counted = docs.mapInArrow(count, "doc_id long, text_key binary, n_words long").alias("d")
-    joined = counted.join(
-        merged.alias("m"), (F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("d.text_key") == F.col("m.text_key")), "left"
-    ).select("d.doc_id", "d.n_words", "m.spans", "m.items")
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            yield finish(batch, [(r["n_words"], [(s["a"], s["b"]) for s in r["spans"] or []], set(r["items"] or [])) for r in rows])
+            yield finish(batch, _found(batch))
 
-    return joined.mapInArrow(judge, RESULT)
+    return _all_blocks(docs, chain([first, second], blocks), window).drop("text_key").mapInArrow(judge, RESULT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -222,8 +230,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             return batch.filter(pa.array([not verdict(*x)[4] for x in found], pa.bool_()))
 
         return _one_block(docs, _windows(docs, items, window), docs.schema, keep)
-    bad = contamination(docs, benchmark, window, block_bytes).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad_id"), "left_anti")
+
+    def bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = pa.array([verdict(*x)[4] for x in _found(batch)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "key"]).filter(gone)
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = _all_blocks(keyed, _blocks(benchmark, block_bytes), window).where("spans is not null").mapInArrow(bad, "doc_id long, key binary")
+    return without_rows(docs, gone, text_digest(docs["text"]))
 
 
 def _block_count(benchmark: DataFrame, block_bytes: int) -> range:

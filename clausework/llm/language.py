@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.common import cut, small_batches, without
+from clausework.llm.common import cut, small_batches, text_digest, without_rows
 
 #: Hashed trigrams of the model.
 BUCKETS = 1 << 14
@@ -138,11 +138,12 @@ def _packed(size: int) -> Column:
     return F.array(*[F.col(f"s{i}") for i in range(size)]) if size else F.array().cast("array<double>")
 
 
-def identify(rows: DataFrame, levels: list[str]) -> DataFrame:
+def identify(rows: DataFrame, levels: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
     """id, declared, language, posterior, accepted for rows (id, text, declared, suffix, and ``levels``).
 
     ``levels`` are the columns of the site's name, from the widest to the
-    narrowest; ``declared`` holds codes as ``code`` gives them.
+    narrowest; ``declared`` holds codes as ``code`` gives them; ``carried`` are
+    binary columns that come along.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -158,8 +159,8 @@ def identify(rows: DataFrame, levels: list[str]) -> DataFrame:
                 [*batch.schema.names[1:], "text_log", "letters"],
             )
 
-    kept = list(dict.fromkeys(["id", "declared", "suffix", *levels]))
-    kinds = ", ".join(f"{c} {'long' if c == 'id' else 'string'}" for c in kept)
+    kept = list(dict.fromkeys(["id", "declared", "suffix", *levels, *carried]))
+    kinds = ", ".join(f"{c} {'long' if c == 'id' else 'binary' if c in carried else 'string'}" for c in kept)
     scored = rows.select("text", *kept).mapInArrow(run, f"{kinds}, text_log array<double>, letters boolean")
     scored = cut(_with_softmax(scored, "text_log", "text_p"), "likelihoods")
 
@@ -198,7 +199,7 @@ def identify(rows: DataFrame, levels: list[str]) -> DataFrame:
             f"log_{evidence}", F.when(F.col("sums_").isNotNull(), share)
         ).drop("value_", "sums_")
         logs = _added(logs, f"log_{evidence}")
-    posterior = _with_softmax(fused.withColumn("logs", logs), "logs", "p").select("id", "declared", "letters", "p")
+    posterior = _with_softmax(fused.withColumn("logs", logs), "logs", "p").select("id", "declared", "letters", "p", *carried)
     top = F.array_max("p")
     named = F.array(*[F.lit(x) for x in model.languages]) if n else F.array().cast("array<string>")
     return posterior.select(
@@ -207,6 +208,7 @@ def identify(rows: DataFrame, levels: list[str]) -> DataFrame:
         F.get(named, (F.array_position("p", top) - 1).cast("int")).alias("language"),
         F.round(top, 6).alias("posterior"),
         F.coalesce(F.col("letters") & (top >= ACCEPT), F.lit(False)).alias("accepted"),
+        *carried,
     )
 
 
@@ -217,10 +219,10 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
+def document_rows(docs: DataFrame, *more: Column) -> DataFrame:
     """Documents as evidence: their language column is what they declare, their source is the site."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("id"), "text", code(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host")
+        F.col("doc_id").cast("long").alias("id"), "text", code(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), *more
     )
 
 
@@ -240,7 +242,14 @@ def page_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+def _evidence(docs: DataFrame) -> Column:
+    """A digest of all that a document's verdict hangs on: language column, source and text."""
+    said = [F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in (docs[x].cast("string") for x in ("lang", "source"))]
+    return text_digest(F.concat(*said, F.coalesce(F.concat(F.lit("+"), docs["text"]), F.lit("-"))))
+
+
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, source) whose language is accepted."""
-    found = identify(document_rows(docs), ["host"])
-    return without(docs, found.where("not accepted").select(F.col("id").alias("doc_id")))
+    """The rows of ``docs`` (doc_id, text, lang, source) whose language is accepted, each by its own evidence."""
+    rows = document_rows(docs, _evidence(docs).alias("evidence"))
+    found = identify(rows, ["host"], ("evidence",))
+    return without_rows(docs, found.where("not accepted").select(F.col("id").alias("doc_id"), F.col("evidence").alias("key")), _evidence(docs))

@@ -140,6 +140,15 @@ def test_language(spark, languages):
     assert kept.count() >= 0.98 * len(truth)
 
 
+def test_language_judges_each_row(spark, languages):
+    df, _ = languages
+    good = df.where("doc_id = 0").first()
+    odd = [(None, "42 !!", "en", "hot"), (None, good.text, good.lang, good.source), (2000, "42 !!", "en", "hot"), (2000, good.text, good.lang, good.source), (2001, None, None, None), (None, None, None, None)]
+    more = df.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(odd, DOCS))
+    kept = Counter((r.doc_id, r.text) for r in language.drop_unidentified(more).where("doc_id is null or doc_id >= 2000").collect())
+    assert kept == Counter({(None, good.text): 1, (2000, good.text): 1})
+
+
 def test_language_without_evidence(spark):
     empty = spark.createDataFrame([], DOCS)
     assert language.identify(language.document_rows(empty), ["host"]).count() == 0

@@ -87,6 +87,15 @@ def test_decontamination(spark, block_bytes):
     assert not any(r.contaminated for r in decontaminate.contamination(d, b.where("false")).collect())
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_decontamination_judges_each_row(spark, block_bytes):
+    leaked = [" ".join(f"leak{k}w{i}" for i in range(15)) for k in range(3)]
+    d = spark.createDataFrame([(None, leaked[0]), (None, "clean one"), (None, None), (7, leaked[1]), (7, "clean two"), (7, "clean two"), (8, None), (8, leaked[2])], "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(leaked)), "item_id long, text string")
+    kept = sorted(str(tuple(r)) for r in decontaminate.drop_contaminated(d, b, block_bytes=block_bytes).collect())
+    assert kept == sorted(map(str, [(None, "clean one"), (None, None), (7, "clean two"), (7, "clean two"), (8, None)]))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><nav><ul><li><a href=x>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies, really, we do.</div><div id=content><article class="post"><header>By me</header><h1>Big &amp; bold</h1>
 <p>One, two,\n three <b>bold</b> words&nbsp;here, and more of them.<p>Second paragraph, with a <a href=y>link</a>.<br>Line.
