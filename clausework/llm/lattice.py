@@ -54,10 +54,12 @@ HEAD = 1 << 19
 COUNTED = 400_000
 #: Words that go through the lattice at once.
 AT_ONCE = 20_000
-#: Up to this many bytes a word's products stay far above the smallest number (a
-#: piece's weight is over 1e-10), so they are summed as they are and the logarithm
-#: is taken once; longer words are summed in log space at every step.
+#: Words of up to so many bytes are summed as they are and the logarithm is taken
+#: once; longer ones, and those whose plain sum is under ``TINY`` (pieces unseen in
+#: a language lose their weight with every pass), in log space at every step.
 SHORT = 24
+#: What a plain sum of at least this has lost to underflow is below its own rounding.
+TINY = 1e-290
 END = b""  # no word is empty
 _BASE = np.uint64(0x100000001B3)
 
@@ -196,7 +198,12 @@ class Lattice:
         for at, block in self._by_length(words):
             edges = self._edges(block)
             if block.shape[1] <= SHORT:
-                out[at] = np.log(self._short_forward(block.shape[1], edges, w, len(block))[:, :, -1]).T
+                plain = self._short_forward(block.shape[1], edges, w, len(block))[:, :, -1]
+                out[at] = np.log(np.maximum(plain, TINY)).T
+                for k, log_w in enumerate(log_ws):
+                    low = plain[k] < TINY
+                    if low.any():
+                        out[at[low], k] = self._forward(block[low], self._edges(block[low]), log_w)[:, -1]
                 continue
             for k, log_w in enumerate(log_ws):
                 out[at, k] = self._forward(block, edges, log_w)[:, -1]
@@ -211,6 +218,10 @@ class Lattice:
             count, n = block.shape
             if n <= SHORT:
                 alpha = self._short_forward(n, edges, w[None], count)[0]
+                low = alpha[:, -1] < TINY
+                if low.any():
+                    total += self._log_expected(block[low], self._edges(block[low]), log_w)
+                    alpha, edges, count = alpha[~low], [(kind, size, piece[~low]) for kind, size, piece in edges], int((~low).sum())
                 beta = np.zeros((count, n + 1))
                 beta[:, n] = 1.0
                 for j in range(n - 1, -1, -1):
@@ -223,17 +234,24 @@ class Lattice:
                     total += np.bincount(piece.ravel() % len(total), (p / whole).ravel(), len(total))
                 total[self.first] += (w[self.first] * beta[:, 0] / whole[:, 0]).sum()
                 continue
-            alpha, beta = self._forward(block, edges, log_w), self._backward(block, edges, log_w)
-            whole = alpha[:, -1:]
-            for kind, size, piece in edges:
-                if kind == 0:
-                    p = log_w[piece] + beta[:, size : size + 1] - whole
-                else:
-                    p = alpha[:, : n - size + 1] + log_w[piece] + beta[:, size:] - whole
-                total += np.bincount(piece.ravel() % len(total), np.exp(p).ravel(), len(total))
-            total[self.first] += np.exp(log_w[self.first] + beta[:, 0] - whole[:, 0]).sum()
+            total += self._log_expected(block, edges, log_w)
         return total[:-1]
 
+    def _log_expected(self, block: np.ndarray, edges: list, log_w: np.ndarray) -> np.ndarray:
+        """Expected uses over words of one length, in log space."""
+        total = np.zeros(len(log_w))
+        n = block.shape[1]
+        alpha, beta = self._forward(block, edges, log_w), self._backward(block, edges, log_w)
+        whole = alpha[:, -1:]
+        for kind, size, piece in edges:
+            if kind == 0:
+                p = log_w[piece] + beta[:, size : size + 1] - whole
+            else:
+                p = alpha[:, : n - size + 1] + log_w[piece] + beta[:, size:] - whole
+            total += np.bincount(piece.ravel() % len(total), np.exp(p).ravel(), len(total))
+        total[self.first] += np.exp(log_w[self.first] + beta[:, 0] - whole[:, 0]).sum()
+        return total
+
 
 def _together(batches: Iterator[pa.RecordBatch], rows: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``rows``."""

@@ -229,6 +229,24 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(sum(len(t) * u for (_, t), u in zip(model.texts, uses, strict=True)), len(word), rel_tol=1e-9)
 
 
+def test_lattice_of_unseen_bytes():
+    """After training on 10**6 words no piece of these words was used, and each pass left it its old weight only."""
+    model = lattice.Lattice(PIECES)
+    weights = np.exp(model.log_w[:-1])
+    used = np.array([t in (b"the", b"in", b"g") for _, t in model.texts])
+    for _ in range(lattice.PASSES):
+        log_w = model.normal(weights + 1e6 * used)
+        weights = np.exp(log_w[:-1])
+    words = ["😀😁😂".encode(), "😀😁😂🤣😃😄".encode(), b"\x01" * 24, b"thing"]
+    edges = lambda w: model._edges(np.frombuffer(w, np.uint8)[None])
+    want = [model._forward(np.frombuffer(w, np.uint8)[None], edges(w), log_w)[0, -1] for w in words]
+    assert min(want) < -700 and np.isfinite(want).all()
+    assert np.allclose(model.log_p(words, [model.log_w, log_w])[:, 1], want, rtol=1e-9)
+    for at in (words[1:2], words):
+        uses = model.expected(at, log_w)
+        assert math.isclose(sum(len(t) * u for (_, t), u in zip(model.texts, uses, strict=True)), sum(map(len, at)), rel_tol=1e-9)
+
+
 def test_lattice_scores(spark):
     rng = random.Random(8)
     rows = [(i, words_of(rng, ["en", "de"][i % 2], rng.randrange(60)), ["en", "de"][i % 2], "s") for i in range(300)] + [(900, None, None, None), (901, "", "en", "s"), (3, "THE the\tOf", "en", "s"), (902, "x" * 70_00, None, None)]
