@@ -35,14 +35,14 @@ from clausework.llm.common import cut, small_batches, text_digest, without_rows
 
 #: Hashed trigrams of the model.
 BUCKETS = 1 << 14
-#: A declared code must be one of two or three letters; at most this many languages are told apart.
-MOST_LANGUAGES = 64
 #: Strength of the level above, in rows.
 SHRINK = 10.0
 #: A text counts as this many trigrams at most, in the likelihood as trigrams hang
 #: together, in the counts so that no long text speaks for its language.
 WEIGHT = 200
 UNIT = 4096
+#: Numbers that a worker adds up at once for one text.
+AT_ONCE = 4_000_000
 ACCEPT = 0.6
 
 
@@ -87,31 +87,37 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """log P(bucket | language), smoothed by one; bounded by languages times buckets."""
+    """log P(bucket | language), smoothed by one; bounded by codes of two or three letters times buckets."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], log_p: np.ndarray):
         self.languages = languages
-        self.log_p = np.log((counts + 1.0) / (counts.sum(1, keepdims=True) + BUCKETS)).T.astype(np.float32).copy() if languages else np.zeros((BUCKETS, 0), np.float32)
+        self.log_p = log_p
 
-    def likelihood(self, text: str | None) -> tuple[list[float], bool]:
+    def likelihood(self, text: str | None) -> tuple[np.ndarray, bool]:
         """Log likelihoods less the largest, and whether the text has letters."""
+        sums = np.zeros(len(self.languages))
         if not text:
-            return [0.0] * len(self.languages), False
+            return sums, False
         seen = _buckets(_letters(text))
-        sums = self.log_p[seen].sum(0, dtype=np.float64) * min(1.0, WEIGHT / max(1, len(seen)))
-        return (sums - sums.max()).tolist() if len(sums) else [], any(c.isalpha() for c in text)
+        step = max(1, AT_ONCE // max(1, len(sums)))
+        for i in range(0, len(seen), step):
+            sums += self.log_p[seen[i : i + step]].sum(0, dtype=np.float64)
+        sums *= min(1.0, WEIGHT / max(1, len(seen)))
+        return sums - sums.max(initial=-np.inf) if len(sums) else sums, any(c.isalpha() for c in text)
 
 
 def train(rows: DataFrame) -> Model:
     """From rows (text, declared); what comes to the driver is one count for each language and bucket."""
     found = cut(_counts(rows), "trigrams")
-    largest = found.groupBy("language").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES)
-    languages = sorted(r.language for r in largest.collect())
-    counts = np.zeros((len(languages), BUCKETS))
-    at = {x: i for i, x in enumerate(languages)}
-    table = found.where(F.col("language").isin(languages)).toPandas()
-    np.add.at(counts, (table["language"].map(at).to_numpy(int), table["bucket"].to_numpy(int)), table["n"].to_numpy(float))
-    return Model(languages, counts / UNIT)
+    table = found.toPandas()
+    languages = sorted(table["language"].unique())
+    at = table["language"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)
+    counts = table["n"].to_numpy(float) / UNIT
+    total = np.bincount(at, counts, len(languages)) + BUCKETS
+    log_p = np.empty((BUCKETS, len(languages)), np.float32)
+    log_p[:] = np.log(1.0 / total)
+    log_p[table["bucket"].to_numpy(int), at] = np.log((counts + 1.0) / total[at])
+    return Model(languages, log_p)
 
 
 def _with_softmax(df: DataFrame, logs: str, out: str) -> DataFrame:
@@ -129,13 +135,15 @@ def _added(logs: Column, more: str) -> Column:
     return F.transform(logs, lambda x, i: x + F.coalesce(F.get(F.col(more), i), F.lit(0.0)))
 
 
-def _sums(df: DataFrame, by: list[str], size: int) -> DataFrame:
-    """Sums of ``text_p`` by language, and the rows, for each value of ``by``."""
-    return df.groupBy(*by).agg(*[F.sum(F.col("text_p")[i]).alias(f"s{i}") for i in range(size)], F.count("*").alias("rows"))
+def _sums(df: DataFrame, by: list[str]) -> DataFrame:
+    """``sums`` of ``text_p`` by language, and the rows, for each value of ``by``: added up in rows of one language each."""
+    each = df.select(*by, F.posexplode("text_p").alias("at", "p")).groupBy(*by, "at").agg(F.sum("p").alias("s"), F.count("*").alias("rows"))
+    return each.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "s")))["s"].alias("sums"), F.max("rows").alias("rows"))
 
 
-def _packed(size: int) -> Column:
-    return F.array(*[F.col(f"s{i}") for i in range(size)]) if size else F.array().cast("array<double>")
+def _constant(values: list, kind: str) -> Column:
+    """An array of many values as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
 def identify(rows: DataFrame, levels: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
@@ -155,7 +163,7 @@ def identify(rows: DataFrame, levels: list[str], carried: tuple[str, ...] = ())
         for batch in batches:
             found = [sent.value.likelihood(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([f[0] for f in found], pa.list_(pa.float64())), pa.array([f[1] for f in found], pa.bool_())],
+                [*batch.columns[1:], pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * n, pa.int32()), pa.array(np.concatenate([f[0] for f in found] or [np.empty(0)]))), pa.array([f[1] for f in found], pa.bool_())],
                 [*batch.schema.names[1:], "text_log", "letters"],
             )
 
@@ -164,17 +172,15 @@ def identify(rows: DataFrame, levels: list[str], carried: tuple[str, ...] = ())
     scored = rows.select("text", *kept).mapInArrow(run, f"{kinds}, text_log array<double>, letters boolean")
     scored = cut(_with_softmax(scored, "text_log", "text_p"), "likelihoods")
 
-    whole = scored.where("letters").groupBy().agg(*[F.sum(F.col("text_p")[i]).alias(f"s{i}") for i in range(n)], F.count("*").alias("rows")).first()
-    sums = [float(whole[f"s{i}"] or 0) for i in range(n)]
-    prior = [(s + 1.0) / (sum(sums) + n) for s in sums]
     seen = scored.where("letters")
-    fused = scored.withColumn("site", F.array(*[F.lit(p) for p in prior]) if n else F.array().cast("array<double>"))
+    whole = {r["at"]: r.s for r in seen.select(F.posexplode("text_p").alias("at", "p")).groupBy("at").agg(F.sum("p").alias("s")).collect()}
+    sums = [float(whole.get(i, 0)) for i in range(n)]
+    prior = [(s + 1.0) / (sum(sums) + n) for s in sums]
+    fused = scored.withColumn("site", _constant(prior, "double"))
     for k, level in enumerate(levels):
         # A level's name is unique only below the names above it.
         by = levels[: k + 1]
-        table = _sums(seen.where(F.col(level).isNotNull()), by, n).select(
-            *[F.col(c).alias(f"{c}_") for c in by], _packed(n).alias("sums"), F.col("rows")
-        )
+        table = _sums(seen.where(F.col(level).isNotNull()), by).select(*[F.col(c).alias(f"{c}_") for c in by], "sums", "rows")
         on = [F.col(c).eqNullSafe(F.col(f"{c}_")) if c != level else F.col(c) == F.col(f"{c}_") for c in by]
         # A row's own text is left out of its site's sums: it speaks for itself already.
         own = F.when(F.col("letters"), 1.0).otherwise(0.0)
@@ -190,9 +196,9 @@ def identify(rows: DataFrame, levels: list[str], carried: tuple[str, ...] = ())
     logs = F.transform("text_log", lambda x, i: x + F.log(F.get(F.col("site"), i)))
     for evidence in ("declared", "suffix"):
         # P(value | language) from the texts' posteriors, one row of doubt for each language.
-        table = _sums(seen.where(F.col(evidence).isNotNull()), [evidence], n).select(F.col(evidence).alias("value_"), _packed(n).alias("sums_"))
+        table = _sums(seen.where(F.col(evidence).isNotNull()), [evidence]).select(F.col(evidence).alias("value_"), F.col("sums").alias("sums_"))
         share = F.transform(
-            F.array(*[F.lit(s) for s in sums]) if n else F.array().cast("array<double>"),
+            _constant(sums, "double"),
             lambda s, i: F.log((F.coalesce(F.get(F.col("sums_"), i), F.lit(0.0)) + 0.5) / (s + 1.0)),
         )
         fused = fused.join(table, F.col(evidence) == F.col("value_"), "left").withColumn(
@@ -201,7 +207,7 @@ def identify(rows: DataFrame, levels: list[str], carried: tuple[str, ...] = ())
         logs = _added(logs, f"log_{evidence}")
     posterior = _with_softmax(fused.withColumn("logs", logs), "logs", "p").select("id", "declared", "letters", "p", *carried)
     top = F.array_max("p")
-    named = F.array(*[F.lit(x) for x in model.languages]) if n else F.array().cast("array<string>")
+    named = _constant(model.languages, "string")
     return posterior.select(
         "id",
         "declared",

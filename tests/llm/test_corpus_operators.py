@@ -149,6 +149,18 @@ def test_language_judges_each_row(spark, languages):
     assert kept == Counter({(None, good.text): 1, (2000, good.text): 1})
 
 
+def test_language_of_many(spark):
+    """Seventy languages with words of their own: none is left out of the model."""
+    rng = random.Random(3)
+    codes = [f"{a}{b}" for a in "abcdefg" for b in "klmnopqrst"]
+    rows = []
+    for k, lang in enumerate(codes):
+        parts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)]
+        rows += [(8 * k + i, " ".join(rng.choice(parts) for _ in range(40)), lang if i else None, f"s{k}") for i in range(8)]
+    got = {r.id: r for r in language.identify(language.document_rows(spark.createDataFrame(rows, DOCS)), ["host"]).collect()}
+    assert all(got[8 * k + i].language == lang and got[8 * k + i].accepted for k, lang in enumerate(codes) for i in range(8))
+
+
 def test_language_without_evidence(spark):
     empty = spark.createDataFrame([], DOCS)
     assert language.identify(language.document_rows(empty), ["host"]).count() == 0
