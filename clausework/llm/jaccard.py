@@ -5,35 +5,41 @@ when 100 * |intersection| >= 80 * |union|.  The result is each document's
 component under those links.
 
 1.  Documents with equal sets are one class; its smallest doc_id stands for it.
-2.  Tokens (shingles as 64-bit hashes) have one order for all documents: by
-    hash, but those that many documents have (``COMMON``) last.  Two sets that
-    link share one of the first n - ceil(0.8 n) + 1 tokens of each in this order,
-    so only those are shuffled.
-3.  The documents behind a token first meet the token's leader, the one with the
-    largest share of common tokens: a large family of near copies links to its
-    original in as many comparisons as it has members.  Linked documents are a
-    group of similar documents.
-4.  The token-group matrix has a row for each token and group.  A document that
-    shares a token with another group is a query to it.  Groups are stored in
-    blocks of bounded size, first with the union of their members' token counts
-    in ``BUCKETS`` buckets: what a query can share with any member is at most the
-    sum of the smaller counts, so only groups and members where this bound
-    reaches ceil(0.8 n) are opened.  What is left is compared token by token.
-
-No step makes all pairs of a group, and nothing is capped: tokens that are
-common to more documents than the broadcast order holds are ordered by hash like
-the rest, which is still exact.
+2.  Tokens (shingles as 64-bit hashes) have one order for all documents: rare ones
+    first, by a count sketch of fixed size over all tokens of all documents, then
+    by hash.  Any order is exact; this one keeps passages that many documents
+    share out of most prefixes.
+3.  All tokens that two sets share stand at or after the first one they share, so
+    a token at place p of a set of n allows partners of up to (5 n - 9 p) / 4
+    tokens only.  Tokens that allow none are not shuffled (prefix), and a pair
+    meets at a token only if either size is within what the other allows.
+4.  The documents behind a token first meet the token's leader, the one that
+    shares most of its tokens with others: a large family of near copies links to
+    its original in as many comparisons as it has members.  Linked documents are
+    a group of similar documents.
+5.  The token-group matrix has a row for each token and group, with the sizes its
+    members have and allow.  A document that shares a token with another group
+    within those sizes is a query to it.  Groups are stored in blocks of bounded
+    size, first with the union of their members' token counts in ``BUCKETS``
+    buckets: what a query can share with any member is at most the sum of the
+    smaller counts, so only groups and members where this bound reaches
+    ceil(0.8 n) are opened.  What is left is compared token by token.
+
+No step makes all pairs of a group, and nothing is capped.
 
 Cases: a null or empty text, or one without words, has the empty set and is its
-own component; a text of one to four words is one shingle; rows that share a
-doc_id are one document (each row is returned, links of either count for both);
-a row without doc_id links to nothing and has no component; extra columns are
-ignored.
+own component; a text of one to four words is one shingle; a very long text is
+one set like any other; rows that share a doc_id are one document (each row is
+returned, links of either count for both); repeated rows each get the same
+result; ties (equal sets, equal shares) go to the smallest doc_id; a row without
+doc_id links to nothing and has no component; an empty table gives no rows;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +47,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.common import cut, small_batches, without
+from clausework.llm.common import cut, small_batches, spent, without
 from clausework.llm.components import components, jump, start, step
 
 WORDS = 5
-#: A token of more prefixes than this goes last in the order.
-COMMON = 8
-#: Most entries of the broadcast table of common tokens.
-MOST_COMMON = 1 << 18
+#: Counters of the sketch that orders tokens, and how many of them travel in a row.
+COUNTERS, CHUNK_COUNTERS = 1 << 22, 1 << 14
 #: Bits of the filter that tells tokens of several documents from most others; its
 #: size is fixed, and what it lets through is joined exactly.
 FILTER_CHUNKS, CHUNK_BITS = 64, 1 << 20
@@ -145,68 +149,88 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def _prefix(t: np.ndarray, last: np.ndarray | None) -> tuple[np.ndarray, float]:
-    """The first tokens of a set in the order, and its share of common tokens."""
-    share = 0.0
-    if last is not None and len(last):
-        is_common = _among(t, last)
-        share = float(is_common.mean())
-        if share:
-            t = np.concatenate([t[~is_common], t[is_common]])
-    return t[: len(t) - needed(len(t)) + 1], share
-
-
-def _among(t: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(t), bool)
-    return table[np.minimum(np.searchsorted(table, t), len(table) - 1)] == t
+def allowed(n, place):
+    """The largest partner that a set of n can link to when the first shared token stands at ``place`` (from 0).
 
+    What they share is at most n - place, and 9 |intersection| >= 4 (n + m).
+    """
+    return (5 * n - 9 * place) // 4
 
-PREFIX = "doc_id long, n long, share double, set_key binary, prefix array<long>"
 
+def _prefix(t: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The first tokens of a set in the order: those that allow any partner."""
+    order = np.argsort(classes[t & (COUNTERS - 1)], kind="stable")  # t is sorted by hash
+    return t[order[: len(t) - needed(len(t)) + 1]] if len(t) else t
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), pa.int64()))
 
+SETS = "doc_id long, n long, set_key binary, chunk int, counts binary"
 
-def _prefixes(docs: DataFrame, common) -> DataFrame:
-    """doc_id, n, share of common tokens, set_key and the prefix of each row (doc_id, text).
 
-    ``common``: sorted common tokens, or None while they are not yet known.
-    """
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n, set_key of each row (doc_id, text), and each task's token counts by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value if common is not None else None
+        seen = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            sizes, keys, shares, parts = [], [], [], []
+            sizes, keys = [], []
             for text in batch.column(1):
                 t = tokens_of(text.as_py())
                 sizes.append(len(t))
                 keys.append(set_key(t))
-                part, share = _prefix(t, last)
-                parts.append(part if len(t) else t)
-                shares.append(share)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(shares, pa.float64()), pa.array(keys, pa.binary()), _lists(parts)],
-                ["doc_id", "n", "share", "set_key", "prefix"],
-            )
+                np.add.at(seen, t & (COUNTERS - 1), 1)
+            yield rows(batch.column(0), sizes, keys, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary()))
+        parts = seen.reshape(-1, CHUNK_COUNTERS)
+        full = np.flatnonzero(parts.any(1))
+        packed = [zlib.compress(parts[k].astype("<u4").tobytes(), 1) for k in full]
+        yield rows(pa.nulls(len(full), pa.int64()), [None] * len(full), [None] * len(full), pa.array(full, pa.int32()), pa.array(packed, pa.binary()))
 
-    return docs.mapInArrow(run, PREFIX)
+    def rows(ids, sizes, keys, chunks, counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), chunks, counts], ["doc_id", "n", "set_key", "chunk", "counts"])
 
+    return docs.mapInArrow(run, SETS)
 
-def _with_common(prefixes: DataFrame, common) -> DataFrame:
-    """doc_id of the prefixes that hold a common token."""
+
+def _classes(counted: DataFrame):
+    """A broadcast byte for each counter: four times the logarithm of its sum over all tasks, from rows (chunk, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            lists = batch.column(1)
-            hit = _among(lists.flatten().to_numpy(zero_copy_only=False), common.value)
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            yield batch.select(["doc_id"]).filter(pa.array(sums[ends[1:]] > sums[ends[:-1]]))
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(zlib.decompress(counts.as_py()), "<u4")
+                sums[chunk] = sums[chunk] + part if chunk in sums else part.astype(np.int64)
+        packed = [np.floor(4 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "classes"])
+
+    found = counted.repartition(COUNTERS // CHUNK_COUNTERS, "chunk").mapInArrow(run, "chunk int, classes binary").collect()
+    classes = np.zeros((COUNTERS // CHUNK_COUNTERS, CHUNK_COUNTERS), np.uint8)
+    for r in found:
+        classes[r.chunk] = np.frombuffer(r.classes, np.uint8)
+    return counted.sparkSession.sparkContext.broadcast(classes.reshape(-1))
 
-    return prefixes.select("doc_id", "prefix").mapInArrow(run, "doc_id long")
+
+PREFIX = "doc_id long, n long, prefix array<long>"
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), pa.int64()))
+
+
+def _prefixes(docs: DataFrame, classes) -> DataFrame:
+    """doc_id, n and the prefix, in order, of each row (doc_id, text) with tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, parts = [], []
+            for text in batch.column(1):
+                t = tokens_of(text.as_py())
+                sizes.append(len(t))
+                parts.append(_prefix(t, classes.value))
+            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _lists(parts)], ["doc_id", "n", "prefix"])
+            yield made.filter(pa.array(np.array(sizes) > 0))
+
+    return docs.mapInArrow(run, PREFIX)
 
 
 def _filter_of(tokens: DataFrame):
@@ -232,19 +256,27 @@ def _filter_of(tokens: DataFrame):
 
 
 def _rows(prefixes: DataFrame, bits) -> DataFrame:
-    """token, doc_id, n, share for the tokens of prefixes that the filter lets through."""
+    """token, doc_id, n, allowed, share for the tokens of prefixes that the filter lets through; share: how many of a document's they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(2)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(len(batch)), lengths)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            n = batch.column(1).to_numpy(zero_copy_only=False)[row]
+            most = allowed(n, place)
             at = (tokens // FILTER_CHUNKS) % CHUNK_BITS
-            keep = (bits.value[tokens % FILTER_CHUNKS, at >> 3] >> (at & 7)) & 1 == 1
-            at = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep], pa.int64()), *(batch.column(k).take(at) for k in range(3))], ["token", "doc_id", "n", "share"])
+            keep = ((bits.value[tokens % FILTER_CHUNKS, at >> 3] >> (at & 7)) & 1 == 1) & (5 * most >= 4 * n)
+            share = np.bincount(row[keep], minlength=len(batch))
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[keep], pa.int64()), batch.column(0).take(pa.array(row)), pa.array(n[keep], pa.int64()), pa.array(most[keep], pa.int64()), pa.array(share[row], pa.int64())],
+                ["token", "doc_id", "n", "allowed", "share"],
+            )
 
-    return prefixes.select("doc_id", "n", "share", "prefix").mapInArrow(run, "token long, doc_id long, n long, share double")
+    return prefixes.select("doc_id", "n", "prefix").mapInArrow(run, "token long, doc_id long, n long, allowed long, share long")
 
 
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -382,44 +414,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    # 1. Classes of equal sets.  The texts are read once for this and for the prefixes.
-    sets = cut(_prefixes(docs, None), "prefixes")
+    # 1. Classes of equal sets, and the order of tokens.
+    read = cut(_sets(docs), "sets")
+    sets = read.where("chunk is null").select("doc_id", "n", "set_key")
     classes = cut(
         sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
     extra = sets.join(classes.where("copies > 1"), "set_key").where("doc_id <> rep").select("doc_id")
     # A doc_id in several rows may stand for one class and be a copy in another: it stays.
     extra = extra.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
-    plain = without(sets.where("doc_id is not null and n > 0"), extra)
-
-    # 2. Common tokens; documents that have them among their first get a prefix in the order that has them last.
-    counted = plain.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
-    counted = cut(counted.withColumn("size", F.floor(F.log2("n") * 4).cast("int")), "counted")
-    largest, n_common = 1 << 30, 0
-    for r in sorted(counted.groupBy("size").agg(F.count("*").alias("n")).collect(), reverse=True):  # a row for each quarter of a doubling
-        if n_common + r.n > MOST_COMMON:
-            break
-        largest, n_common = r["size"], n_common + r.n
-    common = counted.where(F.col("size") >= largest).select("token").toPandas()["token"].to_numpy(np.int64)
-    common = spark.sparkContext.broadcast(np.sort(common))
-    changed = cut(_with_common(plain, common).distinct(), "changed")
-    anew = cut(_prefixes(_picked(docs, changed), common), "anew")
-    prefixes = without(plain, changed).unionByName(anew)
-
-    # Tokens of two documents at least, and their documents.
+    order = _classes(read.where("chunk is not null").select("chunk", "counts"))
+
+    # 2. Prefixes; tokens of two documents at least, and their documents.
+    prefixes = cut(without(_prefixes(docs.where("doc_id is not null"), order), extra), "prefixes")
     several = cut(prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
     rows = cut(_rows(prefixes, _filter_of(several)).join(several, "token"), "rows")
-    lead = F.max(F.struct("share", (-F.col("doc_id")).alias("minus"), "n")).alias("lead")
+    spent(prefixes, several)
+    lead = F.max(F.struct("share", (-F.col("doc_id")).alias("minus"), "n", "allowed")).alias("lead")
     shared = (
         rows.groupBy("token")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), lead)
         .where("least <> most")
-        .select("token", (-F.col("lead.minus")).alias("leader"), F.col("lead.n").alias("leader_n"))
+        .select("token", (-F.col("lead.minus")).alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.allowed").alias("leader_allowed"))
     )
-    met = cut(rows.join(shared, "token").select("token", "doc_id", "n", "leader", "leader_n"), "met")
+    met = cut(rows.join(shared, "token").select("token", "doc_id", "n", "allowed", "leader", "leader_n", "leader_allowed"), "met")
+    spent(rows)
 
     # 3. Every document behind a token against the token's leader.
-    stars = met.where("doc_id <> leader and 5 * least(n, leader_n) >= 4 * greatest(n, leader_n)")
+    fits = "5 * least(n, leader_n) >= 4 * greatest(n, leader_n) and n <= leader_allowed and leader_n <= allowed"
+    stars = met.where(f"doc_id <> leader and {fits}")
     first = _pair_links(docs, stars.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
     labels = start(first)
     for _ in range(2):  # the leader takes the least id around it, then its documents take the leader's
@@ -427,22 +450,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # 4. The matrix of tokens and groups; documents that meet a group other than their own.
     grouped = met.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "token", "doc_id", "n", F.coalesce("label", "doc_id").alias("grp")
+        "token", "doc_id", "n", "allowed", F.coalesce("label", "doc_id").alias("grp")
     )
     mixed = grouped.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("token")
     rest = cut(grouped.join(mixed, "token"), "rest")
-    matrix = rest.groupBy("token", "grp").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
+    spent(met)
+    matrix = rest.groupBy("token", "grp").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.max("allowed").alias("most_allowed"))
     asks = (
         rest.withColumnRenamed("grp", "own")
         .join(matrix, "token")
-        .where("grp < own and 5 * n >= 4 * n_least and 4 * n <= 5 * n_most")
+        .where("grp < own and 5 * n_most >= 4 * n and n_least <= allowed and n <= most_allowed")
         .select("doc_id", "grp", "n")
         .distinct()
     )
     asks = cut(asks, "asks")
     members = cut(rest.select("doc_id", "grp", "n").distinct().join(asks.select("grp").distinct(), "grp", "left_semi"), "members")
+    spent(rest)
     ids = cut(asks.select("doc_id").unionByName(members.select("doc_id")).distinct(), "ids")
-    second = group_links(docs, open_groups(asks, members, cut(_count_rows(docs, ids), "counts")))
+    counts = cut(_count_rows(docs, ids), "counts")
+    second = group_links(docs, open_groups(asks, members, counts))
+    spent(asks, members, ids, counts)
 
     # Components, first of classes, then of documents.
     edges = cut(first.unionByName(second).distinct(), "edges")
