@@ -12,18 +12,26 @@ American, or + and 8 to 15 digits), social security numbers (area, group and
 serial in range), IPv4 addresses, dates (ISO, day.month.year, month/day/year, of
 1900 to 2099, that exist), mail addresses, access keys, and what follows
 ``password=``, ``token =`` and the like.  A candidate that fails its validation
-stays as it is.
-
-Everything happens inside a row: no shuffle, no Python.
-
-Cases: a null text stays null and counts nothing; an empty text stays empty;
-repeated rows each get the same pseudonyms; columns other than the text pass
-through, whatever their names (inner columns live in one struct).
+stays as it is, so a pseudonym never meets an invalid original.  A North American
+number is its ten digits, however it is written; letters of an account become
+letters.
+
+Everything happens inside a row: no shuffle, no Python.  A text without a digit,
+``@``, ``=``, ``:`` or the beginning of an access key holds none of the shapes and
+is not searched.
+
+Cases: a null text stays null and counts nothing; an empty text stays empty; a
+very long text is searched whole; repeated rows each get the same pseudonyms; an
+empty table gives no rows; of shapes that begin at one place the first in
+``SHAPES`` counts; columns other than the text pass through, whatever their names
+(inner columns live in one struct).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -45,9 +53,18 @@ SHAPES = {
 }
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
 
-#: Key of the production query; a cluster sets its own.
+# What every shape has somewhere: a text without it is not searched.
+GATE = "[0-9@=:]|A[KS]IA"
+
+#: The setting that holds the key.
 KEY_CONF = "spark.clausework.pii.key"
-DEFAULT_KEY = "clausework"
+_RANDOM_KEY = secrets.token_hex(16)
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key of the session's setting.  Without one, a random key of this driver's run: pseudonyms still link
+    across all documents of the run, and nobody can turn them back."""
+    return spark.conf.get(KEY_CONF, _RANDOM_KEY)
 
 
 def _hash(key: str, tweak: str, *parts: Column) -> Column:
@@ -82,11 +99,28 @@ def permute_digits(digits: Column, key: str, tweak: str) -> Column:
     return F.concat(F.lpad(out["l"].cast("string"), h, "0"), F.lpad(out["r"].cast("string"), n - h, "0"))
 
 
-def _refill(shape: Column, digits: Column) -> Column:
-    """The digits of ``shape`` replaced, in order, by ``digits``; what stands between stays."""
-    at = lambda i: F.length(_digits(F.substring(shape, F.lit(1), i + 1)))
+def permute_letters(letters: Column, key: str, tweak: str) -> Column:
+    """A string of up to 36 letters A to Z becomes another of the same length, twelve at a time."""
+
+    def block(k: Column) -> Column:
+        part = F.substr(letters, k * 12 + 1, F.lit(12))
+        n = F.length(part)
+        h = F.floor(n / 2).cast("int")
+        size = lambda i: F.pow(F.lit(26.0), i).cast("long")
+        number = lambda x: F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda v, c: v * 26 + F.ascii(c) - 65)
+        written = lambda v, m: F.transform(F.sequence(m - 1, F.lit(0), F.lit(-1)), lambda i: F.char((F.floor(v / size(i)) % 26 + 65).cast("long")))
+        out = feistel(number(F.substring(part, F.lit(1), h)), number(F.substr(part, h + 1)), size(h), size(n - h), key, tweak)
+        right = F.array_join(written(out["r"], n - h), "")
+        return F.when(n == 0, "").when(h == 0, right).otherwise(F.concat(F.array_join(written(out["l"], h), ""), right))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), block), "")
+
+
+def _refill(shape: Column, new: Column, kind: str = "0-9") -> Column:
+    """The digits (or characters of another ``kind``) of ``shape`` replaced, in order, by ``new``; what stands between stays."""
+    at = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), f"[^{kind}]", ""))
     chars = F.filter(F.split(shape, ""), lambda c: c != "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, at(i), F.lit(1))).otherwise(c)), "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(f"[{kind}]"), F.substring(new, at(i), F.lit(1))).otherwise(c)), "")
 
 
 def _digit_array(digits: Column) -> Column:
@@ -121,29 +155,31 @@ def _mod97(country: Column, check: Column, bban: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    """Digits of the account part are permuted and the two check digits made anew."""
+    """Digits and letters of the account part are permuted, each among themselves, and the two check digits made anew."""
     flat = F.regexp_replace(m, " ", "")
     country, check, bban = F.substring(flat, 1, 2), F.substring(flat, 3, 2), F.substr(flat, F.lit(5))
-    new = _refill(bban, permute_digits(_digits(bban), key, "iban"))
+    digits_new = _refill(bban, permute_digits(_digits(bban), key, "iban"))
+    new = _refill(digits_new, permute_letters(F.regexp_replace(bban, "[^A-Z]", ""), key, "iban letters"), "A-Z")
     checked = F.lpad((98 - _mod97(country, F.lit("00"), new)).cast("string"), 2, "0")
     spaced = F.when(m.contains(" "), F.trim(F.regexp_replace(F.concat(country, checked, new), "(.{4})", "$1 "))).otherwise(F.concat(country, checked, new))
     return F.when((_mod97(country, check, bban) == 1) & (F.length(_digits(bban)) >= 2), spaced).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
-    """North American: area and exchange keep a first digit of 2 to 9.  Else all but the first three digits are permuted."""
+    """North American: ten digits whose area and exchange begin with 2 to 9, permuted among themselves.  Other countries':
+    all but the first three digits are permuted.  What is neither stays."""
     d = _digits(m)
     national = F.right(d, F.lit(10))
     area, exchange, line = F.substring(national, 1, 3).cast("long"), F.substring(national, 4, 3).cast("long"), F.substring(national, 7, 4).cast("long")
-    american = m.rlike(r"^(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}$")
-    valid = (area >= 200) & (exchange >= 200)
+    american = ((F.length(d) == 10) & ~m.startswith("+")) | ((F.length(d) == 11) & d.startswith("1"))
+    valid = american & (area >= 200) & (exchange >= 200)
     out = feistel((area - 200) * 100 + F.floor((exchange - 200) / 8), (exchange - 200) % 8 * 10000 + line, F.lit(80000), F.lit(80000), key, "nanp")
     new_exchange = out["l"] % 100 * 8 + F.floor(out["r"] / 10000) + 200
     new = F.concat((F.floor(out["l"] / 100) + 200).cast("string"), new_exchange.cast("string"), F.lpad((out["r"] % 10000).cast("string"), 4, "0"))
     head = F.substring(d, F.lit(1), F.length(d) - 10)
-    plain = permute_digits(national, key, "phone10")
     other = F.concat(F.substring(d, 1, 3), permute_digits(F.substr(d, F.lit(4)), key, "phone"))
-    return F.when(american & valid, _refill(m, F.concat(head, new))).when(american, _refill(m, F.concat(head, plain))).otherwise(_refill(m, other))
+    foreign = m.startswith("+") & ~F.substring(d, 1, 1).isin("0", "1")
+    return F.when(valid, _refill(m, F.concat(head, new))).when(foreign, _refill(m, other)).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -220,14 +256,14 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymise(df: DataFrame, key: str = DEFAULT_KEY, text: str = "text", counts: str | None = None) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text", counts: str | None = None) -> DataFrame:
     """``df`` with the personal data of ``text`` replaced, all other columns as they are.
 
     ``counts`` names a column to add: how many values of the text were replaced.
     """
     # Inner values stand beside the whole row in structs, so no name can clash.
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    found = inner.select("row", F.regexp_extract_all(F.col("row")[text], F.lit(ANY), F.lit(0)).alias("found"))
+    found = inner.select("row", F.when(F.col("row")[text].rlike(GATE), F.regexp_extract_all(F.col("row")[text], F.lit(ANY), F.lit(0))).alias("found"))
     made = found.select(
         "row", "found", F.transform("found", lambda m: pseudonym(m, kind_of(m), key)).alias("made")
     )

@@ -17,13 +17,9 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get(pii.KEY_CONF, pii.DEFAULT_KEY)
-
-
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return pii.pseudonymise(docs, pii_key(spark), counts="n_replaced")
+    return pii.pseudonymise(docs, pii.key_of(spark), counts="n_replaced")
 
 
 def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
