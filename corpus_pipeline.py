@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausework.llm import bpe, decontaminate, jaccard, language, pii
 from clausework.llm.common import cut, table
-from clausework.llm.queries import pii_key, word_bpe
+from clausework.llm.queries import word_bpe
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows the text."""
     columns = docs.columns
-    changed = pii.pseudonymise(docs, pii_key(spark))
+    changed = pii.pseudonymise(docs, pii.key_of(spark))
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return changed.select(*columns)
