@@ -10,12 +10,18 @@ bound drops starts that do not leave room for it, and what is left is verified
 word by word.
 
 The benchmark is held in the workers in blocks of at most ``BLOCK_BYTES`` of
-text, measured before anything is collected.  One block is one pass over the
-documents; more blocks are more passes whose hits are merged by document.
+text, measured before anything is collected: its words as numbers end to end, and
+for each window where it begins, whose it is and where its rarest word stands, in
+arrays sorted by that word.  A full block takes about ten times its text in a
+worker.  One block is one pass over the documents; more blocks are more passes
+whose hits are merged by document.
 
 Cases: a null or empty text has no words, no hits and is not contaminated; an
-item without words has no window; repeated rows each get their own result;
-items that repeat a text count each; extra columns are ignored.
+item without words has no window; a very long text is read whole; repeated rows
+each get their own result, also where they share a doc_id or have none; items
+that repeat a text count each; of words that are equally rare the first in byte
+order counts; an empty table of documents gives no rows, an empty benchmark no
+hits; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +40,7 @@ from clausework.llm.common import cut, small_batches, text_digest, without_rows
 
 WINDOW = 13
 #: Benchmark text that a worker holds at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 # Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lowered: 0-9, a-z and
 # whatever is not ASCII.  On UTF-8 bytes that is a table: other bytes become a
@@ -52,37 +59,57 @@ class Windows:
     """The windows of one block, by their rarest word."""
 
     def __init__(self, items: list[tuple[str, str]], frequency: dict[bytes, int], window: int = WINDOW):
-        owners: dict[bytes, set[str]] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(b" ".join(words[i : i + window]), set()).add(item_id)
-        #: rarest word -> (its place in the window, words of the window, window)
-        self.by_rarest: dict[bytes, list[tuple[int, int, bytes]]] = {}
-        self.owners: dict[bytes, tuple[str, ...]] = {}
-        for joined, ids in owners.items():
-            words = joined.split()
-            rarest = min(words, key=lambda w: (frequency.get(w, 0), w))
-            if frequency.get(rarest, 0) == 0:  # no document has this word
-                continue
-            self.owners[joined] = tuple(ids)
-            self.by_rarest.setdefault(rarest, []).append((words.index(rarest), len(words), joined))
+        # Words are numbered from the rarest on; a number is a rank.
+        texts = [(item_id, words) for item_id, text in items if (words := words_of(text))]
+        ordered = sorted({w for _, words in texts for w in words}, key=lambda w: (frequency.get(w, 0), w))
+        number = {w: i for i, w in enumerate(ordered)}
+        known = sum(frequency.get(w, 0) == 0 for w in ordered)  # numbers below are of words that no document has
+        self.number = {w: i for w, i in number.items() if i >= known}
+        self.items = [item_id for item_id, _ in texts]
+        parts = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for _, words in texts]
+        self.words = np.concatenate([*parts, np.empty(0, np.int32)])
+        begin, size, owner, place = [], [], [], []
+        at = 0
+        for k, part in enumerate(parts):
+            n = min(window, len(part))
+            spots = np.lib.stride_tricks.sliding_window_view(part, n).argmin(1)
+            begin.append(np.arange(at, at + len(spots), dtype=np.int64))
+            size.append(np.full(len(spots), n, np.int32))
+            owner.append(np.full(len(spots), k, np.int32))
+            place.append(spots.astype(np.int32))
+            at += len(part)
+        join = lambda xs, kind: np.concatenate([*xs, np.empty(0, kind)])
+        begin, size, owner, place = join(begin, np.int64), join(size, np.int32), join(owner, np.int32), join(place, np.int32)
+        rarest = self.words[begin + place] if len(begin) else np.empty(0, np.int32)
+        order = np.argsort(rarest, kind="stable")[int((rarest < known).sum()) :]  # a word that no document has: the window occurs nowhere
+        self.begin, self.size, self.owner, self.place = begin[order], size[order], owner[order], place[order]
+        #: Where the windows of each rarest word begin in these arrays.
+        self.first = np.searchsorted(rarest[order], np.arange(len(ordered) + 1))
+        self.keys = {ordered[i] for i in np.unique(rarest[order])}
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words that an occurrence covers, and the items that occur."""
-        spans, items = [], set()
-        for rarest in self.by_rarest.keys() & set(words):
-            at = -1
-            for _ in range(words.count(rarest)):
-                at = words.index(rarest, at + 1)
-                for place, n, joined in self.by_rarest[rarest]:
-                    start = at - place
-                    if start < 0 or start + n > len(words):
-                        continue
-                    if b" ".join(words[start : start + n]) == joined:
-                        spans.append((start, start + n))
-                        items.update(self.owners[joined])
-        return spans, items
+        spans, items = set(), set()
+        spots = [i for i, w in enumerate(words) if w in self.keys]
+        if not spots:
+            return [], items
+        get = self.number.get
+        text = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        # All windows of all rare words at once: where they would begin, then their ends, then word by word.
+        low = self.first[text[spots]]
+        many = self.first[text[spots] + 1] - low
+        window = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        start = np.repeat(spots, many) - self.place[window]
+        fits = (start >= 0) & (start + self.size[window] <= len(text))
+        start, window = start[fits], window[fits]
+        begin, n = self.begin[window], self.size[window]
+        same = (text[start] == self.words[begin]) & (text[start + n - 1] == self.words[begin + n - 1])
+        for k in np.flatnonzero(same).tolist():
+            a, b, m = int(start[k]), int(begin[k]), int(n[k])
+            if np.array_equal(text[a : a + m], self.words[b : b + m]):
+                spans.add((a, a + m))
+                items.add(self.items[self.owner[window[k]]])
+        return list(spans), items
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
