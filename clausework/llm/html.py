@@ -257,8 +257,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of ``pages`` (page_id, url, html).
 
     Cases: a null or empty page, or one without text, gives the empty text;
-    broken markup is read as far as it goes; repeated rows each get a result;
-    extra columns are ignored.
+    broken markup is read as far as it goes, and a very long or deep page whole,
+    in time that grows with its length; of containers with equal points the first
+    counts; repeated rows each get a result; an empty table gives no rows; extra
+    columns, whatever their names, are ignored.
     """
     small_batches(pages.sparkSession)
 
@@ -274,11 +276,15 @@ def extract(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
+MEDIA = ("img", "audio", "video", "source", "embed")
+
+
 def sequence(page: str | None) -> list[dict]:
     """Texts and media references of a page in order: kind, text, reference, caption.
 
     A text is a block; a reference is the src of img, audio, video, source or
-    embed, with the caption of the figure around it, else its alt text.
+    embed, with the caption of the figure around it, else its alt text.  The
+    caption of a figure that holds no media is a text of its own.
     """
     if not page:
         return []
@@ -286,6 +292,7 @@ def sequence(page: str | None) -> list[dict]:
     n = len(t.tag)
     block, figure, hidden = [0] * n, [-1] * n, [False] * n
     captions: dict[int, list[str]] = {}
+    shown: set[int] = set()  # figures with media
     for i in range(1, n):
         p = t.parent[i]
         block[i] = i if t.tag[i] in BLOCK else block[p]
@@ -297,6 +304,8 @@ def sequence(page: str | None) -> list[dict]:
     for i, text in t.flow:
         if text is not None and in_caption[i] >= 0:
             captions.setdefault(in_caption[i], []).append(text)
+        elif text is None and t.tag[i] in MEDIA and figure[i] >= 0 and not hidden[i] and t.attributes(i).get("src"):
+            shown.add(figure[i])
     out: list[dict] = []
     pieces: list[str] = []
     current = -1
@@ -308,14 +317,14 @@ def sequence(page: str | None) -> list[dict]:
             out.append({"kind": "text", "text": text, "reference": None, "caption": None})
 
     for i, text in t.flow:
-        if hidden[i] or in_caption[i] >= 0:
+        if hidden[i] or in_caption[i] in shown:
             continue
         if block[i] != current:
             end()
             current = block[i]
         if text is not None:
             pieces.append(text)
-        elif t.tag[i] in ("img", "audio", "video", "source", "embed"):
+        elif t.tag[i] in MEDIA:
             a = t.attributes(i)
             if a.get("src"):
                 end()

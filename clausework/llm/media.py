@@ -11,10 +11,13 @@ digests and descriptions are shuffled.  A digest that many documents share is
 described once in a task and once more in the aggregate, by a partial
 aggregation; the join has it once on the media side.
 
-Cases: a null text is the empty payload (64 zero bytes); equal payloads have one
-digest and one description; a reference that no media row has keeps its place
-with null details; a null page has no parts; repeated rows each get a result;
-extra columns are ignored.
+Cases: a null text is the empty payload (64 zero bytes); a very long one is one
+payload; equal payloads have one digest and one description; a reference that no
+media row has, or that is no digest but a path or an address, keeps its place and
+its text with null details; a page that is null, empty or without text and media
+has an empty sequence; the caption of a figure without media is a text; rows that
+repeat a key each get their own sequence; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.common import shared_dir, small_batches
+from clausework.llm.common import cut, shared_dir, small_batches
 from clausework.llm.html import sequence
 
 WIDTH = 64
@@ -42,6 +45,13 @@ def payload_of(text: str | None) -> bytes:
     return raw + bytes(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH) - len(raw))
 
 
+def padded(text: Column) -> Column:
+    """The same as an expression."""
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    length = F.greatest(F.lit(WIDTH), (F.ceil(F.octet_length(raw) / WIDTH) * WIDTH).cast("int"))
+    return F.rpad(raw, length, F.lit(bytearray(1)))
+
+
 def pack(payload: bytes) -> bytes:
     """The payload as a binary PGM: header, then the samples as they are."""
     return b"P5\n%d %d\n255\n" % (WIDTH, len(payload) // WIDTH) + payload
@@ -135,30 +145,55 @@ def parts(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return pages.select(F.col(key).cast("long").alias("key"), html).mapInArrow(run, f"key long, parts {PARTS}")
 
 
-def resolved(parts: DataFrame, described: DataFrame) -> DataFrame:
+def digest_of(reference: Column) -> Column:
+    """The digest that a reference names, null where it is a path or an address."""
+    return F.when(reference.startswith(SCHEME), F.substr(reference, F.lit(len(SCHEME) + 1)))
+
+
+def resolved(parts: DataFrame, described: DataFrame, key: str = "key") -> DataFrame:
     """One row for each media part: key, position, caption, digest and the media's columns."""
-    refs = parts.select("key", F.explode("parts").alias("p")).where(F.col("p.kind") == "media").select(
-        "key", F.col("p.position").alias("position"), F.col("p.caption").alias("caption"), F.expr(f"substring(p.reference, {len(SCHEME) + 1})").alias("digest")
+    refs = parts.select(key, F.explode("parts").alias("p")).where(F.col("p.kind") == "media").select(
+        key, F.col("p.position").alias("position"), F.col("p.caption").alias("caption"), digest_of(F.col("p.reference")).alias("digest")
     )
     return refs.join(described, "digest", "left")
 
 
-def interleave(pages: DataFrame, key: str, described: DataFrame) -> DataFrame:
-    """``key`` and its sequence: position, kind, text, caption and, for media, digest and feature.
+def interleave(pages: DataFrame, key: str, described: DataFrame, html: str = "html") -> DataFrame:
+    """``key`` and its sequence for each row of ``pages``: position, kind, text, caption and, for media, reference, digest and feature.
 
-    A page whose key stands in several rows gets one sequence of all of them.
+    The parts are written once with a number for each row; only digests and
+    descriptions are joined, then a page's few descriptions meet its parts.
     """
-    found = parts(pages, key)
-    media = resolved(found, described.select("digest", "feature")).select(
-        "key", F.struct("position", F.lit("media").alias("kind"), F.lit(None).cast("string").alias("text"), "caption", "digest", "feature").alias("p")
-    )
-    texts = found.select("key", F.explode("parts").alias("p")).where(F.col("p.kind") == "text").select(
-        "key",
-        F.struct(
-            "p.position", "p.kind", "p.text", "p.caption", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("feature")
-        ).alias("p"),
+    numbered = cut(parts(pages, key, html).withColumn("row", F.monotonically_increasing_id()), "parts")
+    media = resolved(numbered.select("row", "parts"), described.select("digest", "feature").dropDuplicates(["digest"]), "row")
+    features = media.where("feature is not null").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", "feature"))).alias("features"))
+    told = numbered.join(features, "row", "left")
+    part = lambda p: F.struct(
+        p["position"].alias("position"), p["kind"].alias("kind"), p["text"].alias("text"), p["caption"].alias("caption"), p["reference"].alias("reference"),
+        digest_of(p["reference"]).alias("digest"), F.col("features")[p["position"]].alias("feature"),
+    )
+    return told.select("key", F.transform("parts", part).alias("sequence"))
+
+
+def page_media(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """The interleaved sequence of each page (page_id, html) whose media are payloads of ``docs``' texts (doc_id, text).
+
+    page_id, n_texts, n_media, n_resolved, sequence_sha256 (hex; kind, text or reference, caption and feature of each
+    part, in order, each part ended by a line feed and its fields by a tab, null as nothing).
+    """
+    path = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    store(docs, path)
+    made = interleave(pages, "page_id", features(docs.sparkSession.read.parquet(path)))
+    nothing = lambda c: F.coalesce(c, F.lit(""))
+    line = lambda p: F.concat(p["kind"], F.lit("\t"), nothing(F.coalesce(p["text"], p["reference"])), F.lit("\t"), nothing(p["caption"]), F.lit("\t"), nothing(p["feature"]), F.lit("\t\n"))
+    count = lambda test: F.size(F.filter("sequence", test)).cast("long")
+    return made.select(
+        F.col("key").alias("page_id"),
+        count(lambda p: p["kind"] == "text").alias("n_texts"),
+        count(lambda p: p["kind"] == "media").alias("n_media"),
+        count(lambda p: p["feature"].isNotNull()).alias("n_resolved"),
+        F.sha2(F.array_join(F.transform("sequence", line), ""), 256).alias("sequence_sha256"),
     )
-    return texts.unionByName(media).groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("sequence"))
 
 
 def document_media(docs: DataFrame) -> DataFrame:
@@ -174,13 +209,10 @@ def document_media(docs: DataFrame) -> DataFrame:
     described = features(spark.read.parquet(path))
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     size = F.octet_length(raw)
-    padded = F.expr(
-        "rpad(encode(coalesce(text, ''), 'UTF-8'), greatest(64, int(ceil(octet_length(coalesce(text, '')) / 64) * 64)), X'00')"
-    )
     pages = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.concat(
-            F.lit(f'<figure><img src="{SCHEME}'), F.sha2(padded, 256), F.lit('"><figcaption>'), size.cast("string"), F.lit("</figcaption></figure>")
+            F.lit(f'<figure><img src="{SCHEME}'), F.sha2(padded(F.col("text")), 256), F.lit('"><figcaption>'), size.cast("string"), F.lit("</figcaption></figure>")
         ).alias("html"),
     )
     return resolved(parts(pages, "doc_id"), described).select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clausework.llm import bpe, decontaminate, html, jaccard, language, lattice, media, pii, quality, sharding
 from clausework.llm.common import table
@@ -67,6 +68,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+def pages_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with a figure for the document of its own number below its markup: the documents' texts are the payloads."""
+    pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = docs.groupBy("doc_id").agg(F.min(F.sha2(media.padded(F.col("text")), 256)).alias("digest"))
+    figure = F.concat(F.lit(f'<figure><img src="{media.SCHEME}'), F.coalesce("digest", F.lit("none")), F.lit('"><figcaption>'), F.col("url"), F.lit("</figcaption></figure>"))
+    shown = pages.join(digest, F.col("page_id") == F.col("doc_id"), "left").select("page_id", F.concat("html", figure).alias("html"))
+    return media.page_media(shown, docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -80,4 +90,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_sharding": op9_sharding,
         "op10_media": op10_media,
+        "pages_media": pages_media,
     }

@@ -97,6 +97,27 @@ def test_decontamination_judges_each_row(spark, block_bytes):
     assert kept == sorted(map(str, [(None, "clean one"), (None, None), (7, "clean two"), (7, "clean two"), (8, None)]))
 
 
+def test_windows_are_small():
+    """A full block in a worker: its text, its windows and what building them needs."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    vocabulary = [f"word{k}" for k in range(20_000)]
+    items = [(str(k), " ".join(rng.choice(vocabulary) for _ in range(300))) for k in range(500)]
+    size = sum(len(t) for _, t in items)
+    frequency = {w.encode(): rng.randrange(1, 1000) for w in vocabulary}
+    tracemalloc.start()
+    windows = decontaminate.Windows(items, frequency)
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 10 * size
+    for k in (0, 17, 499):
+        words = decontaminate.words_of("before " + items[k][1] + " after")
+        spans, found = windows.hits(words)
+        assert found == {str(k)} and decontaminate.covered(spans) == 300
+    assert windows.hits([b"word1"] * 40) == ([], set())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><nav><ul><li><a href=x>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies, really, we do.</div><div id=content><article class="post"><header>By me</header><h1>Big &amp; bold</h1>
 <p>One, two,\n three <b>bold</b> words&nbsp;here, and more of them.<p>Second paragraph, with a <a href=y>link</a>.<br>Line.
@@ -128,10 +149,35 @@ def test_sequences(spark):
     page = "<p>Before<img src='sha256:aa' alt='Alt text'>after</p><figure><img src='sha256:bb'><figcaption>Cap <b>two</b></figcaption></figure><p>End"
     got = [(p["kind"], p["text"] or p["reference"], p["caption"]) for p in html.sequence(page)]
     assert got == [("text", "Before", None), ("media", "sha256:aa", "Alt text"), ("text", "after", None), ("media", "sha256:bb", "Cap two"), ("text", "End", None)]
-    pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
-    known = spark.createDataFrame([("aa", "F")], "digest string, feature string")
-    rows = {r.key: [(p.position, p.kind, p.digest, p.feature) for p in r.sequence] for r in media.interleave(pages, "page_id", known).collect()}
-    assert rows == {1: [(0, "text", None, None), (1, "media", "aa", "F"), (2, "text", None, None), (3, "media", "bb", None), (4, "text", None, None)]}
+    alone = "<figure><figcaption>Only words</figcaption></figure><img src='/a/b.png'><img src='https://h.example/x.png' alt=' '>"
+    assert [(p["kind"], p["text"] or p["reference"], p["caption"]) for p in html.sequence(alone)] == [("text", "Only words", None), ("media", "/a/b.png", None), ("media", "https://h.example/x.png", None)]
+    rows = [(1, page), (2, None), (3, ""), (1, page), (1, alone), (None, page), (4, "<p>" + "long " * 100_000 + "<img src='sha256:aa'>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("key", F.lit(1)).withColumn("row", F.lit(2)).withColumn("feature", F.lit("f")).withColumn("sequence", F.lit(0))
+    known = spark.createDataFrame([("aa", "F"), ("aa", "F"), ("/a/b.png", "wrong"), (None, "wrong")], "digest string, feature string")
+    got = Counter((r.key, tuple((p.position, p.kind, (p.text or "")[:9], p.reference, p.digest, p.feature) for p in r.sequence)) for r in media.interleave(pages, "page_id", known).collect())
+    full = ((0, "text", "Before", None, None, None), (1, "media", "", "sha256:aa", "aa", "F"), (2, "text", "after", None, None, None), (3, "media", "", "sha256:bb", "bb", None), (4, "text", "End", None, None, None))
+    other = ((0, "text", "Only word", None, None, None), (1, "media", "", "/a/b.png", None, None), (2, "media", "", "https://h.example/x.png", None, None))
+    assert got == Counter({(1, full): 2, (None, full): 1, (1, other): 1, (2, ()): 1, (3, ()): 1, (4, ((0, "text", "long long", None, None, None), (1, "media", "", "sha256:aa", "aa", "F"))): 1})
+    assert media.interleave(pages.where("false"), "page_id", known).count() == 0
+
+
+def test_pages_media(spark, tmp_path):
+    from clausework.llm import queries
+
+    docs = [(1, "abc"), (2, None), (3, "ü" * 40), (3, "again"), (9, "no page")]
+    pages = [(1, "http://a/1", PAGE), (2, "http://a/2", "<p>two"), (3, "http://a/3", ""), (4, "http://a/4", "<p>no document"), (5, None, "<p>x"), (6, "http://a/6", None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: tuple(r)[1:] for r in queries.pages_media(spark, str(tmp_path)).collect()}
+    stored = {hashlib.sha256(media.payload_of(t)).hexdigest(): media.describe(media.payload_of(t)) for _, t in docs}
+    for page_id, url, body in pages:
+        digest = min((hashlib.sha256(media.payload_of(t)).hexdigest() for i, t in docs if i == page_id), default="none")
+        shown = None if body is None or url is None else body + f'<figure><img src="sha256:{digest}"><figcaption>{url}</figcaption></figure>'
+        seq = html.sequence(shown)
+        told = [stored.get((p["reference"] or "")[7:]) for p in seq]
+        text = "".join(f"{p['kind']}\t{p['text'] or p['reference']}\t{p['caption'] or ''}\t{f or ''}\t\n" for p, f in zip(seq, told, strict=True))
+        assert got[page_id] == (sum(p["kind"] == "text" for p in seq), sum(p["kind"] == "media" for p in seq), sum(f is not None for f in told), hashlib.sha256(text.encode()).hexdigest())
+    assert got[1][1:3] == (1, 1) and got[4][1:3] == (1, 0) and got[6][:3] == (0, 0, 0)
 
 
 def test_media_round_trip(spark):
