@@ -410,6 +410,11 @@ def _pair_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
+    return _joined(docs)[0]
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``near_duplicates`` and the written tables that it reads."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -476,9 +481,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(edges)
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     result = sets.select("doc_id", "n", "set_key").join(of_class, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return result.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    return result.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))), [read, classes]
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id."""
-    return without(docs, near_duplicates(docs).where("doc_id <> component_id"))
+    result, tables = _joined(docs)
+    gone = cut(result.where("doc_id <> component_id").select("doc_id"), "copies")
+    spent(*tables)
+    return without(docs, gone)
