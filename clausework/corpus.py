@@ -15,8 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clausework.model import odrl_terms
+from clausework.sources.shared import cut
 
 A, B = "https://example.org/a#", "https://example.org/b#"
+#: Terms of the profiles that are made from parts.
+PART = "https://example.org/parts#"
 
 POLICIES = """
 SELECT cast(floor(o_orderkey / 1000) AS bigint) AS doc_id,
@@ -106,9 +109,12 @@ SELECT DISTINCT cast(floor(o_orderkey / 1000) AS bigint) AS doc_id, 'ex' AS pref
 FROM {orders} WHERE cast(floor(o_orderkey / 1000) AS bigint) % 2 = 0
 """
 
-PROFILES = values([("a", 1, "https://example.org/a", "ex", A, "https://example.org/b"), ("b", 2, "https://example.org/b", "bb", B, "https://example.org/a")],
+PROFILE_ROWS = values([("a", 1, "https://example.org/a", "ex", A, "https://example.org/b"), ("b", 2, "https://example.org/b", "bb", B, "https://example.org/a")],
                   "profile_id, load_order, iri, prefix, namespace, imports")
-TERMS = values(
+# A profile for each nation with a supplier.
+PROFILES = f"""{PROFILE_ROWS} UNION ALL SELECT DISTINCT concat('n', cast(s_nationkey AS string)), 10 + s_nationkey, concat('https://example.org/base/', cast(s_nationkey AS string)),
+  concat('n', cast(s_nationkey AS string)), concat('https://example.org/n', cast(s_nationkey AS string), '#'), cast(NULL AS string) FROM {{supplier}}"""
+TERM_ROWS = values(
     [
         ("a", 1, 0, A + "train", "Action", False),
         ("a", 1, 1, A + "purpose", "LeftOperand", False),
@@ -127,26 +133,34 @@ TERMS = values(
     ],
     "profile_id, load_order, term_ix, iri, kind, deprecated",
 )
-HINTS = values(
+# A term for each part; every sixth is declared by the second profile too, as another kind.
+TERMS = f"""{TERM_ROWS} UNION ALL SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END, cast(100 + p_partkey AS int), concat('{PART}t', cast(p_partkey AS string)),
+  CASE p_size % 3 WHEN 0 THEN 'Action' WHEN 1 THEN 'LeftOperand' ELSE 'RightOperand' END, p_size % 10 = 0 FROM {{part}}
+UNION ALL SELECT 'b', 2, cast(100 + p_partkey AS int), concat('{PART}t', cast(p_partkey AS string)), 'Unit', false FROM {{part}} WHERE p_partkey % 6 = 0"""
+HINT_ROWS = values(
     [
-        ("http://www.w3.org/ns/odrl/2/count", "xsd:integer", 1, 40, None, False),
-        ("http://www.w3.org/ns/odrl/2/percentage", "xsd:integer", 0, 100, None, True),
-        ("http://www.w3.org/ns/odrl/2/dateTime", "xsd:date", None, None, None, False),
+        ("http://www.w3.org/ns/odrl/2/count", "xsd:integer", "1", "40", None, False),
+        ("http://www.w3.org/ns/odrl/2/percentage", "xsd:integer", "0", "100", None, True),
+        ("http://www.w3.org/ns/odrl/2/dateTime", "xsd:date", "1993-06-01", "1997-06-30T12:00:00Z", None, False),
         (A + "region", None, None, None, "^R[0-4]$", True),
     ],
     "left_iri, datatype, lo, hi, pattern, closed",
 )
+HINTS = f"""{HINT_ROWS} UNION ALL SELECT concat('{PART}t', cast(p_partkey AS string)), 'xsd:integer', '0', cast(p_size AS string), cast(NULL AS string), p_partkey % 4 = 0 FROM {{part}} WHERE p_size % 3 = 1 OR p_partkey % 50 = 0"""
 HINT_OPERATORS = values(
     [("http://www.w3.org/ns/odrl/2/count", "eq"), ("http://www.w3.org/ns/odrl/2/count", "lteq"), ("http://www.w3.org/ns/odrl/2/percentage", "gt"),
      (A + "purpose", "isAnyOf"), (A + "purpose", "eq")],
     "left_iri, op",
 )
-HINT_VALUES = values([(A + "purpose", A + "purpose-0", 0), (A + "purpose", A + "purpose-1", 1), (A + "purpose", A + "purpose-2", 2)], "left_iri, value, ix")
+HINT_VALUE_ROWS = values([(A + "purpose", A + "purpose-0", 0), (A + "purpose", A + "purpose-1", 1), (A + "purpose", A + "purpose-2", 2)], "left_iri, value, ix")
+HINT_VALUES = f"""{HINT_VALUE_ROWS} UNION ALL SELECT concat('{PART}t', cast(p_partkey % 50 AS string)), concat('{PART}v', cast(p_partkey AS string)),
+  cast(row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) - 1 AS int) FROM {{part}} WHERE p_size % 2 = 0"""
 HINT_UNITS = values([("http://www.w3.org/ns/odrl/2/count", A + "view")], "left_iri, unit")
 #: What a larger set of profiles builds on; one import is not loaded.
-IMPORTS = values([("a", "https://example.org/b#"), ("a", "https://example.org/base"), ("a", "https://example.org/base"), ("b", "http://www.w3.org/ns/odrl/2/")], "profile_id, import_iri")
+IMPORT_ROWS = values([("a", "https://example.org/b#"), ("a", "https://example.org/base"), ("a", "https://example.org/base"), ("b", "http://www.w3.org/ns/odrl/2/")], "profile_id, import_iri")
+IMPORTS = f"""{IMPORT_ROWS} UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'b' END, concat('https://example.org/base/', cast(s_suppkey % 40 AS string)) FROM {{supplier}}"""
 #: child, parent: links up a hierarchy of values, classes and actions, with a circle.
-LINKS = values(
+LINK_ROWS = values(
     [
         (A + "ResearchAgreement", "http://www.w3.org/ns/odrl/2/Agreement", "broader", 0),
         (A + "purpose-1", A + "purpose-0", "broader", 0),
@@ -162,6 +176,10 @@ LINKS = values(
     ],
     "child, parent, predicate, ix",
 )
+# Parts below brands below types, with a circle of two types.
+LINKS = f"""{LINK_ROWS} UNION ALL SELECT concat('{PART}t', cast(p_partkey AS string)), concat('{PART}', p_brand), 'broader', 0 FROM {{part}}
+UNION ALL SELECT DISTINCT concat('{PART}', p_brand), concat('{PART}', p_type), 'broader', 1 FROM {{part}}
+UNION ALL SELECT DISTINCT concat('{PART}', p_type), CASE p_type WHEN 'ECONOMY' THEN '{PART}PROMO' ELSE '{PART}ECONOMY' END, 'broader', 0 FROM {{part}} WHERE p_type IN ('ECONOMY', 'PROMO')"""
 ODRL_TERMS = values(odrl_terms(), "iri, kind, core, deprecated")
 
 #: name -> (SQL, the tables it reads)
@@ -172,14 +190,14 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
     "rules": (RULES, ("lines",)),
     "constraints": (CONSTRAINTS, ("lines",)),
     "prefixes": (PREFIXES, ("orders",)),
-    "profiles": (PROFILES, ()),
-    "terms": (TERMS, ()),
-    "hints": (HINTS, ()),
+    "profiles": (PROFILES, ("supplier",)),
+    "terms": (TERMS, ("part",)),
+    "hints": (HINTS, ("part",)),
     "hint_operators": (HINT_OPERATORS, ()),
-    "hint_values": (HINT_VALUES, ()),
+    "hint_values": (HINT_VALUES, ("part",)),
     "hint_units": (HINT_UNITS, ()),
-    "imports": (IMPORTS, ()),
-    "links": (LINKS, ()),
+    "imports": (IMPORTS, ("supplier",)),
+    "links": (LINKS, ("part",)),
     "odrl_terms": (ODRL_TERMS, ()),
 }
 
@@ -198,6 +216,8 @@ class Corpus:
             if name in DERIVED:
                 sql, needs = DERIVED[name]
                 self._made[name] = self.spark.sql(sql, **{x: getattr(self, x) for x in needs}) if needs else self.spark.sql(sql)
+                if name == "lines":  # several branches of a query read them: written once
+                    self._made[name] = cut(self._made[name], name)
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]

@@ -25,7 +25,7 @@ FROM {orders} GROUP BY o_custkey, o_orderkey % 6
 STAMPS = """
 SELECT DISTINCT CASE l_linenumber WHEN 1 THEN shipped WHEN 2 THEN concat(shipped, 'T10:00:00Z') WHEN 3 THEN concat(shipped, 'T10:30+02:00') WHEN 4 THEN concat(shipped, 'T10:30:15.5') WHEN 5 THEN concat(shipped, 'T1030') ELSE concat('x ', shipped) END AS stamp FROM {lines}
 """
-PATCH = "SELECT * FROM (VALUES ('http://www.w3.org/ns/odrl/2/count', 'xsd:decimal', cast(NULL AS string)), ('https://example.org/a#purpose', NULL, '^x$')) AS t(left_iri, datatype, pattern)"
+PATCH = "SELECT * FROM (VALUES ('http://www.w3.org/ns/odrl/2/count', 'xsd:decimal', cast(NULL AS string)), ('https://example.org/a#purpose', NULL, '^x$')) AS t(left_iri, datatype, pattern) UNION ALL SELECT concat('https://example.org/parts#t', cast(p_partkey AS string)), NULL, '^[0-9]+$' FROM {part} WHERE p_partkey % 3 = 0"
 
 
 def _uses(c: Corpus) -> DataFrame:
@@ -53,7 +53,7 @@ QUERIES = {
     "c20_outside_host_list": lambda c: lists.outside_list(c.rules.select("doc_id", "path", "assigner"), "assigner", c.supplier.where("s_suppkey % 4 <> 0").select(F.concat(F.lit("urn:party:s"), F.col("s_suppkey").cast("string")).alias("value"))).select("doc_id", "path", "assigner"),
     "c21_outside_closed_terms": lambda c: lists.outside_list(resolve.expand_terms(_uses(c), c.prefixes, c.profiles).where("slot = 'action'").select("doc_id", "path", "iri"), "iri", c.odrl_terms.where("core").select(F.col("iri").alias("value"))).select("doc_id", "path", "iri"),
     "c22_overlay_orphans": lambda c: lists.overlay_orphans(c.hints.select("left_iri", "closed"), c.terms),
-    "v5_layer_hints": lambda c: lists.layer_hints(c.hints.select("left_iri", "datatype", "pattern"), [("overlay", c.spark.sql(PATCH))], ["datatype", "pattern"]),
+    "v5_layer_hints": lambda c: lists.layer_hints(c.hints.select("left_iri", "datatype", "pattern"), [("overlay", c.spark.sql(PATCH, part=c.part))], ["datatype", "pattern"]),
     "e10_filter_suggestions": _suggested,
     "e9_first_declaration": lambda c: lists.first_declaration(c.rules.where("target is not null").select("doc_id", F.col("target").alias("iri"), F.struct("policy_ix", "rule_ix").alias("ord"))).select("doc_id", "iri", "ord.policy_ix", "ord.rule_ix"),
     "e7_dedupe_notes": lambda c: lists.dedupe_notes(_term_findings(c).select("doc_id", F.concat_ws(" ", "rule", "written").alias("note"), F.col("path").alias("ord")), 5),
@@ -61,7 +61,7 @@ QUERIES = {
     "e7_dedupe_notes_full": lambda c: lists.dedupe_notes(_term_findings(c).select("doc_id", F.concat_ws(" ", "rule", "written").alias("note"), F.col("path").alias("ord"))),
     "p9_inherited_rules_full": lambda c: lists.inherited_rules(c.rules, inherit.lineages(_links(c))),
     "r5_apply_safe_fixes": _fixed,
-    "r6_admissible": lambda c: lists.admissible(_uses(c).where("slot = 'action'").select("doc_id", "path", "slot", "written"), _term_findings(c)),
+    "r6_admissible": lambda c: lists.admissible(_uses(c).select("doc_id", "path", "slot", "written"), _term_findings(c)),
     "b4_prefix_is_odrl": lambda c: lists.prefix_is_odrl(c.orders.select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, "odrl").otherwise("ex").alias("key"), F.when(F.col("o_orderkey") % 10 == 0, "urn:other").otherwise(ODRL).alias("iri")), ODRL),
     "v2_profile_terms": lambda c: lists.pivot_terms(_triples(c)),
     "g3_action_tree": lambda c: lists.action_tree(_edges(c).withColumn("ix", F.length("parent")), _edges(c).where("parent like 'urn:kind:%'").select(F.col("parent").alias("iri")).distinct()).select("root", "iri", F.size("path").alias("depth")),
@@ -85,7 +85,7 @@ ORACLES = {
     "c20_outside_host_list": f"{ctes('rules')} SELECT doc_id, path, assigner FROM rules WHERE assigner IS NOT NULL AND assigner NOT IN (SELECT 'urn:party:s' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0)",
     "c21_outside_closed_terms": f"{BASE} SELECT doc_id, path, iri FROM expanded WHERE slot = 'action' AND iri NOT IN (SELECT iri FROM odrl_terms WHERE core)",
     "c22_overlay_orphans": f"{ctes('hints', 'terms')} SELECT left_iri, closed FROM hints WHERE left_iri NOT IN (SELECT iri FROM terms WHERE kind = 'LeftOperand')",
-    "v5_layer_hints": f"""{ctes("hints")}, patch AS ({PATCH}) SELECT coalesce(h.left_iri, p.left_iri) AS left_iri, coalesce(p.datatype, h.datatype) AS datatype, coalesce(p.pattern, h.pattern) AS pattern,
+    "v5_layer_hints": f"""{ctes("hints")}, patch AS ({PATCH.format(part="part")}) SELECT coalesce(h.left_iri, p.left_iri) AS left_iri, coalesce(p.datatype, h.datatype) AS datatype, coalesce(p.pattern, h.pattern) AS pattern,
       CASE WHEN p.datatype IS NOT NULL THEN 'overlay' WHEN h.datatype IS NOT NULL THEN 'base' END AS src_datatype, CASE WHEN p.pattern IS NOT NULL THEN 'overlay' WHEN h.pattern IS NOT NULL THEN 'base' END AS src_pattern
       FROM hints h FULL JOIN patch p ON p.left_iri = h.left_iri""",
     "e10_filter_suggestions": """WITH o AS (SELECT p_partkey AS ix, p_type || ' ' || p_brand AS label, p_name AS hint, p_brand AS grp FROM part),
@@ -98,8 +98,8 @@ ORACLES = {
       FROM walk w JOIN rules r ON r.doc_id = w.doc_id AND r.policy_ix = w.ancestor_ix) SELECT doc_id, policy_ix, ix, from_ix, path FROM r WHERE ix < 10""",
     "r5_apply_safe_fixes": f"""{TERM_FINDINGS}, fixed AS (SELECT e.slot, CASE WHEN t.doc_id IS NOT NULL THEN e.iri ELSE e.written END AS written FROM expanded e
       LEFT JOIN (SELECT DISTINCT doc_id, path, slot, written FROM tf WHERE rule = 'profile.unbound-prefix') t USING (doc_id, path, slot, written)) SELECT slot, written, count(*) AS n FROM fixed GROUP BY ALL""",
-    "r6_admissible": f"""{TERM_FINDINGS}, a AS (SELECT doc_id, path, slot, written, min(rule) AS rule FROM tf WHERE rule IN ('profile.undeclared-in-namespace', 'profile.unknown-term', 'profile.wrong-kind', 'profile.conflict-term', 'profile.unbound-prefix') GROUP BY ALL)
-      SELECT u.doc_id, u.path, u.slot, u.written, a.rule, a.rule IS NULL AS ok FROM uses u LEFT JOIN a ON a.doc_id = u.doc_id AND a.path = u.path AND a.slot = u.slot AND a.written = u.written WHERE u.slot = 'action'""",
+    "r6_admissible": f"""{TERM_FINDINGS}, a AS (SELECT doc_id, path, slot, written, min(rule) AS rule FROM tf WHERE rule IN ('profile.undeclared-in-namespace', 'profile.unknown-term', 'profile.wrong-kind', 'profile.conflict-term', 'profile.unbound-prefix') GROUP BY doc_id, path, slot, written)
+      SELECT u.doc_id, u.path, u.slot, u.written, a.rule, a.rule IS NULL AS ok FROM uses u LEFT JOIN a ON a.doc_id = u.doc_id AND a.path = u.path AND a.slot = u.slot AND a.written = u.written""",
     "b4_prefix_is_odrl": "SELECT o_custkey AS doc_id, coalesce(bool_and(o_orderkey % 10 <> 0) FILTER (o_orderkey % 2 = 0), true) AS ok FROM orders GROUP BY o_custkey",
     "v2_profile_terms": f"""{T} SELECT graph_id, s AS iri, min(o_iri) FILTER (p = 'rdf:type') AS kind, count(o_value) FILTER (p = 'rdfs:label') AS n_labels,
       coalesce(string_agg(DISTINCT o_iri, ',' ORDER BY o_iri) FILTER (p = 'skos:broader'), '') AS broader, false AS deprecated FROM triples GROUP BY graph_id, s""",

@@ -13,6 +13,7 @@ from clausework.jobs.terms import BASE, USES
 from clausework.jobs.terms import ORACLES as TERM_ORACLES
 from clausework.model import Options
 from clausework.operators import hints, inherit, report, resolve, structure
+from clausework.sources.shared import cut
 
 KEY = ["doc_id", "policy_ix"]
 
@@ -41,7 +42,7 @@ def _constraints(c: Corpus) -> DataFrame:
 
 
 def _structural(c: Corpus) -> DataFrame:
-    links = _links(c)
+    links = cut(_links(c), "links")
     return reduce(
         DataFrame.unionByName,
         [
@@ -89,6 +90,12 @@ def _nesting(c: Corpus) -> DataFrame:
     )
 
 
+def _tiers(c: Corpus, options: Options) -> DataFrame:
+    """The tiers in force, with the number of findings of each."""
+    found = _findings(c, options).groupBy("tier").agg(F.count("*").alias("n"))
+    return report.tiers_in_force(report.rule_levels(c.spark, options)).join(found, "tier", "left").select("tier", "ix", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 QUERIES = {
     "policy_verdicts": lambda c: report.verdicts(_findings(c), c.policies, KEY),
     "structural_rules": _structural,
@@ -115,7 +122,7 @@ QUERIES = {
     "e8_duplicate_actions": _duplicates,
     "consequence_nesting": _nesting,
     "d7_distinct_gaps": lambda c: report.distinct_gaps(_findings(c)),
-    "d8_tiers_in_force": lambda c: report.tiers_in_force(report.rule_levels(c.spark, Options(structural=False))),
+    "d8_tiers_in_force": lambda c: _tiers(c, Options(structural=False)),
     "d9_batch_exit": lambda c: report.batch_exit(report.verdicts(_findings(c), c.policies, KEY)),
     "d13_cap_named": lambda c: report.cap_named(c.policies.where("profile is not null").select("doc_id", "policy_ix", "profile"), ["doc_id", "profile"], ["policy_ix"]).select(
         "doc_id", "policy_ix", "profile", "n_more"
@@ -126,6 +133,18 @@ QUERIES = {
     "h22_fingerprint": lambda c: _structural(c).select(*KEY, "path", "rule", report.fingerprint(F.col("rule"), F.col("path"), F.lit("")).alias("fingerprint")),
 }
 
+NUMBER = lambda x: f"TRY_CAST(trim({x}) AS DOUBLE)"
+MOMENT = lambda x: f"regexp_matches(trim({x}), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')"
+
+
+def _less(a: str, b: str) -> str:
+    n = f"least(length(trim({a})), length(trim({b})))"
+    return f"coalesce(CASE WHEN {NUMBER(a)} IS NOT NULL THEN {NUMBER(a)} < {NUMBER(b)} WHEN {MOMENT(a)} AND {MOMENT(b)} THEN substr(trim({a}), 1, {n}) < substr(trim({b}), 1, {n}) END, false)"
+
+
+OUTSIDE = f"({_less('raw', 'lo')} OR {_less('hi', 'raw')})"
+
+
 def _merged() -> str:
     """All tables and the common parts, each once."""
     return (
@@ -176,7 +195,7 @@ hinted AS (
   UNION ALL SELECT doc_id, policy_ix, path, 'prose.value-not-allowed', shut FROM valid WHERE right_kind = 'iri' AND left_iri IN (SELECT left_iri FROM hint_values)
     AND value_iri NOT IN (SELECT value FROM hint_values)
   UNION ALL SELECT doc_id, policy_ix, path, 'prose.value-not-allowed', shut FROM valid WHERE right_kind = 'literal'
-    AND ((pattern IS NOT NULL AND NOT regexp_matches(raw, pattern)) OR TRY_CAST(raw AS DOUBLE) < lo OR TRY_CAST(raw AS DOUBLE) > hi)
+    AND ((pattern IS NOT NULL AND NOT regexp_matches(raw, pattern)) OR {OUTSIDE})
   UNION ALL SELECT doc_id, policy_ix, path, 'prose.unit-not-allowed', shut FROM valid WHERE unit_iri IS NOT NULL AND left_iri IN (SELECT left_iri FROM hint_units) AND unit_iri NOT IN (SELECT unit FROM hint_units)
   UNION ALL SELECT doc_id, policy_ix, path, 'prose.datatype-conflict', shut FROM valid WHERE right_kind = 'literal' AND datatype <> want
   UNION ALL SELECT doc_id, policy_ix, path, 'prose.ill-typed-literal', shut FROM valid WHERE right_kind = 'literal' AND own_ok = false AND (want IS NULL OR want <> datatype))"""
@@ -186,11 +205,11 @@ hinted AS (
 M = _merged()
 
 
-def _all_findings() -> str:
+def _all_findings(options: Options = Options()) -> str:  # noqa: B008
     judged = TERM_ORACLES["profile_rules"][len(BASE) :]
     tables = judged[: judged.rindex("SELECT doc_id, policy_ix, path, slot, rule, written FROM judged")]
     levels = ", ".join(
-        f"('{r}', {str(closed).lower()}, '{level}', {str(gap).lower()})" for r, _, closed, level, gap in Options().table()
+        f"('{r}', {str(closed).lower()}, '{level}', {str(gap).lower()})" for r, _, closed, level, gap in options.table()
     )
     return f"""{M}{tables.rstrip()},
 levels AS (SELECT * FROM (VALUES {levels}) AS t(rule, closed, severity, gap)),
@@ -223,7 +242,7 @@ ORACLES = {
     "hint_rules": f"{M} SELECT * FROM hinted",
     "c14_disallowed_values": f"{M} SELECT doc_id, policy_ix, path, left_iri, raw FROM hc WHERE left_iri IN (SELECT left_iri FROM hint_values) AND right_kind <> 'missing' "
     "AND coalesce(value_iri, '') NOT IN (SELECT value FROM hint_values) AND raw NOT IN (SELECT value FROM hint_values)",
-    "c15_out_of_bounds": f"{M} SELECT doc_id, policy_ix, path, raw FROM hw WHERE right_kind = 'literal' AND (TRY_CAST(raw AS DOUBLE) < lo OR TRY_CAST(raw AS DOUBLE) > hi)",
+    "c15_out_of_bounds": f"{M} SELECT doc_id, policy_ix, path, raw FROM hw WHERE right_kind = 'literal' AND {OUTSIDE}",
     "c16_pattern_mismatch": f"{M} SELECT doc_id, policy_ix, path, raw FROM hw WHERE right_kind = 'literal' AND pattern IS NOT NULL AND NOT regexp_matches(raw, pattern)",
     "d14_expected_values": f"{ctes('hint_values')} SELECT left_iri, string_agg(value, ',' ORDER BY ix) FILTER (ix < 2) AS values, CASE WHEN count(*) > 2 THEN count(*)::INT END AS total FROM hint_values GROUP BY left_iri",
     "heuristic_rules": f"""{M} SELECT doc_id, policy_ix, path, 'heuristic.ordered-on-unordered' AS rule FROM hc WHERE op IN ('gt', 'gteq', 'lt', 'lteq') AND right_kind = 'iri'
@@ -236,6 +255,8 @@ ORACLES = {
     "d7_distinct_gaps": f"""{FOUND}, g AS (SELECT doc_id, rule, coalesce(written, path) AS detail, policy_ix, path,
         row_number() OVER (PARTITION BY doc_id, rule, coalesce(written, path) ORDER BY policy_ix, path) AS rn FROM findings WHERE gap)
       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY policy_ix, path, rule, detail) - 1 AS ix, rule, detail FROM g WHERE rn = 1""",
+    "d8_tiers_in_force": f"""{_all_findings(Options(structural=False))}, tiers AS (SELECT * FROM (VALUES ('profile', 0), ('odrl', 1), ('prose', 2), ('input', 3)) AS t(tier, ix))
+      SELECT tier, ix, count(rule) AS n FROM tiers LEFT JOIN findings ON split_part(rule, '.', 1) = tier GROUP BY tier, ix""",
     "d9_batch_exit": f"{FOUND} SELECT CASE max(CASE verdict WHEN 'violations' THEN 2 WHEN 'incomplete' THEN 1 ELSE 0 END) WHEN 2 THEN 1 WHEN 1 THEN 3 ELSE 0 END AS exit_code FROM judgement",
     "d13_cap_named": f"""{ctes("policies")} SELECT doc_id, policy_ix, profile, greatest(n - 20, 0) AS n_more FROM (SELECT doc_id, policy_ix, profile,
       row_number() OVER (PARTITION BY doc_id, profile ORDER BY policy_ix) AS rn, count(*) OVER (PARTITION BY doc_id, profile) AS n FROM policies WHERE profile IS NOT NULL) WHERE rn <= 20""",

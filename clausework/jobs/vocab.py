@@ -146,10 +146,20 @@ QUERIES = {
     "b14_logical_depth": lambda c: c.constraints.groupBy("doc_id", rewrite.logical_depth(F.col("path")).alias("depth")).agg(F.count("*").alias("n")),
     "s1_latest_edits": lambda c: rewrite.latest_edits(_log(c)),
     "s1_stale_edits": lambda c: rewrite.stale_edits(_log(c)),
+    "s1_replay_edits": lambda c: rewrite.replay_edits(_log(c)),
 }
 
 T = f"WITH RECURSIVE triples AS ({TRIPLES.format(part='part')}), edges AS ({EDGES.format(part='part')})"
 L = f"WITH log AS ({LOG.format(events='events')})"
+# A document's slots and their values as two lists, an edit a round.
+REPLAY = f"""WITH RECURSIVE log AS ({LOG.format(events='events')}), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn FROM log),
+  r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS version, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) AS slots, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS op,
+      CAST(NULL AS BIGINT) AS expect, false AS accepted, CAST(0 AS BIGINT) AS before, CAST(NULL AS VARCHAR) AS slot FROM log
+    UNION ALL SELECT doc_id, rn, before + accepted::INT, CASE WHEN NOT accepted THEN slots WHEN op = 'Remove' THEN map_from_entries(list_filter(map_entries(slots), lambda x: x.key <> slot))
+        ELSE map_concat(slots, MAP {{slot: value}}) END, seq, op, expect, accepted, before, slot
+      FROM (SELECT e.*, r.slots, r.version AS before, (e.expect IS NULL OR e.expect = r.version) AND (e.op LIKE 'Set%' OR (e.op = 'Remove' AND map_contains(r.slots, e.slot)) OR (e.op = 'Add' AND NOT map_contains(r.slots, e.slot))) AS accepted
+        FROM r JOIN e ON e.doc_id = r.doc_id AND e.rn = r.rn + 1)),
+  told AS (SELECT doc_id, seq, op, expect, accepted, before, version, slot, slots[slot] AS value FROM r WHERE rn > 0)"""
 DOWN = """down AS (SELECT DISTINCT parent AS root, parent AS iri, 0 AS depth FROM edges {0}
   UNION SELECT d.root, e.child, d.depth + 1 FROM down d JOIN edges e ON e.parent = d.iri)"""
 _NAMES = ", ".join(f"('{n}', {i})" for i, n in enumerate([n for t in (CORE_TERMS, COMMON_TERMS) for n in t["Action"].split()]))
@@ -193,6 +203,7 @@ ORACLES = {
     "b13_limit_violations": f"""{ctes("rules")}, lim AS (SELECT * FROM (VALUES ('permission', 2, 5), ('prohibition', 0, 1), ('obligation', 1, 3)) AS t(list, least, most))
       SELECT doc_id, policy_ix AS owner, list, count(*) AS n, least, most FROM rules JOIN lim USING (list) GROUP BY ALL HAVING n < least OR n > most""",
     "b14_logical_depth": f"{ctes('constraints')} SELECT doc_id, CASE WHEN path LIKE '%.child[%' THEN 1 ELSE 0 END AS depth, count(*) AS n FROM constraints GROUP BY ALL",
-    "s1_latest_edits": f"{L} SELECT doc_id, slot, arg_max(value, seq) AS value, count(*) AS n FROM log WHERE op LIKE 'Set%' GROUP BY ALL",
-    "s1_stale_edits": f"{L}, v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS version FROM log) SELECT doc_id, seq, op, expect, version FROM v WHERE expect <> version",
+    "s1_latest_edits": f"{L} SELECT doc_id, slot, arg_max(value, seq) AS value, count(*) FILTER (op <> 'Remove') AS n FROM log WHERE op LIKE 'Set%' OR op = 'Remove' GROUP BY ALL HAVING arg_max(op, seq) <> 'Remove'",
+    "s1_stale_edits": f"{REPLAY} SELECT doc_id, seq, op, expect, before AS version FROM told WHERE expect <> before",
+    "s1_replay_edits": f"{REPLAY} SELECT * FROM told",
 }

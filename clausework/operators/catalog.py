@@ -72,15 +72,24 @@ def html_blocks(pages: DataFrame, tag: str = "p") -> DataFrame:
     """page_id, ix, text, heading: each ``tag`` block of a page without its markup, under the nearest heading above it.
 
     Texts stay inside their row until the blocks are found, so nothing is
-    shuffled: the heading is the last one that ends before the block begins.
+    shuffled: the heading is the last one that ends before the block begins.  A
+    piece of the page is searched once, for its block and for the headings that
+    those after it stand under.
     """
-    pieces = F.split("html", rf"(?=<{tag}[ >])", -1)
-    rows = pages.select("page_id", F.posexplode(pieces).alias("ix", "piece"), "html", pieces.alias("pieces"))
-    before = F.array_join(F.slice("pieces", F.lit(1), F.col("ix")), "")
-    heading = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(before, F.lit(r"(?s)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))), -1)
-    body = F.regexp_extract("piece", rf"(?s)^<{tag}[^>]*>(.*?)(?:</{tag}>|$)", 1)
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
-    return rows.where("ix > 0").select("page_id", "ix", plain(body).alias("text"), plain(heading).alias("heading"))
+    last_heading = lambda c: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(c, F.lit(r"(?s)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))), -1)
+    pieces = F.transform(F.split("html", rf"(?=<{tag}[ >])", -1), lambda c: F.struct(F.regexp_extract(c, rf"(?s)^<{tag}[^>]*>(.*?)(?:</{tag}>|$)", 1).alias("body"), last_heading(c).alias("heading")))
+    numbered = pages.select("page_id", pieces.alias("pieces")).select("page_id", "pieces", F.transform("pieces", lambda p: p["heading"]).alias("headings"))
+    # For each piece the number of the nearest one before it with a heading, -1 if none.
+    above = F.aggregate(
+        "headings",
+        F.struct(F.array().cast("array<int>").alias("above"), F.lit(-1).alias("last"), F.lit(0).alias("i")),
+        lambda s, h: F.struct(F.array_append(s["above"], s["last"]).alias("above"), F.when(h.isNotNull(), s["i"]).otherwise(s["last"]).alias("last"), (s["i"] + 1).alias("i")),
+        lambda s: s["above"],
+    )
+    told = numbered.select("page_id", "headings", F.posexplode(F.arrays_zip("pieces", above.alias("above"))).alias("ix", "z"))
+    heading = F.when(F.col("z.above") >= 0, F.get("headings", F.col("z.above"))).otherwise("")
+    return told.where("ix > 0").select("page_id", "ix", plain(F.col("z.pieces.body")).alias("text"), plain(heading).alias("heading"))
 
 
 def live_links(urls: DataFrame, status: DataFrame) -> DataFrame:

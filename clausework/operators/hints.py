@@ -17,13 +17,20 @@ PATTERN_CHARS, TEXT_CHARS = 2048, 1024
 def with_hints(constraints: DataFrame, hints: DataFrame) -> DataFrame:
     """``constraints`` (left_iri) with datatype, bounds, pattern and closed of their left operand."""
     cols = [F.col(c).alias(f"h_{c}") for c in hints.columns]
-    return constraints.join(F.broadcast(hints.select(*cols)), F.col("left_iri") == F.col("h_left_iri"), "left")
+    return constraints.join(hints.select(*cols), F.col("left_iri") == F.col("h_left_iri"), "left")
 
 
 def outside_bounds(value: Column, low: Column, high: Column) -> Column:
-    """Numbers as numbers; texts that are none are not outside."""
-    number = F.when(value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), value).try_cast("double")
-    return F.coalesce((number < low) | (number > high), F.coalesce(number < low, number > high), F.lit(False))
+    """Numbers as numbers, dates and times as texts up to the shorter one's length; what is neither, or not of one kind, is not outside."""
+    number = lambda x: F.when(F.trim(x).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.trim(x)).try_cast("double")
+    moment = lambda x: F.trim(x).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+
+    def less(a: Column, b: Column) -> Column:
+        n = F.least(F.length(F.trim(a)), F.length(F.trim(b)))
+        head = lambda x: F.substring(F.trim(x), F.lit(1), n)
+        return F.coalesce(F.when(number(a).isNotNull(), number(a) < number(b)).when(moment(a) & moment(b), head(a) < head(b)), F.lit(False))
+
+    return less(value, low) | less(high, value)
 
 
 def pattern_mismatch(value: Column, pattern: Column) -> Column:
@@ -45,8 +52,8 @@ def hint_findings(constraints: DataFrame, hints: DataFrame, operators: DataFrame
     for df, key, col, name in ((operators, "op", "operator_name", "op"), (values, "value", "value_iri", "val"), (units, "unit", "unit_iri", "unit")):
         some = df.select(F.col("left_iri").alias(f"{name}_l")).distinct().withColumn(f"{name}_listed", F.lit(True))
         pair = df.select(F.col("left_iri").alias(f"{name}_l2"), F.col(key).alias(f"{name}_v"))
-        wide = wide.join(F.broadcast(some), F.col("left_iri") == F.col(f"{name}_l"), "left").join(
-            F.broadcast(pair), (F.col("left_iri") == F.col(f"{name}_l2")) & (F.col(col) == F.col(f"{name}_v")), "left"
+        wide = wide.join(some, F.col("left_iri") == F.col(f"{name}_l"), "left").join(
+            pair, (F.col("left_iri") == F.col(f"{name}_l2")) & (F.col(col) == F.col(f"{name}_v")), "left"
         )
     literal = F.col("right_kind") == "literal"
     closed = F.coalesce("h_closed", F.lit(False))
@@ -73,14 +80,14 @@ def disallowed_values(right_values: DataFrame, allowed: DataFrame) -> DataFrame:
 
     Three anti-joins on equality, as the three notions of equality need.
     """
-    listed = right_values.join(F.broadcast(allowed.select("left_iri").distinct()), "left_iri", "left_semi")
+    listed = right_values.join(allowed.select("left_iri").distinct(), "left_iri", "left_semi")
     number = allowed.select("left_iri", F.col("value").try_cast("double").alias("number")).where("number is not null")
     keys = [
         (allowed.select("left_iri", F.col("value").alias("iri")), ["left_iri", "iri"]),
         (allowed.select("left_iri", F.col("value").alias("raw")), ["left_iri", "raw"]),
     ]
-    rest = reduce(lambda df, k: df.join(F.broadcast(k[0]), k[1], "left_anti"), keys, listed)
-    return rest.withColumn("number", F.col("raw").try_cast("double")).join(F.broadcast(number), ["left_iri", "number"], "left_anti").drop("number")
+    rest = reduce(lambda df, k: df.join(k[0], k[1], "left_anti"), keys, listed)
+    return rest.withColumn("number", F.col("raw").try_cast("double")).join(number, ["left_iri", "number"], "left_anti").drop("number")
 
 
 def expected_values(values: DataFrame, cap: int = 8) -> DataFrame:

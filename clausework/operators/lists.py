@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausework.operators.pointers import orbits
 from clausework.sources.shared import cut
 
 
 def walk_lists(triples: DataFrame) -> DataFrame:
     """graph_id, head, ix, item of every rdf list (s, p in rdf:first and rdf:rest, o_iri), each list once.
 
-    A round follows all lists by one cell; a list that bites its tail ends there.
+    All lists are followed at once, twice as far in each round; a list that bites
+    its tail ends there.
     """
     first = triples.where("p = 'rdf:first'").select("graph_id", F.col("s").alias("cell"), F.col("o_iri").alias("item"))
     rest = triples.where("p = 'rdf:rest'").select("graph_id", F.col("s").alias("cell"), F.col("o_iri").alias("next"))
     cells = cut(first.join(rest, ["graph_id", "cell"], "left"), "cells")
     inner = cells.select("graph_id", F.col("next").alias("cell")).where("cell is not null")
-    frontier = cut(cells.join(inner, ["graph_id", "cell"], "left_anti").select("graph_id", F.col("cell").alias("head"), F.lit(0).alias("ix"), "item", "next"), "walk")
-    found = frontier
-    while not frontier.isEmpty():
-        step = frontier.where("next is not null").select("graph_id", "head", (F.col("ix") + 1).alias("ix"), F.col("next").alias("cell"))
-        frontier = cut(step.join(cells, ["graph_id", "cell"]).select("graph_id", "head", "ix", "item", "next"), "walk")
-        found = found.unionByName(frontier)
-    return found.select("graph_id", "head", "ix", "item")
+    heads = cells.join(inner, ["graph_id", "cell"], "left_anti").select("graph_id", F.col("cell").alias("start"))
+    walked = orbits(cells.select("graph_id", F.col("cell").alias("node"), F.col("next").alias("to")), heads, "graph_id")
+    return walked.join(cells.select("graph_id", F.col("cell").alias("at"), "item"), ["graph_id", "at"]).select("graph_id", F.col("start").alias("head"), "ix", "item")
 
 
 def resolve_aliases(prefixes: DataFrame, passes: int = 4) -> DataFrame:
@@ -41,13 +39,13 @@ def resolve_aliases(prefixes: DataFrame, passes: int = 4) -> DataFrame:
 
 def outside_list(rows: DataFrame, col: str, listed: DataFrame) -> DataFrame:
     """Rows whose ``col`` is set and not in a closed list (value)."""
-    return rows.where(F.col(col).isNotNull()).join(F.broadcast(listed.select(F.col("value").alias(col))), col, "left_anti")
+    return rows.where(F.col(col).isNotNull()).join(listed.select(F.col("value").alias(col)), col, "left_anti")
 
 
 def overlay_orphans(overlay: DataFrame, terms: DataFrame) -> DataFrame:
     """Overlay rows (left_iri) about what no loaded profile has as a left operand."""
     known = terms.where("kind = 'LeftOperand'").select(F.col("iri").alias("left_iri")).distinct()
-    return overlay.join(F.broadcast(known), "left_iri", "left_anti")
+    return overlay.join(known, "left_iri", "left_anti")
 
 
 def layer_hints(base: DataFrame, patches: list[tuple[str, DataFrame]], facets: list[str], key: str = "left_iri") -> DataFrame:
@@ -71,7 +69,7 @@ def filter_suggestions(options: DataFrame, query: str, most: int) -> DataFrame:
     rank = F.when(label.startswith(q), 0).when(label.contains(q), 1).when(F.lower(F.coalesce("hint", F.lit(""))).contains(q), 2)
     hits = options.withColumn("rank", rank).where("rank is not null")
     groups = hits.groupBy("grp").agg(F.min(F.struct("rank", "ix")).alias("grp_at"))
-    return hits.join(F.broadcast(groups), "grp").orderBy("grp_at", "rank", "ix").limit(most).select("ix", "label", "grp", "rank")
+    return hits.join(groups, "grp").orderBy("grp_at", "rank", "ix").limit(most).select("ix", "label", "grp", "rank")
 
 
 def first_declaration(declared: DataFrame) -> DataFrame:

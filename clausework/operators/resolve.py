@@ -1,8 +1,8 @@
 """Term uses, their expansion and resolution, and the cascade of vocabulary rules.
 
-Vocabularies are small (tens of thousands of terms at most) and stand on the
-side of the join that Spark broadcasts by its own size check; term uses are
-never shuffled but for the join on a document's own prefixes.
+Vocabularies stand on the side of a join that Spark broadcasts if its own size
+check allows it, and no hint forces one; term uses are then shuffled for the
+join on a document's own prefixes only.
 """
 
 from __future__ import annotations
@@ -19,23 +19,18 @@ WANTED = {"kind": "PolicyClass", "conflict": "ConflictTerm", "action": "Action",
 
 
 def term_uses(policies: DataFrame, rules: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Every slot that holds a term: doc_id, policy_ix, path, slot, written."""
+    """Every slot that holds a term: doc_id, policy_ix, path, slot, written.  Each table is read once."""
     at = F.concat(F.lit("policy["), F.col("policy_ix").cast("string"), F.lit("]"))
 
-    def use(df: DataFrame, slot: str, written: Column, path: Column | None = None) -> DataFrame:
-        return df.select("doc_id", "policy_ix", (F.col("path") if path is None else path).alias("path"), F.lit(slot).alias("slot"), written.alias("written")).where(
-            "written is not null and written <> ''"
-        )
+    def uses(df: DataFrame, path: Column, **slots: Column) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(slot).alias("slot"), written.alias("written")) for slot, written in slots.items()])
+        filled = F.filter(each, lambda u: u["written"].isNotNull() & (u["written"] != ""))
+        return df.select("doc_id", "policy_ix", path.alias("path"), F.inline(filled))
 
     parts = [
-        use(policies, "kind", F.col("kind"), at),
-        use(policies, "conflict", F.col("conflict"), at),
-        use(policies, "action", F.col("action"), at),
-        use(rules, "action", F.col("action")),
-        use(constraints, "left", F.col("lft")),
-        use(constraints, "operator", F.col("operator")),
-        use(constraints, "value", F.when(F.col("right_kind") == "iri", F.col("raw"))),
-        use(constraints, "unit", F.col("unit")),
+        uses(policies, at, kind=F.col("kind"), conflict=F.col("conflict"), action=F.col("action")),
+        uses(rules, F.col("path"), action=F.col("action")),
+        uses(constraints, F.col("path"), left=F.col("lft"), operator=F.col("operator"), value=F.when(F.col("right_kind") == "iri", F.col("raw")), unit=F.col("unit")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -50,7 +45,7 @@ def expand_terms(df: DataFrame, prefixes: DataFrame, profiles: DataFrame, col: s
     )
     bound = prefixes.select(F.col("doc_id").alias("d_doc"), F.col("prefix").alias("d_prefix"), F.col("namespace").alias("d_ns"))
     joined = df.join(bound, (F.col("doc_id") == F.col("d_doc")) & has & (head == F.col("d_prefix")), "left").join(
-        F.broadcast(by_profile), has & (head == F.col("p_prefix")), "left"
+        by_profile, has & (head == F.col("p_prefix")), "left"
     )
     whole = (head == "_") | tail.startswith("//")
     by = (
@@ -80,7 +75,7 @@ def first_loaded(terms: DataFrame) -> DataFrame:
 def resolve_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
     """``df`` (iri) with the term that the first profile declares: profile_id, term_kind, term_deprecated."""
     first = first_loaded(terms).select("iri", "profile_id", F.col("kind").alias("term_kind"), F.col("deprecated").alias("term_deprecated"))
-    return df.join(F.broadcast(first), "iri", "left")
+    return df.join(first, "iri", "left")
 
 
 def resolve_odrl(df: DataFrame, odrl: DataFrame, core_only: bool = False) -> DataFrame:
@@ -88,7 +83,7 @@ def resolve_odrl(df: DataFrame, odrl: DataFrame, core_only: bool = False) -> Dat
     table = odrl.where("core") if core_only else odrl
     table = table.select(F.col("iri").alias("o_iri"), F.col("kind").alias("odrl_kind"), F.col("deprecated").alias("odrl_deprecated"))
     spelled = F.when(F.col("iri") == CC + "CommericalUse", CC + "CommercialUse").otherwise(F.col("iri"))
-    return df.join(F.broadcast(table), spelled == F.col("o_iri"), "left").drop("o_iri")
+    return df.join(table, spelled == F.col("o_iri"), "left").drop("o_iri")
 
 
 def covered_profiles(policies: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -98,7 +93,7 @@ def covered_profiles(policies: DataFrame, profiles: DataFrame) -> DataFrame:
     core = (want == ODRL.rstrip("/")) | (want == ODRL + "core")
     return (
         policies.where("profile is not null")
-        .join(F.broadcast(loaded), want == F.col("loaded"), "left")
+        .join(loaded, want == F.col("loaded"), "left")
         .select("doc_id", "policy_ix", "profile", (F.col("loaded").isNotNull() | core).alias("covered"))
     )
 
@@ -109,7 +104,7 @@ def unloaded_imports(imports: DataFrame, profiles: DataFrame) -> DataFrame:
     want = trim_iri(F.col("import_iri"))
     return (
         imports.where((want != ODRL.rstrip("/")) & (want != ODRL + "core"))
-        .join(F.broadcast(loaded), want == F.col("loaded"), "left_anti")
+        .join(loaded, want == F.col("loaded"), "left_anti")
         .select("profile_id", "import_iri")
         .distinct()
     )
@@ -118,23 +113,23 @@ def unloaded_imports(imports: DataFrame, profiles: DataFrame) -> DataFrame:
 def namespace_owner(df: DataFrame, terms: DataFrame) -> DataFrame:
     """``df`` with owner: the first loaded profile with a term in the IRI's namespace, ODRL's own namespace left out."""
     owners = terms.groupBy(namespace(F.col("iri")).alias("ns")).agg(F.min_by("profile_id", "load_order").alias("owner")).where(F.col("ns") != ODRL)
-    return df.join(F.broadcast(owners), namespace(F.col("iri")) == F.col("ns"), "left").drop("ns")
+    return df.join(owners, namespace(F.col("iri")) == F.col("ns"), "left").drop("ns")
 
 
 def term_kinds(df: DataFrame, terms: DataFrame, odrl: DataFrame) -> DataFrame:
     """``df`` (iri) with kinds: over all profiles that declare the term, and ODRL's own; sorted, null if none."""
     spelled = F.when(F.col("iri") == CC + "CommericalUse", CC + "CommercialUse").otherwise(F.col("iri"))
     every = terms.select("iri", "kind").unionByName(odrl.select("iri", "kind")).groupBy("iri").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
-    return df.join(F.broadcast(every.withColumnRenamed("iri", "k_iri")), spelled == F.col("k_iri"), "left").drop("k_iri")
+    return df.join(every.withColumnRenamed("iri", "k_iri"), spelled == F.col("k_iri"), "left").drop("k_iri")
 
 
 def undeclared_profiles(df: DataFrame, policies: DataFrame, terms: DataFrame, profiles: DataFrame) -> DataFrame:
     """``df`` with declares: whether the policy declares one of the profiles that declare the term."""
-    by = terms.join(F.broadcast(profiles.select("profile_id", trim_iri(F.col("iri")).alias("p_iri"))), "profile_id").groupBy(F.col("iri").alias("t_iri")).agg(
+    by = terms.join(profiles.select("profile_id", trim_iri(F.col("iri")).alias("p_iri")), "profile_id").groupBy(F.col("iri").alias("t_iri")).agg(
         F.collect_set("p_iri").alias("declaring")
     )
     own = policies.select(F.col("doc_id").alias("o_doc"), F.col("policy_ix").alias("o_ix"), trim_iri(F.col("profile")).alias("own_profile"))
-    joined = df.join(F.broadcast(by), F.col("iri") == F.col("t_iri"), "left").join(
+    joined = df.join(by, F.col("iri") == F.col("t_iri"), "left").join(
         own, (F.col("doc_id") == F.col("o_doc")) & (F.col("policy_ix") == F.col("o_ix")), "left"
     )
     return joined.withColumn("declares", F.coalesce(F.array_contains("declaring", F.col("own_profile")), F.lit(False))).drop(

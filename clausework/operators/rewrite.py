@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,13 +90,63 @@ def odrl_position(parent: Column, list_: Column) -> Column:
     return F.concat(parent, F.lit("/"), list_).isin([f"{a}/{b}" for a, b in pairs])
 
 
+#: Edits that fill a slot, whatever it holds.
+SETS = ("SetText", "SetChoice", "SetIri")
+
+
 def latest_edits(log: DataFrame) -> DataFrame:
-    """doc_id, slot, value: the last value set in each slot (ops SetText, SetChoice, SetIri), by seq."""
-    sets = log.where(F.col("op").isin("SetText", "SetChoice", "SetIri"))
-    return sets.groupBy("doc_id", "slot").agg(F.max_by("value", "seq").alias("value"), F.count("*").alias("n"))
+    """doc_id, slot, value, n: the last value set in each slot (ops SetText, SetChoice, SetIri), by seq, and how many were; a slot removed last has none."""
+    kept = log.where(F.col("op").isin(*SETS, "Remove"))
+    last = kept.groupBy("doc_id", "slot").agg(F.max_by("value", "seq").alias("value"), F.max_by("op", "seq").alias("op"), F.count_if(F.col("op") != "Remove").alias("n"))
+    return last.where("op <> 'Remove'").drop("op")
+
+
+def apply_edit(version: int, slots: dict[str, str], op: str, slot: str, value: str | None, expect: int | None) -> bool:
+    """Whether a document (its version and slots, which change) takes an edit.
+
+    An edit that expects another version than the document has is refused as
+    stale and changes nothing; Remove empties its slot, Add fills an empty one,
+    the Set ops fill any.  The version is the number of edits taken.
+    """
+    known = slot in slots
+    if (expect is not None and expect != version) or not (op in SETS or (op == "Remove" and known) or (op == "Add" and not known)):
+        return False
+    if op == "Remove":
+        slots.pop(slot)
+    else:
+        slots[slot] = value
+    return True
+
+
+OUTCOME = "doc_id long, seq long, op string, expect long, accepted boolean, before long, version long, slot string, value string"
+
+
+def replay_edits(log: DataFrame) -> DataFrame:
+    """doc_id, seq, op, expect, accepted, before, version, slot, value: the outcome of each edit of a whole log.
+
+    Edits are dealt by document and sorted; a task holds one document's slots at
+    a time, never its edits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, version, slots = None, 0, {}
+        for batch in batches:
+            rows = []
+            for doc_id, seq, op, slot, value, expect in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if doc_id != doc:
+                    doc, version, slots = doc_id, 0, {}
+                before = version
+                ok = apply_edit(version, slots, op, slot, value, expect)
+                version += ok
+                rows.append((doc_id, seq, op, expect, ok, before, version, slot, slots.get(slot)))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in OUTCOME.split(", ")])
+
+    rows = log.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), "op", "slot", "value", F.col("expect").cast("long").alias("expect"))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(run, OUTCOME)
 
 
 def stale_edits(log: DataFrame) -> DataFrame:
-    """Edits that expect a number of earlier edits of their document other than there are: refused as stale."""
-    w = Window.partitionBy("doc_id").orderBy("seq")
-    return log.withColumn("version", F.row_number().over(w) - 1).where("expect is not null and expect <> version").select("doc_id", "seq", "op", "expect", "version")
+    """Edits that expect another version of their document than it has, the number of edits taken before: refused as stale."""
+    return replay_edits(log).where("expect is not null and expect <> before").select("doc_id", "seq", "op", "expect", F.col("before").alias("version"))

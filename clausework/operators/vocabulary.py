@@ -99,7 +99,7 @@ def compact_iris(iris: DataFrame, prefixes: DataFrame) -> DataFrame:
     cand = iris.select("iri", F.explode(cuts).alias("cut")).select(
         "iri", F.substring("iri", F.lit(1), F.col("cut")).alias("namespace"), F.substr("iri", F.col("cut") + 1).alias("rest")
     )
-    hit = cand.where(F.col("rest").rlike("^[A-Za-z0-9_.-]+$")).join(F.broadcast(prefixes.select("prefix", "namespace")), "namespace")
+    hit = cand.where(F.col("rest").rlike("^[A-Za-z0-9_.-]+$")).join(prefixes.select("prefix", "namespace"), "namespace")
     best = hit.groupBy("iri").agg(F.max(F.struct(F.length("namespace").alias("n"), "prefix", "rest")).alias("b"))
     compact = F.when(F.col("iri").startswith(ODRL), F.substr("iri", F.lit(len(ODRL) + 1))).otherwise(F.concat("b.prefix", F.lit(":"), F.col("b.rest")))
     return iris.join(best, "iri", "left").select("iri", compact.alias("compact"))
@@ -114,7 +114,7 @@ def nearest_term(typed: DataFrame, candidates: DataFrame) -> DataFrame:
     limit = F.greatest(F.lit(1), F.floor((F.length("written") + 1) / 3).cast("int"))
     words = typed.select("written").distinct().where(F.length("written").between(2, 64)).withColumn("limit", limit)
     near = words.withColumn("size", F.explode(F.sequence(F.length("written") - F.col("limit"), F.length("written") + F.col("limit"))))
-    met = near.join(F.broadcast(candidates.withColumn("size", F.length("name"))), "size")
+    met = near.join(candidates.withColumn("size", F.length("name")), "size")
     distance = F.levenshtein("written", "name", 64)
     scored = met.withColumn("distance", distance).where((F.col("distance") <= F.col("limit")) & (F.col("distance") < F.length("written")))
     return scored.groupBy("written").agg(F.min(F.struct("distance", "ix", "name")).alias("b")).select("written", F.col("b.name").alias("candidate"), F.col("b.distance").alias("distance"))

@@ -9,30 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from clausework.operators.rewrite import apply_edit
+
 #: Events of the log: doc_id, seq, op, slot, value, expect (number of edits the writer has seen, or null).
-SETS = ("SetText", "SetChoice", "SetIri")
 STATE = "version long, slots map<string,string>"
 OUT = "doc_id long, seq long, accepted boolean, version long, slot string, value string"
 
 
 def reduce_edits(version: int, slots: dict[str, str], edits: list[tuple]) -> tuple[int, dict[str, str], list[tuple]]:
-    """Apply edits (seq, op, slot, value, expect) in order to one document.
+    """Apply edits (seq, op, slot, value, expect) in order to one document, as ``apply_edit`` does.
 
-    An edit that expects another version than the document has is refused as
-    stale and changes nothing; Remove empties its slot, Add fills an empty one,
-    the Set ops fill any.  Returns version, slots and one line for each edit.
+    Returns version, slots and one line for each edit.
     """
     slots = dict(slots)
     out = []
-    for seq, op, slot, value, expect in sorted(edits):
-        known = slot in slots
-        ok = (expect is None or expect == version) and (op in SETS or (op == "Remove" and known) or (op == "Add" and not known))
-        if ok:
-            version += 1
-            if op == "Remove":
-                slots.pop(slot)
-            else:
-                slots[slot] = value
+    for seq, op, slot, value, expect in sorted(edits, key=lambda e: e[0]):
+        ok = apply_edit(version, slots, op, slot, value, expect)
+        version += ok
         out.append((seq, ok, version, slot, slots.get(slot)))
     return version, slots, out
 

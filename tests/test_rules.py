@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausework.model import RULES, Options, odrl_terms
-from clausework.operators import inherit, report, rewrite, structure, vocabulary
+from clausework.operators import hints, inherit, lists, pointers, report, rewrite, structure, vocabulary
 from clausework.sources import flatten
+from clausework.streaming.edits import reduce_edits
 
 
 def test_catalogue_is_whole():
@@ -60,6 +61,86 @@ def test_lineage_with_two_parents_and_a_circle(spark):
     assert {r.policy_ix for r in inherit.on_cycle(links).collect()} == {1, 2, 3, 4}
 
 
+def brute_lineage(edges, start):
+    """Depth first over parents in order, each ancestor at its least path of turns."""
+    out, stack = {}, [((), start, {start})]
+    while stack:
+        path, node, seen = stack.pop()
+        for turn, up in enumerate(sorted({b for a, b in edges if a == node})):
+            if up not in seen:
+                at = (*path, turn)
+                if up not in out or at < out[up]:
+                    out[up] = at
+                    stack.append((at, up, seen | {up}))
+    return sorted(out, key=out.get)
+
+
+def test_lineages_of_diamonds_and_circles(spark):
+    one = [(k, k + 1) for k in range(20)]  # a chain
+    two = [x for k in range(5) for x in ((3 * k, 3 * k + 1), (3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 3), (3 * k + 2, 3 * k + 3))]  # stacked diamonds
+    three = [(0, 1), (1, 2), (2, 0), (3, 1), (4, 4), (5, 4)]  # circles with tails
+    links = spark.createDataFrame([(d, a, b) for d, e in enumerate((one, two, three)) for a, b in e] + [(2, 6, None)], "doc_id long, policy_ix int, parent_ix int").withColumn("parent", F.lit("x"))
+    got = {}
+    for r in inherit.lineages(links).orderBy("doc_id", "policy_ix", "ix").collect():
+        got.setdefault((r.doc_id, r.policy_ix), []).append(r.ancestor_ix)
+    for d, e in ((0, one), (2, three)):
+        for start in {a for a, _ in e}:
+            assert got.get((d, start), []) == brute_lineage(e, start), (d, start)
+    for start in (0, 4, 12):
+        assert sorted(got[1, start]) == sorted(brute_lineage([x for x in two if x[0] >= start], start))
+    assert got[1, 9] == brute_lineage([x for x in two if x[0] >= 9], 9)
+    assert {(r.doc_id, r.policy_ix) for r in inherit.on_cycle(links).collect()} == {(2, 0), (2, 1), (2, 2), (2, 4)}
+
+
+def test_masks_go_down(spark):
+    edges = [(0, 1, 2), (0, 2, 3), (0, 3, 1), (0, 4, 1), (1, 1, 2), (1, 1, 3), (1, 3, 4), (1, 5, 1)]
+    links = spark.createDataFrame([*edges, (0, 3, None)], "doc_id long, policy_ix int, parent_ix int").withColumn("parent", F.lit("x"))
+    own = {(0, 1): 1, (0, 2): 0, (0, 3): 0, (0, 4): 2, (0, 9): 8, (1, 1): 0, (1, 2): 4, (1, 3): 0, (1, 4): 8, (1, 5): 1}
+    rows = [(d, p, *["v" if m >> i & 1 else None for i in range(4)]) for (d, p), m in own.items()]
+    policies = spark.createDataFrame(rows, "doc_id long, policy_ix int, assigner string, assignee string, target string, action string")
+    got = {(r.doc_id, r.policy_ix): r.mask for r in inherit.inherited_mask(policies, links).collect()}
+    assert got == {(0, 1): 17, (0, 2): 17, (0, 3): 17, (0, 4): 19, (0, 9): 8, (1, 1): 12, (1, 2): 4, (1, 3): 8, (1, 4): 8, (1, 5): 13}
+
+
+def test_a_long_circle_and_a_long_list(spark):
+    n = 10_000
+    ring = spark.range(n).select(F.lit(0).cast("long").alias("doc_id"), F.col("id").alias("node"), ((F.col("id") + 1) % n).alias("to"))
+    tail = spark.range(500).select(F.lit(0).cast("long").alias("doc_id"), (F.col("id") + n).alias("node"), (F.col("id") + n - 1).alias("to"))
+    assert pointers.circles(ring.unionByName(tail), "doc_id").agg(F.count("*"), F.max("node")).first()[:] == (n, n - 1)
+    m = 100_000
+    cell = lambda i: F.concat(F.lit("b"), i.cast("string"))
+    first = spark.range(m).select(F.lit(1).alias("graph_id"), cell(F.col("id")).alias("s"), F.lit("rdf:first").alias("p"), F.col("id").cast("string").alias("o_iri"))
+    rest = spark.range(m).select(F.lit(1).alias("graph_id"), cell(F.col("id")).alias("s"), F.lit("rdf:rest").alias("p"), F.when(F.col("id") < m - 1, cell(F.col("id") + 1)).otherwise("b50000").alias("o_iri"))
+    got = lists.walk_lists(first.unionByName(rest))
+    assert got.agg(F.count("*"), F.count_if(F.col("ix") == F.col("item").cast("int")), F.countDistinct("head")).first()[:] == (m, m, 1)
+
+
+@pytest.mark.parametrize(
+    ("value", "low", "high", "outside"),
+    [("0", "1", "100", True), ("101", "1", "100", True), ("50", None, "100", False), ("2030-01-01", "2020-01-01", "2025-01-01", True), ("2020-01-01T10:00:00Z", "2020-01-01", "2025-01-01", False),
+     ("2019-12-31T23:59:59Z", "2020-01-01", None, True), ("5", "2020-01-01", "2021-01-01", False), ("x", "1", "2", False), (None, "1", "2", False), (" 7 ", "1", "6", True), ("2025-01-01", None, "2025-01-01T08:00:00Z", False)],
+)
+def test_bounds(spark, value, low, high, outside):
+    df = spark.createDataFrame([(value, low, high)], "v string, l string, h string")
+    assert df.select(hints.outside_bounds(F.col("v"), F.col("l"), F.col("h"))).first()[0] is outside
+
+
+def test_edits_as_table(spark):
+    log = [(1, 1, "SetText", "a", "x", None), (1, 2, "SetText", "a", "y", 5), (1, 3, "SetText", "a", "z", 1), (1, 4, "Remove", "a", None, None), (1, 5, "Remove", "a", None, None),
+           (1, 6, "Add", "a", "w", 3), (1, 7, "Add", "a", "v", None), (2, 1, "SetIri", "b", None, 0)]
+    df = spark.createDataFrame(log, "doc_id long, seq long, op string, slot string, value string, expect long").repartition(3)
+    got = [(r.doc_id, r.seq, r.accepted, r.version, r.value) for r in rewrite.replay_edits(df).orderBy("doc_id", "seq").collect()]
+    assert got == [(1, 1, True, 1, "x"), (1, 2, False, 1, "x"), (1, 3, True, 2, "z"), (1, 4, True, 3, None), (1, 5, False, 3, None), (1, 6, True, 4, "w"), (1, 7, False, 4, "w"), (2, 1, True, 1, None)]
+    assert [(r.doc_id, r.seq, r.version) for r in rewrite.stale_edits(df).collect()] == [(1, 2, 1)]
+    assert {(r.doc_id, r.slot, r.value, r.n) for r in rewrite.latest_edits(df.where("seq < 6")).collect()} == {(2, "b", None, 1)}
+    assert rewrite.replay_edits(df.where("false")).count() == 0
+    streamed = {}
+    for d in (1, 2):
+        _, _, told = reduce_edits(0, {}, [e[1:] for e in log if e[0] == d])
+        streamed |= {(d, seq): (ok, version, value) for seq, ok, version, _, value in told}
+    assert streamed == {(d, seq): (ok, version, value) for d, seq, ok, version, value in got}
+
+
 def test_rows_order_does_not_matter(spark):
     df = spark.createDataFrame([(0, i, f"policy[{i}]", "r", "error", i % 2 == 0, None) for i in range(40)], "doc_id long, policy_ix int, path string, rule string, severity string, gap boolean, written string")
     a = report.distinct_gaps(df).orderBy("ix").collect()
