@@ -26,11 +26,13 @@ def inherit_links(policies: DataFrame, inherits: DataFrame) -> DataFrame:
     )
 
 
-def _edges(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, child, parent_ix of the documents whose policies have one parent at most, and of the others."""
+def _edges(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, child, parent_ix of the documents whose policies have one parent at most, and of the others (None if there are none)."""
     edges = cut(links.where("parent_ix is not null").select("doc_id", F.col("policy_ix").alias("child"), "parent_ix").distinct(), "edges")
     several = edges.groupBy("doc_id", "child").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
     several = cut(several, "several")
+    if several.isEmpty():
+        return edges, None
     return edges.join(several, "doc_id", "left_anti"), edges.join(several, "doc_id", "left_semi")
 
 
@@ -46,7 +48,7 @@ def lineages(links: DataFrame, cap: int = 20_000) -> DataFrame:
     single, several = _edges(links)
     walked = orbits(_pointers(single), single.select("doc_id", F.col("child").alias("start")), "doc_id").where("at <> start")
     walked = walked.select("doc_id", F.col("start").alias("policy_ix"), F.col("at").alias("ancestor_ix"), F.array("ix").alias("path"))
-    once = walked.unionByName(_least_paths(several))
+    once = walked if several is None else walked.unionByName(_least_paths(several))
     ix = F.row_number().over(Window.partitionBy("doc_id", "policy_ix").orderBy("path")) - 1
     return once.withColumn("ix", ix).where(F.col("ix") < cap).select("doc_id", "policy_ix", "ancestor_ix", "ix")
 
@@ -90,6 +92,8 @@ def on_cycle(links: DataFrame) -> DataFrame:
     """
     single, several = _edges(links)
     found = circles(_pointers(single), "doc_id").select("doc_id", F.col("node").alias("policy_ix"))
+    if several is None:
+        return found
     rest = cut(several, "rest")
     n = rest.count()
     while n:
@@ -122,7 +126,9 @@ def inherited_mask(policies: DataFrame, links: DataFrame) -> DataFrame:
     masks = policies.join(remote, key, "left").select(*key, (own + F.coalesce("remote", F.lit(0))).cast("int").alias("mask"))
     masks = cut(masks, "masks")
     single, several = _edges(links)
-    lent = _doubled_masks(masks, single).unionByName(_stepped_masks(masks, several))
+    lent = _doubled_masks(masks, single)
+    if several is not None:
+        lent = lent.unionByName(_stepped_masks(masks, several))
     return masks.join(lent.withColumnRenamed("mask", "grown"), key, "left").select(*key, F.coalesce("grown", "mask").alias("mask"))
 
 
