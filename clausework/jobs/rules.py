@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -57,7 +58,7 @@ def _hints(c: Corpus) -> DataFrame:
     return hints.hint_findings(_constraints(c), c.hints, c.hint_operators, c.hint_values, c.hint_units)
 
 
-def _findings(c: Corpus, options: Options = Options()) -> DataFrame:  # noqa: B008
+def _findings(c: Corpus, options: Options = Options(), more: Sequence[DataFrame] = ()) -> DataFrame:  # noqa: B008
     no_term = F.lit(None).cast("string").alias("written")
     open_ = F.lit(False).alias("closed")
     gaps = resolve.covered_profiles(c.policies, c.profiles).where("not covered").select(
@@ -69,6 +70,7 @@ def _findings(c: Corpus, options: Options = Options()) -> DataFrame:  # noqa: B0
         terms.select(*KEY, "path", "rule", "written", open_),
         _structural(c).select(*KEY, "path", "rule", no_term, open_),
         _hints(c).select(*KEY, "path", "rule", no_term, "closed"),
+        *more,
     ]
     return report.with_severity(reduce(DataFrame.unionByName, every), report.rule_levels(c.spark, options))
 
@@ -90,6 +92,19 @@ def _nesting(c: Corpus) -> DataFrame:
     )
 
 
+# Heuristics are off unless they are asked for.
+ALL_ON = Options(levels={r: "warning" for r in ("heuristic.ordered-on-unordered", "heuristic.single-child-group", "heuristic.duplicate-action")})
+
+
+def _catalogue(c: Corpus) -> DataFrame:
+    """Findings of all rules on policies: nesting and the heuristics too."""
+    nothing, open_ = F.lit(None).cast("string").alias("written"), F.lit(False).alias("closed")
+    policy = F.regexp_extract("owner", r"[0-9]+", 0).cast("int").alias("policy_ix")
+    twice = _duplicates(c).select("doc_id", policy, F.col("owner").alias("path"), F.lit("heuristic.duplicate-action").alias("rule"), F.col("iri").alias("written"), open_)
+    more = [found.select(*KEY, "path", "rule", nothing, open_) for found in (_nesting(c), structure.heuristic_findings(c.constraints))]
+    return _findings(c, ALL_ON, [*more, twice])
+
+
 def _tiers(c: Corpus, options: Options) -> DataFrame:
     """The tiers in force, with the number of findings of each."""
     found = _findings(c, options).groupBy("tier").agg(F.count("*").alias("n"))
@@ -98,6 +113,7 @@ def _tiers(c: Corpus, options: Options) -> DataFrame:
 
 QUERIES = {
     "policy_verdicts": lambda c: report.verdicts(_findings(c), c.policies, KEY),
+    "r1_catalogue_verdicts": lambda c: report.verdicts(_catalogue(c), c.policies, KEY),
     "structural_rules": _structural,
     "c7_inherit_links": _links,
     "g4_lineages": lambda c: inherit.lineages(_links(c)),
@@ -205,7 +221,7 @@ hinted AS (
 M = _merged()
 
 
-def _all_findings(options: Options = Options()) -> str:  # noqa: B008
+def _all_findings(options: Options = Options(), more: str = "") -> str:  # noqa: B008
     judged = TERM_ORACLES["profile_rules"][len(BASE) :]
     tables = judged[: judged.rindex("SELECT doc_id, policy_ix, path, slot, rule, written FROM judged")]
     levels = ", ".join(
@@ -218,15 +234,28 @@ findings AS (SELECT f.*, l.severity, l.gap FROM (
     UNION ALL SELECT doc_id, policy_ix, path, 'profile.deprecated-term', written, false FROM wide WHERE term_deprecated
     UNION ALL SELECT doc_id, policy_ix, concat('policy[', policy_ix, ']'), 'profile.not-loaded', profile, false FROM policies JOIN gaps USING (doc_id, policy_ix)
     UNION ALL SELECT doc_id, policy_ix, path, rule, NULL, false FROM structural
-    UNION ALL SELECT doc_id, policy_ix, path, rule, NULL, closed FROM hinted) f JOIN levels l USING (rule, closed) WHERE severity <> 'off'),
+    UNION ALL SELECT doc_id, policy_ix, path, rule, NULL, closed FROM hinted{more}) f JOIN levels l USING (rule, closed) WHERE severity <> 'off'),
 judgement AS (SELECT doc_id, policy_ix, CASE WHEN coalesce(bool_or(severity = 'error' AND NOT gap), false) THEN 'violations' WHEN coalesce(bool_or(gap), false) THEN 'incomplete' ELSE 'conforms' END AS verdict,
     count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info
   FROM policies LEFT JOIN findings USING (doc_id, policy_ix) GROUP BY doc_id, policy_ix)"""
 
 
+# The SQL of single rules; a backslash stands for itself.
+HEURISTIC = r"""SELECT doc_id, policy_ix, path, 'heuristic.ordered-on-unordered' AS rule FROM hc WHERE op IN ('gt', 'gteq', 'lt', 'lteq') AND right_kind = 'iri'
+      UNION ALL SELECT doc_id, policy_ix, regexp_replace(path, '\.child\[[0-9]+\]$', ''), 'heuristic.single-child-group' FROM constraints WHERE logical_op IS NOT NULL GROUP BY ALL HAVING count(*) = 1"""
+DUPLICATE = """SELECT r.doc_id, concat('policy[', r.policy_ix, ']') AS owner, r.rule_ix AS ix, r.action AS iri, bool_or(r.target IS NOT DISTINCT FROM b.target) AS removable
+      FROM rules r JOIN rules b ON b.doc_id = r.doc_id AND b.policy_ix = r.policy_ix AND b.action = r.action AND b.rule_ix < r.rule_ix GROUP BY ALL"""
+NESTING = """SELECT DISTINCT c.doc_id, c.policy_ix, concat('policy[', a.policy_ix, '].rule[', a.rule_ix, ']') AS path, 'odrl.consequence-nesting' AS rule
+      FROM (SELECT doc_id, policy_ix, rule_ix, ['duty', 'consequence', 'remedy', 'consequence'][rule_ix % 4 + 1] AS list FROM rules) c
+  JOIN (SELECT doc_id, policy_ix, rule_ix, ['duty', 'consequence', 'remedy', 'consequence'][rule_ix % 4 + 1] AS list FROM rules) a ON a.doc_id = c.doc_id AND a.policy_ix = c.policy_ix AND a.rule_ix = c.rule_ix - 1 WHERE c.list = 'consequence' AND a.list IN ('consequence', 'remedy')"""
+MORE = f"""
+    UNION ALL SELECT doc_id, policy_ix, path, rule, NULL, false FROM ({HEURISTIC})
+    UNION ALL SELECT doc_id, policy_ix, path, rule, NULL, false FROM ({NESTING})
+    UNION ALL SELECT doc_id, CAST(regexp_extract(owner, '[0-9]+') AS INT), owner, 'heuristic.duplicate-action', iri, false FROM ({DUPLICATE})"""
 FOUND = _all_findings()
 ORACLES = {
     "policy_verdicts": f"{FOUND} SELECT * FROM judgement",
+    "r1_catalogue_verdicts": f"{_all_findings(ALL_ON, MORE)} SELECT * FROM judgement",
     "structural_rules": f"{M} SELECT * FROM structural",
     "c7_inherit_links": f"{M} SELECT * FROM links_in",
     "g4_lineages": f"{M} SELECT doc_id, policy_ix, ancestor_ix, ix FROM walk",
@@ -245,13 +274,9 @@ ORACLES = {
     "c15_out_of_bounds": f"{M} SELECT doc_id, policy_ix, path, raw FROM hw WHERE right_kind = 'literal' AND {OUTSIDE}",
     "c16_pattern_mismatch": f"{M} SELECT doc_id, policy_ix, path, raw FROM hw WHERE right_kind = 'literal' AND pattern IS NOT NULL AND NOT regexp_matches(raw, pattern)",
     "d14_expected_values": f"{ctes('hint_values')} SELECT left_iri, string_agg(value, ',' ORDER BY ix) FILTER (ix < 2) AS values, CASE WHEN count(*) > 2 THEN count(*)::INT END AS total FROM hint_values GROUP BY left_iri",
-    "heuristic_rules": f"""{M} SELECT doc_id, policy_ix, path, 'heuristic.ordered-on-unordered' AS rule FROM hc WHERE op IN ('gt', 'gteq', 'lt', 'lteq') AND right_kind = 'iri'
-      UNION ALL SELECT doc_id, policy_ix, regexp_replace(path, '\\.child\\[[0-9]+\\]$', ''), 'heuristic.single-child-group' FROM constraints WHERE logical_op IS NOT NULL GROUP BY ALL HAVING count(*) = 1""",
-    "e8_duplicate_actions": f"""{M} SELECT r.doc_id, concat('policy[', r.policy_ix, ']') AS owner, r.rule_ix AS ix, r.action AS iri, bool_or(r.target IS NOT DISTINCT FROM b.target) AS removable
-      FROM rules r JOIN rules b ON b.doc_id = r.doc_id AND b.policy_ix = r.policy_ix AND b.action = r.action AND b.rule_ix < r.rule_ix GROUP BY ALL""",
-    "consequence_nesting": f"""{M}, nested AS (SELECT doc_id, policy_ix, rule_ix, ['duty', 'consequence', 'remedy', 'consequence'][rule_ix % 4 + 1] AS list FROM rules)
-      SELECT DISTINCT c.doc_id, c.policy_ix, concat('policy[', a.policy_ix, '].rule[', a.rule_ix, ']') AS path, 'odrl.consequence-nesting' AS rule
-      FROM nested c JOIN nested a ON a.doc_id = c.doc_id AND a.policy_ix = c.policy_ix AND a.rule_ix = c.rule_ix - 1 WHERE c.list = 'consequence' AND a.list IN ('consequence', 'remedy')""",
+    "heuristic_rules": f"{M} {HEURISTIC}",
+    "e8_duplicate_actions": f"{M} {DUPLICATE}",
+    "consequence_nesting": f"{M} {NESTING}",
     "d7_distinct_gaps": f"""{FOUND}, g AS (SELECT doc_id, rule, coalesce(written, path) AS detail, policy_ix, path,
         row_number() OVER (PARTITION BY doc_id, rule, coalesce(written, path) ORDER BY policy_ix, path) AS rn FROM findings WHERE gap)
       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY policy_ix, path, rule, detail) - 1 AS ix, rule, detail FROM g WHERE rn = 1""",
