@@ -9,7 +9,8 @@ from clausework.corpus import Corpus, ctes
 from clausework.functions import names
 from clausework.jobs.rules import M
 from clausework.model import FEATURES, OPERAND_PHRASES
-from clausework.operators import catalog, prose, resolve
+from clausework.operators import catalog, inherit, prose, resolve
+from clausework.sources.shared import cut
 
 KEY = ["doc_id", "policy_ix"]
 
@@ -55,6 +56,41 @@ def _sentences(c: Corpus) -> DataFrame:
     return parts.select(*KEY, "path", prose.rule_sentence(F.col("list"), F.col("assigner"), F.col("assignee"), F.col("target"), F.col("action")).alias("sentence"))
 
 
+# Parties with a function of their own: every line's part is one, every third has two, every fourth a contractor.
+PARTIES = """
+SELECT doc_id, policy_ix, rule_ix, CASE l_partkey % 5 WHEN 0 THEN 'attributedParty' WHEN 1 THEN 'compensatedParty' WHEN 2 THEN 'informedParty' WHEN 3 THEN 'contractedParty' ELSE 'trackingParty' END AS function,
+  0 AS ord, concat('p', cast(l_partkey AS string)) AS name, l_partkey % 10 = 1 AS refined FROM {lines}
+UNION ALL SELECT doc_id, policy_ix, rule_ix, CASE l_partkey % 5 WHEN 0 THEN 'attributedParty' WHEN 1 THEN 'compensatedParty' WHEN 2 THEN 'informedParty' WHEN 3 THEN 'contractedParty' ELSE 'trackingParty' END, 1, 'x', false FROM {lines} WHERE l_partkey % 3 = 0
+UNION ALL SELECT doc_id, policy_ix, rule_ix, 'contractedParty', 2, 'y', false FROM {lines} WHERE l_partkey % 4 = 0
+"""
+VERBS = """
+SELECT doc_id, policy_ix, rule_ix, l_partkey, CASE WHEN l_partkey % 7 = 0 THEN 'use' ELSE CASE l_partkey % 5 WHEN 0 THEN 'attribute' WHEN 1 THEN 'compensate' WHEN 2 THEN 'inform' WHEN 3 THEN 'use' ELSE 'acceptTracking' END END AS verb,
+  CASE WHEN l_partkey % 6 = 0 THEN '' ELSE concat(' t', cast(l_suppkey AS string)) END AS about FROM {lines}
+"""
+
+
+def _party_functions(c: Corpus) -> DataFrame:
+    rules = c.spark.sql(VERBS, lines=c.lines).select(*KEY, "rule_ix", "verb", F.col("verb").alias("does"), F.col("about").alias("on"))
+    return prose.party_functions(rules, c.spark.sql(PARTIES, lines=c.lines), [*KEY, "rule_ix"])
+
+
+def _notes(c: Corpus) -> DataFrame:
+    """Policies with their parents, the rules they have or inherit and the ancestors that are not there."""
+    links = cut(inherit.inherit_links(c.policies, c.inherits), "links")
+    above = cut(inherit.lineages(links), "above").select(*KEY, F.col("ancestor_ix").alias("at"))
+    reach = c.policies.select(*KEY, F.col("policy_ix").alias("at")).unionByName(above)
+    own = c.rules.groupBy("doc_id", F.col("policy_ix").alias("at")).agg(F.count("*").alias("n"))
+    counts = reach.join(own, ["doc_id", "at"]).groupBy(*KEY).agg(F.sum("n").alias("n_rules"))
+    gone = links.where("parent_ix is null").select("doc_id", F.col("policy_ix").alias("at"), F.col("parent").alias("name"))
+    missing = reach.join(gone, ["doc_id", "at"]).groupBy(*KEY).agg(F.sort_array(F.collect_set("name")).alias("missing"), F.bool_and(F.col("at") == F.col("policy_ix")).alias("missing_are_parents"))
+    parents = c.inherits.groupBy(*KEY).agg(F.sort_array(F.collect_list("parent")).alias("parents"))
+    none = F.array().cast("array<string>")
+    known = c.policies.select(*KEY, "profile", "conflict").join(counts, KEY, "left").join(missing, KEY, "left").join(parents, KEY, "left")
+    return prose.policy_notes(
+        known.select(*KEY, none.alias("metadata"), F.array_compact(F.array("profile")).alias("profiles"), "conflict", F.coalesce("parents", none).alias("parents"),
+                     F.coalesce("n_rules", F.lit(0)).alias("n_rules"), F.coalesce("missing", none).alias("missing"), "missing_are_parents"), KEY)
+
+
 def _durations(c: Corpus) -> DataFrame:
     """Durations made of line quantities, right and wrong ones."""
     q = (F.col("l_quantity").cast("int")).cast("string")
@@ -101,6 +137,8 @@ def _links(c: Corpus) -> DataFrame:
 QUERIES = {
     "p1_policy_intro": _intro,
     "p4_effective_parts": lambda c: prose.effective_parts(c.rules, c.policies).select(*KEY, "path", "assigner", "assignee", "target", "action"),
+    "p2_policy_notes": _notes,
+    "p5_party_functions": _party_functions,
     "p6_rule_sentences": _sentences,
     "p7_constraint_text": lambda c: _texts(c).select(*KEY, "path", "text"),
     "p8_follow_up_labels": lambda c: c.rules.select("list").distinct().join(
@@ -175,6 +213,22 @@ ORACLES = {
       CASE WHEN kind = 'Offer' THEN coalesce(', addressed to ' || assignee, '') WHEN assigner IS NOT NULL AND assignee IS NOT NULL THEN ' between ' || assigner || ' (assigner) and ' || assignee || ' (assignee)'
         WHEN assigner IS NOT NULL THEN ' from ' || assigner || ' (assigner)' WHEN assignee IS NOT NULL THEN ' for ' || assignee || ' (assignee)' ELSE '' END || '.' AS intro FROM policies""",
     "p4_effective_parts": f"{PARTS} SELECT doc_id, policy_ix, path, assigner, assignee, target, action FROM parts",
+    "p2_policy_notes": f"""{M}, reach AS (SELECT doc_id, policy_ix, policy_ix AS at_ix FROM policies UNION ALL SELECT doc_id, policy_ix, ancestor_ix FROM (SELECT DISTINCT doc_id, policy_ix, ancestor_ix FROM walk)),
+      n AS (SELECT x.doc_id, x.policy_ix, count(r.rule_ix) AS n FROM reach x LEFT JOIN rules r ON r.doc_id = x.doc_id AND r.policy_ix = x.at_ix GROUP BY ALL),
+      gone AS (SELECT x.doc_id, x.policy_ix, bool_and(x.at_ix = x.policy_ix) AS near FROM reach x JOIN links_in l ON l.doc_id = x.doc_id AND l.policy_ix = x.at_ix WHERE l.parent_ix IS NULL GROUP BY ALL),
+      every AS (SELECT doc_id, policy_ix, 0 AS k, 'Written to the profile ' || profile || '.' AS note FROM policies
+        UNION ALL SELECT doc_id, policy_ix, 1, CASE conflict WHEN 'perm' THEN 'If a permission and a prohibition conflict, the permission wins.' WHEN 'prohibit' THEN 'If a permission and a prohibition conflict, the prohibition wins.' WHEN 'ex:newest' THEN 'Conflicts are resolved by the strategy newest.' END FROM policies
+        UNION ALL SELECT i.doc_id, i.policy_ix, 2, CASE WHEN n > 0 THEN 'Inherits the rules of ' || i.parent || '.' WHEN near IS NOT NULL THEN 'All of its rules come from the ' || CASE WHEN near THEN 'parent' ELSE 'ancestor' END || ' policy urn:policy:none, which is not in this document.'
+          ELSE 'Inherits the rules of ' || i.parent || ', but no rule comes from there.' END FROM inherits i JOIN n USING (doc_id, policy_ix) LEFT JOIN gone USING (doc_id, policy_ix))
+      SELECT doc_id, policy_ix, row_number() OVER (PARTITION BY doc_id, policy_ix ORDER BY k) - 1 AS ix, note FROM every WHERE note IS NOT NULL""",
+    "p5_party_functions": f"""{ctes("lines")}, v AS ({VERBS.format(lines="lines")}),
+      t AS (SELECT *, l_partkey % 5 AS f, 'p' || l_partkey || CASE WHEN l_partkey % 5 = 3 AND l_partkey % 3 = 0 AND l_partkey % 4 = 0 THEN ', x and y' WHEN l_partkey % 3 = 0 THEN ' and x' WHEN l_partkey % 5 = 3 AND l_partkey % 4 = 0 THEN ' and y' ELSE '' END AS names FROM v),
+      w AS (SELECT *, verb <> 'use' AS spoken, CASE WHEN l_partkey % 4 = 0 AND f <> 3 THEN 'contracted party: y' END AS other,
+        CASE f WHEN 0 THEN 'attributed party' WHEN 1 THEN 'compensated party' WHEN 2 THEN 'informed party' WHEN 3 THEN 'contracted party' ELSE 'tracking party' END || ': ' || names AS mine FROM t),
+      a AS (SELECT *, CASE WHEN spoken THEN coalesce(' (' || other || ')', '') WHEN f IN (0, 1) THEN ' (' || mine || coalesce('; ' || other, '') || ')' ELSE ' (' || coalesce(other || '; ', '') || mine || ')' END AS aside FROM w)
+      SELECT doc_id, policy_ix, rule_ix, verb, CASE WHEN spoken AND f IN (1, 2) AND NOT (l_partkey % 10 = 1 AND about <> '') THEN verb || ' ' || names ELSE verb END AS does,
+        CASE WHEN NOT spoken THEN about WHEN f = 0 THEN CASE WHEN about = '' THEN ' the asset' ELSE about END || ' to ' || names WHEN f = 4 THEN about || ' by ' || names WHEN about = '' THEN ''
+          WHEN l_partkey % 10 = 1 THEN ', for' || about || ', ' || names ELSE CASE f WHEN 1 THEN ' for' ELSE ' about' END || about END || aside AS "on" FROM a""",
     "p6_rule_sentences": f"""{PARTS} SELECT doc_id, policy_ix, path, CASE list WHEN 'permission' THEN coalesce(assignee, 'Anyone') || ' may ' WHEN 'prohibition' THEN coalesce(assignee || ' must not ', 'No one may ')
       ELSE coalesce(assignee, 'The assignee') || ' must ' END || coalesce(CASE action WHEN 'odrl:distribute' THEN 'distribute' WHEN 'ex:train' THEN 'train' WHEN 'ex:distil' THEN 'distil' WHEN 'foo:bar' THEN 'bar' ELSE action END,
       'perform an unspecified action on') || coalesce(' ' || target, CASE WHEN list = 'obligation' THEN '' ELSE ' an unspecified asset' END)

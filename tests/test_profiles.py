@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from clausework.functions import texts
-from clausework.operators import profiles, structure
+from clausework.operators import profiles, prose, structure
 
 TRIPLE = "graph_id string, seq long, s string, p string, o_iri string, o_value string, o_lang string"
 
@@ -106,3 +106,29 @@ def test_duplicate_actions(spark):
     df = spark.createDataFrame(rows, "doc_id long, owner string, ix int, iri string, refinements string")
     got = sorted((r.ix, r.removable) for r in structure.duplicate_actions(df).collect())
     assert got == [(1, False), (2, True), (3, False), (4, True)]
+
+
+def test_sentences_of_several_parties(spark):
+    df = spark.createDataFrame([("permission", ["a", "b"], ["c", "d", "e"]), ("prohibition", ["a"], []), ("obligation", [], [])], "k string, by array<string>, to array<string>")
+    got = [r[0] for r in df.select(prose.parties_sentence(F.col("k"), F.col("by"), F.col("to"), F.lit("use"), F.lit(" t"))).collect()]
+    assert got == ["c, d and e may use t, as permitted by the assigners a and b.", "No one may use t, as prohibited by the assigner a.", "The assignee must use t."]
+
+
+def test_notes_without_rules(spark):
+    rows = [
+        (0, ["Summary: x."], ["P", "Q"], "odrl:invalid", ["a", "b"], 0, ["a", "b"], True),
+        (1, [], [], None, ["a"], 0, ["z"], False),
+        (2, [], [], "ex:newest", ["a"], 0, [], None),
+        (3, [], [], None, [], 0, [], None),
+    ]
+    df = spark.createDataFrame(rows, "id int, metadata array<string>, profiles array<string>, conflict string, parents array<string>, n_rules long, missing array<string>, missing_are_parents boolean")
+    got = [(r.id, r.note) for r in prose.policy_notes(df, ["id"]).orderBy("id", "ix").collect()]
+    assert got == [
+        (0, "Summary: x."),
+        (0, "Written to the profile P and Q."),
+        (0, "If a permission and a prohibition conflict, the whole policy is void."),
+        (0, "All of its rules come from the parent policies a and b, which are not in this document."),
+        (1, "All of its rules come from the ancestor policy z, which is not in this document."),
+        (2, "Conflicts are resolved by the strategy newest."),
+        (2, "Inherits the rules of a, but no rule comes from there."),
+    ]
