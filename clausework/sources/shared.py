@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back; loops don't grow their plan.
 
-    Where the setting is absent (tests on one machine) a temporary folder is used.
+    Where the setting is absent, a session on one machine (tests) uses a temporary
+    folder; on a cluster that is an error, as executors don't see the driver's folders.
     """
     context = df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_clausework_tables", None)
+    if folder is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if folder is None:
         folder = context._clausework_tables = "file://" + tempfile.mkdtemp(prefix="clausework-")
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
