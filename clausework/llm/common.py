@@ -27,9 +27,12 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine) a temporary folder is used.
+    Where it is unset, a session on one machine (tests) uses a temporary folder;
+    on a cluster that is an error, as executors don't see the driver's folders.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if folder is None:
         folder = getattr(spark.sparkContext, "_clausework_dir", None)
         if folder is None:
