@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from clausework.corpus import Corpus, ctes
 from clausework.functions import texts
 from clausework.model import ODRL
-from clausework.operators import profiles
+from clausework.operators import profiles, rewrite, vocabulary
+from clausework.sources import flatten
 
 # A graph for each supplier: its header; parts are the terms, dealt over a hundred graphs. Both engines read this text.
 PROFILE_TRIPLES = """
@@ -40,6 +41,17 @@ SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'timestamp' WHEN 1 THEN 'odrl
   o_orderstatus = 'F' AS agreement, CASE WHEN o_orderkey % 13 = 0 THEN '  ' WHEN o_orderkey % 7 IN (0, 2, 4) THEN concat(' ', substring(cast(o_orderdate AS string), 1, 10)) WHEN o_orderkey % 2 = 0 THEN concat(o_orderpriority, '!') ELSE o_orderpriority END AS value,
   CASE WHEN o_orderkey % 3 = 0 THEN 'en' END AS lang FROM {{orders}}
 """
+LABELS = """
+SELECT concat('urn:part:', cast(p_partkey AS string)) AS s, 'rdfs:label' AS p, CASE WHEN p_partkey % 13 = 0 THEN ' ' ELSE concat(' ', p_name) END AS text,
+  CASE p_partkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'en-GB' WHEN 4 THEN 'fr-CH' END AS lang, 0 AS ix FROM {part}
+UNION ALL SELECT concat('urn:part:', cast(p_partkey AS string)), 'rdfs:label', concat('U ', p_name), NULL, 1 FROM {part} WHERE p_partkey % 3 = 0 AND p_partkey % 13 <> 0
+UNION ALL SELECT concat('urn:part:', cast(p_partkey AS string)), 'dct:title', p_brand, 'fr', 2 FROM {part}
+"""
+# A document for each customer's orders: contexts by reference, by import, in a graph, and further down.
+CONTEXT_DOCS = """
+SELECT o_orderkey AS doc_id, concat('{{"@context": ["http://www.w3.org/ns/odrl.jsonld/", "https://example.org/c', cast(o_custkey % 9 AS string), '"], "@graph": [{{"@context": {{"@import": "https://example.org/i',
+  cast(o_custkey % 4 AS string), '", "@context": 1}}, "uid": "urn:x", "permission": [{{"action": {{"@value": {{"@context": "data"}}}}', CASE WHEN o_orderkey % 5 = 0 THEN ', "@context": "https://example.org/below"' ELSE '' END, '}}]}}]}}') AS text FROM {orders}
+"""
 
 
 def _triples(c: Corpus) -> DataFrame:
@@ -73,6 +85,8 @@ QUERIES = {
     "u4_same_shapes": lambda c: profiles.same_shapes(_items(c), _items(c).where("ix % 2 = 0")),
     "u5_widened_values": lambda c: profiles.widened_values(_items(c).where("p_size % 2 = 0"), _items(c).where("p_size % 7 = 0 and left_iri <> 'Brand#2'")),
     "f2_picker_order": _picker,
+    "e4_node_labels": lambda c: vocabulary.node_label(c.spark.sql(LABELS, part=c.part), ["s"], ["fr"]),
+    "b8_unread_contexts": lambda c: rewrite.unread_contexts(flatten.flatten(c.spark.sql(CONTEXT_DOCS, orders=c.orders))),
     "h14_metadata_notes": _notes,
     "h16_plain_text": lambda c: c.pages.select("page_id", texts.plain(F.col("html")).alias("text"), texts.plain(F.col("html"), profiles.LABEL_CHARS).alias("label")),
     "h24_safe_text": lambda c: c.documents.select("doc_id", texts.safe_text(F.col("text")).alias("shown")),
@@ -105,6 +119,9 @@ ORACLES = {
     "u5_widened_values": f"""{ITEMS}, b AS (SELECT left_iri, value FROM items WHERE p_size % 7 = 0 AND left_iri <> 'Brand#2') SELECT left_iri, value FROM items WHERE p_size % 2 = 0 AND left_iri IN (SELECT left_iri FROM b) EXCEPT SELECT * FROM b""",
     "f2_picker_order": """SELECT 'urn:part:' || p_partkey AS iri, CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) ELSE p_name END AS label, (p_partkey % 10 <> 0)::INT AS grp,
       CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_type || '/' || p_brand || '/' END || 'urn:part:' || p_partkey AS path FROM part WHERE p_partkey % 10 = 0 OR p_size % 9 <> 0""",
+    "e4_node_labels": """SELECT 'urn:part:' || p_partkey AS s, CASE WHEN p_partkey % 5 IN (3, 4) OR p_partkey % 3 <> 0 THEN p_name ELSE 'U ' || p_name END AS label FROM part WHERE p_partkey % 13 <> 0""",
+    "b8_unread_contexts": """SELECT o_orderkey AS doc_id, 'remote' AS form, 'https://example.org/c' || o_custkey % 9 AS iri FROM orders UNION SELECT o_orderkey, 'remote', 'https://example.org/i' || o_custkey % 4 FROM orders
+      UNION SELECT o_orderkey, 'nested', NULL FROM orders WHERE o_orderkey % 5 = 0""",
     "h14_metadata_notes": f"""WITH n AS ({NOTES.format(orders="orders")}), t AS (SELECT *, CASE WHEN key = 'ex:summary' THEN NULL WHEN key LIKE '%timestamp' THEN 'timestamp' ELSE 'summary' END AS term, trim(value) AS v FROM n)
       SELECT o_orderkey, term, CASE WHEN v = '' OR term IS NULL THEN NULL WHEN term = 'timestamp' THEN CASE WHEN agreement THEN 'Agreed on ' ELSE 'Issued on ' END || v || '.'
         ELSE 'Summary' || CASE WHEN lang IS NULL THEN '' ELSE ' (' || lang || ')' END || ': ' || v || CASE WHEN v LIKE '%!' THEN '' ELSE '.' END END AS note FROM t""",

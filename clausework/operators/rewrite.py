@@ -150,3 +150,25 @@ def replay_edits(log: DataFrame) -> DataFrame:
 def stale_edits(log: DataFrame) -> DataFrame:
     """Edits that expect another version of their document than it has, the number of edits taken before: refused as stale."""
     return replay_edits(log).where("expect is not null and expect <> before").select("doc_id", "seq", "op", "expect", F.col("before").alias("version"))
+
+
+# The contexts whose terms are known without reading them.
+KNOWN_CONTEXTS = ("http://www.w3.org/ns/odrl.jsonld", "https://www.w3.org/ns/odrl.jsonld")
+#: The path of a node whose context is applied: a document, an entry of a list of documents, an entry of a graph.
+APPLIED = r"(?:\[[0-9]+\])*(?:\.?@graph(?:\[[0-9]+\])*)?"
+
+
+def unread_contexts(rows: DataFrame) -> DataFrame:
+    """doc_id, form, iri: contexts of flattened documents that are not applied, each once.
+
+    ``remote``: a context by reference, or one that imports another, on a node whose context is applied;
+    ``nested`` (iri null): any context further down.  What stands below ``@value`` is data.
+    """
+    named = rows.where("kind = 'string'")
+    listed = named.where(F.col("path").rlike(rf"^{APPLIED}\.?@context(?:\[[0-9]+\])?$") & ~F.regexp_replace("value", "/+$", "").isin(*KNOWN_CONTEXTS))
+    imported = named.where(F.col("path").rlike(rf"^{APPLIED}\.?@context(?:\[[0-9]+\])?\.@import$"))
+    remote = listed.unionByName(imported).select("doc_id", F.lit("remote").alias("form"), F.col("value").alias("iri"))
+    inside = F.col("parent").rlike(r"(^|\.)@(context|value)($|[.\[])")
+    own = (F.col("key") == "@context") & F.col("path").rlike("(^|[.])@context$")
+    nested = rows.where(own & ~inside & ~F.col("parent").rlike(f"^{APPLIED}$")).select("doc_id", F.lit("nested").alias("form"), F.lit(None).cast("string").alias("iri"))
+    return remote.unionByName(nested).distinct()

@@ -10,9 +10,10 @@ from clausework.model import ODRL
 from clausework.sources.shared import cut
 
 
-def best_language(texts: DataFrame, key: list[str], languages: list[str]) -> DataFrame:
+def best_language(texts: DataFrame, key: list[str], languages: list[str], untagged_first: bool = False) -> DataFrame:
     """key, text: by preference the exact tag, then the tag shortened subtag by subtag, then any tag of
-    its language; then English, untagged, first (ix)."""
+    its language; then English, untagged, first (ix).  With ``untagged_first``, untagged stands before
+    English, and any English tag counts."""
     ranges: list[tuple[int, str, bool]] = []
     for tag in languages:
         parts = tag.lower().split("-")
@@ -23,7 +24,10 @@ def best_language(texts: DataFrame, key: list[str], languages: list[str]) -> Dat
     for i, (_, r, primary) in enumerate(ranges):
         rank = rank.when(F.substring_index(tag, "-", 1) == r if primary else tag == r, i)
     n = len(ranges)
-    rank = rank.when(tag == "en", n).when(tag == "", n + 1).otherwise(n + 2)
+    if untagged_first:
+        rank = rank.when(tag == "", n).when(tag == "en", n + 1).when(F.substring_index(tag, "-", 1) == "en", n + 2).otherwise(n + 3)
+    else:
+        rank = rank.when(tag == "en", n).when(tag == "", n + 1).otherwise(n + 2)
     return texts.withColumn("rank", rank).groupBy(*key).agg(F.min_by("text", F.struct("rank", "ix")).alias("text"))
 
 
@@ -35,6 +39,16 @@ def fallback_text(texts: DataFrame, key: list[str], chain: list[str]) -> DataFra
     return ranked.join(least, key).where("pred_rank = least").drop("pred_rank", "least")
 
 
+# The properties that name a node, the most preferred first.
+LABEL_PROPERTIES = ("rdfs:label", "skos:prefLabel", "dct:title", "schema:name")
+
+
+def node_label(texts: DataFrame, key: list[str], languages: list[str]) -> DataFrame:
+    """key, label: of a node's most preferred label property the best text; a node whose texts there are blank has none."""
+    first = fallback_text(texts, key, list(LABEL_PROPERTIES)).withColumn("text", F.trim("text")).where("text <> ''")
+    return best_language(first, key, languages, untagged_first=True).withColumnRenamed("text", "label")
+
+
 def descendants(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
     """root, iri, depth: what lies below each root along edges (child, parent), each once at its least depth.
 

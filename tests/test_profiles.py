@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from clausework.functions import texts
-from clausework.operators import profiles, prose, structure
+from clausework.operators import profiles, prose, rewrite, structure, vocabulary
+from clausework.sources import flatten
 
 TRIPLE = "graph_id string, seq long, s string, p string, o_iri string, o_value string, o_lang string"
 
@@ -132,3 +133,22 @@ def test_notes_without_rules(spark):
         (2, "Conflicts are resolved by the strategy newest."),
         (2, "Inherits the rules of a, but no rule comes from there."),
     ]
+
+
+def test_labels(spark):
+    rows = [("a", "rdfs:label", " ", "en", 0), ("a", "dct:title", "t", "en", 1), ("b", "skos:prefLabel", "de", "de", 0), ("b", "skos:prefLabel", "gb", "en-GB", 1), ("c", "schema:name", "n ", "it", 0), ("d", "ex:x", "x", None, 0)]
+    df = spark.createDataFrame(rows, "s string, p string, text string, lang string, ix int")
+    assert {tuple(r) for r in vocabulary.node_label(df, ["s"], ["fr"]).collect()} == {("b", "gb"), ("c", "n")}
+
+
+def test_unread_contexts(spark):
+    docs = [
+        (1, '{"@context": "http://www.w3.org/ns/odrl.jsonld", "permission": {"target": 1}}'),
+        (2, '[{"@context": ["x", {"@import": "y", "z": {"@context": "scoped"}}, "x"]}, {"@graph": {"@context": "g", "a": {"@context": {}}, "b": {"@context": null}}}]'),
+        (3, '{"@value": {"@context": "data"}, "@graph": [{"@graph": {"@context": "deep"}}]}'),
+        (4, "no json"),
+        (5, None),
+    ]
+    rows = flatten.flatten(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {tuple(r) for r in rewrite.unread_contexts(rows).collect()}
+    assert got == {(2, "remote", "x"), (2, "remote", "y"), (2, "remote", "g"), (2, "nested", None), (3, "nested", None)}
