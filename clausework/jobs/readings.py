@@ -215,10 +215,10 @@ ORACLES = {
     "p4_effective_parts": f"{PARTS} SELECT doc_id, policy_ix, path, assigner, assignee, target, action FROM parts",
     "p2_policy_notes": f"""{M}, reach AS (SELECT doc_id, policy_ix, policy_ix AS at_ix FROM policies UNION ALL SELECT doc_id, policy_ix, ancestor_ix FROM (SELECT DISTINCT doc_id, policy_ix, ancestor_ix FROM walk)),
       n AS (SELECT x.doc_id, x.policy_ix, count(r.rule_ix) AS n FROM reach x LEFT JOIN rules r ON r.doc_id = x.doc_id AND r.policy_ix = x.at_ix GROUP BY ALL),
-      gone AS (SELECT x.doc_id, x.policy_ix, bool_and(x.at_ix = x.policy_ix) AS near FROM reach x JOIN links_in l ON l.doc_id = x.doc_id AND l.policy_ix = x.at_ix WHERE l.parent_ix IS NULL GROUP BY ALL),
+      gone AS (SELECT x.doc_id, x.policy_ix, bool_and(x.at_ix = x.policy_ix) AS near, list_sort(list(DISTINCT l.parent)) AS ms FROM reach x JOIN links_in l ON l.doc_id = x.doc_id AND l.policy_ix = x.at_ix WHERE l.parent_ix IS NULL GROUP BY ALL),
       every AS (SELECT doc_id, policy_ix, 0 AS k, 'Written to the profile ' || profile || '.' AS note FROM policies
         UNION ALL SELECT doc_id, policy_ix, 1, CASE conflict WHEN 'perm' THEN 'If a permission and a prohibition conflict, the permission wins.' WHEN 'prohibit' THEN 'If a permission and a prohibition conflict, the prohibition wins.' WHEN 'ex:newest' THEN 'Conflicts are resolved by the strategy newest.' END FROM policies
-        UNION ALL SELECT i.doc_id, i.policy_ix, 2, CASE WHEN n > 0 THEN 'Inherits the rules of ' || i.parent || '.' WHEN near IS NOT NULL THEN 'All of its rules come from the ' || CASE WHEN near THEN 'parent' ELSE 'ancestor' END || ' policy urn:policy:none, which is not in this document.'
+        UNION ALL SELECT i.doc_id, i.policy_ix, 2, CASE WHEN n > 0 THEN 'Inherits the rules of ' || i.parent || '.' WHEN near IS NOT NULL THEN 'All of its rules come from the ' || CASE WHEN near THEN 'parent' ELSE 'ancestor' END || CASE WHEN len(ms) = 1 THEN ' policy ' || ms[1] || ', which is' ELSE ' policies ' || array_to_string(ms[:-2], ', ') || ' and ' || ms[-1] || ', which are' END || ' not in this document.'
           ELSE 'Inherits the rules of ' || i.parent || ', but no rule comes from there.' END FROM inherits i JOIN n USING (doc_id, policy_ix) LEFT JOIN gone USING (doc_id, policy_ix))
       SELECT doc_id, policy_ix, row_number() OVER (PARTITION BY doc_id, policy_ix ORDER BY k) - 1 AS ix, note FROM every WHERE note IS NOT NULL""",
     "p5_party_functions": f"""{ctes("lines")}, v AS ({VERBS.format(lines="lines")}),
