@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clausework.corpus import Corpus
-from clausework.jobs import lists, profiles, readings, rules, terms, vocab
+from clausework.jobs import lists, profiles, readings, rules, shapes, terms, vocab
 
-AREAS = [rules, terms, readings, vocab, lists, profiles]
+AREAS = [rules, terms, readings, vocab, lists, profiles, shapes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,17 +9,18 @@ from clausework.operators.pointers import orbits
 from clausework.sources.shared import cut
 
 
-def walk_lists(triples: DataFrame) -> DataFrame:
+def walk_lists(triples: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """graph_id, head, ix, item of every rdf list (s, p in rdf:first and rdf:rest, o_iri), each list once.
 
     All lists are followed at once, twice as far in each round; a list that bites
-    its tail ends there.
+    its tail ends there.  ``heads`` (graph_id, start) are the cells to begin at, else those that no cell leads to.
     """
     first = triples.where("p = 'rdf:first'").select("graph_id", F.col("s").alias("cell"), F.col("o_iri").alias("item"))
-    rest = triples.where("p = 'rdf:rest'").select("graph_id", F.col("s").alias("cell"), F.col("o_iri").alias("next"))
+    rest = triples.where("p = 'rdf:rest' and o_iri <> 'rdf:nil'").select("graph_id", F.col("s").alias("cell"), F.col("o_iri").alias("next"))
     cells = cut(first.join(rest, ["graph_id", "cell"], "left"), "cells")
-    inner = cells.select("graph_id", F.col("next").alias("cell")).where("cell is not null")
-    heads = cells.join(inner, ["graph_id", "cell"], "left_anti").select("graph_id", F.col("cell").alias("start"))
+    if heads is None:
+        inner = cells.select("graph_id", F.col("next").alias("cell")).where("cell is not null")
+        heads = cells.join(inner, ["graph_id", "cell"], "left_anti").select("graph_id", F.col("cell").alias("start"))
     walked = orbits(cells.select("graph_id", F.col("cell").alias("node"), F.col("next").alias("to")), heads, "graph_id")
     return walked.join(cells.select("graph_id", F.col("cell").alias("at"), "item"), ["graph_id", "at"]).select("graph_id", F.col("start").alias("head"), "ix", "item")
 

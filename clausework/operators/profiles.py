@@ -104,16 +104,15 @@ def skipped_shapes(triples: DataFrame) -> DataFrame:
     return seen.unionByName(off).distinct()
 
 
-def union_facets(items: DataFrame, most: int = 256) -> DataFrame:
-    """left_iri, facet, ix, value, n_more: the values of alternative shapes (shape_ix, ix) together, each at its first place.
+def union_facets(items: DataFrame, most: int = 256, key: tuple[str, ...] = ("left_iri", "facet")) -> DataFrame:
+    """key, ix, value, n_more: the values of alternative shapes (shape_ix, ix) together, each at its first place.
 
     ``most`` values stay in a list, as a profile's limit says; ``n_more`` counts what is beyond.
     """
-    key = ["left_iri", "facet"]
     first = items.groupBy(*key, "value").agg(F.min(F.struct("shape_ix", "ix")).alias("at"))
     place = F.row_number().over(Window.partitionBy(*key).orderBy("at", "value")) - 1
     total = first.groupBy(*key).agg(F.greatest(F.count("*") - most, F.lit(0)).alias("n_more"))
-    return first.withColumn("ix", place).where(F.col("ix") < most).join(total, key).select(*key, "ix", "value", "n_more")
+    return first.withColumn("ix", place).where(F.col("ix") < most).join(total, list(key)).select(*key, "ix", "value", "n_more")
 
 
 def same_shapes(a: DataFrame, b: DataFrame) -> DataFrame:
