@@ -53,6 +53,13 @@ SELECT o_orderkey AS doc_id, concat('{{"@context": ["http://www.w3.org/ns/odrl.j
   cast(o_custkey % 4 AS string), '", "@context": 1}}, "uid": "urn:x", "permission": [{{"action": {{"@value": {{"@context": "data"}}}}', CASE WHEN o_orderkey % 5 = 0 THEN ', "@context": "https://example.org/below"' ELSE '' END, '}}]}}]}}') AS text FROM {orders}
 """
 
+# A document for each order: keys through prefixes of prefixes, other terms, the vocabulary, JSON data and a circle of terms.
+KEY_DOCS = f"""
+SELECT o_orderkey AS doc_id, concat('{{{{"@context": {{{{"o": "odrl:", "p', cast(o_custkey % 5 AS string), '": "o:", "may": "o:permission", "permission": "odrl:permission", "ex": "https://example.org/", "raw": {{{{"@id": "ex:raw", "@type": "@json"}}}}',
+  CASE WHEN o_orderkey % 4 = 0 THEN ', "@vocab": "{ODRL}"' ELSE '' END, CASE WHEN o_orderkey % 6 = 0 THEN ', "tick": "tock", "tock": "tick"' ELSE '' END, '}}}}, "p2:target": "urn:t", "ex:note": 1, "_:x": 2, "permission": [{{{{"may": 1, "odrl:action": "use"}}}}], "raw": [{{{{"odrl:unit": 1}}}}], "tick": {{{{"@value": {{{{"odrl:duty": 1}}}}}}}}',
+  CASE WHEN o_orderkey % 3 = 0 THEN ', "{ODRL}uid": "urn:u", "extra": 1' ELSE '' END, '}}}}') AS text FROM {{orders}}
+"""
+
 
 def _triples(c: Corpus) -> DataFrame:
     ks = c.spark.sql(KS, supplier=c.supplier)
@@ -87,6 +94,7 @@ QUERIES = {
     "f2_picker_order": _picker,
     "e4_node_labels": lambda c: vocabulary.node_label(c.spark.sql(LABELS, part=c.part), ["s"], ["fr"]),
     "b8_unread_contexts": lambda c: rewrite.unread_contexts(flatten.flatten(c.spark.sql(CONTEXT_DOCS, orders=c.orders))),
+    "b7_unread_keys": lambda c: rewrite.unread_keys(flatten.flatten(c.spark.sql(KEY_DOCS, orders=c.orders))),
     "h14_metadata_notes": _notes,
     "h16_plain_text": lambda c: c.pages.select("page_id", texts.plain(F.col("html")).alias("text"), texts.plain(F.col("html"), profiles.LABEL_CHARS).alias("label")),
     "h24_safe_text": lambda c: c.documents.select("doc_id", texts.safe_text(F.col("text")).alias("shown")),
@@ -122,6 +130,8 @@ ORACLES = {
     "e4_node_labels": """SELECT 'urn:part:' || p_partkey AS s, CASE WHEN p_partkey % 5 IN (3, 4) OR p_partkey % 3 <> 0 THEN p_name ELSE 'U ' || p_name END AS label FROM part WHERE p_partkey % 13 <> 0""",
     "b8_unread_contexts": """SELECT o_orderkey AS doc_id, 'remote' AS form, 'https://example.org/c' || o_custkey % 9 AS iri FROM orders UNION SELECT o_orderkey, 'remote', 'https://example.org/i' || o_custkey % 4 FROM orders
       UNION SELECT o_orderkey, 'nested', NULL FROM orders WHERE o_orderkey % 5 = 0""",
+    "b7_unread_keys": f"""SELECT o_orderkey AS doc_id, unnest(['may', 'odrl:action']) AS key FROM orders UNION ALL SELECT o_orderkey, 'p2:target' FROM orders WHERE o_custkey % 5 = 2
+      UNION ALL SELECT o_orderkey, '{ODRL}uid' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'tick' FROM orders WHERE o_orderkey % 6 = 0""",
     "h14_metadata_notes": f"""WITH n AS ({NOTES.format(orders="orders")}), t AS (SELECT *, CASE WHEN key = 'ex:summary' THEN NULL WHEN key LIKE '%timestamp' THEN 'timestamp' ELSE 'summary' END AS term, trim(value) AS v FROM n)
       SELECT o_orderkey, term, CASE WHEN v = '' OR term IS NULL THEN NULL WHEN term = 'timestamp' THEN CASE WHEN agreement THEN 'Agreed on ' ELSE 'Issued on ' END || v || '.'
         ELSE 'Summary' || CASE WHEN lang IS NULL THEN '' ELSE ' (' || lang || ')' END || ': ' || v || CASE WHEN v LIKE '%!' THEN '' ELSE '.' END END AS note FROM t""",

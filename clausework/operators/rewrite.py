@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clausework.functions.names import local_name
 from clausework.model import ODRL
+from clausework.sources.shared import cut
 
 # What makes a node a policy, what a policy node may hold, and prefixes of descriptions.
 POLICY_CLASSES = "Set Offer Agreement Request Ticket Privacy Assertion Policy".split()
@@ -172,3 +174,72 @@ def unread_contexts(rows: DataFrame) -> DataFrame:
     own = (F.col("key") == "@context") & F.col("path").rlike("(^|[.])@context$")
     nested = rows.where(own & ~inside & ~F.col("parent").rlike(f"^{APPLIED}$")).select("doc_id", F.lit("nested").alias("form"), F.lit(None).cast("string").alias("iri"))
     return remote.unionByName(nested).distinct()
+
+
+#: Steps that the expansion of one key may take; a key that takes more counts as unread.
+EXPANSIONS = 64
+
+
+def _ancestors(path: Column) -> Column:
+    """The paths that a path begins with, itself included."""
+    parts = F.regexp_extract_all(path, F.lit(r"[.\[]?[^.\[]+"), F.lit(0))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ""))
+
+
+def _definitions(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the contexts of each document say: terms (doc_id, term, iri), ``@vocab`` (doc_id, iri), and terms that only mean JSON data (doc_id, term)."""
+    told = rows.where(F.col("parent").rlike(r"(^|[.])@context($|[.\[])"))
+    words = told.where("kind = 'string' and not startswith(key, '@')").select("doc_id", F.col("key").alias("term"), F.col("value").alias("iri"))
+    wide = told.where("kind = 'object' and not startswith(key, '@')").select("doc_id", F.col("path").alias("parent"), F.col("key").alias("term"))
+    ids = told.where("key = '@id' and kind = 'string'").select("doc_id", "parent", F.col("value").alias("iri"))
+    typed = told.where("key = '@type' and value = '@json'").select("doc_id", "parent")
+    terms = words.unionByName(wide.join(ids, ["doc_id", "parent"]).select("doc_id", "term", "iri")).distinct()
+    plain = words.select("doc_id", "term").unionByName(wide.join(typed, ["doc_id", "parent"], "left_anti").select("doc_id", "term"))
+    data = wide.join(typed, ["doc_id", "parent"]).select("doc_id", "term").distinct().join(plain.distinct(), ["doc_id", "term"], "left_anti")
+    vocab = told.where("key = '@vocab' and kind = 'string' and value <> ''").select("doc_id", F.col("value").alias("iri")).distinct()
+    return terms, vocab, data
+
+
+def unread_keys(rows: DataFrame) -> DataFrame:
+    """doc_id, key: keys of flattened documents that stand for ODRL terms but are not written bare, so were not read, each once.
+
+    Keys expand as the document's contexts define them, whatever a definition's scope: through prefixes,
+    other terms and ``@vocab``; ``odrl`` is always ODRL's.  Names in contexts, what stands below ``@value``
+    and below terms that only mean JSON data are passed over.
+
+    A round is one join of all spellings that are left with the definitions of their documents.  A
+    spelling that comes back to itself, or still grows after 64 rounds, counts as unread.
+    """
+    rows = cut(rows, "rows")
+    terms, vocab, data = _definitions(rows)
+    terms = cut(terms, "terms")
+    used = rows.where(F.col("key").isNotNull() & ~F.col("key").isin("@context", "@value") & ~F.col("parent").rlike(r"(^|[.])@(context|value)($|[.\[])"))
+    below = used.withColumnRenamed("key", "term").join(data, ["doc_id", "term"]).select("doc_id", F.col("path").alias("above")).distinct()
+    hidden = used.select("doc_id", "parent").distinct().withColumn("above", F.explode(_ancestors(F.col("parent")))).join(below, ["doc_id", "above"]).select("doc_id", "parent").distinct()
+    keys = used.join(hidden, ["doc_id", "parent"], "left_anti").select("doc_id", "key").distinct()
+
+    none = F.array().cast("array<string>")
+    compact = keys.where("contains(key, ':')").select("doc_id", "key", F.lit("").alias("own"), F.col("key").alias("iri"), none.alias("path"))
+    bare = keys.where("not contains(key, ':')").join(terms.withColumnRenamed("term", "key"), ["doc_id", "key"]).select("doc_id", "key", F.col("key").alias("own"), "iri", none.alias("path"))
+    open_ = cut(compact.unionByName(bare), "spellings")
+    found = []
+    local = F.when(F.col("iri").startswith(ODRL), F.substr("iri", F.lit(len(ODRL) + 1)))
+    colon = F.instr("iri", ":")
+    head, rest = F.substring_index("iri", ":", 1), F.when(colon > 0, F.substr("iri", colon + 1)).otherwise("")
+    for _ in range(EXPANSIONS):
+        found.append(open_.where((local != "") & (local != F.col("own"))).select("doc_id", "key"))
+        left = open_.where(local.isNull() & ~F.col("iri").startswith("@")).withColumns({"head": head, "rest": rest, "colon": colon > 0})
+        left = left.where(~F.col("colon") | ~(F.col("rest").startswith("//") | (F.col("head") == "_")))
+        by_term = left.join(terms.select("doc_id", F.col("term").alias("head"), F.col("iri").alias("to")), ["doc_id", "head"]).where("colon or to <> iri")
+        by_vocab = left.where("not colon").withColumn("rest", F.col("iri")).join(vocab.withColumnRenamed("iri", "to"), "doc_id")
+        by_odrl = left.where("colon and head = 'odrl'").withColumn("to", F.lit(ODRL))
+        step = by_term.unionByName(by_vocab).unionByName(by_odrl).select("doc_id", "key", "own", F.concat("to", "rest").alias("iri"), F.concat("path", F.array("iri")).alias("path"))
+        further = cut(step.groupBy("doc_id", "key", "own", "iri").agg(F.min("path").alias("path")), "spellings")
+        again = F.array_contains("path", F.col("iri"))
+        found.append(further.where(again).select("doc_id", "key"))
+        open_ = further.where(~again)
+        if open_.isEmpty():
+            break
+    else:
+        found.append(open_.select("doc_id", "key"))
+    return reduce(lambda a, b: a.unionByName(b), found).distinct()
