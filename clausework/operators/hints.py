@@ -33,7 +33,15 @@ def outside_bounds(value: Column, low: Column, high: Column) -> Column:
     return less(value, low) | less(high, value)
 
 
-def pattern_mismatch(value: Column, pattern: Column) -> Column:
+def pattern_mismatch(value: Column, pattern: Column, flags: Column | None = None) -> Column:
+    """Whether a value has nothing that a pattern finds; with the flag ``i`` case does not count.
+
+    Digits, white space and word characters are those of Unicode, of XML and of Unicode.
+    """
+    for escape, meant in ((r"d", r"\\p{Nd}"), (r"D", r"\\P{Nd}"), (r"s", r"[ \\t\\r\\n]"), (r"S", r"[^ \\t\\r\\n]"), (r"w", r"[\\p{L}\\p{M}\\p{Nd}_]"), (r"W", r"[^\\p{L}\\p{M}\\p{Nd}_]")):
+        pattern = F.regexp_replace(pattern, rf"(?<!\\)((?:\\\\)*)\\{escape}", rf"$1{meant}")
+    if flags is not None:
+        pattern = F.concat(F.when(F.coalesce(flags, F.lit("")).contains("i"), "(?iu)").otherwise(""), pattern)
     usable = pattern.isNotNull() & (F.length(pattern) <= PATTERN_CHARS) & (F.length(value) <= TEXT_CHARS)
     return F.when(usable, ~F.rlike(value, pattern)).otherwise(F.lit(False))
 

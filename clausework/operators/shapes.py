@@ -10,14 +10,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausework.operators.hints import PATTERN_CHARS
 from clausework.operators.lists import walk_lists
 from clausework.operators.profiles import skipped_shapes, union_facets
 from clausework.sources.shared import cut
 
 #: Values that one property of a node may have, and terms (and cells of a list) that one graph may have.
 VALUES_PER_KEY, MAX_TERMS = 256, 20_000
-#: Characters of a pattern that are read.
-PATTERN_CHARS = 1000
 
 # The paths that are read, and what their lists close.
 CONSTRAINT_LISTS = {"odrl:operator": "operators", "odrl:unit": "units"}
@@ -93,7 +92,7 @@ def read_shapes(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Shapes below ``sh:not`` and ``sh:xone`` and shapes that are switched off are not read.  A node that selects
     several operands is read for none.  A list is left out whole if it is empty, longer than is
     read, or (of operators, units, terms) names a string that is no absolute IRI.  A pattern with a flag
-    other than ``i`` or of over 1000 characters is left out.  No triples give no rows.
+    other than ``i`` or longer than ``PATTERN_CHARS`` is left out.  No triples give no rows.
     """
     skipped = cut(skipped_shapes(triples), "skipped")
     shapes = cut(_property_shapes(triples, skipped), "shapes")
