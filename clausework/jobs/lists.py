@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from clausework.corpus import Corpus, ctes
 from clausework.functions import wording
-from clausework.jobs.rules import FOUND, M, _links
+from clausework.jobs.rules import DUPLICATE, FOUND, HEURISTIC, M, _duplicates, _hints, _links
 from clausework.jobs.terms import BASE
 from clausework.jobs.vocab import T, _edges, _triples
 from clausework.model import ODRL
-from clausework.operators import inherit, lists, resolve, vocabulary
+from clausework.operators import inherit, lists, resolve, structure, vocabulary
 
 CELLS = """
 SELECT doc_id AS graph_id, concat('b', cast(policy_ix AS string), '_', cast(rule_ix AS string)) AS s, 'rdf:first' AS p, concat('urn:part:', cast(l_partkey AS string)) AS o_iri FROM {lines}
@@ -42,6 +42,11 @@ def _fixed(c: Corpus) -> DataFrame:
     return lists.apply_safe_fixes(_uses(c), fixes).groupBy("slot", "written").agg(F.count("*").alias("n"))
 
 
+def _fixes(c: Corpus) -> DataFrame:
+    expanded = resolve.expand_terms(_uses(c), c.prefixes, c.profiles)
+    return lists.fixes(_term_findings(c), expanded, c.terms, c.profiles, _hints(c), c.constraints, _duplicates(c), structure.heuristic_findings(c.constraints))
+
+
 def _suggested(c: Corpus) -> DataFrame:
     options = c.part.select(F.col("p_partkey").alias("ix"), F.concat("p_type", F.lit(" "), "p_brand").alias("label"), F.col("p_name").alias("hint"), F.col("p_brand").alias("grp"))
     return lists.filter_suggestions(options, "ar", 500)
@@ -60,6 +65,7 @@ QUERIES = {
     "p9_inherited_rules": lambda c: lists.inherited_rules(c.rules, inherit.lineages(_links(c)), 10),
     "e7_dedupe_notes_full": lambda c: lists.dedupe_notes(_term_findings(c).select("doc_id", F.concat_ws(" ", "rule", "written").alias("note"), F.col("path").alias("ord"))),
     "p9_inherited_rules_full": lambda c: lists.inherited_rules(c.rules, inherit.lineages(_links(c))),
+    "r4_fixes": _fixes,
     "r5_apply_safe_fixes": _fixed,
     "r6_admissible": lambda c: lists.admissible(_uses(c).select("doc_id", "path", "slot", "written"), _term_findings(c)),
     "b4_prefix_is_odrl": lambda c: lists.prefix_is_odrl(c.orders.select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, "odrl").otherwise("ex").alias("key"), F.when(F.col("o_orderkey") % 10 == 0, "urn:other").otherwise(ODRL).alias("iri")), ODRL),
@@ -96,6 +102,12 @@ ORACLES = {
       SELECT doc_id, ix, note, greatest(n - 5, 0) AS n_more FROM r WHERE ix < 5""",
     "p9_inherited_rules": f"""{M}, r AS (SELECT w.doc_id, w.policy_ix, w.ancestor_ix AS from_ix, path, row_number() OVER (PARTITION BY w.doc_id, w.policy_ix ORDER BY w.ix, rule_ix) - 1 AS ix
       FROM walk w JOIN rules r ON r.doc_id = w.doc_id AND r.policy_ix = w.ancestor_ix) SELECT doc_id, policy_ix, ix, from_ix, path FROM r WHERE ix < 10""",
+    "r4_fixes": f"""{FOUND}, tf AS (SELECT DISTINCT doc_id, path, slot, rule, written FROM judged WHERE rule IN ('profile.unbound-prefix', 'profile.not-declared')), met AS (SELECT DISTINCT tf.*, e.iri FROM tf JOIN expanded e USING (doc_id, path, slot, written))
+      SELECT doc_id, path, rule, slot, 'Write the full IRI' AS label, iri AS replacement, true AS safe FROM met WHERE rule = 'profile.unbound-prefix'
+      UNION ALL SELECT doc_id, path, rule, slot, 'Declare the profile <' || p.iri || '>', p.iri, true FROM met JOIN firsts f ON f.iri = met.iri JOIN profiles p ON p.profile_id = f.profile_id WHERE rule = 'profile.not-declared'
+      UNION ALL SELECT h.doc_id, h.path, h.rule, 'value', 'Write it as an IRI', raw, true FROM (SELECT DISTINCT doc_id, path, rule FROM hinted WHERE rule = 'prose.iri-expected') h JOIN constraints c ON c.doc_id = h.doc_id AND c.path = h.path
+      UNION ALL SELECT doc_id, owner || '.action[' || ix || ']', 'heuristic.duplicate-action', 'action', 'Remove the duplicate', '', true FROM ({DUPLICATE}) WHERE removable
+      UNION ALL SELECT doc_id, path, rule, 'group', 'Ungroup', '', true FROM ({HEURISTIC}) WHERE rule = 'heuristic.single-child-group'""",
     "r5_apply_safe_fixes": f"""{TERM_FINDINGS}, fixed AS (SELECT e.slot, CASE WHEN t.doc_id IS NOT NULL THEN e.iri ELSE e.written END AS written FROM expanded e
       LEFT JOIN (SELECT DISTINCT doc_id, path, slot, written FROM tf WHERE rule = 'profile.unbound-prefix') t USING (doc_id, path, slot, written)) SELECT slot, written, count(*) AS n FROM fixed GROUP BY ALL""",
     "r6_admissible": f"""{TERM_FINDINGS}, a AS (SELECT doc_id, path, slot, written, min(rule) AS rule FROM tf WHERE rule IN ('profile.undeclared-in-namespace', 'profile.unknown-term', 'profile.wrong-kind', 'profile.conflict-term', 'profile.unbound-prefix') GROUP BY doc_id, path, slot, written)

@@ -68,6 +68,6 @@ ORACLES = {
         concat_ws(' ', CASE WHEN c.k % 2 = 0 THEN 'urn:x://t#t' || c.k // 2 || '=' || coalesce(p.label, 't' || c.k // 2) END, CASE WHEN c.k % 3 = 0 THEN 'urn:x://t#otherThing=other thing' END) AS broader,
         CASE WHEN c.k % 5 = 0 THEN c.iri || '=' || c.label ELSE '' END AS implies, CASE WHEN c.k % 2 = 0 THEN 'Profile A' END AS profile, c.k % 10 = 0 AS deprecated
       FROM u JOIN t c ON c.k = l_partkey LEFT JOIN t p ON p.k = c.k // 2""",
-    "c16_pattern_flags": r"""SELECT p_partkey, p_brand AS value, NOT CASE p_partkey % 5 WHEN 0 THEN regexp_matches(p_brand, '^brand.[0-9]', CASE WHEN p_partkey % 2 = 0 THEN 'i' ELSE 'c' END) WHEN 1 THEN regexp_matches(p_brand, 'B[A-Za-z0-9_]+[^A-Za-z0-9_][1-3]+$', CASE WHEN p_partkey % 2 = 0 THEN 'i' ELSE 'c' END)
+    "c16_pattern_flags": r"""SELECT p_partkey, p_brand AS value, NOT CASE p_partkey % 5 WHEN 0 THEN p_partkey % 2 = 0 AND regexp_matches(p_brand, '(?i)^brand.[0-9]') WHEN 1 THEN regexp_matches(p_brand, 'B[A-Za-z0-9_]+[^A-Za-z0-9_][1-3]+$')
       WHEN 2 THEN p_brand LIKE '%BRAND%' OR (p_partkey % 2 = 0 AND p_brand ILIKE '%BRAND%') WHEN 3 THEN p_brand LIKE '% %' ELSE regexp_matches(p_brand, '[0-9]{2}') END AS mismatch FROM part""",
 }

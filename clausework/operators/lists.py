@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,31 @@ def safe_fixes(findings: DataFrame, expanded: DataFrame) -> DataFrame:
     return findings.where("rule = 'profile.unbound-prefix'").join(expanded.select(*on, F.col("iri").alias("replacement")).distinct(), on).select(*on, "replacement")
 
 
+def fixes(term_findings: DataFrame, expanded: DataFrame, terms: DataFrame, profiles: DataFrame, hint_findings: DataFrame, constraints: DataFrame, duplicates: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, path, rule, slot, label, safe, replacement: what mends a finding, for the five kinds of finding that can be mended.
+
+    The full IRI for a prefix that only a profile binds; a profile to declare, for a term of it; a string to be
+    written as the IRI that it is; a repeated action that says the same, to be removed (its
+    replacement is empty); a group around one condition, to be taken away.  All are safe.
+    """
+    on = ["doc_id", "path", "slot", "written"]
+    found = term_findings.select(*on, "rule").distinct().join(expanded.select(*on, "iri").distinct(), on)
+    order = F.struct("load_order", "term_ix")
+    owner = terms.groupBy("iri").agg(F.min_by("profile_id", order).alias("profile_id")).join(profiles.select("profile_id", F.col("iri").alias("by")), "profile_id").select("iri", "by")
+    full = found.where("rule = 'profile.unbound-prefix'").select("doc_id", "path", "rule", "slot", F.lit("Write the full IRI").alias("label"), F.col("iri").alias("replacement"))
+    declare = found.where("rule = 'profile.not-declared'").join(owner, "iri").select(
+        "doc_id", "path", "rule", "slot", F.concat(F.lit("Declare the profile <"), "by", F.lit(">")).alias("label"), F.col("by").alias("replacement")
+    )
+    written = hint_findings.where("rule = 'prose.iri-expected'").select("doc_id", "path", "rule").distinct().join(constraints.select("doc_id", "path", "raw"), ["doc_id", "path"])
+    as_iri = written.select("doc_id", "path", "rule", F.lit("value").alias("slot"), F.lit("Write it as an IRI").alias("label"), F.col("raw").alias("replacement"))
+    none = F.lit("").alias("replacement")
+    at = F.concat("owner", F.lit(".action["), F.col("ix").cast("string"), F.lit("]"))
+    remove = duplicates.where("removable").select("doc_id", at.alias("path"), F.lit("heuristic.duplicate-action").alias("rule"), F.lit("action").alias("slot"), F.lit("Remove the duplicate").alias("label"), none)
+    ungroup = groups.where("rule = 'heuristic.single-child-group'").select("doc_id", "path", "rule", F.lit("group").alias("slot"), F.lit("Ungroup").alias("label"), none)
+    parts = [full, declare, as_iri, remove, ungroup]
+    return reduce(DataFrame.unionByName, parts).withColumn("safe", F.lit(True))
+
+
 def apply_safe_fixes(uses: DataFrame, fixes: DataFrame) -> DataFrame:
     """Term uses with the replacements of their fixes."""
     on = ["doc_id", "path", "slot", "written"]
