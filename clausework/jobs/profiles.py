@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clausework.corpus import Corpus, ctes
 from clausework.functions import texts
 from clausework.model import ODRL
-from clausework.operators import profiles, rewrite, vocabulary
+from clausework.operators import jsonld, profiles, rewrite, vocabulary
 from clausework.sources import flatten
 
 # A graph for each supplier: its header; parts are the terms, dealt over a hundred graphs. Both engines read this text.
@@ -60,6 +60,17 @@ SELECT o_orderkey AS doc_id, concat('{{{{"@context": {{{{"o": "odrl:", "p', cast
   CASE WHEN o_orderkey % 3 = 0 THEN ', "{ODRL}uid": "urn:u", "extra": 1' ELSE '' END, '}}}}') AS text FROM {{orders}}
 """
 
+# A profile for each part: a term with labels in two languages, a list of broader terms, a nested node, and what is not followed.
+PROFILE_DOCS = """
+SELECT p_partkey AS doc_id, concat('{{"@context": [', CASE WHEN p_partkey % 9 = 0 THEN '"https://example.org/remote", ' ELSE '' END, '"http://www.w3.org/ns/odrl.jsonld", {{"ex": "urn:ex:", "br": "ex:brand/", "label": "rdfs:label", "up": {{"@id": "skos:broader", "@type": "@id"}}, "@language": "en"}}], "@graph": [{{"@id": "ex:t',
+  cast(p_partkey AS string), '", "@type": "', CASE WHEN p_size % 2 = 0 THEN 'Action' ELSE 'odrl:LeftOperand' END, '", "label": ["', p_name, '", {{"@value": "', p_type, '", "@language": "de"}}], "up": {{"@list": ["br:', cast(p_size AS string), '", "ex:all"]}}, "ex:size": ',
+  cast(p_size AS string), ', "ex:part": {{"label": "', p_type, '"}}', CASE WHEN p_partkey % 4 = 0 THEN ', "owl:deprecated": true' ELSE '' END, '}}]}}') AS text FROM {part}
+"""
+
+
+def _profile_docs(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    return jsonld.profile_triples(flatten.flatten(c.spark.sql(PROFILE_DOCS, part=c.part)))
+
 
 def _triples(c: Corpus) -> DataFrame:
     ks = c.spark.sql(KS, supplier=c.supplier)
@@ -94,6 +105,8 @@ QUERIES = {
     "f2_picker_order": _picker,
     "e4_node_labels": lambda c: vocabulary.node_label(c.spark.sql(LABELS, part=c.part), ["s"], ["fr"]),
     "b8_unread_contexts": lambda c: rewrite.unread_contexts(flatten.flatten(c.spark.sql(CONTEXT_DOCS, orders=c.orders))),
+    "a6_profile_triples": lambda c: _profile_docs(c)[0].drop("seq"),
+    "a6_profile_notes": lambda c: _profile_docs(c)[1],
     "b7_unread_keys": lambda c: rewrite.unread_keys(flatten.flatten(c.spark.sql(KEY_DOCS, orders=c.orders))),
     "h14_metadata_notes": _notes,
     "h16_plain_text": lambda c: c.pages.select("page_id", texts.plain(F.col("html")).alias("text"), texts.plain(F.col("html"), profiles.LABEL_CHARS).alias("label")),
@@ -130,6 +143,12 @@ ORACLES = {
     "e4_node_labels": """SELECT 'urn:part:' || p_partkey AS s, CASE WHEN p_partkey % 5 IN (3, 4) OR p_partkey % 3 <> 0 THEN p_name ELSE 'U ' || p_name END AS label FROM part WHERE p_partkey % 13 <> 0""",
     "b8_unread_contexts": """SELECT o_orderkey AS doc_id, 'remote' AS form, 'https://example.org/c' || o_custkey % 9 AS iri FROM orders UNION SELECT o_orderkey, 'remote', 'https://example.org/i' || o_custkey % 4 FROM orders
       UNION SELECT o_orderkey, 'nested', NULL FROM orders WHERE o_orderkey % 5 = 0""",
+    "a6_profile_triples": """WITH t AS (SELECT p_partkey AS graph_id, 'urn:ex:t' || p_partkey AS s, * FROM part)
+      SELECT graph_id, s, 'rdf:type' AS p, CASE WHEN p_size % 2 = 0 THEN 'odrl:Action' ELSE 'odrl:LeftOperand' END AS o_iri, NULL AS o_value, NULL AS o_lang FROM t
+      UNION ALL SELECT graph_id, s, 'rdfs:label', NULL, unnest([p_name, p_type]), unnest(['en', 'de']) FROM t UNION ALL SELECT graph_id, s, 'skos:broader', unnest(['urn:ex:brand/' || p_size, 'urn:ex:all']), NULL, NULL FROM t
+      UNION ALL SELECT graph_id, s, 'urn:ex:size', NULL, p_size::VARCHAR, NULL FROM t UNION ALL SELECT graph_id, s, 'urn:ex:part', '_:@graph[0].ex:part', NULL, NULL FROM t
+      UNION ALL SELECT graph_id, '_:@graph[0].ex:part', 'rdfs:label', NULL, p_type, 'en' FROM t UNION ALL SELECT graph_id, s, 'owl:deprecated', NULL, 'true', NULL FROM t WHERE p_partkey % 4 = 0""",
+    "a6_profile_notes": "SELECT p_partkey AS graph_id, 'context not fetched' AS note, 'https://example.org/remote' AS about FROM part WHERE p_partkey % 9 = 0",
     "b7_unread_keys": f"""SELECT o_orderkey AS doc_id, unnest(['may', 'odrl:action']) AS key FROM orders UNION ALL SELECT o_orderkey, 'p2:target' FROM orders WHERE o_custkey % 5 = 2
       UNION ALL SELECT o_orderkey, '{ODRL}uid' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'tick' FROM orders WHERE o_orderkey % 6 = 0""",
     "h14_metadata_notes": f"""WITH n AS ({NOTES.format(orders="orders")}), t AS (SELECT *, CASE WHEN key = 'ex:summary' THEN NULL WHEN key LIKE '%timestamp' THEN 'timestamp' ELSE 'summary' END AS term, trim(value) AS v FROM n)
