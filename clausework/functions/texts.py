@@ -100,3 +100,14 @@ def policy_type_iri(written: Column, iri: Column) -> Column:
 def rule_exit(verdict: Column, unreadable: Column) -> Column:
     """The exit code of one report: 0 conforms, 1 violations, 3 incomplete, 2 unreadable or unknown."""
     return F.when(unreadable, 2).when(verdict == "conforms", 0).when(verdict == "violations", 1).when(verdict == "incomplete", 3).otherwise(2)
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with the keys of every object in order and no white space, to compare documents by; null where the text is no JSON.
+
+    Numbers are written by their value (``5.0`` is ``5``), so the text is a key, not a copy.
+    The parser stops after one value; only a whole value parses both as an entry and as a member, so text behind it is seen.
+    """
+    entry = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(entry.isNotNull() & member.isNotNull(), F.to_json(F.variant_get(member, "$.v", "variant")))

@@ -67,6 +67,12 @@ SELECT p_partkey AS doc_id, concat('{{"@context": [', CASE WHEN p_partkey % 9 =
   cast(p_size AS string), ', "ex:part": {{"label": "', p_type, '"}}', CASE WHEN p_partkey % 4 = 0 THEN ', "owl:deprecated": true' ELSE '' END, '}}]}}') AS text FROM {part}
 """
 
+# The same event written in two ways.
+SPELLED = """
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('{{"type": "', event_type, '", "of": [{{"user": ', cast(user_id AS string), ', "id": null}}, 5.0]}}')
+  ELSE concat('{{"of":[{{"id":null,"user":', cast(user_id AS string), '}},5],  "type":"', event_type, '"}}', CASE WHEN event_id % 5 = 0 THEN '}}' ELSE '' END) END AS text FROM {events}
+"""
+
 
 def _profile_docs(c: Corpus) -> tuple[DataFrame, DataFrame]:
     return jsonld.profile_triples(flatten.flatten(c.spark.sql(PROFILE_DOCS, part=c.part)))
@@ -108,6 +114,7 @@ QUERIES = {
     "a6_profile_triples": lambda c: _profile_docs(c)[0].drop("seq"),
     "a6_profile_notes": lambda c: _profile_docs(c)[1],
     "b7_unread_keys": lambda c: rewrite.unread_keys(flatten.flatten(c.spark.sql(KEY_DOCS, orders=c.orders))),
+    "f3_canonical_json": lambda c: c.spark.sql(SPELLED, events=c.events).select("event_id", texts.canonical_json(F.col("text")).alias("text")),
     "h14_metadata_notes": _notes,
     "h16_plain_text": lambda c: c.pages.select("page_id", texts.plain(F.col("html")).alias("text"), texts.plain(F.col("html"), profiles.LABEL_CHARS).alias("label")),
     "h24_safe_text": lambda c: c.documents.select("doc_id", texts.safe_text(F.col("text")).alias("shown")),
@@ -151,6 +158,7 @@ ORACLES = {
     "a6_profile_notes": "SELECT p_partkey AS graph_id, 'context not fetched' AS note, 'https://example.org/remote' AS about FROM part WHERE p_partkey % 9 = 0",
     "b7_unread_keys": f"""SELECT o_orderkey AS doc_id, unnest(['may', 'odrl:action']) AS key FROM orders UNION ALL SELECT o_orderkey, 'p2:target' FROM orders WHERE o_custkey % 5 = 2
       UNION ALL SELECT o_orderkey, '{ODRL}uid' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'tick' FROM orders WHERE o_orderkey % 6 = 0""",
+    "f3_canonical_json": """SELECT event_id, CASE WHEN event_id % 2 = 0 OR event_id % 5 <> 0 THEN '{"of":[{"id":null,"user":' || user_id || '},5],"type":"' || event_type || '"}' END AS text FROM events""",
     "h14_metadata_notes": f"""WITH n AS ({NOTES.format(orders="orders")}), t AS (SELECT *, CASE WHEN key = 'ex:summary' THEN NULL WHEN key LIKE '%timestamp' THEN 'timestamp' ELSE 'summary' END AS term, trim(value) AS v FROM n)
       SELECT o_orderkey, term, CASE WHEN v = '' OR term IS NULL THEN NULL WHEN term = 'timestamp' THEN CASE WHEN agreement THEN 'Agreed on ' ELSE 'Issued on ' END || v || '.'
         ELSE 'Summary' || CASE WHEN lang IS NULL THEN '' ELSE ' (' || lang || ')' END || ': ' || v || CASE WHEN v LIKE '%!' THEN '' ELSE '.' END END AS note FROM t""",

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from clausework.functions import texts
 from clausework.operators import hints, lists, rewrite, shapes, wording
 from clausework.sources import flatten
 
@@ -146,3 +147,10 @@ def test_fixes(spark):
     groups = spark.createDataFrame([(1, "m", "heuristic.single-child-group"), (1, "n", "heuristic.ordered-on-unordered")], "doc_id long, path string, rule string")
     got = {(r.path, r.label, r.replacement) for r in lists.fixes(found, expanded, terms, profiles, hinted, constraints, twice, groups).collect()}
     assert got == {("a", "Write the full IRI", "urn:y"), ("b", "Declare the profile <urn:p>", "urn:p"), ("k", "Write it as an IRI", "urn:v"), ("r.action[2]", "Remove the duplicate", ""), ("m", "Ungroup", "")}
+
+
+def test_canonical_json(spark):
+    cases = {'{"b":1.0,"a":[ ]}': '{"a":[],"b":1}', "3": "3", '"x"': '"x"', "null": "null", "": None, "1,2": None, "1],[2": None, "1} x": None, '1,"w":2': None, '{"a":1}}': None, "{": None, None: None}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, a string")
+    got = [r[0] for r in df.orderBy("i").select(texts.canonical_json(F.col("a"))).collect()]
+    assert got == list(cases.values())
