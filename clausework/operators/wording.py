@@ -50,22 +50,24 @@ def wording(uses: DataFrame, named: DataFrame) -> DataFrame:
     says, and so do terms used as a kind that they are not; a unit is called by its label as any kind.  Values,
     policy classes and party functions have no built-in phrase (null).
     """
-    by = named.select("iri", F.col("label").alias("own_label"), F.col("kinds").alias("own_kinds"))
+    low = F.col("low")
+    by = (
+        named.where(~F.col("iri").startswith(ODRL)).select("iri", F.col("label").alias("own_label"), F.col("kinds").alias("own_kinds"), label_in_sentence(F.col("label")).alias("low"))
+        .withColumns({"noun": article(low), "one": verb_phrase(low, F.lit(False)), "several": verb_phrase(low, F.lit(True))})
+    )
     wide = uses.join(by, "iri", "left")
     kind, written = F.col("kind"), F.col("written")
-    ours = F.col("own_label").isNotNull() & ~F.col("iri").startswith(ODRL)
-    label = F.when(ours & F.array_contains("own_kinds", kind), F.col("own_label"))
-    low = label_in_sentence(label)
-    plural = F.coalesce("plural", F.lit(False))
+    fits = F.coalesce(F.array_contains("own_kinds", kind), F.lit(False))
+    verb = F.when(F.coalesce("plural", F.lit(False)), F.col("several")).otherwise(F.col("one"))
     phrase = (
-        F.when(kind == "Action", F.coalesce(low, action_phrase(written)))
-        .when(kind == "LeftOperand", F.coalesce(article(low), operand_phrase(written)))
-        .when(kind == "Operator", F.coalesce(verb_phrase(low, plural), operator_phrase(F.col("left"), written, F.col("shape"))))
-        .when(kind == "Unit", F.coalesce(F.when(ours, F.col("own_label")), humanise(local_name(written))))
-        .when(kind == "RightOperand", low)
-        .otherwise(label)
+        F.when(kind == "Action", F.when(fits, low).otherwise(action_phrase(written)))
+        .when(kind == "LeftOperand", F.when(fits, F.col("noun")).otherwise(operand_phrase(written)))
+        .when(kind == "Operator", F.when(fits, verb).otherwise(operator_phrase(F.col("left"), written, F.col("shape"))))
+        .when(kind == "Unit", F.coalesce("own_label", humanise(local_name(written))))
+        .when(kind == "RightOperand", F.when(fits, low))
+        .otherwise(F.when(fits, F.col("own_label")))
     )
-    return wide.withColumn("phrase", phrase).drop("own_label", "own_kinds")
+    return wide.withColumn("phrase", phrase).drop("own_label", "own_kinds", "low", "noun", "one", "several")
 
 
 def gloss(uses: DataFrame, named: DataFrame, links: DataFrame, titles: DataFrame) -> DataFrame:
