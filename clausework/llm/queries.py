@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm import bpe, decontaminate, html, jaccard, language, lattice, media, pii, quality, sharding
+from clausework.llm import bpe, decontaminate, html, jaccard, language, lattice, media, merkle, minhash, pii, quality, repair, sharding
 from clausework.llm.common import table
 
 
@@ -68,6 +68,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = merkle.tampered_chars(F.col("doc_id"), F.col("n_chars"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), {"n_chars": changed})
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audits(repair.damaged(table(spark, sf_dir, "conversations")), "dropped")
+
+
 def pages_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with a figure for the document of its own number below its markup: the documents' texts are the payloads."""
     pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,4 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_media": op10_media,
         "pages_media": pages_media,
+        "op11_merkle": op11_merkle,
+        "op12_minhash": op12_minhash,
+        "op13_repair": op13_repair,
     }
