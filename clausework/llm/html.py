@@ -4,7 +4,9 @@
 for its length and commas to its parent, half of them to the grandparent and
 less further up; a container's points are discounted by the share of its text
 that is link text; the best container is kept with those siblings that score
-well enough.
+well enough.  A class or id that names something else (a menu, an advert, comments)
+lowers what its tree weighs and drops it only where the page's points lie
+elsewhere: the tree that holds most of them stays, whatever it is called.
 
 ``sequence`` gives the ordered text and media references of a page, for the
 interleaved documents of ``media.py``.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +38,12 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SIBLING_STOP = frozenset("ul ol menu dl table select".split())
-# Elements that never hold main text.
-NEVER = frozenset(
-    "nav header footer aside form script style noscript template iframe button select textarea input svg canvas object embed "
-    "applet dialog menu head title fieldset audio video noembed noframes xmp map".split()
+# Elements that never hold text to read, and those that hold main text only where nothing else does.
+MACHINE = frozenset(
+    "script style noscript template iframe button select textarea input svg canvas object embed applet head title audio video noembed noframes xmp map".split()
 )
+NEVER = MACHINE | frozenset("nav header footer aside dialog menu".split())
+FORMS = frozenset(("form", "fieldset"))
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 # Words of class and id that name what is not main text, always or unless a word of MAYBE stands beside.
 ALWAYS = frozenset(
@@ -52,6 +56,12 @@ UNLESS = frozenset(
     "widget widgets tags respond reply replies login search legal copyright disclaimer metadata byline toc".split()
 )
 MAYBE = frozenset("article main content body post entry text story".split())
+#: What a tree with such a name weighs against one without, and the share of the page's points from which on it stays.
+NAMED = {"always": (0.05, 1.0), "unless": (0.5, 0.6), "mixed": (0.8, 0.3), "form": (0.5, 0.3), "tag": (0.3, 1.0)}
+#: Of these the heaviest comes back only where nothing else has text.
+LAST = frozenset(("always", "tag"))
+#: Below this share of the page's points what is left is looked at again.
+LEAST = 0.1
 ROOTS = frozenset("html body main".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 
@@ -62,109 +72,134 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+_NEAR = SIBLING_STOP | frozenset(SIBLING)
+
+
 class Tree:
-    """Nodes in page order: tag, attributes as written, parent, and the pieces of text between."""
+    """Nodes in page order: tag, attributes as written, parent, and the pieces of text between.
+
+    Open elements are counted by tag and blocks and list items have stacks of their own, so an end tag without a
+    start, or a block inside many open inline elements, walks over nothing.
+    """
 
     def __init__(self, page: str):
         self.tag, self.attrs, self.parent = ["#page"], [""], [-1]
         #: (node, text) where a text stands, (node, None) where a node begins
         self.flow: list[tuple[int, str | None]] = []
-        stack = [0]
+        self.stack, self.open = [0], {}
+        #: Places in the stack of blocks, and of what may end an item.
+        self.blocks: list[int] = []
+        self.near: list[int] = []
         at, n = 0, len(page)
         while at < n:
             m = _TOKEN.match(page, at)
             at = m.end()
             text = m[4]
             if text is not None:
-                self.flow.append((stack[-1], text))
+                self.flow.append((self.stack[-1], text))
                 continue
             tag = m[2]
             if tag is None:
                 continue
             tag = tag.lower()
             if m[1]:
-                self._close(stack, tag)
+                self._close(tag)
                 continue
-            self._implied(stack, tag)
+            self._implied(tag)
             self.tag.append(tag)
             self.attrs.append(m[3] or "")
-            self.parent.append(stack[-1])
+            self.parent.append(self.stack[-1])
             node = len(self.tag) - 1
             self.flow.append((node, None))
             if tag in VOID:
                 continue
             if tag in RAW:
-                end = re.compile(f"</{re.escape(tag)}[^>]*>?", re.I).search(page, at)
+                end = _raw_end(tag).search(page, at)
                 if tag in ("textarea", "title"):
                     self.flow.append((node, page[at : end.start() if end else n]))
                 at = end.end() if end else n
                 continue
-            stack.append(node)
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                del stack[k:]
-                return
-
-    def _implied(self, stack: list[int], tag: str) -> None:
+            self._push(node, tag)
+
+    def _push(self, node: int, tag: str) -> None:
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        if tag in _NEAR:
+            self.near.append(len(self.stack))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.stack.append(node)
+
+    def _cut(self, k: int) -> None:
+        """End the element at place k and all inside it."""
+        for node in self.stack[k:]:
+            self.open[self.tag[node]] -= 1
+        del self.stack[k:]
+        for places in (self.blocks, self.near):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def _close(self, tag: str) -> None:
+        if self.open.get(tag):
+            k = len(self.stack) - 1
+            while self.tag[self.stack[k]] != tag:
+                k -= 1
+            self._cut(k)
+
+    def _implied(self, tag: str) -> None:
         """End what HTML ends without an end tag: a p before a block, an item before the next."""
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                over = self.tag[stack[k]]
-                if over == "p":
-                    del stack[k:]
-                    break
-                if over in BLOCK:
-                    break
+        if tag in CLOSES_P and self.blocks and self.tag[self.stack[self.blocks[-1]]] == "p":
+            self._cut(self.blocks[-1])
         if tag in SIBLING:
-            for k in range(len(stack) - 1, 0, -1):
-                over = self.tag[stack[k]]
+            for k in reversed(self.near):
+                over = self.tag[self.stack[k]]
                 if over in SIBLING_STOP:
                     break
                 if over in SIBLING[tag]:
-                    del stack[k:]
+                    self._cut(k)
                     break
 
     def attributes(self, node: int) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs[node])}
 
-    def dropped(self, node: int) -> bool:
-        """Whether a node by its tag, role, class or id is not main text."""
+    def dropped(self, node: int, last: bool = False) -> str | None:
+        """Why a node is not main text: ``never`` by its tag, role or style, else the kind of ``NAMED`` by its class or id.
+
+        In the last look tags and roles of menus and the like are names too.
+        """
         tag = self.tag[node]
         if tag in NEVER:
-            return True
+            return "tag" if last and tag not in MACHINE else "never"
         if not self.attrs[node]:
-            return False
+            return "form" if tag in FORMS else None
         a = self.attributes(node)
         if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-            return tag not in ROOTS
+            return "never" if tag not in ROOTS else None
         if tag in ROOTS:
-            return False
+            return None
         if a.get("role", "").lower() in NEVER_ROLE:
-            return True
+            return "tag" if last else "never"
         words = {w.lower() for w in _WORDS.findall(a.get("class", "") + " " + a.get("id", ""))}
-        return bool(words & ALWAYS) or bool(words & UNLESS) and not words & MAYBE
+        if words & ALWAYS:
+            return "mixed" if words & MAYBE else "always"
+        return "unless" if words & UNLESS and not words & MAYBE else "form" if tag in FORMS else None
+
+
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}[^>]*>?", re.I)
 
 
 def _clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def main_text(page: str | None) -> str:
-    """The blocks of the best container and its siblings, joined by an empty line."""
-    if not page:
-        return ""
-    t = Tree(page)
+def _points(text: str, density: float) -> float:
+    return (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) * (1 - density)
+
+
+def _measured(t: Tree, block: list[int], linked: list[bool], gone: list[bool]) -> tuple[dict[int, list[str]], list[int], list[int]]:
+    """The texts of each block, and how much text and link text each node holds, of what is not gone."""
     n = len(t.tag)
-    gone = [False] * n
-    for i in range(1, n):
-        gone[i] = gone[t.parent[i]] or t.dropped(i)
-    # The block each node belongs to, and whether a link is around it.
-    block, linked = [0] * n, [False] * n
-    for i in range(1, n):
-        block[i] = i if t.tag[i] in BLOCK else block[t.parent[i]]
-        linked[i] = linked[t.parent[i]] or t.tag[i] == "a"
     own: dict[int, list[str]] = {}
     length, link_length = [0] * n, [0] * n
     for i, text in t.flow:
@@ -179,12 +214,60 @@ def main_text(page: str | None) -> str:
     for i in range(n - 1, 0, -1):
         length[t.parent[i]] += length[i]
         link_length[t.parent[i]] += link_length[i]
+    return own, length, link_length
+
+
+def _gone(t: Tree, block: list[int], linked: list[bool], last: bool) -> list[bool]:
+    """Whether each node is out before any container is chosen.
+
+    Each node belongs to the nearest tree around it that has a name of ``NAMED``.  Such a tree stays out unless it
+    holds its share of the page's points; if hardly any are left then, the one that weighs most comes back.
+    """
+    n = len(t.tag)
+    why = [None] + [t.dropped(i, last) for i in range(1, n)]
+    gone, region = [False] * n, [0] * n
+    for i in range(1, n):
+        gone[i] = gone[t.parent[i]] or why[i] == "never"
+        region[i] = i if why[i] in NAMED else region[t.parent[i]]
+    if not any(region):
+        return gone
+    own, length, link_length = _measured(t, block, linked, gone)
+    points: dict[int, float] = {}
+    for b, pieces in own.items():
+        points[region[b]] = points.get(region[b], 0.0) + _points("".join(pieces), link_length[b] / length[b] if length[b] else 0.0)
+    whole = sum(points.values())
+    kept = {r for r, x in points.items() if r == 0 or x > NAMED[why[r]][1] * whole}
+    left = sum(points[r] for r in kept)
+    weights = {r: x * NAMED[why[r]][0] for r, x in points.items() if r not in kept and (last or why[r] not in LAST)}
+    if weights and left < LEAST * whole:
+        best = max(weights, key=lambda r: (weights[r], -r))
+        if weights[best] > left:
+            kept.add(best)
+    return [g or r != 0 and r not in kept for g, r in zip(gone, region, strict=True)]
+
+
+def main_text(page: str | None) -> str:
+    """The blocks of the best container and its siblings, joined by an empty line; from all that can be read, if nothing else has text."""
+    if not page:
+        return ""
+    t = Tree(page)
+    return _main_text(t, False) or _main_text(t, True)
+
+
+def _main_text(t: Tree, last: bool) -> str:
+    n = len(t.tag)
+    # The block each node belongs to, and whether a link is around it.
+    block, linked = [0] * n, [False] * n
+    for i in range(1, n):
+        block[i] = i if t.tag[i] in BLOCK else block[t.parent[i]]
+        linked[i] = linked[t.parent[i]] or t.tag[i] == "a"
+    gone = _gone(t, block, linked, last)
+    own, length, link_length = _measured(t, block, linked, gone)
     density = lambda i: link_length[i] / length[i] if length[i] else 0.0
     # Paragraphs pass their points up.
     score = [0.0] * n
     for b, pieces in own.items():
-        text = "".join(pieces)
-        points = (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) * (1 - density(b))
+        points = _points("".join(pieces), density(b))
         up, share = (t.parent[b], 1.0) if t.tag[b] in PARAGRAPH else (b, 1.0)
         for level in range(4):
             while up > 0 and t.tag[up] not in BLOCK:
