@@ -41,9 +41,9 @@ SELECT cast(floor(o_orderkey / 1000) AS bigint) AS doc_id,
 FROM {orders}
 """
 
-# The parent by its uid; -1 is a policy that no document holds.
+# The parent by its uid, every fifth as a compact IRI, which only some documents bind; -1 is a policy that no document holds.
 INHERITS = """
-SELECT doc_id, policy_ix, CASE WHEN parent_ix = -1 THEN 'urn:policy:none' ELSE concat('urn:policy:', cast(doc_id * 1000 + parent_ix AS string)) END AS parent
+SELECT doc_id, policy_ix, CASE WHEN parent_ix = -1 THEN 'urn:policy:none' WHEN policy_ix % 5 = 0 AND doc_id % 2 = 0 THEN concat('pol:', cast(doc_id * 1000 + parent_ix AS string)) ELSE concat('urn:policy:', cast(doc_id * 1000 + parent_ix AS string)) END AS parent
 FROM {policies} WHERE parent_ix IS NOT NULL
 """
 
@@ -103,10 +103,11 @@ def values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
 
 
-# A document binds ex in every other bucket; odrl needs no binding.
+# A document binds ex and pol in every other bucket; odrl needs no binding.
 PREFIXES = """
 SELECT DISTINCT cast(floor(o_orderkey / 1000) AS bigint) AS doc_id, 'ex' AS prefix, 'https://example.org/a#' AS namespace
 FROM {orders} WHERE cast(floor(o_orderkey / 1000) AS bigint) % 2 = 0
+UNION ALL SELECT DISTINCT cast(floor(o_orderkey / 1000) AS bigint), 'pol', 'urn:policy:' FROM {orders} WHERE cast(floor(o_orderkey / 1000) AS bigint) % 2 = 0
 """
 
 PROFILE_ROWS = values([("a", 1, "https://example.org/a", "ex", A, "https://example.org/b"), ("b", 2, "https://example.org/b", "bb", B, "https://example.org/a")],
@@ -152,9 +153,14 @@ HINT_OPERATORS = values(
      (A + "purpose", "isAnyOf"), (A + "purpose", "eq")],
     "left_iri, op",
 )
-HINT_VALUE_ROWS = values([(A + "purpose", A + "purpose-0", 0), (A + "purpose", A + "purpose-1", 1), (A + "purpose", A + "purpose-2", 2)], "left_iri, value, ix")
+#: One list is closed, of literals and an IRI.
+HINT_VALUE_ROWS = values(
+    [(A + "purpose", A + "purpose-0", 0, False), (A + "purpose", A + "purpose-1", 1, False), (A + "purpose", A + "purpose-2", 2, False),
+     (A + "region", "http://www.w3.org/ns/odrl/2/R2", 0, False), (A + "region", "R0", 1, True), (A + "region", "R6", 2, True)],
+    "left_iri, value, ix, literal",
+)
 HINT_VALUES = f"""{HINT_VALUE_ROWS} UNION ALL SELECT concat('{PART}t', cast(p_partkey % 50 AS string)), concat('{PART}v', cast(p_partkey AS string)),
-  cast(row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) - 1 AS int) FROM {{part}} WHERE p_size % 2 = 0"""
+  cast(row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) - 1 AS int), false FROM {{part}} WHERE p_size % 2 = 0"""
 HINT_UNITS = values([("http://www.w3.org/ns/odrl/2/count", A + "view")], "left_iri, unit")
 #: What a larger set of profiles builds on; one import is not loaded.
 IMPORT_ROWS = values([("a", "https://example.org/b#"), ("a", "https://example.org/base"), ("a", "https://example.org/base"), ("b", "http://www.w3.org/ns/odrl/2/")], "profile_id, import_iri")

@@ -25,7 +25,7 @@ TAG = r"<[A-Za-z/!?][^>]*(>|$)"
 REFERENCE = r"&(?:amp|lt|gt|quot|apos|nbsp|#[0-9]{1,9}|#\+[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,8}|#[xX]\+[0-9A-Fa-f]{1,7});"
 
 
-def _character(code: Column) -> Column:
+def character(code: Column) -> Column:
     """The character of a code point; null for what is none."""
     valid = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
@@ -40,7 +40,7 @@ def decode_references(text: Column) -> Column:
         named = F
         for written, character in NAMED.items():
             named = named.when(piece == written, character)
-        return F.when(F.length(piece) > 1, F.coalesce(named.otherwise(None), _character(code))).otherwise(None)
+        return F.when(F.length(piece) > 1, F.coalesce(named.otherwise(None), character(code))).otherwise(None)
 
     pieces = F.regexp_extract_all(text, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
     return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("&"), F.coalesce(decoded(p), p)).otherwise(p)), "")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clausework.corpus import Corpus
-from clausework.jobs import lists, profiles, readings, rules, shapes, terms, vocab, wording
+from clausework.jobs import graphs, lists, profiles, readings, rules, shapes, terms, vocab, wording
 
-AREAS = [rules, terms, readings, vocab, lists, profiles, shapes, wording]
+AREAS = [rules, terms, readings, vocab, lists, profiles, shapes, wording, graphs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

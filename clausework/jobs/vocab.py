@@ -183,7 +183,7 @@ ORACLES = {
     "u3_same_vocabulary": f"{T} SELECT s, p, o_iri, CASE p WHEN 'rdf:type' THEN 'a' ELSE 'b' END AS only_in FROM triples WHERE p IN ('rdf:type', 'rdfs:isDefinedBy')",
     "c4_resolve_references": f"""{ctes("policies")}, chase AS (SELECT doc_id, policy_ix AS id, policy_ix AS now, parent_ix AS next, 0 AS k FROM policies
       UNION ALL SELECT c.doc_id, c.id, p.policy_ix, p.parent_ix, k + 1 FROM chase c JOIN policies p ON p.doc_id = c.doc_id AND p.policy_ix = c.next WHERE k < 40)
-      SELECT doc_id, id, max(CASE WHEN next IS NULL THEN now END) AS target FROM chase GROUP BY doc_id, id""",
+      SELECT doc_id, id, max(CASE WHEN next IS NULL THEN now WHEN NOT EXISTS (SELECT 1 FROM policies p WHERE p.doc_id = chase.doc_id AND p.policy_ix = chase.next) THEN next END) AS target FROM chase GROUP BY doc_id, id""",
     "c6_declared_labels": """WITH l AS (SELECT p_size AS doc_id, p_partkey AS iri, p_brand || ' ' || p_type AS label FROM part)
       SELECT doc_id, min(iri) AS iri, label FROM l GROUP BY doc_id, label HAVING count(DISTINCT iri) = 1""",
     "c17_compact_iris": f"""{M}, i AS (SELECT iri FROM expanded UNION SELECT assignee FROM policies WHERE assignee IS NOT NULL), pre AS ({PREFIX_ROWS}),

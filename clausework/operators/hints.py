@@ -50,37 +50,86 @@ def xsd_iri(datatype: Column) -> Column:
     return F.when(datatype.startswith("xsd:"), F.concat(F.lit(XSD), F.substr(datatype, F.lit(5)))).otherwise(datatype)
 
 
-def hint_findings(constraints: DataFrame, hints: DataFrame, operators: DataFrame, values: DataFrame, units: DataFrame) -> DataFrame:
-    """doc_id, policy_ix, path, rule, closed: each constraint (left_iri, op_iri, value_iri, unit_iri) against its hints.
+def _optional(df: DataFrame, name: str, default: bool = False) -> Column:
+    return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
+
+
+def same_text_keys(text: Column) -> Column:
+    """Keys that two literals share when they are the same as texts or as finite numbers."""
+    number = F.trim(text).try_cast("double")
+    finite = F.when(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf")), F.concat(F.lit("n"), (number + F.lit(0.0)).cast("string")))
+    return F.array_compact(F.array(F.concat(F.lit("t"), text), finite))
+
+
+def listed_values(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """``rows`` (left_iri, raw, value_any) with val_listed, as_iri and as_text: whether their operand has a list, and whether the value is on it as an IRI or as a literal.
+
+    Members are joined on (operand, key), so no list is searched, however long.
+    """
+    literal = _optional(values, "literal")
+    some = values.select(F.col("left_iri").alias("val_l")).distinct().withColumn("val_listed", F.lit(True))
+    iris = values.where(~literal).select(F.col("left_iri").alias("iri_l"), F.col("value").alias("iri_v")).distinct().withColumn("as_iri", F.lit(True))
+    texts = values.where(literal).select(F.col("left_iri").alias("text_l"), F.explode(same_text_keys(F.col("value"))).alias("text_k")).distinct()
+    keys = same_text_keys(F.col("raw"))
+    wide = (
+        rows.join(some, F.col("left_iri") == F.col("val_l"), "left")
+        .join(iris, (F.col("left_iri") == F.col("iri_l")) & (F.col("value_any") == F.col("iri_v")), "left")
+        .withColumn("key_t", F.get(keys, F.lit(0)))
+        .withColumn("key_n", F.get(keys, F.lit(1)))
+    )
+    for k in ("key_t", "key_n"):
+        member = texts.select(F.col("text_l").alias(f"{k}_l"), F.col("text_k").alias(f"{k}_k")).withColumn(f"{k}_on", F.lit(True))
+        wide = wide.join(member, (F.col("left_iri") == F.col(f"{k}_l")) & (F.col(k) == F.col(f"{k}_k")), "left").drop(f"{k}_l", f"{k}_k")
+    no = F.lit(False)
+    as_text = F.coalesce("key_t_on", no) | F.coalesce("key_n_on", no)
+    found = wide.withColumns({"val_listed": F.coalesce("val_listed", no), "as_iri": F.coalesce("as_iri", no), "as_text": as_text})
+    return found.drop("val_l", "iri_l", "iri_v", "key_t", "key_n", "key_t_on", "key_n_on")
+
+
+def hint_findings(constraints: DataFrame, hints: DataFrame, operators: DataFrame, values: DataFrame, units: DataFrame, gaps: DataFrame, strict: bool = True) -> DataFrame:
+    """doc_id, policy_ix, path, rule, closed: each constraint (left_iri, op_iri, value_iri, value_any, unit_iri) against its hints.
 
     Lists are never searched per row: a list is joined on its own key, and the
-    absence of a match is the finding.
+    absence of a match is the finding.  A literal is held against the list of its
+    own operand only, and only if that is closed.  ``gaps`` (doc_id, policy_ix) are
+    policies with a declared profile that is not loaded, which may add values
+    narrower than a closed list's: there an IRI outside of it is no finding, unless
+    the list is exact.  ``hints`` may say ``values_only`` (closed for values alone) and
+    ``values_exact``, ``values`` which members are literals.
     """
     wide = with_hints(constraints, hints)
-    for df, key, col, name in ((operators, "op", "operator_name", "op"), (values, "value", "value_iri", "val"), (units, "unit", "unit_iri", "unit")):
+    for df, key, col, name in ((operators, "op", "operator_name", "op"), (units, "unit", "unit_iri", "unit")):
         some = df.select(F.col("left_iri").alias(f"{name}_l")).distinct().withColumn(f"{name}_listed", F.lit(True))
         pair = df.select(F.col("left_iri").alias(f"{name}_l2"), F.col(key).alias(f"{name}_v"))
         wide = wide.join(some, F.col("left_iri") == F.col(f"{name}_l"), "left").join(
             pair, (F.col("left_iri") == F.col(f"{name}_l2")) & (F.col(col) == F.col(f"{name}_v")), "left"
         )
-    literal = F.col("right_kind") == "literal"
+    wide = listed_values(wide, values)
+    open_ = gaps.select(F.col("doc_id").alias("gap_doc"), F.col("policy_ix").alias("gap_ix")).distinct()
+    wide = wide.join(open_, (F.col("doc_id") == F.col("gap_doc")) & (F.col("policy_ix") == F.col("gap_ix")), "left")
+    literal, iri = F.col("right_kind") == "literal", F.col("right_kind") == "iri"
     closed = F.coalesce("h_closed", F.lit(False))
+    binds = closed & ~_optional(wide, "h_values_only")
     want = F.col("h_datatype")
     own_valid, want_valid = xsd_valid(F.col("datatype"), F.col("raw")), xsd_valid(want, F.col("raw"))
     hinted_same = F.coalesce(xsd_iri(F.col("datatype")) == xsd_iri(want), F.lit(False))
-    expected_iri = F.col("value_as_iri").isNotNull()
+    held_back = closed & F.lit(strict) & F.col("gap_doc").isNotNull() & ~_optional(wide, "h_values_exact")
+    on_list = F.col("val_listed")
+    lexical = literal & F.col("h_pattern").isNotNull() & ((F.length("h_pattern") > PATTERN_CHARS) | (F.length("raw") > TEXT_CHARS))
     cases = [
-        (F.col("op_listed") & F.col("op_v").isNull(), "prose.operator-not-allowed"),
-        (literal & ~want_valid, "prose.datatype-lexical"),
-        ((F.col("right_kind") == "iri") & F.col("val_listed") & F.col("val_v").isNull(), "prose.value-not-allowed"),
-        (literal & (pattern_mismatch(F.col("raw"), F.col("h_pattern")) | outside_bounds(F.col("raw"), F.col("h_lo"), F.col("h_hi"))), "prose.value-not-allowed"),
-        (literal & expected_iri & F.col("val_listed"), "prose.iri-expected"),
-        (F.col("unit_listed") & F.col("unit_iri").isNotNull() & F.col("unit_v").isNull(), "prose.unit-not-allowed"),
-        (literal & F.col("datatype").isNotNull() & want.isNotNull() & ~hinted_same, "prose.datatype-conflict"),
-        (literal & F.col("datatype").isNotNull() & ~hinted_same & ~own_valid, "prose.ill-typed-literal"),
+        (F.col("op_listed") & F.col("op_v").isNull(), "prose.operator-not-allowed", binds),
+        (literal & ~want_valid, "prose.datatype-lexical", binds),
+        (iri & on_list & ~F.col("as_iri") & ~held_back, "prose.value-not-allowed", closed),
+        (literal & on_list & closed & ~F.col("as_text") & ~F.col("as_iri"), "prose.value-not-allowed", closed),
+        (literal & on_list & closed & ~F.col("as_text") & F.col("as_iri"), "prose.iri-expected", F.lit(True)),
+        (literal & (pattern_mismatch(F.col("raw"), F.col("h_pattern")) | outside_bounds(F.col("raw"), F.col("h_lo"), F.col("h_hi"))), "prose.value-not-allowed", closed),
+        (lexical, "input.unchecked", F.lit(False)),
+        (F.col("unit_listed") & F.col("unit_iri").isNotNull() & F.col("unit_v").isNull(), "prose.unit-not-allowed", binds),
+        (literal & F.col("datatype").isNotNull() & want.isNotNull() & ~hinted_same, "prose.datatype-conflict", binds),
+        (literal & F.col("datatype").isNotNull() & ~hinted_same & ~own_valid, "prose.ill-typed-literal", F.lit(False)),
     ]
-    found = [F.when(test, F.lit(rule)) for test, rule in cases]
-    return wide.select("doc_id", "policy_ix", "path", F.explode(F.array_compact(F.array(*found))).alias("rule"), closed.alias("closed"))
+    found = [F.when(test, F.struct(F.lit(rule).alias("rule"), shut.alias("closed"))) for test, rule, shut in cases]
+    return wide.select("doc_id", "policy_ix", "path", F.inline(F.array_compact(F.array(*found))))
 
 
 def disallowed_values(right_values: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -15,15 +15,31 @@ from clausework.operators.pointers import circles, orbits
 from clausework.sources.shared import cut
 
 PARTS = ("assigner", "assignee", "target", "action")
+#: What ancestors lend where they agree.
+LENT = (*PARTS, "conflict")
 REMOTE = 16
 
 
-def inherit_links(policies: DataFrame, inherits: DataFrame) -> DataFrame:
-    """doc_id, policy_ix, parent, parent_ix: the first policy of the document with the parent's uid, null if none."""
-    first = policies.where("uid is not null").groupBy(F.col("doc_id").alias("u_doc"), "uid").agg(F.min("policy_ix").alias("parent_ix"))
-    return inherits.join(first, (F.col("doc_id") == F.col("u_doc")) & (F.col("parent") == F.col("uid")), "left").select(
-        "doc_id", "policy_ix", "parent", "parent_ix"
-    )
+def expanded_ids(df: DataFrame, col: str, prefixes: DataFrame | None) -> DataFrame:
+    """``df`` (doc_id, col) with ``{col}_iri``: a compact IRI written out by the prefixes (doc_id, prefix, namespace) of its document, else as written."""
+    if prefixes is None:
+        return df.withColumn(f"{col}_iri", F.col(col))
+    head, tail = F.substring_index(col, ":", 1), F.expr(f"substring({col}, instr({col}, ':') + 1)")
+    bound = prefixes.select(F.col("doc_id").alias("b_doc"), F.col("prefix").alias("b_prefix"), F.col("namespace").alias("b_ns"))
+    compact = F.col(col).contains(":") & ~tail.startswith("//")
+    joined = df.join(bound, (F.col("doc_id") == F.col("b_doc")) & compact & (head == F.col("b_prefix")), "left")
+    return joined.withColumn(f"{col}_iri", F.coalesce(F.concat("b_ns", tail), col)).drop("b_doc", "b_prefix", "b_ns")
+
+
+def inherit_links(policies: DataFrame, inherits: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+    """doc_id, policy_ix, parent, parent_ix: the first policy of the document with the parent's uid, null if none.
+
+    Both are expanded first, so a compact and a full IRI meet.
+    """
+    uids = expanded_ids(policies.where("uid is not null").select("doc_id", "policy_ix", "uid"), "uid", prefixes)
+    first = uids.groupBy(F.col("doc_id").alias("u_doc"), "uid_iri").agg(F.min("policy_ix").alias("parent_ix"))
+    named = expanded_ids(inherits, "parent", prefixes)
+    return named.join(first, (F.col("doc_id") == F.col("u_doc")) & (F.col("parent_iri") == F.col("uid_iri")), "left").select("doc_id", "policy_ix", "parent", "parent_ix")
 
 
 def _edges(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -177,7 +193,7 @@ def _stepped_masks(masks: DataFrame, edges: DataFrame) -> DataFrame:
 def lent_values(lineage: DataFrame, policies: DataFrame) -> DataFrame:
     """doc_id, policy_ix, key, value: what all ancestors that state it state the same."""
     stated = policies.select(
-        "doc_id", F.col("policy_ix").alias("ancestor_ix"), F.explode(F.create_map(*[x for p in PARTS for x in (F.lit(p), F.col(p))])).alias("key", "value")
+        "doc_id", F.col("policy_ix").alias("ancestor_ix"), F.explode(F.create_map(*[x for p in LENT for x in (F.lit(p), F.col(p))])).alias("key", "value")
     ).where("value is not null")
     agreed = lineage.join(stated, ["doc_id", "ancestor_ix"]).groupBy("doc_id", "policy_ix", "key").agg(F.min("value").alias("value"), F.max("value").alias("other"))
     return agreed.where("value = other").drop("other")

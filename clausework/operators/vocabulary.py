@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.functions.names import iri_ok
+from clausework.functions.texts import character
 from clausework.model import ODRL
 from clausework.sources.shared import cut
 
@@ -141,11 +142,14 @@ def declared_labels(labels: DataFrame) -> DataFrame:
 
 
 def resolve_references(nodes: DataFrame, rounds: int = 12) -> DataFrame:
-    """doc_id, id, target: where following references (ref, null at a declaration) ends; null for a circle or what is not declared.
+    """doc_id, id, target: where following references (ref, null at a declaration) ends: at a declaration, or at the
+    identifier that the document does not declare; null for a circle.
 
     Pointers are doubled: 2**rounds references are followed at most.
     """
-    at = cut(nodes.select("doc_id", "id", F.coalesce("ref", "id").alias("to"), F.col("ref").isNull().alias("done")), "refs")
+    ids = nodes.select("doc_id", F.col("id").alias("ref")).distinct().withColumn("declared", F.lit(True))
+    known = nodes.join(ids, ["doc_id", "ref"], "left")
+    at = cut(known.select("doc_id", "id", F.coalesce("ref", "id").alias("to"), F.col("declared").isNull().alias("done")), "refs")
     for _ in range(rounds):
         further = at.select("doc_id", F.col("id").alias("to"), F.col("to").alias("next"), F.col("done").alias("next_done"))
         at = cut(
@@ -159,16 +163,32 @@ def resolve_references(nodes: DataFrame, rounds: int = 12) -> DataFrame:
     return at.select("doc_id", "id", F.when(F.col("done"), F.col("to")).alias("target"))
 
 
+# What stands behind a backslash in N-Triples.
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def unescape(text: Column) -> Column:
+    """Escapes of N-Triples decoded once, from left to right; what is none stays as written."""
+    pieces = F.regexp_extract_all(text, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\"), F.lit(0))
+    named = F.create_map(*[F.lit(x) for k, v in ESCAPES.items() for x in (f"\\{k}", v)])
+
+    def decoded(piece: Column) -> Column:
+        code = F.when(piece.rlike(r"^\\[uU].{4}"), F.conv(F.substr(piece, F.lit(3)), 16, 10).cast("long"))
+        return F.coalesce(named[piece], character(code), piece)
+
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("\\"), decoded(p)).otherwise(p)), "")
+
+
 def read_ntriples(lines: DataFrame) -> DataFrame:
     """s, p, o_iri, o_value, o_lang, o_datatype from lines (value) of N-Triples; what is no triple, or has an IRI that none is, is dropped."""
     pattern = r'^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*$'
     group = lambda i: F.regexp_extract("value", pattern, i)
     some = lambda c: F.when(c != "", c)
-    value = F.regexp_replace(F.regexp_replace(F.regexp_replace(group(6), r'\\"', '"'), r"\\n", "\n"), r"\\\\", r"\\")
-    o_iri = F.coalesce(some(group(4)), some(group(5)))
+    iri = lambda i: some(unescape(group(i)))
+    o_iri = F.coalesce(iri(4), some(group(5)))
     out = lines.where(F.col("value").rlike(pattern)).select(
-        F.coalesce(some(group(1)), group(2)).alias("s"), group(3).alias("p"), o_iri.alias("o_iri"),
-        F.when(o_iri.isNull(), value).alias("o_value"), some(group(7)).alias("o_lang"), some(group(8)).alias("o_datatype"),
+        F.coalesce(iri(1), group(2)).alias("s"), F.coalesce(iri(3), F.lit("")).alias("p"), o_iri.alias("o_iri"),
+        F.when(o_iri.isNull(), unescape(group(6))).alias("o_value"), some(group(7)).alias("o_lang"), iri(8).alias("o_datatype"),
     )
     return out.where(iri_ok(F.col("s")) & iri_ok(F.col("p")) & (F.col("o_iri").isNull() | iri_ok(F.col("o_iri"))))
 

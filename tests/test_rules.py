@@ -162,10 +162,13 @@ def test_strip_takes_what_lies_below(spark):
 
 
 def test_read_policy_files(spark, tmp_path):
-    (tmp_path / "node_modules").mkdir()
-    for name in ("a.json", "b.jsonld", "schema.json", "c.txt", "node_modules/d.json"):
-        (tmp_path / name).write_text("{}")
-    assert {r.rel_path.split("/")[-1] for r in flatten.read_policy_files(spark, str(tmp_path)).collect()} == {"a.json", "b.jsonld"}
+    root = tmp_path / "build" / "schema in+"
+    for name in ("top.json", "a/b/x.json", "b.jsonld", "my-schema.json", "c.txt", "node_modules/d.json", "a/schemas/e.json", "a/build/f.json", "dist/g.json", "vendor/h.json"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("{}")
+    want = {"top.json", "a/b/x.json", "b.jsonld", "dist/g.json", "vendor/h.json"}
+    assert {r.rel_path for r in flatten.read_policy_files(spark, str(root)).collect()} == want
+    assert {r.rel_path for r in flatten.read_policy_files(spark, str(root) + "/").collect()} == want
 
 
 def test_ntriples(spark):
@@ -189,3 +192,23 @@ def test_one_large_document(spark):
     classes = spark.createDataFrame([(0, 0, "Offer")], "doc_id long, policy_ix int, class string")
     got = {r["rule"]: r["count"] for r in structure.rule_findings(rules, masks, classes).groupBy("rule").count().collect()}
     assert got == {"odrl.offer-assigner": n, "odrl.rule-target": n, "odrl.rule-action": n}
+
+
+def test_ntriples_escapes(spark):
+    lines = [r'<http://a> <http://p> "caf\u00E9\t\"\\n\U0001F600\'x" .', r"<http://a/\u00e9> <http://p> <http://b> ."]
+    got = vocabulary.read_ntriples(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert (got[0].o_value, got[1].s) == ('café\t"\\n\U0001F600\'x', "http://a/é")
+
+
+def test_compact_and_full_parents_meet(spark):
+    policies = spark.createDataFrame([(1, 0, "http://x/a"), (1, 1, "ex:b"), (1, 2, "ex:a"), (2, 0, "http://x/a")], "doc_id int, policy_ix int, uid string")
+    inherits = spark.createDataFrame([(1, 3, "ex:a"), (1, 4, "http://x/b"), (2, 3, "ex:a"), (1, 5, "ex://a")], "doc_id int, policy_ix int, parent string")
+    prefixes = spark.createDataFrame([(1, "ex", "http://x/")], "doc_id int, prefix string, namespace string")
+    got = {(r.doc_id, r.policy_ix): r.parent_ix for r in inherit.inherit_links(policies, inherits, prefixes).collect()}
+    assert got == {(1, 3): 0, (1, 4): 1, (2, 3): None, (1, 5): None}
+
+
+def test_references_end_at_what_is_not_declared(spark):
+    rows = [(1, "a", "b"), (1, "b", "gone"), (1, "c", None), (1, "d", "c"), (1, "x", "y"), (1, "y", "x")]
+    got = {r.id: r.target for r in vocabulary.resolve_references(spark.createDataFrame(rows, "doc_id int, id string, ref string")).collect()}
+    assert got == {"a": "gone", "b": "gone", "c": "c", "d": "c", "x": None, "y": None}
