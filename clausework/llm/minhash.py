@@ -131,21 +131,17 @@ def _ranks(signatures: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 
 def _posted(classes: DataFrame, rarity) -> DataFrame:
-    """pair, coordinate, node, n for the first ``PREFIX`` pairs of each class; pairs that the sketch knows to be one class's alone are left out."""
+    """pair, node for the first ``PREFIX`` pairs of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            signatures = _read(batch.column(2))
-            pairs = pairs_of(signatures)
-            keep = (_ranks(signatures, rarity.value) < PREFIX) & (rarity.value[pairs & (COUNTERS - 1)] > 0)
-            row, coordinate = np.nonzero(keep)
-            at = pa.array(row)
-            cols = [pa.array(pairs[keep]), pa.array(coordinate.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)]
-            yield pa.RecordBatch.from_arrays(cols, ["pair", "coordinate", "node", "n"])
+            if len(batch):
+                signatures = _read(batch.column(1))
+                row, coordinate = np.nonzero(_ranks(signatures, rarity.value) < PREFIX)
+                pairs = pa.array(pairs_of(signatures)[row, coordinate])
+                yield pa.RecordBatch.from_arrays([pairs, batch.column(0).take(pa.array(row))], ["pair", "node"])
 
-    return classes.select("node", "n", "signature").mapInArrow(run, "pair long, coordinate int, node long, n long")
+    return classes.select("node", "signature").mapInArrow(run, "pair long, node long")
 
 
 def _few(nodes: DataFrame) -> DataFrame:
@@ -207,18 +203,18 @@ def _star_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
 
 
 def _blocks(rows: DataFrame, size, limit: int, *carried: str) -> DataFrame:
-    """pair, coordinate, asking, inside: each block of a list meets each of its blocks once (itself with nothing inside).
+    """pair, asking, inside: each block of a list meets each of its blocks once (itself with nothing inside).
 
     A list is dealt by hash to as many blocks as the sum of ``size`` needs.
     """
     total = rows.groupBy("pair").agg(F.ceil(F.sum(size) / limit).alias("n_blocks"))
     dealt = rows.join(total, "pair").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("n_blocks", F.lit(1))))
-    blocks = dealt.groupBy("pair", "coordinate", "n_blocks", "block").agg(F.collect_list(F.struct("node", "n", "label", "data", *carried)).alias("members"))
+    blocks = dealt.groupBy("pair", "n_blocks", "block").agg(F.collect_list(F.struct("node", "n", "label", "data", *carried)).alias("members"))
     blocks = cut(blocks, "blocks")
-    alone = blocks.select("pair", "coordinate", F.col("members").alias("asking"), F.lit(None).cast(blocks.schema["members"].dataType).alias("inside"))
+    alone = blocks.select("pair", F.col("members").alias("asking"), F.lit(None).cast(blocks.schema["members"].dataType).alias("inside"))
     several = blocks.where("n_blocks > 1")
     other = several.select("pair", F.col("block").alias("other"), F.col("members").alias("inside"))
-    return alone.unionByName(several.join(other, "pair").where("block < other").select("pair", "coordinate", F.col("members").alias("asking"), "inside"))
+    return alone.unionByName(several.join(other, "pair").where("block < other").select("pair", F.col("members").alias("asking"), "inside"))
 
 
 class _List:
@@ -247,8 +243,9 @@ def _merged(query: _List, k: int, inside: _List, alive: np.ndarray) -> np.ndarra
     return alive
 
 
-def _candidates(coordinate: int, asking: _List, inside: _List | None) -> Iterator[tuple[int, np.ndarray]]:
+def _candidates(pair: int, asking: _List, inside: _List | None) -> Iterator[tuple[int, np.ndarray]]:
     """Each query of ``asking`` with the members of other components to compare it with, whose first common pair is this list's."""
+    coordinate = int(np.flatnonzero(pairs_of(asking.signatures[:1])[0] == pair)[0])
     for k in range(len(asking.members)):
         other = asking if inside is None else inside
         n, m = asking.n[k], other.n
@@ -265,27 +262,27 @@ def _candidates(coordinate: int, asking: _List, inside: _List | None) -> Iterato
 
 
 def _opened(met: DataFrame) -> DataFrame:
-    """pair, coordinate, node, n, label: the members that have candidates."""
+    """pair, node, n, label: the members that have candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for pair, coordinate, asking, inside in zip(*batch.columns, strict=True):
-                pair, coordinate = pair.as_py(), coordinate.as_py()
+            for pair, asking, inside in zip(*batch.columns, strict=True):
+                pair = pair.as_py()
                 asked = _List(asking.as_py())
                 others = _List(inside.as_py()) if inside.is_valid else None
                 open_ = set()
-                for k, found in _candidates(coordinate, asked, others):
+                for k, found in _candidates(pair, asked, others):
                     open_.add((True, k))
                     open_.update((others is None, int(j)) for j in found)
                 for own, k in open_:
                     m = (asked if own else others).members[k]
-                    rows.append((pair, coordinate, m["node"], m["n"], m["label"]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["pair", "coordinate", "node", "n", "label"])
+                    rows.append((pair, m["node"], m["n"], m["label"]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["pair", "node", "n", "label"])
 
-    return met.mapInArrow(run, "pair long, coordinate int, node long, n long, label long").distinct()
+    return met.mapInArrow(run, "pair long, node long, n long, label long").distinct()
 
 
 def _list_links(met: DataFrame) -> DataFrame:
@@ -294,7 +291,7 @@ def _list_links(met: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for coordinate, asking, inside in zip(*(batch.column(k) for k in range(1, 4)), strict=True):
+            for pair, asking, inside in zip(*batch.columns, strict=True):
                 asked = _List(asking.as_py())
                 others = _List(inside.as_py()) if inside.is_valid else None
                 joined: dict[int, int] = {}
@@ -311,7 +308,7 @@ def _list_links(met: DataFrame) -> DataFrame:
                         sets[m["node"]] = found[0] if found else None
                     return sets[m["node"]]
 
-                for k, found in _candidates(coordinate.as_py(), asked, others):
+                for k, found in _candidates(pair.as_py(), asked, others):
                     own = asked.members[k]
                     for j in found:
                         other = (asked if others is None else others).members[j]
@@ -356,7 +353,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = cut(posted.join(several, "pair"), "shared")
     spent(posted)
     share = shared.groupBy("node").agg(F.count("*").alias("share"))
-    rows = cut(shared.join(share, "node"), "rows")
+    rows = cut(shared.join(share.join(classes.select("node", "n"), "node"), "node"), "rows")
     lead = F.max(F.struct("share", (-F.col("node")).alias("minus"), "n")).alias("lead")
     leaders = rows.groupBy("pair").agg(lead).select("pair", (-F.col("lead.minus")).alias("leader"), F.col("lead.n").alias("leader_n"))
     spent(shared)
@@ -370,7 +367,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = cut(jump(step(labels, first)).select("node", "label"), "labels")
 
     # 4. Lists with several components left, block by block: first signatures, then texts.
-    labelled = rows.join(labels, "node", "left").select("pair", "coordinate", "node", "n", F.coalesce("label", "node").alias("label"))
+    labelled = rows.join(labels, "node", "left").select("pair", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("pair").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("pair")
     rest = cut(labelled.join(mixed, "pair"), "rest")
     spent(rows)
