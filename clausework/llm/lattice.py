@@ -11,22 +11,27 @@ the training documents of one language k, and D the share of one count that
 Good and Turing's rule takes, n1 / (n1 + 2 n2) with n1, n2 words of count 1, 2:
 
     P_k(word) = max(c - D, 0) / N + D * V / N * lattice_k(word)
+    P_k(end) = c / N
 
-The end of a document is a word that is always known.  A text's probability is
+The end is counted among N but not among V: it is always known and takes no part in
+the discount.  The lattice's weights add up to one over all words, so P_k does too,
+and the texts of each language are a distribution; a language without training
+documents gives the end one half and the lattice the other.  A text's probability is
 the sum over the languages of their share times the product of P_k over its words
 and end: the text is not told its language, that is summed out like the
 segmentations.  Every path passes every word border, so the product over words is
-the forward recursion over the whole document.
+the forward recursion over the whole document.  ``lattice_score`` is the plain
+marginal: all segmentations of all words by the vocabulary's own scores alone.
 
 Words are counted by tasks, then by a shuffle on the word.  Words with a share of
 at least 1 in 2**19 of all counts (at most 2**19 of them, by arithmetic) are
 broadcast and scored where the texts are read; the others, none of which is
-frequent, are joined on the word.
+frequent, are joined.  Words of more than ``KEPT`` bytes stand in both by their digest.
 
 Cases: a null or empty text is the end alone; bytes that no piece covers are
 covered by the vocabulary's byte pieces; repeated rows each get a result (their
-parts are kept apart by a row number); languages beyond the ``LANGUAGES`` largest,
-and documents without one, are one more language; without training documents
+parts are kept apart by a row number); languages with less than a share of ``SHARE``
+of the training documents, and documents without one, are one more language; without training documents
 every count is 0 and all mass is the lattice's; extra columns are ignored.
 """
 
@@ -34,6 +39,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +52,10 @@ from clausework.llm.common import cut, small_batches
 #: Bounds of the discount.
 LEAST, MOST = 0.1, 0.95
 PASSES = 4
-#: Languages that have weights of their own.
-LANGUAGES = 8
+#: Share of the training documents from which a language has weights of its own; by arithmetic no more than so many do.
+SHARE = 1 / 128
+#: Bytes of a word that are kept as they are; longer ones are known by a digest.
+KEPT = 64
 #: Share of all counts from which a word is broadcast.
 HEAD = 1 << 19
 #: Distinct words that a task counts before it hands them on.
@@ -71,6 +79,30 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def key_of(word: bytes) -> bytes:
+    """A word, or a digest of a long one behind a byte that no word begins with."""
+    return word if len(word) <= KEPT else b" " + blake2b(word, digest_size=32).digest()
+
+
+class Mixture:
+    """Known words and the lattice in one distribution for each language, from counts over its training documents.
+
+    ``ns``: all tokens, ``vs``: distinct words without the end, ``once``, ``twice``: words of count 1 and 2.
+    """
+
+    def __init__(self, ns: np.ndarray, vs: np.ndarray, once: np.ndarray, twice: np.ndarray) -> None:
+        self.ns = ns
+        self.discount = np.clip(once / np.maximum(once + 2 * twice, 1), LEAST, MOST)
+        self.spread = np.where(ns > 0, self.discount * vs / np.maximum(ns, 1), 0.5)
+
+    def log_p(self, counts: np.ndarray, is_end: np.ndarray, by_lattice: np.ndarray) -> np.ndarray:
+        """Log probabilities of words (rows) in each language (columns)."""
+        whole = np.maximum(self.ns, 1)
+        ends = np.where(self.ns > 0, counts / whole, 0.5)
+        known = np.maximum(counts - self.discount, 0) / whole
+        return np.where(is_end[:, None], _log(ends), np.logaddexp(_log(known), _log(self.spread) + by_lattice))
+
+
 class Lattice:
     """The pieces of a vocabulary with weights, and the recursions over batches of words.
 
@@ -279,9 +311,10 @@ def held_out(doc_id):
 
 
 def _languages(docs: DataFrame) -> list[str]:
-    """The languages of most training documents."""
-    named = docs.where("not held_out and lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
-    return sorted(r.lang for r in named.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    """The languages with a share of the training documents of at least ``SHARE``."""
+    training = docs.where("not held_out")
+    named = training.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    return sorted(r.lang for r in named.where(F.col("n") >= SHARE * training.count()).collect())
 
 
 def _counted(docs: DataFrame, languages: list[str]) -> DataFrame:
@@ -358,7 +391,7 @@ def _log(x: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text, lang)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for each row of ``docs`` (doc_id, text, lang)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
@@ -367,10 +400,11 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     size = len(languages) + 1
     words = cut(_counted(docs, languages), "words")
     c_all = sum((F.col(f"c{k}") for k in range(size)), F.lit(0))
+    a_word = F.length("word") > 0
     whole = words.agg(
         *[F.sum(f"c{k}").alias(f"n{k}") for k in range(size)],
-        *[F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"v{k}") for k in range(size)],
-        *[F.sum((F.col(f"c{k}") == i).cast("long")).alias(f"t{i}{k}") for k in range(size) for i in (1, 2)],
+        *[F.sum(((F.col(f"c{k}") > 0) & a_word).cast("long")).alias(f"v{k}") for k in range(size)],
+        *[F.sum(((F.col(f"c{k}") == i) & a_word).cast("long")).alias(f"t{i}{k}") for k in range(size) for i in (1, 2)],
         F.sum((c_all > 0).cast("long")).alias("v"),
         F.max(F.when(F.length("word") == 0, F.struct(*[f"c{k}" for k in range(size)]))).alias("ends"),
     ).first()
@@ -383,34 +417,32 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     ends = np.array([whole.ends[k] if whole.ends else 0 for k in range(size)], float)
     shares = np.log((ends + 1.0 / size) / (ends.sum() + 1.0)).tolist()
     once, twice = (np.array([whole[f"t{i}{k}"] or 0 for k in range(size)], float) for i in (1, 2))
-    discount = np.clip(once / np.maximum(once + 2 * twice, 1), LEAST, MOST)
-    spread = np.where(ns > 0, discount * vs / np.maximum(ns, 1), 1.0)
+    mixture = Mixture(ns, vs, once, twice)
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, weights = model.value
         for batch in _together(batches):
             ws = batch.column(0).to_pylist()
             c = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(size)], 1).astype(float).reshape(len(ws), size)
-            is_end = np.array([w == END for w in ws], bool)[:, None]
-            known = np.maximum(c - discount, 0) / np.maximum(ns, 1)
-            log_p = np.where(
-                is_end, _log(np.maximum(c, 0.5) / np.maximum(ns, 1)), np.logaddexp(_log(known), _log(spread) + lattice.log_p(ws, weights))
-            )
+            is_end = np.array([w == END for w in ws], bool)
+            by_lattice = lattice.log_p(ws, [lattice.log_w, *weights])
+            log_p = mixture.log_p(c, is_end, by_lattice[:, 1:])
+            plain = np.where(is_end, np.log(0.5), by_lattice[:, 0]) / np.log(10.0)
             total = c.sum(1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(total.astype(np.int64)), pa.array(np.log10((total + 1) / (n + v + 1.0))),
+                    pa.array([key_of(w) for w in ws], pa.binary()), pa.array(total.astype(np.int64)), pa.array(np.log10((total + 1) / (n + v + 1.0))), pa.array(plain),
                     *(pa.array(log_p[:, k]) for k in range(size)),
                 ],
-                ["word", "c", "base", *names],
+                ["word", "c", "base", "plain", *names],
             )
 
     names = [f"p{k}" for k in range(size)]
     doubles = ", ".join(f"{x} double" for x in names)
-    valued = cut(words.mapInArrow(value, f"word binary, c long, base double, {doubles}"), "valued")
-    frequent = valued.where((F.col("c") * F.lit(HEAD) >= F.lit(n)) & (F.col("c") > 0) & (F.length("word") <= 64)).toPandas()
+    valued = cut(words.mapInArrow(value, f"word binary, c long, base double, plain double, {doubles}"), "valued")
+    frequent = valued.where((F.col("c") * F.lit(HEAD) >= F.lit(n)) & (F.col("c") > 0)).toPandas()
     head = spark.sparkContext.broadcast(
-        ({bytes(w): i for i, w in enumerate(frequent["word"])}, frequent[["base", *names]].to_numpy(float))
+        ({bytes(w): i for i, w in enumerate(frequent["word"])}, frequent[["base", "plain", *names]].to_numpy(float))
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +454,7 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
             sums, counts = [], []
             for i, text in enumerate(batch.column(2)):
                 found = Counter(tokens(text.as_py()))
-                own = list(found)
+                own = [key_of(w) for w in found]
                 t = np.fromiter(found.values(), np.int64, len(own))
                 at = np.fromiter([known.get(w, -1) for w in own], np.int64, len(own))
                 there = at >= 0
@@ -435,22 +467,22 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
             at = pa.array(rows, pa.int64())
             first = pa.array([w is None for w in words], pa.bool_())
             of_doc = lambda x, kind: pc.if_else(first, pa.array(x, kind).take(at), pa.scalar(None, kind))
-            table = np.array(sums).reshape(len(sums), size + 1)
+            table = np.array(sums).reshape(len(sums), size + 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(words, pa.binary()),
                     pa.array(np.concatenate([*times, np.empty(0, np.int64)])), of_doc([c[0] for c in counts], pa.int64()), of_doc([c[1] for c in counts], pa.int64()),
-                    *(of_doc(table[:, k], pa.float64()) for k in range(size + 1)),
+                    *(of_doc(table[:, k], pa.float64()) for k in range(size + 2)),
                 ],
-                ["row", "doc_id", "held_out", "word", "times", "n_tokens", "n_known", "base", *names],
+                ["row", "doc_id", "held_out", "word", "times", "n_tokens", "n_known", "base", "plain", *names],
             )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
     parts = numbered.mapInArrow(
-        read, f"row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, {doubles}"
+        read, f"row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, plain double, {doubles}"
     )
     parts = cut(parts, "parts")
-    sums = ["base", *names]
+    sums = ["base", "plain", *names]
     done = parts.where("word is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", *sums)
     rest = parts.where("word is not null").select("row", "word", "times").join(valued, "word").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known_"), *[F.sum(F.col("times") * F.col(x)).alias(f"{x}_") for x in sums]
@@ -459,7 +491,7 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     add = lambda x: F.col(x) + F.coalesce(F.col(f"{x}_"), F.lit(0))
     logs = F.array(*[add(x) + F.lit(share) for x, share in zip(names, shares, strict=True)])
     return (
-        joined.select("doc_id", "held_out", "n_tokens", add("n_known").cast("long").alias("n_known"), add("base").alias("base_score"), logs.alias("logs"))
+        joined.select("doc_id", "held_out", "n_tokens", add("n_known").cast("long").alias("n_known"), add("base").alias("base_score"), add("plain").alias("lattice_score"), logs.alias("logs"))
         .withColumn("top", F.array_max("logs"))
         .select(
             "doc_id",
@@ -469,5 +501,6 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
             F.lit(n).cast("long").alias("train_tokens"),
             "base_score",
             ((F.col("top") + F.log(F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))) / F.log(F.lit(10.0))).alias("score"),
+            "lattice_score",
         )
     )

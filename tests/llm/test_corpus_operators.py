@@ -286,6 +286,74 @@ def test_probabilities_add_up(spark):
     assert np.exp(model.log_p(words, [model.log_w])).sum() <= 1
 
 
+def plain_scores(rows):
+    """The whole model by loops: counts by language, the mixture, the sum over languages; only the fitted weights are the operator's."""
+    apart = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    words_in = lambda t: (t or "").encode().lower().split()
+    training = [(t, lang) for i, t, lang, _ in rows if not apart(i)]
+    n_docs = Counter(lang for _, lang in training)
+    own = sorted(x for x in n_docs if x is not None and n_docs[x] >= lattice.SHARE * len(training))
+    counts = {k: Counter() for k in [*own, None]}
+    for t, lang in training:
+        counts[lang if lang in own else None].update([*words_in(t), b""])
+    model, fitted = lattice.Lattice(PIECES), {}
+    for k, c in counts.items():
+        w = model.log_w
+        for _ in range(lattice.PASSES):
+            uses = np.exp(w[:-1])
+            for size in {len(x) for x in c if x}:  # each word once, however often it is said
+                uses = uses + sum(model.expected([x], w) for x in sorted(c) if len(x) == size)
+            w = model.normal(uses)
+        fitted[k] = w
+    out, masses = Counter(), {}
+    for k, c in counts.items():
+        n, known = sum(c.values()), [x for x in c if x]
+        one, two = (sum(c[x] == m for x in known) for m in (1, 2))
+        d = min(max(one / max(one + 2 * two, 1), lattice.LEAST), lattice.MOST)
+        spread = d * len(known) / n if n else 0.5
+        counts[k] = c, n, d, spread
+        masses[k] = sum(max(c[x] - d, 0) for x in known) / max(n, 1) + spread + (c[b""] / n if n else 0.5)
+    ends = {k: c[b""] for k, (c, *_) in counts.items()}
+
+    def p_of(k, x):
+        c, n, d, spread = counts[k]
+        if not x:
+            return math.log(c[x] / n if n else 0.5)
+        known = max(c[x] - d, 0) / max(n, 1)
+        return np.logaddexp(math.log(known) if known else -np.inf, math.log(spread) + model.log_p([x], [fitted[k]])[0, 0])
+
+    for i, t, *_ in rows:
+        each = [math.log((ends[k] + 1 / len(counts)) / (sum(ends.values()) + 1)) + sum(p_of(k, x) for x in [*words_in(t), b""]) for k in counts]
+        top = max(each)
+        plain = sum(model.log_p([x], [model.log_w])[0, 0] for x in words_in(t)) + math.log(0.5)
+        out[i, round((top + math.log(sum(math.exp(x - top) for x in each))) / math.log(10), 6), round(plain / math.log(10), 6)] += 1
+    return out, masses
+
+
+def test_scores_against_loops(spark):
+    rng = random.Random(12)
+    rows = [(i, words_of(rng, ["en", "de"][i % 2], rng.randrange(12)), ["en", "de"][i % 2], "s") for i in range(140)]
+    rows += [(900, None, None, "s"), (901, "", "en", "s"), (3, "THE the\tOf", "en", "s"), (902, "x" * 300 + " ing", "rare", None), (903, "y" * 65, "en", None), (904, "the" * 40 + " the", "fr", None)]
+    rows = [r for r in rows if r[2] not in ("rare", None, "fr") or zlib.crc32(str(r[0]).encode()) % 7 == 2 or r[0] > 900]
+    got = Counter((r.doc_id, round(r.score, 6), round(r.lattice_score, 6)) for r in lattice.score(spark.createDataFrame(rows, DOCS).repartition(4), PIECES).collect())
+    want, masses = plain_scores(rows)
+    assert got == want
+    assert all(math.isclose(x, 1, rel_tol=1e-9) for x in masses.values())
+
+
+def test_languages_by_their_share(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "a", f"l{i % 40:02d}", "s") for i in range(4000)] + [(9000 + i, "a", "rare", "s") for i in range(9)], DOCS).withColumn("held_out", F.lit(False))
+    assert lattice._languages(docs) == [f"l{k:02d}" for k in range(40)]
+
+
+def test_texts_without_training_are_a_distribution():
+    """The end takes one half, all words together the other."""
+    m = lattice.Mixture(np.zeros(1), np.zeros(1), np.zeros(1), np.zeros(1))
+    end, words = m.log_p(np.zeros((2, 1)), np.array([True, False]), np.zeros((2, 1)))[:, 0]
+    assert math.isclose(math.exp(end) + math.exp(words), 1)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
