@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from clausework.corpus import Corpus, ctes
 from clausework.functions.names import local_name
-from clausework.functions.paths import WALK
+from clausework.functions.paths import SLOTS, WALK
 from clausework.jobs.terms import BASE, USES
 from clausework.jobs.terms import ORACLES as TERM_ORACLES
-from clausework.model import Options
-from clausework.operators import hints, inherit, report, resolve, structure
+from clausework.model import RULES, Options
+from clausework.operators import hints, inherit, lists, report, resolve, structure
 from clausework.sources.shared import cut
 
 KEY = ["doc_id", "policy_ix"]
@@ -71,6 +71,25 @@ def _findings(c: Corpus, options: Options = Options(), more: Sequence[DataFrame]
     return report.with_severity(reduce(DataFrame.unionByName, every), report.rule_levels(c.spark, options))
 
 
+def _reports(c: Corpus, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """The whole report of each document: findings with their slot, what is expected there and what mends them."""
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    open_ = F.lit(False).alias("closed")
+    policy = F.concat(F.lit("policy["), F.col("policy_ix").cast("string"), F.lit("]")).alias("path")
+    cols = [*KEY, "path", "slot", "rule", "written", "iri", "left_iri", "closed"]
+    gaps = resolve.covered_profiles(c.policies, c.profiles).where("not covered").select(*KEY, policy, F.lit("profile.not-loaded").alias("rule"), F.col("profile").alias("written"), F.col("profile").alias("iri"), *none("slot", "left_iri"), open_)
+    terms = resolve.term_findings(resolve.term_uses(c.policies, c.rules, c.constraints), c.policies, c.prefixes, c.profiles, c.terms, c.odrl_terms, with_iri=True)
+    slot = F.when(F.col("rule") == "prose.operator-not-allowed", "operator").when(F.col("rule") == "prose.unit-not-allowed", "unit").when(F.col("rule") != "input.unchecked", "value")
+    hinted = _hints(c).withColumns({"slot": slot, "iri": F.lit(None).cast("string")})
+    parts = [gaps, terms.select("*", *none("left_iri"), open_), _structural(c).select(*KEY, "path", "rule", *none("slot", "written", "iri", "left_iri"), open_), hinted]
+    found = reduce(DataFrame.unionByName, [p.select(*cols) for p in parts])
+    found = cut(report.with_severity(found, report.rule_levels(c.spark, options)), "findings")
+    expanded = resolve.expand_terms(resolve.term_uses(c.policies, c.rules, c.constraints), c.prefixes, c.profiles)
+    fixes = lists.fixes(terms, expanded, c.terms, c.profiles, hinted, c.constraints, _duplicates(c), structure.heuristic_findings(c.constraints))
+    expected = hints.expected_of(c.hints, c.hint_operators, c.hint_values, c.hint_units)
+    return report.report_json(found, report.verdicts(found, c.policies, ["doc_id"]), options, c.profiles, expected, fixes)
+
+
 def _duplicates(c: Corpus) -> DataFrame:
     """The lines of an order seen as actions of one rule."""
     actions = c.rules.where("action is not null").select(
@@ -118,7 +137,7 @@ QUERIES = {
     "g10_odrl_class": _classes,
     "d15_lent_values": lambda c: inherit.lent_values(inherit.lineages(_links(c)), c.policies),
     "u2_written_profiles": lambda c: inherit.written_profiles(c.policies, inherit.lineages(_links(c))),
-    "hint_rules": lambda c: _hints(c),
+    "hint_rules": lambda c: _hints(c).drop("left_iri", "written"),
     "c14_disallowed_values": lambda c: hints.disallowed_values(
         _constraints(c).where("n_values > 0 or right_kind = 'iri'").select("doc_id", "policy_ix", "path", "left_iri", F.coalesce("value_iri", F.lit("")).alias("iri"), "raw"), c.hint_values
     ).select("doc_id", "policy_ix", "path", "left_iri", "raw"),
@@ -140,7 +159,7 @@ QUERIES = {
         "doc_id", "policy_ix", "profile", "n_more"
     ),
     "severity_counts": lambda c: _findings(c).groupBy("rule", "severity", "gap").agg(F.count("*").alias("n")),
-    "r2_report_json": lambda c: report.report_json(_findings(c), report.verdicts(_findings(c), c.policies, ["doc_id"])),
+    "r2_report_json": _reports,
     "r7_new_findings": lambda c: report.new_findings(_structural(c), _structural(c).where("doc_id % 2 = 0"), ["doc_id", "policy_ix", "path", "rule"]),
     "h22_fingerprint": lambda c: _structural(c).select(*KEY, "path", "rule", report.fingerprint(F.col("rule"), F.col("path"), F.lit("")).alias("fingerprint")),
 }
@@ -207,21 +226,21 @@ valid AS (SELECT *, CASE want WHEN 'xsd:integer' THEN regexp_full_match(raw, '[+
     CASE datatype WHEN 'xsd:integer' THEN regexp_full_match(raw, '[+-]?[0-9]+') WHEN 'xsd:date' THEN regexp_full_match(raw, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
       WHEN 'xsd:boolean' THEN raw IN ('true', 'false', '1', '0') END AS own_ok FROM hw),
 hinted AS (
-  SELECT doc_id, policy_ix, path, 'prose.operator-not-allowed' AS rule, shut AS closed FROM valid WHERE left_iri IN (SELECT left_iri FROM hint_operators)
+  SELECT doc_id, policy_ix, path, 'prose.operator-not-allowed' AS rule, shut AS closed, operator AS written FROM valid WHERE left_iri IN (SELECT left_iri FROM hint_operators)
     AND NOT EXISTS (SELECT 1 FROM hint_operators o WHERE o.left_iri = valid.left_iri AND o.op = replace(split_part(valid.op, ':', -1), 'x', 'x'))
-  UNION ALL SELECT doc_id, policy_ix, path, 'prose.datatype-lexical', shut FROM valid WHERE right_kind = 'literal' AND want_ok = false
-  UNION ALL SELECT doc_id, policy_ix, path, 'prose.value-not-allowed', shut FROM valid v WHERE right_kind = 'iri' AND left_iri IN (SELECT left_iri FROM hint_values)
+  UNION ALL SELECT doc_id, policy_ix, path, 'prose.datatype-lexical', shut, NULL FROM valid WHERE right_kind = 'literal' AND want_ok = false
+  UNION ALL SELECT doc_id, policy_ix, path, 'prose.value-not-allowed', shut, raw FROM valid v WHERE right_kind = 'iri' AND left_iri IN (SELECT left_iri FROM hint_values)
     AND NOT EXISTS (SELECT 1 FROM hint_values h WHERE h.left_iri = v.left_iri AND h.value = value_iri AND NOT h.literal)
     AND NOT (shut AND EXISTS (SELECT 1 FROM policies p WHERE p.doc_id = v.doc_id AND p.policy_ix = v.policy_ix AND rtrim(p.profile, '/#') NOT IN (SELECT rtrim(iri, '/#') FROM profiles)))
   UNION ALL SELECT doc_id, policy_ix, path, CASE WHEN EXISTS (SELECT 1 FROM hint_values h WHERE h.left_iri = v.left_iri AND NOT h.literal
-      AND h.value = CASE WHEN raw LIKE '%:%' THEN raw ELSE 'http://www.w3.org/ns/odrl/2/' || raw END) THEN 'prose.iri-expected' ELSE 'prose.value-not-allowed' END, true
+      AND h.value = CASE WHEN raw LIKE '%:%' THEN raw ELSE 'http://www.w3.org/ns/odrl/2/' || raw END) THEN 'prose.iri-expected' ELSE 'prose.value-not-allowed' END, true, raw
     FROM valid v WHERE right_kind = 'literal' AND shut AND left_iri IN (SELECT left_iri FROM hint_values)
     AND NOT EXISTS (SELECT 1 FROM hint_values h WHERE h.left_iri = v.left_iri AND h.literal AND (h.value = raw OR TRY_CAST(trim(h.value) AS DOUBLE) = TRY_CAST(trim(raw) AS DOUBLE)))
-  UNION ALL SELECT doc_id, policy_ix, path, 'prose.value-not-allowed', shut FROM valid WHERE right_kind = 'literal'
+  UNION ALL SELECT doc_id, policy_ix, path, 'prose.value-not-allowed', shut, NULL FROM valid WHERE right_kind = 'literal'
     AND ((pattern IS NOT NULL AND NOT regexp_matches(raw, pattern)) OR {OUTSIDE})
-  UNION ALL SELECT doc_id, policy_ix, path, 'prose.unit-not-allowed', shut FROM valid WHERE unit_iri IS NOT NULL AND left_iri IN (SELECT left_iri FROM hint_units) AND unit_iri NOT IN (SELECT unit FROM hint_units)
-  UNION ALL SELECT doc_id, policy_ix, path, 'prose.datatype-conflict', shut FROM valid WHERE right_kind = 'literal' AND datatype <> want
-  UNION ALL SELECT doc_id, policy_ix, path, 'prose.ill-typed-literal', false FROM valid WHERE right_kind = 'literal' AND own_ok = false AND (want IS NULL OR want <> datatype))"""
+  UNION ALL SELECT doc_id, policy_ix, path, 'prose.unit-not-allowed', shut, unit FROM valid WHERE unit_iri IS NOT NULL AND left_iri IN (SELECT left_iri FROM hint_units) AND unit_iri NOT IN (SELECT unit FROM hint_units)
+  UNION ALL SELECT doc_id, policy_ix, path, 'prose.datatype-conflict', shut, NULL FROM valid WHERE right_kind = 'literal' AND datatype <> want
+  UNION ALL SELECT doc_id, policy_ix, path, 'prose.ill-typed-literal', false, NULL FROM valid WHERE right_kind = 'literal' AND own_ok = false AND (want IS NULL OR want <> datatype))"""
     )
 
 
@@ -275,7 +294,7 @@ ORACLES = {
     "u2_written_profiles": f"""{M}, listed AS (SELECT doc_id, policy_ix, -1 AS pos, profile FROM policies UNION ALL SELECT w.doc_id, w.policy_ix, w.ix, p.profile FROM walk w
       JOIN policies p ON p.doc_id = w.doc_id AND p.policy_ix = w.ancestor_ix), firsts_p AS (SELECT doc_id, policy_ix, profile, min(pos) AS pos FROM listed WHERE profile IS NOT NULL GROUP BY ALL)
       SELECT doc_id, policy_ix, row_number() OVER (PARTITION BY doc_id, policy_ix ORDER BY pos) - 1 AS ix, profile FROM firsts_p""",
-    "hint_rules": f"{M} SELECT * FROM hinted",
+    "hint_rules": f"{M} SELECT doc_id, policy_ix, path, rule, closed FROM hinted",
     "c14_disallowed_values": f"{M} SELECT doc_id, policy_ix, path, left_iri, raw FROM hc WHERE left_iri IN (SELECT left_iri FROM hint_values) AND right_kind <> 'missing' "
     "AND NOT EXISTS (SELECT 1 FROM hint_values h WHERE h.left_iri = hc.left_iri AND (h.value = value_iri OR h.value = raw))",
     "c15_out_of_bounds": f"{M} SELECT doc_id, policy_ix, path, raw FROM hw WHERE right_kind = 'literal' AND {OUTSIDE}",
@@ -295,4 +314,55 @@ ORACLES = {
     "severity_counts": f"{FOUND} SELECT rule, severity, gap, count(*) AS n FROM findings GROUP BY ALL",
     "r7_new_findings": f"{M} SELECT DISTINCT * FROM structural WHERE doc_id % 2 <> 0 UNION ALL SELECT * FROM structural WHERE false",
 }
+FIXES = f"""tf AS (SELECT DISTINCT doc_id, path, slot, rule, written FROM judged WHERE rule IN ('profile.unbound-prefix', 'profile.not-declared')), met AS (SELECT DISTINCT tf.*, e.iri FROM tf JOIN expanded e USING (doc_id, path, slot, written)),
+  fixes AS (SELECT doc_id, path, rule, slot, 'Write the full IRI' AS label, iri AS replacement, true AS safe FROM met WHERE rule = 'profile.unbound-prefix'
+      UNION ALL SELECT doc_id, path, rule, slot, 'Declare the profile <' || p.iri || '>', p.iri, true FROM met JOIN firsts f ON f.iri = met.iri JOIN profiles p ON p.profile_id = f.profile_id WHERE rule = 'profile.not-declared'
+      UNION ALL SELECT h.doc_id, h.path, h.rule, 'value', 'Write it as an IRI', raw, true FROM (SELECT DISTINCT doc_id, path, rule FROM hinted WHERE rule = 'prose.iri-expected') h JOIN constraints c ON c.doc_id = h.doc_id AND c.path = h.path
+      UNION ALL SELECT doc_id, owner || '.action[' || ix || ']', 'heuristic.duplicate-action', 'action', 'Remove the duplicate', '', true FROM ({DUPLICATE}) WHERE removable
+      UNION ALL SELECT doc_id, path, rule, 'group', 'Ungroup', '', true FROM ({HEURISTIC}) WHERE rule = 'heuristic.single-child-group')"""
+
+
+def fingerprint_sql(*parts: str) -> str:
+    """FNV-1a 64 over ASCII texts with a zero byte between, in 128-bit numbers."""
+    return (
+        "lpad(lower(to_hex((list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(concat("
+        + ", chr(1), ".join(parts)
+        + "), ''), lambda x: CASE WHEN x = chr(1) THEN 0 ELSE ascii(x) END::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT))::UBIGINT)), 16, '0')"
+    )
+
+
+_says = lambda rule: report.MESSAGES[rule].replace("'", "''")
+_RULE_ROWS = ", ".join(f"('{r[0]}', '{r[1]}', '{'convention' if r[0] == 'profile.deprecated-term' else report.BASES[r[1]]}', '{_says(r[0])}', {k})" for k, r in enumerate(RULES, 1))
+_SAID = "says || coalesce(': ' || written, '')"
+_PLACE = "path || coalesce('.' || CASE slot WHEN 'left' THEN 'leftOperand' WHEN 'value' THEN 'rightOperand[0]' ELSE slot END, '')"
+ORACLES["h22_fingerprint"] = f"{M} SELECT doc_id, policy_ix, path, rule, {fingerprint_sql('rule', 'path', chr(39) * 2)} AS fingerprint FROM structural"
+ORACLES["r2_report_json"] = f"""{FOUND}, {FIXES},
+catalogue(rule, tier, basis, says, place) AS (VALUES {_RULE_ROWS}),
+every AS (SELECT doc_id, path, slot, rule, written, iri, NULL::VARCHAR AS left_iri, false AS closed FROM judged WHERE rule IS NOT NULL
+  UNION ALL SELECT doc_id, path, slot, 'profile.deprecated-term', written, iri, NULL::VARCHAR, false FROM wide WHERE term_deprecated
+  UNION ALL SELECT doc_id, concat('policy[', policy_ix, ']'), NULL, 'profile.not-loaded', profile, profile, NULL::VARCHAR, false FROM policies JOIN gaps USING (doc_id, policy_ix)
+  UNION ALL SELECT doc_id, path, NULL::VARCHAR, rule, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, false FROM structural
+  UNION ALL SELECT h.doc_id, h.path, CASE rule WHEN 'prose.operator-not-allowed' THEN 'operator' WHEN 'prose.unit-not-allowed' THEN 'unit' ELSE 'value' END, rule, written, NULL::VARCHAR, left_iri, closed FROM hinted h JOIN hc USING (doc_id, path)),
+mended AS (SELECT doc_id, path, rule, slot, list(DISTINCT {{'label': label, 'safe': safe, 'replacement': replacement}} ORDER BY {{'label': label, 'safe': safe, 'replacement': replacement}}) AS fixes FROM fixes GROUP BY ALL),
+allows AS (SELECT left_iri, any_value(h.datatype) AS datatype FROM (SELECT left_iri FROM hints UNION SELECT left_iri FROM hint_operators UNION SELECT left_iri FROM hint_values UNION SELECT left_iri FROM hint_units) LEFT JOIN hints h USING (left_iri) GROUP BY left_iri),
+ops AS (SELECT left_iri, list(op ORDER BY op) AS operators FROM hint_operators GROUP BY left_iri),
+vals AS (SELECT left_iri, list(value ORDER BY ix, value) AS vals FROM hint_values GROUP BY left_iri),
+unis AS (SELECT left_iri, list(unit ORDER BY unit) AS units FROM hint_units GROUP BY left_iri),
+told AS (SELECT e.doc_id, [{order_sql("e.path")}, [[CASE WHEN e.rule = 'profile.not-loaded' THEN 0 WHEN tier = 'odrl' THEN 100 + place WHEN tier = 'profile' THEN 200 + coalesce(list_position({list(SLOTS)}, e.slot), 0) ELSE 300 + place END, 0]]] AS ord, e.rule AS r, coalesce(written, '') AS w,
+    {{'rule': e.rule, 'tier': tier, 'basis': basis, 'severity': l.severity, 'message': {_SAID}, 'target': {{'kind': CASE WHEN e.slot IS NULL THEN 'node' ELSE 'slot' END, 'path': {_PLACE.replace("path", "e.path").replace("slot", "e.slot")}}}, 'pointer': NULL::VARCHAR,
+      'term': CASE WHEN written IS NOT NULL THEN {{'written': written, 'iri': iri}} END, 'profile': CASE WHEN e.rule = 'profile.not-loaded' THEN written END,
+      'expected': CASE WHEN tier = 'prose' AND e.rule <> 'prose.ill-typed-literal' THEN {{'kinds': []::VARCHAR[], 'operators': CASE WHEN e.rule = 'prose.operator-not-allowed' THEN coalesce(operators, []) ELSE [] END,
+        'values': CASE WHEN e.rule IN ('prose.value-not-allowed', 'prose.iri-expected') THEN coalesce(vals[1:8], []) ELSE [] END, 'units': CASE WHEN e.rule = 'prose.unit-not-allowed' THEN coalesce(units, []) ELSE [] END,
+        'datatype': CASE WHEN e.rule IN ('prose.datatype-lexical', 'prose.datatype-conflict') THEN a.datatype END, 'closed': e.closed, 'valuesTotal': CASE WHEN e.rule IN ('prose.value-not-allowed', 'prose.iri-expected') AND len(vals) > 8 THEN len(vals)::INT END}} END,
+      'fixes': coalesce(m.fixes, []), 'fingerprint': {fingerprint_sql("e.rule", _PLACE.replace("path", "e.path").replace("slot", "e.slot"), f"coalesce(written, {_SAID})")}}} AS f
+  FROM every e JOIN catalogue USING (rule) JOIN levels l ON l.rule = e.rule AND l.closed = e.closed AND l.severity <> 'off' LEFT JOIN mended m ON m.doc_id = e.doc_id AND m.path = e.path AND m.rule = e.rule AND m.slot IS NOT DISTINCT FROM e.slot
+    LEFT JOIN allows a ON a.left_iri = e.left_iri AND tier = 'prose' LEFT JOIN ops ON ops.left_iri = a.left_iri LEFT JOIN vals ON vals.left_iri = a.left_iri LEFT JOIN unis ON unis.left_iri = a.left_iri),
+found AS (SELECT doc_id, list(f ORDER BY ord, r, w) AS findings FROM told GROUP BY doc_id),
+g AS (SELECT doc_id, rule, coalesce(written, path) AS detail, min({order_sql("path")}) AS at_ FROM findings WHERE gap GROUP BY ALL),
+gl AS (SELECT doc_id, list({{'rule': rule, 'detail': detail}} ORDER BY at_, rule, detail) AS gaps FROM g GROUP BY doc_id),
+counted AS (SELECT doc_id, CASE WHEN bool_or(coalesce(severity = 'error' AND NOT gap, false)) THEN 'violations' WHEN bool_or(coalesce(gap, false)) THEN 'incomplete' ELSE 'conforms' END AS verdict,
+    count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info FROM (SELECT DISTINCT doc_id FROM policies) LEFT JOIN findings USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(to_json({{'schema': 'policy-report@1', 'tool': {{'name': 'clausework', 'version': '1'}}, 'mode': 'strict', 'tiers': ['profile', 'odrl', 'prose', 'input'], 'ruleset': 2, 'verdict': verdict,
+    'vocabulary': {{'odrl': 'common', 'profiles': (SELECT list({{'iri': iri, 'title': NULL::VARCHAR, 'version': NULL::VARCHAR}} ORDER BY load_order) FROM profiles)}}, 'gaps': coalesce(gaps, []),
+    'counts': {{'error': n_error, 'warning': n_warning, 'info': n_info}}, 'findings': coalesce(findings, [])}}) AS VARCHAR) AS report FROM counted LEFT JOIN found USING (doc_id) LEFT JOIN gl USING (doc_id)"""
 ORACLES["d14_expected_values_full"] = ORACLES["d14_expected_values"]

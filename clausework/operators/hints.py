@@ -50,6 +50,11 @@ def xsd_iri(datatype: Column) -> Column:
     return F.when(datatype.startswith("xsd:"), F.concat(F.lit(XSD), F.substr(datatype, F.lit(5)))).otherwise(datatype)
 
 
+def _written(df: DataFrame, name: str, other: str) -> Column:
+    """A term as the policy has it, if that is known."""
+    return F.col(name if name in df.columns else other)
+
+
 def _optional(df: DataFrame, name: str, default: bool = False) -> Column:
     return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
 
@@ -87,7 +92,7 @@ def listed_values(rows: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def hint_findings(constraints: DataFrame, hints: DataFrame, operators: DataFrame, values: DataFrame, units: DataFrame, gaps: DataFrame, strict: bool = True) -> DataFrame:
-    """doc_id, policy_ix, path, rule, closed: each constraint (left_iri, op_iri, value_iri, value_any, unit_iri) against its hints.
+    """doc_id, policy_ix, path, left_iri, rule, closed, written: each constraint (left_iri, op_iri, value_iri, value_any, unit_iri) against its hints.
 
     Lists are never searched per row: a list is joined on its own key, and the
     absence of a match is the finding.  A literal is held against the list of its
@@ -117,19 +122,20 @@ def hint_findings(constraints: DataFrame, hints: DataFrame, operators: DataFrame
     on_list = F.col("val_listed")
     lexical = literal & F.col("h_pattern").isNotNull() & ((F.length("h_pattern") > PATTERN_CHARS) | (F.length("raw") > TEXT_CHARS))
     cases = [
-        (F.col("op_listed") & F.col("op_v").isNull(), "prose.operator-not-allowed", binds),
+        (F.col("op_listed") & F.col("op_v").isNull(), "prose.operator-not-allowed", binds, _written(wide, "operator", "operator_name")),
         (literal & ~want_valid, "prose.datatype-lexical", binds),
-        (iri & on_list & ~F.col("as_iri") & ~held_back, "prose.value-not-allowed", closed),
-        (literal & on_list & closed & ~F.col("as_text") & ~F.col("as_iri"), "prose.value-not-allowed", closed),
-        (literal & on_list & closed & ~F.col("as_text") & F.col("as_iri"), "prose.iri-expected", F.lit(True)),
+        (iri & on_list & ~F.col("as_iri") & ~held_back, "prose.value-not-allowed", closed, F.col("raw")),
+        (literal & on_list & closed & ~F.col("as_text") & ~F.col("as_iri"), "prose.value-not-allowed", closed, F.col("raw")),
+        (literal & on_list & closed & ~F.col("as_text") & F.col("as_iri"), "prose.iri-expected", F.lit(True), F.col("raw")),
         (literal & (pattern_mismatch(F.col("raw"), F.col("h_pattern")) | outside_bounds(F.col("raw"), F.col("h_lo"), F.col("h_hi"))), "prose.value-not-allowed", closed),
         (lexical, "input.unchecked", F.lit(False)),
-        (F.col("unit_listed") & F.col("unit_iri").isNotNull() & F.col("unit_v").isNull(), "prose.unit-not-allowed", binds),
+        (F.col("unit_listed") & F.col("unit_iri").isNotNull() & F.col("unit_v").isNull(), "prose.unit-not-allowed", binds, _written(wide, "unit", "unit_iri")),
         (literal & F.col("datatype").isNotNull() & want.isNotNull() & ~hinted_same, "prose.datatype-conflict", binds),
         (literal & F.col("datatype").isNotNull() & ~hinted_same & ~own_valid, "prose.ill-typed-literal", F.lit(False)),
     ]
-    found = [F.when(test, F.struct(F.lit(rule).alias("rule"), shut.alias("closed"))) for test, rule, shut in cases]
-    return wide.select("doc_id", "policy_ix", "path", F.inline(F.array_compact(F.array(*found))))
+    none = F.lit(None).cast("string")
+    found = [F.when(test, F.struct(F.lit(rule).alias("rule"), shut.alias("closed"), (term[0] if term else none).alias("written"))) for test, rule, shut, *term in cases]
+    return wide.select("doc_id", "policy_ix", "path", "left_iri", F.inline(F.array_compact(F.array(*found))))
 
 
 def disallowed_values(right_values: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -152,3 +158,19 @@ def expected_values(values: DataFrame, cap: int = 8) -> DataFrame:
     grouped = values.groupBy("left_iri").agg(F.sort_array(F.collect_list(F.struct("ix", "value"))).alias("all"))
     n = F.size("all")
     return grouped.select("left_iri", F.slice(F.transform("all", lambda x: x["value"]), 1, cap).alias("values"), F.when(n > cap, n).alias("total"))
+
+
+def expected_of(hints: DataFrame, operators: DataFrame, values: DataFrame, units: DataFrame, cap: int = 8) -> DataFrame:
+    """left_iri and what its hints allow: operators, values (the first ``cap``), valuesTotal (if more), units, datatype, shut."""
+
+    def listed(df: DataFrame, col: str, name: str) -> DataFrame:
+        order = F.col("ix") if "ix" in df.columns else F.lit(0)
+        return df.groupBy("left_iri").agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("ix"), F.col(col).alias("x")))), lambda s: s["x"]).alias(name))
+
+    out = hints.select("left_iri", "datatype", F.coalesce("closed", F.lit(False)).alias("shut"))
+    every = values.select("left_iri").unionByName(operators.select("left_iri")).unionByName(units.select("left_iri")).distinct()
+    out = every.join(out, "left_iri", "full")
+    for df, col, name in ((operators, "op", "operators"), (values, "value", "values"), (units, "unit", "units")):
+        out = out.join(listed(df, col, name), "left_iri", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    n = F.size("values")
+    return out.select("left_iri", "operators", F.slice("values", 1, cap).alias("values"), F.when(n > cap, n).alias("valuesTotal"), "units", "datatype", F.coalesce("shut", F.lit(False)).alias("shut"))

@@ -138,7 +138,7 @@ def undeclared_profiles(df: DataFrame, policies: DataFrame, terms: DataFrame, pr
 
 
 def term_findings(
-    uses: DataFrame, policies: DataFrame, prefixes: DataFrame, profiles: DataFrame, terms: DataFrame, odrl: DataFrame, imports_missing: bool = False, strict: bool = True
+    uses: DataFrame, policies: DataFrame, prefixes: DataFrame, profiles: DataFrame, terms: DataFrame, odrl: DataFrame, imports_missing: bool = False, strict: bool = True, with_iri: bool = False
 ) -> DataFrame:
     """doc_id, policy_ix, path, rule, written: the vocabulary rules, in their order with early exits.
 
@@ -173,5 +173,5 @@ def term_findings(
         .when(resolved & ~F.col("iri").startswith(ODRL) & ~unsure & ~F.col("declares"), "profile.not-declared")
         .when(~resolved & deprecated_odrl, "profile.deprecated-term")
     )
-    both = wide.select("doc_id", "policy_ix", "path", "slot", "written", F.explode(F.array_compact(F.array(first, rest))).alias("rule"))
-    return both.select("doc_id", "policy_ix", "path", "slot", "rule", "written")
+    both = wide.select("doc_id", "policy_ix", "path", "slot", "written", "iri", F.explode(F.array_compact(F.array(first, rest))).alias("rule"))
+    return both.select("doc_id", "policy_ix", "path", "slot", "rule", "written", *(["iri"] if with_iri else []))
