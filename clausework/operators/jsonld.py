@@ -47,10 +47,14 @@ def _table(entries: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
 
-def short(iri: Column) -> Column:
-    """An IRI of a known namespace by its prefix."""
+#: The prefix that operators on triples know hints by, and the hints that are no IRIs.
+HINTS, FLAGS = "prose:", ("prose:closed", "prose:plural")
+
+
+def short(iri: Column, hints: str | None = None) -> Column:
+    """An IRI of a known namespace by its prefix; ``hints`` is the namespace of hints, where there is one."""
     out = F
-    for prefix, namespace in SHORT.items():
+    for prefix, namespace in (SHORT | ({HINTS[:-1]: hints} if hints else {})).items():
         out = out.when(iri.startswith(namespace), F.concat(F.lit(prefix + ":"), F.substr(iri, F.lit(len(namespace) + 1))))
     return out.otherwise(iri)
 
@@ -110,13 +114,15 @@ def _spellings(texts: DataFrame, terms: DataFrame, settings: DataFrame) -> DataF
     )
 
 
-def profile_triples(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def profile_triples(rows: DataFrame, hints: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Triples (graph_id, seq, s, p, o_iri, o_value, o_lang) and notes (graph_id, note, about) of flattened JSON-LD documents.
 
     Prefixes, other terms, ``@vocab``, ``@base``, ``@language``, coerced types, ``@list`` and ``@set``, value objects, nested
     nodes and ``@graph`` are read as the context at the root of the document says; known
     namespaces are written short.  A node without an identifier is named by its path.  Names in properties that hold
-    IRIs need no ``@id``.  Null values say nothing; text that is no JSON has no rows.
+    IRIs need no ``@id``.  Null values say nothing; text that is no JSON has no rows.  ``hints`` is the namespace in
+    which these profiles annotate terms: its properties come out as overlays are read, and but for flags their
+    strings are IRIs.
 
     Not followed, each with a note: contexts by reference (but ODRL's own), contexts below the root, keys and
     types that nothing expands, relative IRIs without a base, JSON literals.  An empty ``@list`` gives no triple.
@@ -152,17 +158,18 @@ def profile_triples(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(values, ["doc_id", "path"], "left").join(targets, ["doc_id", "path"], "left").join(meant, ["doc_id", "value"], "left")
     )
     is_type, text = F.col("keyword") == "@type", F.col("kind") == "string"
-    p = F.when(is_type, "rdf:type").otherwise(short(F.col("prop")))
+    p = F.when(is_type, "rdf:type").otherwise(short(F.col("prop"), hints))
+    holds_iri = p.isin(*IRI_VALUED) | (p.startswith(HINTS) & ~p.isin(*FLAGS)) if hints else p.isin(*IRI_VALUED)
     coerce = F.col("coerce")
     iri = (
         F.when(F.col("kind") == "object", F.col("o_node")).when(~text, None).when(is_type, F.col("as_term"))
-        .when(coerce == "@vocab", F.col("as_term")).when((coerce == "@id") | (coerce.isNull() & (p.isin(*IRI_VALUED))), F.col("as_iri"))
+        .when(coerce == "@vocab", F.col("as_term")).when((coerce == "@id") | (coerce.isNull() & holds_iri), F.col("as_iri"))
     )
-    names_iri = is_type | coerce.isin("@id", "@vocab") | (coerce.isNull() & p.isin(*IRI_VALUED))
+    names_iri = is_type | coerce.isin("@id", "@vocab") | (coerce.isNull() & holds_iri)
     literal = F.when(F.col("v_kind").isin("string", "number", "boolean"), F.col("v_text")).when((F.col("kind") != "object") & ~(text & F.coalesce(names_iri, F.lit(False))), F.col("value"))
     lang = F.when(F.col("v_kind").isNotNull(), F.lower("v_lang")).when(text & coerce.isNull(), F.col("language"))
     told = wide.where(is_type.isNull() | ~is_type | text).select(
-        F.col("doc_id").alias("graph_id"), "seq", "s", p.alias("p"), short(iri).alias("o_iri"), literal.alias("o_value"), F.when(literal.isNotNull(), lang).alias("o_lang"), "value", "v_kind", "kind"
+        F.col("doc_id").alias("graph_id"), "seq", "s", p.alias("p"), short(iri, hints).alias("o_iri"), literal.alias("o_value"), F.when(literal.isNotNull(), lang).alias("o_lang"), "value", "v_kind", "kind"
     )
     told = cut(told, "told")
     whole = F.col("s").isNotNull() & F.col("p").isNotNull() & (F.col("o_iri").isNotNull() | F.col("o_value").isNotNull())

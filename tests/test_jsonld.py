@@ -2,7 +2,7 @@
 
 import json
 
-from clausework.operators import jsonld
+from clausework.operators import jsonld, shapes
 from clausework.sources import flatten
 
 
@@ -41,3 +41,21 @@ def test_edges(spark):
         (1, "urn:x", "rdfs:label", "l", None), (1, "urn:x", "ex:y", "urn:y", None),
     }
     assert notes == {(1, "key not expanded", "name"), (1, "context not fetched", "https://e.org/other"), (1, "context below the root", "ex:y.@context")}
+
+
+def test_hints_of_a_profile_feed_an_overlay(spark):
+    """The namespace of hints is a parameter: what comes out is read as overlays are."""
+    doc = {
+        "@context": {"h": "https://e.org/hints#", "ex": "https://e.org/p#", "odrl": "http://www.w3.org/ns/odrl/2/"},
+        "@id": "ex:size", "h:rightOperand": ["ex:small", {"@id": "ex:large"}], "h:operator": "odrl:eq", "h:datatype": "http://www.w3.org/2001/XMLSchema#string", "h:closed": True, "h:odd": "ex:x",
+    }
+    df = spark.createDataFrame([(1, json.dumps(doc))], "doc_id long, text string")
+    triples, _ = jsonld.profile_triples(flatten.flatten(df), "https://e.org/hints#")
+    lists, facts, notes = shapes.read_overlay(triples)
+    assert {(r.left_iri, r.facet, r.value) for r in lists.collect()} == {
+        ("https://e.org/p#size", "values", "https://e.org/p#small"), ("https://e.org/p#size", "values", "https://e.org/p#large"), ("https://e.org/p#size", "operators", "odrl:eq")
+    }
+    assert [(r.left_iri, r.datatype, r.closed, r.plural, r.values_exact) for r in facts.collect()] == [("https://e.org/p#size", "xsd:string", True, False, True)]
+    assert [(r.note, r.about) for r in notes.collect()] == [("property not read", "prose:odd")]
+    plain, _ = jsonld.profile_triples(flatten.flatten(df))
+    assert plain.where("p like 'prose:%'").count() == 0
