@@ -59,14 +59,15 @@ def _pointers(edges: DataFrame) -> DataFrame:
 def lineages(links: DataFrame, cap: int = 20_000) -> DataFrame:
     """doc_id, policy_ix, ancestor_ix, ix: every ancestor of a policy once, depth first, never itself.
 
-    At most ``cap`` ancestors of one policy, as the model has it.
+    All lineages of a document together list ``cap`` ancestors at most, those of its first policies, as the model has it.
     """
     single, several = _edges(links)
-    walked = orbits(_pointers(single), single.select("doc_id", F.col("child").alias("start")), "doc_id").where("at <> start")
+    walked = orbits(_pointers(single), single.select("doc_id", F.col("child").alias("start")), "doc_id", cap).where("at <> start")
     walked = walked.select("doc_id", F.col("start").alias("policy_ix"), F.col("at").alias("ancestor_ix"), F.array("ix").alias("path"))
     once = walked if several is None else walked.unionByName(_least_paths(several))
     ix = F.row_number().over(Window.partitionBy("doc_id", "policy_ix").orderBy("path")) - 1
-    return once.withColumn("ix", ix).where(F.col("ix") < cap).select("doc_id", "policy_ix", "ancestor_ix", "ix")
+    whole = F.row_number().over(Window.partitionBy("doc_id").orderBy("policy_ix", "path"))
+    return once.withColumns({"ix": ix, "listed": whole}).where(F.col("listed") <= cap).select("doc_id", "policy_ix", "ancestor_ix", "ix")
 
 
 def _least_paths(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ to the shared folder, and only a count of it comes to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.sources.shared import cut
@@ -18,10 +18,25 @@ def doubled(jump: DataFrame, key: str) -> DataFrame:
     return jump.join(further, [key, "to"]).select(key, "node", F.col("next").alias("to"))
 
 
-def orbits(pointers: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+def within(found: DataFrame, key: str, cap: int) -> DataFrame:
+    """``found`` (key, start, ix, at) without starts that earlier ones leave nothing of ``cap`` places to.
+
+    Counts only grow, so a start that is out of reach now stays so.
+    """
+    many = found.where("ix > 0").groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > cap).select(key)
+    if many.isEmpty():
+        return found
+    counts = found.join(many, key, "left_semi").groupBy(key, "start").agg(F.count_if(F.col("ix") > 0).alias("n"))
+    before = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    out = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") >= cap).select(key, "start")
+    return cut(found.join(out, [key, "start"], "left_anti"), "orbit")
+
+
+def orbits(pointers: DataFrame, starts: DataFrame, key: str, cap: int | None = None) -> DataFrame:
     """key, start, ix, at: every place that a start (key, start) leads to, once, at its first step; the start itself is step 0.
 
-    A circle is walked once: a place that is met again keeps its first step.
+    A circle is walked once: a place that is met again keeps its first step.  With ``cap``, starts are dropped in each
+    round once those before them in their key have that many places, so no round holds more than about twice as many a key.
     """
     jump = cut(pointers.where("to is not null").select(key, "node", "to"), "jump")
     found = cut(starts.select(key, "start", F.lit(0).alias("ix"), F.col("start").alias("at")), "orbit")
@@ -32,6 +47,9 @@ def orbits(pointers: DataFrame, starts: DataFrame, key: str) -> DataFrame:
         more = found.count()
         if more == n:
             return found
+        if cap is not None:
+            found = within(found, key, cap)
+            more = found.count()
         n, step = more, 2 * step
         jump = cut(doubled(jump, key), "jump")
 

@@ -212,3 +212,13 @@ def test_references_end_at_what_is_not_declared(spark):
     rows = [(1, "a", "b"), (1, "b", "gone"), (1, "c", None), (1, "d", "c"), (1, "x", "y"), (1, "y", "x")]
     got = {r.id: r.target for r in vocabulary.resolve_references(spark.createDataFrame(rows, "doc_id int, id string, ref string")).collect()}
     assert got == {"a": "gone", "b": "gone", "c": "c", "d": "c", "x": None, "y": None}
+
+
+def test_lineages_of_a_large_circle_end_at_the_limit(spark):
+    n = 3000
+    links = spark.range(n).selectExpr("cast(id % 2 as int) as doc_id", "cast(id div 2 as int) as policy_ix", f"cast((id div 2 + 1) % {n // 2} as int) as parent_ix")
+    got = inherit.lineages(links, cap=2000).orderBy("doc_id", "policy_ix", "ix").collect()
+    m = n // 2
+    want = [(p, (p + 1 + k) % m, k) for p in range(2) for k in range(m - 1)][:2000]
+    assert [(r.policy_ix, r.ancestor_ix, r.ix) for r in got if r.doc_id == 0] == want
+    assert len(got) == 4000
