@@ -42,11 +42,23 @@ def fallback_text(texts: DataFrame, key: list[str], chain: list[str]) -> DataFra
 
 # The properties that name a node, the most preferred first.
 LABEL_PROPERTIES = ("rdfs:label", "skos:prefLabel", "dct:title", "schema:name")
+LABEL_NAMESPACES = {
+    "http://www.w3.org/2000/01/rdf-schema#": "rdfs:", "http://www.w3.org/2004/02/skos/core#": "skos:", "http://purl.org/dc/terms/": "dct:", "dcterms:": "dct:",
+    "http://schema.org/": "schema:", "https://schema.org/": "schema:",
+}
+
+
+def label_property(p: Column) -> Column:
+    """A property by its usual prefix, however it is written."""
+    out = F
+    for written, prefix in LABEL_NAMESPACES.items():
+        out = out.when(p.startswith(written), F.concat(F.lit(prefix), F.substr(p, F.lit(len(written) + 1))))
+    return out.otherwise(p)
 
 
 def node_label(texts: DataFrame, key: list[str], languages: list[str]) -> DataFrame:
     """key, label: of a node's most preferred label property the best text; a node whose texts there are blank has none."""
-    first = fallback_text(texts, key, list(LABEL_PROPERTIES)).withColumn("text", F.trim("text")).where("text <> ''")
+    first = fallback_text(texts.withColumn("p", label_property(F.col("p"))), key, list(LABEL_PROPERTIES)).withColumn("text", F.trim("text")).where("text <> ''")
     return best_language(first, key, languages, untagged_first=True).withColumnRenamed("text", "label")
 
 

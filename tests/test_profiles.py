@@ -152,3 +152,9 @@ def test_unread_contexts(spark):
     rows = flatten.flatten(spark.createDataFrame(docs, "doc_id long, text string"))
     got = {tuple(r) for r in rewrite.unread_contexts(rows).collect()}
     assert got == {(2, "remote", "x"), (2, "remote", "y"), (2, "remote", "g"), (2, "nested", None), (3, "nested", None)}
+
+
+def test_labels_by_full_names(spark):
+    rows = [("a", "https://schema.org/name", "n", None, 0), ("a", "dcterms:title", "t", None, 1), ("b", "http://www.w3.org/2000/01/rdf-schema#label", "l", "en", 0), ("b", "skos:prefLabel", "p", "en", 1), ("c", "urn:label", "x", None, 0)]
+    df = spark.createDataFrame(rows, "s string, p string, text string, lang string, ix int")
+    assert {(r.s, r.label) for r in vocabulary.node_label(df, ["s"], ["en"]).collect()} == {("a", "t"), ("b", "l")}
