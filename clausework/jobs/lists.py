@@ -12,7 +12,7 @@ from clausework.jobs.rules import DUPLICATE, FOUND, HEURISTIC, M, _duplicates, _
 from clausework.jobs.terms import BASE
 from clausework.jobs.vocab import T, _edges, _triples
 from clausework.model import ODRL
-from clausework.operators import inherit, lists, resolve, structure, vocabulary
+from clausework.operators import inherit, layers, lists, resolve, structure, vocabulary
 
 CELLS = """
 SELECT doc_id AS graph_id, concat('b', cast(policy_ix AS string), '_', cast(rule_ix AS string)) AS s, 'rdf:first' AS p, concat('urn:part:', cast(l_partkey AS string)) AS o_iri FROM {lines}
@@ -29,6 +29,55 @@ SELECT DISTINCT CASE l_linenumber WHEN 1 THEN shipped WHEN 2 THEN concat(shipped
 PATCH = "SELECT * FROM (VALUES ('http://www.w3.org/ns/odrl/2/count', 'xsd:decimal', cast(NULL AS string)), ('https://example.org/a#purpose', NULL, '^x$')) AS t(left_iri, datatype, pattern) UNION ALL SELECT concat('https://example.org/parts#t', cast(p_partkey AS string)), NULL, '^[0-9]+$' FROM {part} WHERE p_partkey % 3 = 0"
 
 
+#: For each part what its profile, an overlay, shapes and a host say of it: (operators, values, units, datatype, pattern, closed, whether they say anything).
+LAYERS = {
+    "profile": ("p_size % 2 = 0", "p_partkey % 3 = 0", "p_partkey % 7 = 0", "p_partkey % 5 = 0", "p_partkey % 13 = 0", "p_partkey % 11 = 0", "true"),
+    "overlay": ("p_partkey % 4 = 0", "p_partkey % 6 = 0", "p_partkey % 14 = 0", "p_partkey % 10 = 0", "false", "p_partkey % 8 < 3", "p_partkey % 2 = 0"),
+    "shapes": ("p_partkey % 15 = 0", "p_partkey % 5 = 0", "false", "p_partkey % 20 = 1", "p_partkey % 10 = 1", "false", "p_partkey % 5 < 2"),
+    "host": ("false", "p_partkey % 9 < 2", "false", "false", "false", "p_partkey % 9 = 0", "p_partkey % 9 < 3"),
+}
+
+
+def _four_layers(c: Corpus) -> DataFrame:
+    def side(name: str) -> DataFrame:
+        operators, values, units, datatype, pattern, closed, some = LAYERS[name]
+        listed = lambda test, *items: F.when(F.expr(test), F.array(*[F.lit(x) for x in items])).otherwise(F.array().cast("array<string>"))
+        return c.part.where(some).select(
+            F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("left_iri"), listed(operators, f"{name}-op", "eq").alias("operators"), listed(values, f"{name}-a", f"{name}-b").alias("values"),
+            listed(units, f"{name}-unit").alias("units"), F.when(F.expr(datatype), f"{name}-type").alias("datatype"), F.expr(closed).alias("closed"),
+            F.when(F.expr(pattern), F.struct(F.lit(f"^{name}").alias("pattern"), F.lit(None).cast("string").alias("flags"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"))).alias("lexical"),
+        )
+
+    made = layers.layered(*[side(name) for name in LAYERS])
+    text = [F.array_join(x, ",").alias(x) for x in ("operators", "values", "units")]
+    return made.select("left_iri", *text, F.coalesce("datatype", F.lit("")).alias("datatype"), F.coalesce("lexical.pattern", F.lit("")).alias("pattern"), "closed", "values_only", F.coalesce("src_values", F.lit("")).alias("src_values"), F.coalesce("src_operators", F.lit("")).alias("src_operators"))
+
+
+def _layers_sql() -> str:
+    """Four layers one after another, each facet a text; what binds is worked out from the layer before."""
+    cols = ("operators", "values_", "units", "datatype", "pattern")
+    of = lambda name: dict(zip((*cols, "closed", "some"), LAYERS[name], strict=True))
+    text = {"operators": "'{0}-op,eq'", "values_": "'{0}-a,{0}-b'", "units": "'{0}-unit'", "datatype": "'{0}-type'", "pattern": "'^{0}'"}
+    given = lambda name, c: f"(({of(name)[c]}) AND ({of(name)['some']}))"
+    said = lambda name, c: f"CASE WHEN {given(name, c)} THEN {text[c].format(name)} ELSE '' END"
+    sql = "WITH l0 AS (SELECT part.*, " + ", ".join(f"{said('profile', c)} AS {c}" for c in cols)
+    sql += f", ({of('profile')['closed']}) AS closed, false AS only_, CASE WHEN {given('profile', 'values_')} THEN 'profile' ELSE '' END AS sv, CASE WHEN {given('profile', 'operators')} THEN 'profile' ELSE '' END AS so FROM part)"
+    for k, name in enumerate(("overlay", "shapes", "host")):
+        any_ = "(" + " OR ".join(given(name, c) for c in cols) + ")"
+        alone = f"({given(name, 'values_')} AND NOT (" + " OR ".join(given(name, c) for c in cols if c != "values_") + "))" if name != "overlay" else "false"
+        shuts = {"overlay": f"({given(name, 'closed')} AND {any_})", "shapes": any_, "host": f"({given(name, 'closed')} AND {given(name, 'values_')})"}[name]
+        drops = f"({shuts} AND NOT {alone} AND NOT (closed AND NOT only_))"
+        takes_values = given(name, "values_") if name != "host" else f"({given(name, 'values_')} AND (({of(name)['closed']}) OR NOT closed))"
+        takes = {c: given(name, c) if name != "host" else "false" for c in cols} | {"values_": takes_values}
+        pick = lambda c, takes=takes, drops=drops, name=name: f"CASE WHEN {takes[c]} THEN {text[c].format(name)} WHEN {drops}{' AND NOT closed' if c == 'values_' else ''} AND '{c}' <> 'pattern' THEN '' ELSE {c} END AS {c}"
+        keeps = f"({alone} AND {shuts} AND NOT closed AND (operators <> '' OR units <> '' OR datatype <> ''))" if name != "host" else f"({shuts} AND NOT closed)"
+        only = f"CASE WHEN {keeps} THEN true WHEN {shuts} AND {alone} THEN only_ WHEN {shuts} THEN false ELSE only_ END AS only_"
+        shut = f"closed OR {shuts}" + (f" OR {given(name, 'closed')}" if name == "overlay" else "")
+        src = f"CASE WHEN {takes['values_']} THEN '{name}' ELSE sv END AS sv, CASE WHEN {takes['operators']} THEN '{name}' ELSE so END AS so"
+        sql += f", l{k + 1} AS (SELECT * REPLACE ({', '.join(pick(c) for c in cols)}, {shut} AS closed, {only}, {src}) FROM l{k})"
+    return sql + " SELECT 't' || p_partkey AS left_iri, operators, values_ AS values, units, datatype, pattern, closed, only_ AS values_only, sv AS src_values, so AS src_operators FROM l3"
+
+
 def _uses(c: Corpus) -> DataFrame:
     return resolve.term_uses(c.policies, c.rules, c.constraints)
 
@@ -60,6 +109,7 @@ QUERIES = {
     "c21_outside_closed_terms": lambda c: lists.outside_list(resolve.expand_terms(_uses(c), c.prefixes, c.profiles).where("slot = 'action'").select("doc_id", "path", "iri"), "iri", c.odrl_terms.where("core").select(F.col("iri").alias("value"))).select("doc_id", "path", "iri"),
     "c22_overlay_orphans": lambda c: lists.overlay_orphans(c.hints.select("left_iri", "closed"), c.terms),
     "v5_layer_hints": lambda c: lists.layer_hints(c.hints.select("left_iri", "datatype", "pattern"), [("overlay", c.spark.sql(PATCH, part=c.part))], ["datatype", "pattern"]),
+    "v5_four_layers": _four_layers,
     "e10_filter_suggestions": _suggested,
     "e9_first_declaration": lambda c: lists.first_declaration(c.rules.where("target is not null").select("doc_id", F.col("target").alias("iri"), F.struct("policy_ix", "rule_ix").alias("ord"))).select("doc_id", "iri", "ord.policy_ix", "ord.rule_ix"),
     "e7_dedupe_notes": lambda c: lists.dedupe_notes(_term_findings(c).select("doc_id", F.concat_ws(" ", "rule", "written").alias("note"), path_key(F.col("path")).alias("ord"))),
@@ -95,6 +145,7 @@ ORACLES = {
     "v5_layer_hints": f"""{ctes("hints")}, patch AS ({PATCH.format(part="part")}) SELECT coalesce(h.left_iri, p.left_iri) AS left_iri, coalesce(p.datatype, h.datatype) AS datatype, coalesce(p.pattern, h.pattern) AS pattern,
       CASE WHEN p.datatype IS NOT NULL THEN 'overlay' WHEN h.datatype IS NOT NULL THEN 'base' END AS src_datatype, CASE WHEN p.pattern IS NOT NULL THEN 'overlay' WHEN h.pattern IS NOT NULL THEN 'base' END AS src_pattern
       FROM hints h FULL JOIN patch p ON p.left_iri = h.left_iri""",
+    "v5_four_layers": _layers_sql(),
     "e10_filter_suggestions": """WITH o AS (SELECT p_partkey AS ix, p_type || ' ' || p_brand AS label, p_name AS hint, p_brand AS grp FROM part),
       h AS (SELECT *, CASE WHEN lower(label) LIKE 'ar%' THEN 0 WHEN lower(label) LIKE '%ar%' THEN 1 WHEN lower(hint) LIKE '%ar%' THEN 2 END AS rank FROM o), g AS (SELECT *, min(rank * 1000000000 + ix) OVER (PARTITION BY grp) AS pos FROM h WHERE rank IS NOT NULL)
       SELECT ix, label, grp, rank FROM g ORDER BY pos, rank, ix LIMIT 500""",
