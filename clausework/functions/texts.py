@@ -38,8 +38,8 @@ def decode_references(text: Column) -> Column:
         hexed, tens = F.regexp_extract(piece, r"^&#[xX]\+?([0-9A-Fa-f]+);$", 1), F.regexp_extract(piece, r"^&#\+?([0-9]+);$", 1)
         code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(tens != "", tens).cast("long")
         named = F
-        for written, character in NAMED.items():
-            named = named.when(piece == written, character)
+        for written, meant in NAMED.items():
+            named = named.when(piece == written, meant)
         return F.when(F.length(piece) > 1, F.coalesce(named.otherwise(None), character(code))).otherwise(None)
 
     pieces = F.regexp_extract_all(text, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
