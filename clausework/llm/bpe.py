@@ -42,9 +42,20 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPAC
 _NOT_SPACE_THERE = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split() takes these for white space
 
 
+# Letters and numbers of Unicode 16, which the tokenizer's tables know and this Python's don't.
+_UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+# Capitals of Unicode 16 and their small letters.
+_LOWER_16 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {x: x + 0x20 for x in range(0x10D50, 0x10D66)}
+_KNOWN_SINCE = frozenset(chr(x) for a, b in _UNICODE_16 for x in range(a, b + 1))
+
+
 def _pieces(low: str) -> list[str]:
     """The pieces of a word.  Characters that the tokenizer's tables don't know yet are no letters there, whatever a newer table says."""
-    known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in low)
+    known = "".join("\ue000" if unicodedata.category(c) == "Cn" and c not in _KNOWN_SINCE else c for c in low)
     return [low[m.start() : m.end()] for m in _PIECES.finditer(known)] if known != low else _PIECES.findall(low)
 
 
@@ -169,7 +180,7 @@ class WordBpe:
 
     def _word(self, word: str) -> tuple[bytes, bytes]:
         ids: list[int] = []
-        low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower().translate(_LOWER_16)
         for piece in [low] if low.isascii() and low.isalpha() else _PIECES.findall(low) if low.isascii() else _pieces(low):
             got = self._pieces.get(piece)
             if got is None:

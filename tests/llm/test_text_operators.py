@@ -28,6 +28,12 @@ def pair():
         return bpe.WordBpe(f.read()), t
 
 
+@pytest.mark.parametrize("text", [":\U00013460", "\U00010d50a\ua7dc", "\u1c89:\U00016d67x", "\U00010d40\U00011bf5", ":\U0002b73a", "\u088f."])
+def test_bpe_of_new_characters(pair, text):
+    mine, theirs = pair
+    assert mine.encode(text)[0].tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text("aeinrst' 'sdlmtv.,!12é<|endoftext|>", max_size=80)))
 def test_bpe_is_exact(pair, text):
