@@ -20,7 +20,7 @@ documents gives the end one half and the lattice the other.  A text's probabilit
 the sum over the languages of their share times the product of P_k over its words
 and end: the text is not told its language, that is summed out like the
 segmentations.  Every path passes every word border, so the product over words is
-the forward recursion over the whole document.  ``lattice_score`` is the plain
+the forward recursion over the whole document.  ``lattice_score``, where it is asked for, is the plain
 marginal: all segmentations of all words by the vocabulary's own scores alone.
 
 Words are counted by tasks, then by a shuffle on the word.  Words with a share of
@@ -390,8 +390,8 @@ def _log(x: np.ndarray) -> np.ndarray:
         return np.log(x)
 
 
-def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for each row of ``docs`` (doc_id, text, lang)."""
+def score(docs: DataFrame, pieces: list[tuple[str, float]], plain: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and, if ``plain``, lattice_score for each row of ``docs`` (doc_id, text, lang)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
@@ -425,24 +425,25 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
             ws = batch.column(0).to_pylist()
             c = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(size)], 1).astype(float).reshape(len(ws), size)
             is_end = np.array([w == END for w in ws], bool)
-            by_lattice = lattice.log_p(ws, [lattice.log_w, *weights])
-            log_p = mixture.log_p(c, is_end, by_lattice[:, 1:])
-            plain = np.where(is_end, np.log(0.5), by_lattice[:, 0]) / np.log(10.0)
+            by_lattice = lattice.log_p(ws, [lattice.log_w, *weights] if plain else weights)
+            log_p = mixture.log_p(c, is_end, by_lattice[:, 1:] if plain else by_lattice)
+            by_vocabulary = [pa.array(np.where(is_end, np.log(0.5), by_lattice[:, 0]) / np.log(10.0))] if plain else []
             total = c.sum(1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([key_of(w) for w in ws], pa.binary()), pa.array(total.astype(np.int64)), pa.array(np.log10((total + 1) / (n + v + 1.0))), pa.array(plain),
+                    pa.array([key_of(w) for w in ws], pa.binary()), pa.array(total.astype(np.int64)), pa.array(np.log10((total + 1) / (n + v + 1.0))), *by_vocabulary,
                     *(pa.array(log_p[:, k]) for k in range(size)),
                 ],
-                ["word", "c", "base", "plain", *names],
+                ["word", "c", *sums_of],
             )
 
     names = [f"p{k}" for k in range(size)]
-    doubles = ", ".join(f"{x} double" for x in names)
-    valued = cut(words.mapInArrow(value, f"word binary, c long, base double, plain double, {doubles}"), "valued")
+    sums_of = ["base", *(["plain"] if plain else []), *names]
+    doubles = ", ".join(f"{x} double" for x in sums_of)
+    valued = cut(words.mapInArrow(value, f"word binary, c long, {doubles}"), "valued")
     frequent = valued.where((F.col("c") * F.lit(HEAD) >= F.lit(n)) & (F.col("c") > 0)).toPandas()
     head = spark.sparkContext.broadcast(
-        ({bytes(w): i for i, w in enumerate(frequent["word"])}, frequent[["base", "plain", *names]].to_numpy(float))
+        ({bytes(w): i for i, w in enumerate(frequent["word"])}, frequent[sums_of].to_numpy(float))
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,22 +468,22 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
             at = pa.array(rows, pa.int64())
             first = pa.array([w is None for w in words], pa.bool_())
             of_doc = lambda x, kind: pc.if_else(first, pa.array(x, kind).take(at), pa.scalar(None, kind))
-            table = np.array(sums).reshape(len(sums), size + 2)
+            table = np.array(sums).reshape(len(sums), len(sums_of))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(words, pa.binary()),
                     pa.array(np.concatenate([*times, np.empty(0, np.int64)])), of_doc([c[0] for c in counts], pa.int64()), of_doc([c[1] for c in counts], pa.int64()),
-                    *(of_doc(table[:, k], pa.float64()) for k in range(size + 2)),
+                    *(of_doc(table[:, k], pa.float64()) for k in range(len(sums_of))),
                 ],
-                ["row", "doc_id", "held_out", "word", "times", "n_tokens", "n_known", "base", "plain", *names],
+                ["row", "doc_id", "held_out", "word", "times", "n_tokens", "n_known", *sums_of],
             )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
     parts = numbered.mapInArrow(
-        read, f"row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, plain double, {doubles}"
+        read, f"row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, {doubles}"
     )
     parts = cut(parts, "parts")
-    sums = ["base", "plain", *names]
+    sums = sums_of
     done = parts.where("word is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", *sums)
     rest = parts.where("word is not null").select("row", "word", "times").join(valued, "word").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known_"), *[F.sum(F.col("times") * F.col(x)).alias(f"{x}_") for x in sums]
@@ -491,7 +492,7 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     add = lambda x: F.col(x) + F.coalesce(F.col(f"{x}_"), F.lit(0))
     logs = F.array(*[add(x) + F.lit(share) for x, share in zip(names, shares, strict=True)])
     return (
-        joined.select("doc_id", "held_out", "n_tokens", add("n_known").cast("long").alias("n_known"), add("base").alias("base_score"), add("plain").alias("lattice_score"), logs.alias("logs"))
+        joined.select("doc_id", "held_out", "n_tokens", add("n_known").cast("long").alias("n_known"), add("base").alias("base_score"), *([add("plain").alias("lattice_score")] if plain else []), logs.alias("logs"))
         .withColumn("top", F.array_max("logs"))
         .select(
             "doc_id",
@@ -501,6 +502,6 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
             F.lit(n).cast("long").alias("train_tokens"),
             "base_score",
             ((F.col("top") + F.log(F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))) / F.log(F.lit(10.0))).alias("score"),
-            "lattice_score",
+            *(["lattice_score"] if plain else []),
         )
     )
