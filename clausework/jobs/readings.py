@@ -75,7 +75,7 @@ def _party_functions(c: Corpus) -> DataFrame:
 
 def _notes(c: Corpus) -> DataFrame:
     """Policies with their parents, the rules they have or inherit and the ancestors that are not there."""
-    links = cut(inherit.inherit_links(c.policies, c.inherits), "links")
+    links = cut(inherit.inherit_links(c.policies, c.inherits, c.prefixes), "links")
     above = cut(inherit.lineages(links), "above").select(*KEY, F.col("ancestor_ix").alias("at"))
     reach = c.policies.select(*KEY, F.col("policy_ix").alias("at")).unionByName(above)
     own = c.rules.groupBy("doc_id", F.col("policy_ix").alias("at")).agg(F.count("*").alias("n"))
