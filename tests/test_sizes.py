@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from clausework.corpus import Corpus
+from clausework.operators import resolve
 from clausework.sources.shared import cut, sent
 
 
@@ -22,3 +23,16 @@ def test_sent_counts_before_it_broadcasts(spark):
     assert "BroadcastHashJoin" in plan(many.hint("merge").join(sent(keys, "keys"), "id"))
     assert sent(keys, "keys", rows=19)._jdf.queryExecution().analyzed().toString().count("ResolvedHint") == 0
     assert sent(keys, "keys", rows=20)._jdf.queryExecution().analyzed().toString().count("ResolvedHint") == 1
+
+
+def test_only_possible_findings_are_dealt_by_policy(spark):
+    policies = spark.createDataFrame([(1, 0, "urn:a", None)], "doc_id long, policy_ix int, profile string, kind string")
+    uses = spark.createDataFrame([(1, 0, "p", "action", "use"), (1, 0, "q", "action", "nope")], "doc_id long, policy_ix int, path string, slot string, written string")
+    profiles = spark.createDataFrame([("a", 1, "urn:a", "a", "urn:a#")], "profile_id string, load_order int, iri string, prefix string, namespace string")
+    terms = spark.createDataFrame([("a", 1, 0, "urn:a#t", "Action", False)], "profile_id string, load_order int, term_ix int, iri string, kind string, deprecated boolean")
+    odrl = spark.createDataFrame([("http://www.w3.org/ns/odrl/2/use", "Action", True, False)], "iri string, kind string, core boolean, deprecated boolean")
+    prefixes = spark.createDataFrame([], "doc_id long, prefix string, namespace string")
+    found = resolve.term_findings(uses, policies, prefixes, profiles, terms, odrl)
+    assert [(r.path, r.rule) for r in found.collect()] == [("q", "profile.unknown-term")]
+    # Vocabularies are asked once for each distinct term, so uses meet few tables, and those of policies only where something can be found.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 5
