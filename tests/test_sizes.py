@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from clausework.corpus import Corpus
-from clausework.operators import resolve
+from clausework.operators import hints, resolve
 from clausework.sources.shared import cut, sent
 
 
@@ -36,3 +36,17 @@ def test_only_possible_findings_are_dealt_by_policy(spark):
     assert [(r.path, r.rule) for r in found.collect()] == [("q", "profile.unknown-term")]
     # Vocabularies are asked once for each distinct term, so uses meet few tables, and those of policies only where something can be found.
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 5
+
+
+def test_gaps_meet_findings_not_constraints(spark):
+    rows = [(1, 0, "p", "l", "eq", "iri", "x", "urn:x", None, None, "urn:x"), (1, 1, "q", "l", "eq", "iri", "x", "urn:x", None, None, "urn:x"), (1, 1, "r", "m", "eq", "iri", "x", "urn:x", None, None, "urn:x")]
+    names = "doc_id long, policy_ix int, path string, left_iri string, operator_name string, right_kind string, raw string, value_iri string, datatype string, unit_iri string, value_any string"
+    made = lambda rows, names: spark.createDataFrame(rows, names)
+    tables = (
+        made([("l", None, None, None, None, True)], "left_iri string, datatype string, lo string, hi string, pattern string, closed boolean"),
+        made([], "left_iri string, op string"), made([("l", "urn:y"), ("m", "urn:y")], "left_iri string, value string"), made([], "left_iri string, unit string"),
+        made([(1, 1)], "doc_id long, policy_ix int"),
+    )
+    found = hints.hint_findings(made(rows, names), *tables)
+    assert sorted(r.path for r in found.collect()) == ["p", "r"]  # q: a closed list in a policy with a gap; r: an open one
+    assert "LeftAnti" in plan(found)  # findings are held back; constraints are not widened by their policy's gaps
