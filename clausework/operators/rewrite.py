@@ -57,14 +57,14 @@ def unknown_keys(rows: DataFrame) -> DataFrame:
 def strip_out_of_scope(rows: DataFrame, gone: list[str]) -> DataFrame:
     """Rows without the members named in ``gone`` and all that lies below them.
 
-    A member's own path is among the paths above each of its descendants, so
-    the descendants go by an anti-join on equality, not by comparing beginnings.
+    Nodes are intervals of places in their document (``seq``, ``last``), and intervals nest: a row goes if a
+    member named so, itself or before it, reaches so far.  One sorted pass over rows that are read once.
     """
-    hits = rows.where(local_name(F.col("key")).isin(gone) & F.col("parent").isNotNull()).select("doc_id", F.col("path").alias("above")).distinct()
-    ends = F.transform(F.sequence(F.lit(1), F.length("path") + 1), lambda i: F.when((i > F.length("path")) | F.substring("path", i, F.lit(1)).isin(".", "["), i))
-    above = F.transform(F.filter(ends, lambda i: i.isNotNull()), lambda i: F.substring("path", F.lit(1), i - 1))
-    below = rows.select("doc_id", "path", F.explode(above).alias("above")).join(hits, ["doc_id", "above"]).select("doc_id", "path").distinct()
-    return rows.join(below, ["doc_id", "path"], "left_anti")
+    named = local_name(F.col("key")).isin(gone) & F.col("parent").isNotNull()
+    upto = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max("until").over(upto)
+    placed = rows.withColumn("until", F.when(named, F.col("last"))).withColumn("reach", reach)
+    return placed.where(F.coalesce("reach", F.lit(-1)) < F.col("seq")).drop("until", "reach")
 
 
 def rewrite_policy_type(policies: DataFrame, allowed: list[str]) -> DataFrame:
