@@ -1,6 +1,6 @@
 """Rows are read once, and frequent terms do not fill a task."""
 
-from clausework.operators import rewrite
+from clausework.operators import lists, rewrite
 from clausework.sources import flatten
 
 
@@ -9,3 +9,8 @@ def test_strip_is_one_pass_over_intervals(spark):
     left = rewrite.strip_out_of_scope(flatten.flatten(docs), ["duty"])
     assert sorted((r.doc_id, r.path) for r in left.collect()) == [(1, ""), (1, "a"), (1, "a.b"), (1, "duty.y"), (2, ""), (2, "a")]  # duty.y is a name of its own
     assert left._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_fixes_of_findings_that_say_their_iri(spark):
+    found = spark.createDataFrame([(1, "p", "action", "x:t", "profile.unbound-prefix", "urn:x#t")] * 2, "doc_id long, path string, slot string, written string, rule string, iri string")
+    assert [r.replacement for r in lists.safe_fixes(found, None).collect()] == ["urn:x#t"]
