@@ -1,6 +1,6 @@
 """Rows are read once, and frequent terms do not fill a task."""
 
-from clausework.operators import lists, rewrite
+from clausework.operators import lists, prose, rewrite
 from clausework.sources import flatten
 
 
@@ -14,3 +14,10 @@ def test_strip_is_one_pass_over_intervals(spark):
 def test_fixes_of_findings_that_say_their_iri(spark):
     found = spark.createDataFrame([(1, "p", "action", "x:t", "profile.unbound-prefix", "urn:x#t")] * 2, "doc_id long, path string, slot string, written string, rule string, iri string")
     assert [r.replacement for r in lists.safe_fixes(found, None).collect()] == ["urn:x#t"]
+
+
+def test_glossary_looks_distinct_terms_up(spark):
+    uses = spark.createDataFrame([(1, 0, "urn:t", 2), (1, 0, "urn:t", 1), (1, 0, "urn:u", 0), (1, 0, None, 0)], "doc_id long, policy_ix int, iri string, ord int")
+    found = prose.glossary(uses, spark.createDataFrame([("urn:t",), ("urn:t",), ("urn:v",)], "iri string"))
+    assert [(r.ix, r.iri) for r in found.collect()] == [(0, "urn:t")]
+    assert "ResolvedHint" in found._jdf.queryExecution().analyzed().toString()
