@@ -1,7 +1,8 @@
 """Rows are read once, and frequent terms do not fill a task."""
 
-from clausework.operators import lists, prose, rewrite
+from clausework.operators import lists, pointers, prose, rewrite
 from clausework.sources import flatten
+from clausework.sources.shared import cut
 
 
 def test_strip_is_one_pass_over_intervals(spark):
@@ -21,3 +22,15 @@ def test_glossary_looks_distinct_terms_up(spark):
     found = prose.glossary(uses, spark.createDataFrame([("urn:t",), ("urn:t",), ("urn:v",)], "iri string"))
     assert [(r.ix, r.iri) for r in found.collect()] == [(0, "urn:t")]
     assert "ResolvedHint" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_paths_that_end_are_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(pointers, "cut", lambda df, name: (lambda table: written.append(table.count()) or table if name == "orbit" else table)(cut(df, name)))
+    steps = spark.createDataFrame([(1, f"c{i}", f"c{i + 1}") for i in range(6)], "k int, node string, to string")
+    found = pointers.orbits(steps, spark.createDataFrame([(1, "c0")], "k int, start string"), "k")
+    assert sorted((r.ix, r.at) for r in found.collect()) == [(i, f"c{i}") for i in range(7)]
+    assert sum(written) == 7
+    ring = spark.createDataFrame([(1, str(i), str((i + 1) % 5)) for i in range(5)] + [(1, "t", "3")], "k int, node string, to string")
+    found = pointers.orbits(ring, spark.createDataFrame([(1, "t"), (1, "2")], "k int, start string"), "k")
+    assert sorted((r.start, r.ix, r.at) for r in found.collect()) == sorted([("t", 0, "t")] + [("t", i + 1, str((3 + i) % 5)) for i in range(5)] + [("2", i, str((2 + i) % 5)) for i in range(5)])
