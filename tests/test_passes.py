@@ -1,6 +1,6 @@
 """Rows are read once, and frequent terms do not fill a task."""
 
-from clausework.operators import lists, pointers, prose, rewrite
+from clausework.operators import graphs, lists, pointers, prose, rewrite
 from clausework.sources import flatten
 from clausework.sources.shared import cut
 
@@ -34,3 +34,15 @@ def test_paths_that_end_are_written_once(spark, monkeypatch):
     ring = spark.createDataFrame([(1, str(i), str((i + 1) % 5)) for i in range(5)] + [(1, "t", "3")], "k int, node string, to string")
     found = pointers.orbits(ring, spark.createDataFrame([(1, "t"), (1, "2")], "k int, start string"), "k")
     assert sorted((r.start, r.ix, r.at) for r in found.collect()) == sorted([("t", 0, "t")] + [("t", i + 1, str((3 + i) % 5)) for i in range(5)] + [("2", i, str((2 + i) % 5)) for i in range(5)])
+
+
+def test_trees_are_opened_for_the_tables_that_are_asked_for(spark, monkeypatch):
+    opened = []
+    edges = graphs._edges
+    monkeypatch.setattr(graphs, "_edges", lambda triples, roles: opened.append(roles) or edges(triples, roles))
+    rows = [(0, "q", graphs.RDF + "type", "urn:Request"), (1, "q", "urn:policy", "p"), (2, "p", graphs.ODRL + "permission", "r"), (3, "r", graphs.ODRL + "constraint", "c")]
+    triples = spark.createDataFrame([("g", *r, None, None, None) for r in rows], "graph_id string, seq long, s string, p string, o_iri string, o_value string, o_type string, o_lang string")
+    names, bases = graphs.Extension("urn:Request", "urn:policy", "urn:up", "urn:kind", "urn:key"), spark.createDataFrame([("g", "urn:g#")], "graph_id string, base string")
+    made = lambda name: [r.path for r in graphs.policies_from_triples(triples, names, bases, {}, (name,))[name].collect()]
+    assert (made("policies"), made("rules"), made("constraints")) == (["policy[0]"], ["policy[0].permission[0]"], ["policy[0].permission[0].constraint[0]"])
+    assert opened == [("rule",), ("rule", "action", "constraint")]
