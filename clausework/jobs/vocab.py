@@ -70,9 +70,9 @@ def _ntriples(c: Corpus) -> DataFrame:
     return vocabulary.read_ntriples(lines).select("s", "p", "o_iri", "o_value", "o_lang")
 
 
-def _flat(c: Corpus) -> DataFrame:
+def _flat(c: Corpus, *columns: str) -> DataFrame:
     docs = flatten.documents_json(c.policies, c.rules).select((F.col("doc_id") * 1000 + F.col("policy_ix")).alias("doc_id"), "text")
-    return flatten.flatten(docs)
+    return flatten.flatten(docs, *columns)
 
 
 def _rules_of(flat: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def _rules_of(flat: DataFrame) -> DataFrame:
 
 
 def _nodes(c: Corpus) -> DataFrame:
-    flat = _flat(c)
+    flat = _flat(c, "doc_id", "parent", "key", "value")
     return flat.where("parent = ''").groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("key") == "@type", F.col("value"))).alias("types"))
 
 
@@ -133,8 +133,8 @@ QUERIES = {
         c.spark.sql(PREFIX_ROWS),
     ),
     "c18_nearest_term": _typed,
-    "a2_flatten_rules": lambda c: _rules_of(_flat(c)),
-    "a3_json_keys": lambda c: _flat(c).where("key is not null").groupBy("key", "kind").agg(F.count("*").alias("n")),
+    "a2_flatten_rules": lambda c: _rules_of(_flat(c, "doc_id", "parent", "key", "value")),
+    "a3_json_keys": lambda c: _flat(c, "key", "kind").where("key is not null").groupBy("key", "kind").agg(F.count("*").alias("n")),
     "b1_is_policy": lambda c: _nodes(c).groupBy(rewrite.is_policy(F.col("types"), F.col("keys")).alias("policy"), rewrite.policy_kind(F.col("types")).alias("kind")).agg(F.count("*").alias("n")),
     "b3_normalise_keys": _keys_twice,
     "b5_unknown_keys": lambda c: rewrite.unknown_keys(c.events.select(F.col("event_id").alias("doc_id"), F.lit("").alias("path"), F.explode(F.json_object_keys("props")).alias("key"))),

@@ -46,3 +46,11 @@ def test_trees_are_opened_for_the_tables_that_are_asked_for(spark, monkeypatch):
     made = lambda name: [r.path for r in graphs.policies_from_triples(triples, names, bases, {}, (name,))[name].collect()]
     assert (made("policies"), made("rules"), made("constraints")) == (["policy[0]"], ["policy[0].permission[0]"], ["policy[0].permission[0].constraint[0]"])
     assert opened == [("rule",), ("rule", "action", "constraint")]
+
+
+def test_only_the_columns_that_are_read_leave_the_flattening(spark):
+    docs = spark.createDataFrame([(1, '{"a": [1, {"b": "x"}]}'), (2, "no")], "doc_id long, text string")
+    rows = flatten.flatten(docs, "key", "kind")
+    assert rows.columns == ["key", "kind"]
+    assert sorted((r.key or "", r.kind) for r in rows.collect()) == [("", "error"), ("", "object"), ("a", "list"), ("a", "number"), ("a", "object"), ("b", "string")]
+    assert [(r.path, r.seq, r.last) for r in flatten.flatten(docs).where("doc_id = 1").orderBy("seq").collect()] == [("", 0, 4), ("a", 1, 4), ("a[0]", 2, 2), ("a[1]", 3, 4), ("a[1].b", 4, 4)]
