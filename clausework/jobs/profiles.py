@@ -75,7 +75,7 @@ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('{{"type": "', event_typ
 
 
 def _profile_docs(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    return jsonld.profile_triples(flatten.flatten(c.spark.sql(PROFILE_DOCS, part=c.part)))
+    return jsonld.profile_triples(flatten.flatten(c.spark.sql(PROFILE_DOCS, part=c.part.repartition("p_partkey"))))  # a short file is a task or two
 
 
 def _triples(c: Corpus) -> DataFrame:
@@ -110,7 +110,7 @@ QUERIES = {
     "u5_widened_values": lambda c: profiles.widened_values(_items(c).where("p_size % 2 = 0"), _items(c).where("p_size % 7 = 0 and left_iri <> 'Brand#2'")),
     "f2_picker_order": _picker,
     "e4_node_labels": lambda c: vocabulary.node_label(c.spark.sql(LABELS, part=c.part), ["s"], ["fr"]),
-    "b8_unread_contexts": lambda c: rewrite.unread_contexts(flatten.flatten(c.spark.sql(CONTEXT_DOCS, orders=c.orders))),
+    "b8_unread_contexts": lambda c: rewrite.unread_contexts(flatten.flatten(c.spark.sql(CONTEXT_DOCS, orders=c.orders.repartition("o_orderkey")), "doc_id", "path", "parent", "key", "kind", "value")),
     "a6_profile_triples": lambda c: _profile_docs(c)[0].drop("seq"),
     "a6_profile_notes": lambda c: _profile_docs(c)[1],
     "b7_unread_keys": lambda c: rewrite.unread_keys(flatten.flatten(c.spark.sql(KEY_DOCS, orders=c.orders))),

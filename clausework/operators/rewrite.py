@@ -166,14 +166,14 @@ def unread_contexts(rows: DataFrame) -> DataFrame:
     ``remote``: a context by reference, or one that imports another, on a node whose context is applied;
     ``nested`` (iri null): any context further down.  What stands below ``@value`` is data.
     """
-    named = rows.where("kind = 'string'")
-    listed = named.where(F.col("path").rlike(rf"^{APPLIED}\.?@context(?:\[[0-9]+\])?$") & ~F.regexp_replace("value", "/+$", "").isin(*KNOWN_CONTEXTS))
-    imported = named.where(F.col("path").rlike(rf"^{APPLIED}\.?@context(?:\[[0-9]+\])?\.@import$"))
-    remote = listed.unionByName(imported).select("doc_id", F.lit("remote").alias("form"), F.col("value").alias("iri"))
+    listed = F.col("path").rlike(rf"^{APPLIED}\.?@context(?:\[[0-9]+\])?$") & ~F.regexp_replace("value", "/+$", "").isin(*KNOWN_CONTEXTS)
+    imported = F.col("path").rlike(rf"^{APPLIED}\.?@context(?:\[[0-9]+\])?\.@import$")
+    remote = (F.col("kind") == "string") & (listed | imported)
     inside = F.col("parent").rlike(r"(^|\.)@(context|value)($|[.\[])")
     own = (F.col("key") == "@context") & F.col("path").rlike("(^|[.])@context$")
-    nested = rows.where(own & ~inside & ~F.col("parent").rlike(f"^{APPLIED}$")).select("doc_id", F.lit("nested").alias("form"), F.lit(None).cast("string").alias("iri"))
-    return remote.unionByName(nested).distinct()
+    nested = own & ~inside & ~F.col("parent").rlike(f"^{APPLIED}$")
+    forms = F.array_compact(F.array(F.when(remote, F.struct(F.lit("remote").alias("form"), F.col("value").alias("iri"))), F.when(nested, F.struct(F.lit("nested").alias("form"), F.lit(None).cast("string").alias("iri")))))
+    return rows.where(F.coalesce(remote, F.lit(False)) | F.coalesce(nested, F.lit(False))).select("doc_id", F.inline(forms)).distinct()
 
 
 #: Steps that the expansion of one key may take; a key that takes more counts as unread.

@@ -54,3 +54,10 @@ def test_only_the_columns_that_are_read_leave_the_flattening(spark):
     assert rows.columns == ["key", "kind"]
     assert sorted((r.key or "", r.kind) for r in rows.collect()) == [("", "error"), ("", "object"), ("a", "list"), ("a", "number"), ("a", "object"), ("b", "string")]
     assert [(r.path, r.seq, r.last) for r in flatten.flatten(docs).where("doc_id = 1").orderBy("seq").collect()] == [("", 0, 4), ("a", 1, 4), ("a[0]", 2, 2), ("a[1]", 3, 4), ("a[1].b", 4, 4)]
+
+
+def test_contexts_are_looked_for_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, '{"@context": "urn:c", "x": {"@context": {"y": "urn:y"}}}')], "doc_id long, text string")
+    found = rewrite.unread_contexts(flatten.flatten(docs))
+    assert sorted((r.form, r.iri) for r in found.collect()) == [("nested", None), ("remote", "urn:c")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
