@@ -61,3 +61,10 @@ def test_contexts_are_looked_for_in_one_pass(spark):
     found = rewrite.unread_contexts(flatten.flatten(docs))
     assert sorted((r.form, r.iri) for r in found.collect()) == [("nested", None), ("remote", "urn:c")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_proposals_bring_their_rules(spark):
+    judged = spark.createDataFrame([(1, "p", "action", "x", ["profile.wrong-kind", "profile.unknown-term", "profile.deprecated-term"]), (1, "q", "action", "y", ["profile.deprecated-term"])], "doc_id long, path string, slot string, written string, rules array<string>")
+    told = lists.admissible(judged, spark.createDataFrame([(1, "r", "action", "z")], "doc_id long, path string, slot string, written string"))
+    assert sorted((r.path, r.rule, r.ok) for r in told.collect()) == [("p", "profile.unknown-term", False), ("q", None, True), ("r", None, True)]
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
