@@ -1,6 +1,6 @@
 """Rows are read once, and frequent terms do not fill a task."""
 
-from clausework.operators import graphs, lists, pointers, prose, rewrite
+from clausework.operators import graphs, lists, pointers, prose, resolve, rewrite
 from clausework.sources import flatten
 from clausework.sources.shared import cut
 
@@ -68,3 +68,12 @@ def test_proposals_bring_their_rules(spark):
     told = lists.admissible(judged, spark.createDataFrame([(1, "r", "action", "z")], "doc_id long, path string, slot string, written string"))
     assert sorted((r.path, r.rule, r.ok) for r in told.collect()) == [("p", "profile.unknown-term", False), ("q", None, True), ("r", None, True)]
     assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_uses_are_not_dealt_by_term(spark):
+    uses = spark.createDataFrame([(1, 0, "urn:a#t"), (1, 1, "urn:a#t"), (1, 0, "urn:z")], "doc_id long, policy_ix int, iri string")
+    policies = spark.createDataFrame([(1, 0, "urn:a"), (1, 1, "urn:b")], "doc_id long, policy_ix int, profile string")
+    terms = spark.createDataFrame([("a", "urn:a#t")], "profile_id string, iri string")
+    found = resolve.undeclared_profiles(uses, policies, terms, spark.createDataFrame([("a", "urn:a")], "profile_id string, iri string"))
+    assert sorted((r.policy_ix, r.iri, r.declares) for r in found.collect()) == [(0, "urn:a#t", True), (1, "urn:a#t", False)]
+    assert "ResolvedHint" in found._jdf.queryExecution().analyzed().toString()
