@@ -24,42 +24,42 @@ def bare(name: Column) -> Column:
 
 
 def _objects(rows: DataFrame) -> DataFrame:
-    """doc_id, path of the objects that are policies by a list of rules or a type."""
-    lists = rows.where(bare(F.col("key")).isin(*LISTS)).select("doc_id", F.col("parent").alias("path"))
-    typed = rows.where((F.col("key") == "@type") & (F.col("kind") == "string") & bare(F.col("value")).isin(*TYPES)).select("doc_id", "parent")
-    of_lists = rows.where("key = '@type' and kind = 'list'").select("doc_id", F.col("path").alias("parent"), F.col("parent").alias("owner"))
-    types = typed.join(of_lists, ["doc_id", "parent"], "left").select("doc_id", F.coalesce("owner", "parent").alias("path"))
-    objects = rows.where("kind = 'object'").select("doc_id", "path")
-    return lists.unionByName(types).distinct().join(objects, ["doc_id", "path"], "left_semi")
+    """doc_id, seq, last, depth of the objects that are policies by a list of rules or a type."""
+    lists = rows.where(bare(F.col("key")).isin(*LISTS)).select("doc_id", F.col("up").alias("seq"))
+    typed = rows.where((F.col("key") == "@type") & (F.col("kind") == "string") & bare(F.col("value")).isin(*TYPES)).select("doc_id", "up")
+    of_lists = rows.where("key = '@type' and kind = 'list'").select("doc_id", F.col("seq").alias("up"), F.col("up").alias("owner"))
+    types = typed.join(of_lists, ["doc_id", "up"], "left").select("doc_id", F.coalesce("owner", "up").alias("seq"))
+    objects = rows.where("kind = 'object'").select("doc_id", "seq", "last", "depth")
+    return lists.unionByName(types).distinct().join(objects, ["doc_id", "seq"])
 
 
 def policies_in(rows: DataFrame) -> DataFrame:
     """doc_id, policy_ix, path, seq, last, context: the outermost policies of each document, in order, and the nearest ``@context`` at or above each.
 
-    All candidates climb towards their roots at once, a join a level, and only as far as it takes; what lies in a
-    context or in a policy is none.
+    Nodes are intervals that nest: what an earlier policy or context reaches lies in it and is none.  Of the objects of one
+    depth only the last that begins before a policy can hold it, so the deepest one that reaches so far has the nearest context.
     """
-    nodes = cut(rows.where("kind in ('object', 'list')").select("doc_id", "path", "parent", "key", "seq", "last"), "nodes")
-    marked = cut(_objects(rows), "marked")
-    owners = rows.where("key = '@context'").select("doc_id", F.col("parent").alias("at"), F.col("path").alias("own_context"))
-    flags = nodes.select("doc_id", F.col("path").alias("at"), F.col("parent").alias("over"), (F.col("key") == "@context").alias("in_context"))
-    flags = flags.join(owners, ["doc_id", "at"], "left").join(marked.select("doc_id", F.col("path").alias("at"), F.lit(True).alias("is_policy")), ["doc_id", "at"], "left")
-    flags = cut(flags, "flags")
-    climbing = marked.select("doc_id", "path", F.col("path").alias("at"), F.lit(None).cast("string").alias("context"))
-    done = []
-    while True:
-        met = climbing.join(flags, ["doc_id", "at"]).where(~F.coalesce("in_context", F.lit(False)) & ((F.col("at") == F.col("path")) | F.col("is_policy").isNull()))
-        step = cut(met.select("doc_id", "path", F.col("over").alias("at"), F.coalesce("context", "own_context").alias("context")), "climbing")
-        done.append(step.where("at is null"))
-        climbing = step.where("at is not null")
-        if climbing.isEmpty():
-            break
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    found = found.select("doc_id", "path", "context").join(nodes.select("doc_id", "path", "seq", "last"), ["doc_id", "path"])
+    marked = _objects(rows).withColumn("is_policy", F.lit(True))
+    contexts = rows.where("key = '@context' and kind in ('object', 'list')").select("doc_id", "seq", "last", "depth", F.lit(False).alias("is_policy"))
+    before = Window.partitionBy("doc_id").orderBy("seq", "is_policy").rowsBetween(Window.unboundedPreceding, -1)
+    reached = marked.unionByName(contexts).withColumn("reach", F.coalesce(F.max("last").over(before), F.lit(-1)))
+    found = cut(reached.where(F.col("is_policy") & (F.col("reach") < F.col("seq"))).select("doc_id", "seq", "last", "depth"), "outermost")
+
+    objects = rows.where("kind = 'object'").select("doc_id", F.col("seq").alias("up"), F.col("last").alias("until"), F.col("depth").alias("at"))
+    owners = rows.where("key = '@context'").select("doc_id", "up", F.struct(F.col("seq").alias("context_seq")).alias("own")).join(objects, ["doc_id", "up"])
+    owners = cut(owners.select("doc_id", "at", F.col("up").alias("seq"), "until", "own.context_seq"), "owners")
+    depths = F.array(*[F.lit(r.at) for r in owners.select("at").distinct().collect()]).cast("array<int>")  # levels that are followed: a bounded number
+    asked = found.select("doc_id", F.explode(F.filter(depths, lambda d: d <= F.col("depth"))).alias("at"), "seq", F.lit(True).alias("asks"))
+    both = owners.select("doc_id", "at", "seq", F.struct("until", "context_seq").alias("owner"), F.lit(False).alias("asks")).unionByName(asked.withColumn("owner", F.lit(None).cast("struct<until: int, context_seq: int>")))
+    upto = Window.partitionBy("doc_id", "at").orderBy("seq", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    holds = both.withColumn("owner", F.last("owner", ignorenulls=True).over(upto)).where("asks and owner.until >= seq")
+    nearest = holds.groupBy("doc_id", "seq").agg(F.max_by("owner.context_seq", "at").alias("context_seq"))
+
+    paths = rows.select("doc_id", F.col("seq").alias("p_seq"), "path")
+    told = found.join(nearest, ["doc_id", "seq"], "left").join(paths.withColumnRenamed("p_seq", "seq"), ["doc_id", "seq"])
+    of_context = rows.where("key = '@context'").select("doc_id", F.col("seq").alias("context_seq"), F.col("path").alias("context"))
     ix = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
-    return found.select("doc_id", ix.alias("policy_ix"), "path", "seq", "last", "context")
+    return told.join(of_context, ["doc_id", "context_seq"], "left").select("doc_id", ix.alias("policy_ix"), "path", "seq", "last", "context")
 
 
 def policy_rows(rows: DataFrame, policies: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Rows are read once, and frequent terms do not fill a task."""
 
-from clausework.operators import graphs, lists, pointers, prose, resolve, rewrite
+from pyspark.sql import functions as F
+
+from clausework.operators import conditions, graphs, lists, locks, messages, pointers, prose, report, resolve, rewrite
 from clausework.sources import flatten
 from clausework.sources.shared import cut
 
@@ -77,3 +79,14 @@ def test_uses_are_not_dealt_by_term(spark):
     found = resolve.undeclared_profiles(uses, policies, terms, spark.createDataFrame([("a", "urn:a")], "profile_id string, iri string"))
     assert sorted((r.policy_ix, r.iri, r.declares) for r in found.collect()) == [(0, "urn:a#t", True), (1, "urn:a#t", False)]
     assert "ResolvedHint" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_policies_are_found_in_passes_not_level_by_level(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(messages, "cut", lambda df, name: written.append(name) or cut(df, name))
+    deep = '{"permission": [], "duty": {"permission": []}, "@context": {"permission": []}}'
+    for k in range(12):
+        deep = f'{{"x{k}": [{deep}]' + (f', "@context": ["c{k}"], "y": {{"@context": "z"}}' if k % 5 == 3 else "") + "}"
+    found = messages.policies_in(flatten.flatten(spark.createDataFrame([(1, f"[{deep}, {deep}]")], "doc_id long, text string"))).orderBy("policy_ix").collect()
+    assert [r.path.count("x") for r in found] == [12, 12] and [r.context == r.path + ".@context" for r in found] == [True, True]
+    assert len(written) <= 3
