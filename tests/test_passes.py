@@ -90,3 +90,11 @@ def test_policies_are_found_in_passes_not_level_by_level(spark, monkeypatch):
     found = messages.policies_in(flatten.flatten(spark.createDataFrame([(1, f"[{deep}, {deep}]")], "doc_id long, text string"))).orderBy("policy_ix").collect()
     assert [r.path.count("x") for r in found] == [12, 12] and [r.context == r.path + ".@context" for r in found] == [True, True]
     assert len(written) <= 3
+
+
+def test_locked_nodes_are_found_by_place(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(locks, "cut", lambda df, name: written.setdefault(name, df.columns) and cut(df, name))
+    docs = spark.createDataFrame([(1, '{"permission": [{"action": {}}]}')], "doc_id long, text string")
+    assert [(r.path, r.by) for r in locks.locked_nodes(flatten.flatten(docs)).collect()] == [("permission[0].action", "permission[0].action")]
+    assert "path" not in written["owned"] + written["roles"]
