@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import ahocorasick
 import numpy as np
@@ -32,13 +34,14 @@ from pyspark.sql import functions as F
 from clausework.llm.common import small_batches
 
 END = "</w>"
-#: Words of which a worker remembers the tokens; the memory is emptied when full.
+#: Words of which a worker remembers the tokens: as many again stay from before, and of those what is met moves on.
 REMEMBERED = 150_000
 
 # White space as the tokenizer's patterns see it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(f"[{_SPACE}]+")
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
+_ASCII_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")  # the same of small ASCII words, without tables of characters
 _NOT_SPACE_THERE = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split() takes these for white space
 
 
@@ -50,13 +53,30 @@ _UNICODE_16 = (
 )
 # Capitals of Unicode 16 and their small letters.
 _LOWER_16 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {x: x + 0x20 for x in range(0x10D50, 0x10D66)}
+_CAPITALS_16 = frozenset(map(chr, _LOWER_16))
 _KNOWN_SINCE = frozenset(chr(x) for a, b in _UNICODE_16 for x in range(a, b + 1))
 
 
+#: Characters that were met and that the tokenizer's tables know.
+_ASSIGNED: set[str] = set()
+
+
 def _pieces(low: str) -> list[str]:
-    """The pieces of a word.  Characters that the tokenizer's tables don't know yet are no letters there, whatever a newer table says."""
-    known = "".join("\ue000" if unicodedata.category(c) == "Cn" and c not in _KNOWN_SINCE else c for c in low)
-    return [low[m.start() : m.end()] for m in _PIECES.finditer(known)] if known != low else _PIECES.findall(low)
+    """The pieces of a word in small letters.  Characters that the tokenizer's tables don't know yet are no letters there, whatever a newer table says."""
+    if low.isascii():
+        return [low] if low.isalpha() else _ASCII_PIECES.findall(low)
+    if not _ASSIGNED.issuperset(low):
+        known = "".join("\ue000" if unicodedata.category(c) == "Cn" and c not in _KNOWN_SINCE else c for c in low)
+        if known != low:
+            return [low[m.start() : m.end()] for m in _PIECES.finditer(known)]
+        _ASSIGNED.update(low)
+    return [low] if low.isalpha() else _PIECES.findall(low)
+
+
+def _lower(word: str) -> str:
+    """A word composed and in small letters, those of Unicode 16 too."""
+    low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+    return low if _CAPITALS_16.isdisjoint(low) else low.translate(_LOWER_16)
 
 
 def _byte_chars() -> list[str]:
@@ -66,6 +86,23 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class _Memory:
+    """What was made last, by its text.  When ``young`` is full it becomes ``old`` and what is old goes, so frequent texts stay."""
+
+    def __init__(self, make: Callable[[str], Any]):
+        self.make, self.young, self.old = make, {}, {}
+
+    def missed(self, text: str) -> Any:
+        """What is not among the young ones."""
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        got = self.old.get(text)
+        if got is None:
+            got = self.make(text)
+        self.young[text] = got
+        return got
+
+
 class WordBpe:
     """A BPE with word ends, from its public JSON file.
 
@@ -103,7 +140,7 @@ class WordBpe:
                 by_symbols[s] = i
         self.automaton = ahocorasick.Automaton()
         for s, i in by_symbols.items():
-            self.automaton.add_word(s, (i, len(s)))
+            self.automaton.add_word(s, (i, len(s) - 1))  # how far before its end a match begins
         self.automaton.make_automaton()
         self.size = [0] * n
         self.shorter = [-1] * n
@@ -121,8 +158,7 @@ class WordBpe:
         self.offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         self.special_pattern = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
         self.decimal = [b"%d" % i for i in range(n)]
-        self._words: dict[str, tuple[bytes, bytes]] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._words, self._pieces = _Memory(self._word), _Memory(self.encode_piece)
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether BPE can leave a and b side by side: undo merges on both sides of
@@ -156,9 +192,9 @@ class WordBpe:
     def encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode()
         s = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
-        longest: dict[int, int] = {}
-        for end, (t, n) in self.automaton.iter(s):
-            longest[end - n + 1] = t
+        longest = {end - before: t for end, (t, before) in self.automaton.iter(s)}
+        if self.size[longest[0]] == len(s):
+            return [longest[0]]
         out: list[int] = []
         dead: set[int] = set()
         at, t, n = 0, longest[0], len(s)
@@ -180,14 +216,10 @@ class WordBpe:
 
     def _word(self, word: str) -> tuple[bytes, bytes]:
         ids: list[int] = []
-        low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower().translate(_LOWER_16)
-        for piece in [low] if low.isascii() and low.isalpha() else _PIECES.findall(low) if low.isascii() else _pieces(low):
-            got = self._pieces.get(piece)
-            if got is None:
-                if len(self._pieces) >= REMEMBERED:
-                    self._pieces.clear()
-                got = self._pieces[piece] = self.encode_piece(piece)
-            ids += got
+        low = word.lower() if word.isascii() else _lower(word)
+        for piece in _pieces(low):
+            got = self._pieces.young.get(piece)
+            ids += self._pieces.missed(piece) if got is None else got
         return array("I", ids).tobytes(), b" ".join([self.decimal[i] for i in ids])
 
     def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
@@ -196,11 +228,9 @@ class WordBpe:
         known = self._words
         out = []
         for w in words:
-            got = known.get(w)
+            got = known.young.get(w)
             if got is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                got = known[w] = self._word(w)
+                got = known.missed(w)
             if got[0]:
                 out.append(got)
         return out

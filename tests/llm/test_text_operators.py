@@ -351,3 +351,17 @@ def test_pii_mail_and_secrets(spark):
     for gone in ("a.b@", "AKIAMD62", "b7db7aa4", "0641917e", "DE89 3704"):
         assert gone not in out.text
     assert re.match(r'u[0-9a-f]{16}@[0-9a-f]{8}\.example\. AKIA[0-9A-F]{16} password=[0-9a-f]{18} token = "[0-9a-f]{40}" DE\d\d( \d{4}){4} \d\d ', out.text)
+
+
+def test_frequent_words_are_not_encoded_again(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        source = f.read()
+    plain, few = bpe.WordBpe(source), bpe.WordBpe(source)
+    text = " ".join(f"often w{k}ü it's-{k}" for k in range(40))
+    want = plain.encode(text)
+    monkeypatch.setattr(bpe, "REMEMBERED", 6)
+    made, word = [], few._words.make
+    few._words.make = lambda w: made.append(w) or word(w)
+    ids, decimal = few.encode(text)
+    assert ids.tolist() == want[0].tolist() and decimal == want[1]
+    assert made.count("often") == 1
