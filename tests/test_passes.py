@@ -98,3 +98,11 @@ def test_locked_nodes_are_found_by_place(spark, monkeypatch):
     docs = spark.createDataFrame([(1, '{"permission": [{"action": {}}]}')], "doc_id long, text string")
     assert [(r.path, r.by) for r in locks.locked_nodes(flatten.flatten(docs)).collect()] == [("permission[0].action", "permission[0].action")]
     assert "path" not in written["owned"] + written["roles"]
+
+
+def test_lines_of_single_conditions_need_no_key(spark):
+    rows = [(1, "p.constraint[0]", "g"), (1, "p.constraint[0].child[10]", "b"), (1, "p.constraint[0].child[2]", "a"), (1, "q[3]", "leaf")]
+    got = conditions.condition_lines(spark.createDataFrame(rows, "doc_id int, path string, text string"), ["doc_id"])
+    assert {r.path: r.line for r in got.collect()} == {"p.constraint[0]": "g; a; b", "q[3]": "leaf"}
+    keyed = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in x and "transform(split(" in x]
+    assert keyed and all("transform(split(path" not in x for x in keyed)
