@@ -106,3 +106,9 @@ def test_lines_of_single_conditions_need_no_key(spark):
     assert {r.path: r.line for r in got.collect()} == {"p.constraint[0]": "g; a; b", "q[3]": "leaf"}
     keyed = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in x and "transform(split(" in x]
     assert keyed and all("transform(split(path" not in x for x in keyed)
+
+
+def test_fingerprints_are_made_in_batches(spark):
+    made = spark.createDataFrame([("a", "p", "t"), ("a", None, "t")], "a string, b string, c string").select(report.fingerprint(F.col("a"), F.col("b"), F.col("c")).alias("f"))
+    assert [r.f for r in made.collect()][1] is None
+    assert "ArrowEvalPython" in made._jdf.queryExecution().optimizedPlan().toString()
