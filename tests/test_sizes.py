@@ -43,6 +43,15 @@ def test_only_possible_findings_are_dealt_by_policy(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 5
 
 
+def test_uses_bring_rules_not_vocabularies_to_their_policy(spark):
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    uses = resolve.term_uses(c.policies, c.rules, c.constraints)
+    found = resolve.term_findings(uses, c.policies, c.prefixes, c.profiles, c.terms, c.odrl_terms).select("doc_id", "rule", "written", "path")
+    text = plan(found)
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text  # uses are not sorted by policy
+    assert "kinds" not in text and "owner" not in text
+
+
 def test_gaps_meet_findings_not_constraints(spark):
     rows = [(1, 0, "p", "l", "eq", "iri", "x", "urn:x", None, None, "urn:x"), (1, 1, "q", "l", "eq", "iri", "x", "urn:x", None, None, "urn:x"), (1, 1, "r", "m", "eq", "iri", "x", "urn:x", None, None, "urn:x")]
     names = "doc_id long, policy_ix int, path string, left_iri string, operator_name string, right_kind string, raw string, value_iri string, datatype string, unit_iri string, value_any string"
