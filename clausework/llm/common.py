@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python: texts are long, so few of them.
-ARROW_ROWS = 1000
+#: Rows of an Arrow batch handed to Python, and its bytes: texts are long, so few of them.
+ARROW_ROWS, ARROW_BYTES = 1000, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: at most ``ARROW_ROWS`` texts in a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bound the memory of a Python worker and of the JVM's side of it: at most ``ARROW_ROWS`` texts in a batch, and no more once it has ``ARROW_BYTES``."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(setting: str) -> int:
+    """A number of Spark's settings, with or without a unit (64m, 2gb)."""
+    number = setting.strip().lower().removesuffix("b")
+    return int(number[:-1]) << 10 * (1 + "kmgt".index(number[-1])) if number[-1:] in tuple("kmgt") else int(number)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausework.llm import language, quality
+from clausework.llm.common import ARROW_BYTES, small_batches
 
 ROWS = "id long, text string, declared string, suffix string, domain string, host string"
 WORDS = {"en": ["the", "thing", "and", "of", "water"], "de": ["der", "und", "schön", "nicht", "zwei"], "fr": ["le", "château", "et", "que", "pas"]}
@@ -115,3 +116,16 @@ def test_posteriors_by_loops(spark):
     assert len(got) == len(want)
     assert all(a == pytest.approx(b, abs=1e-9) for a, b in zip(sorted(got), sorted(want), strict=True))
     assert quality.posteriors(df.where("false"), "quality").count() == 0
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """A thousand blocks of a group are some hundred megabytes: a batch ends at a megabyte, too."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    small_batches(spark)
+    large = spark.range(300, numPartitions=1).select(F.repeat(F.lit("abcdefghij"), 2000).alias("text")).mapInArrow(run, "n long").agg(F.max("n")).first()[0]
+    assert large < 2 * ARROW_BYTES
